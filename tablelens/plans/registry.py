@@ -346,3 +346,370 @@ SELECT g.event_type, grid_point, round(x, 6) AS x,
 FROM g JOIN cc ON g.event_type = cc.event_type GROUP BY g.event_type, grid_point, x, g.n, g.bw""")
 def _violin_density(t: Tables):
     return charts.violin_density(t.events, "value", "event_type")
+
+
+# ------------------------------------------------------------- profile (P)
+
+from tablelens.functions.text import NON_WORD_NON_SPACE, NUMBER_RE, WS_RUN  # noqa: E402
+from tablelens.operators import cleaning, profile, temporal  # noqa: E402
+
+_LI_NUM = _CORR_COLS
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("describe", _union([
+    f"SELECT '{c}' AS column, count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 4) AS mean, "
+    f"round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, round(min(CAST({c} AS DOUBLE)), 4) AS min, "
+    f"round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS p25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS p50, "
+    f"round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS p75, round(max(CAST({c} AS DOUBLE)), 4) AS max FROM lineitem"
+    for c in _LI_NUM]))
+def _describe(t: Tables):
+    """P1, the flagship: describe() of every numeric column of lineitem."""
+    return profile.describe(t.lineitem)
+
+
+@register("schema_profile")
+def _schema_profile(t: Tables):
+    return profile.schema_profile(t.orders)
+
+
+def _summary_sql() -> str:
+    cols = [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "str"), ("o_totalprice", "num"),
+            ("o_orderdate", "ts"), ("o_orderpriority", "str")]
+    types = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+             "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+    parts = []
+    for c, k in cols:
+        num = [f"round(min(CAST({c} AS DOUBLE)), 4)", f"round(max(CAST({c} AS DOUBLE)), 4)",
+               f"round(avg(CAST({c} AS DOUBLE)), 4)", f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4)"] \
+            if k == "num" else ["CAST(NULL AS DOUBLE)"] * 4
+        us = f"CAST(epoch_us({c}) AS DOUBLE)"
+        ts = [f"make_timestamp(CAST(floor(min({us})) AS BIGINT))", f"make_timestamp(CAST(floor(max({us})) AS BIGINT))",
+              f"make_timestamp(CAST(floor(avg({us})) AS BIGINT))",
+              f"make_timestamp(CAST(floor(quantile_cont({us}, 0.5)) AS BIGINT))"] \
+            if k == "ts" else ["CAST(NULL AS TIMESTAMP)"] * 4
+        parts.append(
+            f"SELECT '{c}' AS column, '{types[c]}' AS dtype, count(DISTINCT {c}) AS distinct_count, "
+            f"count(*) - count({c}) AS missing_count, round((count(*) - count({c})) * 100.0 / count(*), 2) AS missing_pct, "
+            f"{num[0]} AS min_value, {num[1]} AS max_value, {num[2]} AS mean_value, {num[3]} AS median_value, "
+            f"{ts[0]} AS min_time, {ts[1]} AS max_time, {ts[2]} AS mean_time, {ts[3]} AS median_time FROM orders")
+    return _union(parts)
+
+
+@register("column_summary", _summary_sql())
+def _column_summary(t: Tables):
+    return profile.column_summary(t.orders)
+
+
+@register("write_profile", _summary_sql())
+def _write_profile(t: Tables):
+    """The column summary written as parquet to the shared folder and
+    read back."""
+    from tablelens.sources.sinks import write_profile
+    path = write_profile(profile.column_summary(t.orders), "orders")
+    return t.spark.read.parquet(path)
+
+
+@register("top_values", """
+WITH long AS (SELECT 'p_name' AS column, p_name AS value FROM part UNION ALL
+              SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'p_type', p_type FROM part),
+vc AS (SELECT "column", value, count(*) AS count FROM long WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS INTEGER) AS rank
+               FROM vc) WHERE rank <= 10""")
+def _top_values(t: Tables):
+    return profile.top_values(t.part)
+
+
+_GAP_MID_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
+@register("missing_report", with_derived(_union([
+    f"SELECT '{c}' AS column, count(*) - count({c}) AS missing_count FROM part_gap_mid HAVING count(*) - count({c}) > 0"
+    for c in _GAP_MID_COLS]), "part_gap_mid"))
+def _missing_report(t: Tables):
+    return profile.missing_report(fx.part_gap_mid(t))
+
+
+def _profile_numeric_sql(table: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        q = lambda p: f"quantile_cont({x}, {p})"
+        parts.append(
+            f"SELECT '{c}' AS column, count({x}) AS count, count(*) - count({x}) AS missing, round(avg({x}), 4) AS mean, "
+            f"round(stddev_samp({x}), 4) AS std, round(var_samp({x}), 4) AS variance, round(sum({x}), 4) AS sum, "
+            f"round(min({x}), 4) AS min, round(max({x}), 4) AS max, round(max({x}) - min({x}), 4) AS range, "
+            f"round({q(0.05)}, 4) AS p5, round({q(0.25)}, 4) AS p25, round({q(0.5)}, 4) AS p50, round({q(0.75)}, 4) AS p75, "
+            f"round({q(0.95)}, 4) AS p95, round({q(0.75)} - {q(0.25)}, 4) AS iqr, "
+            f"round(CASE WHEN avg({x}) <> 0 THEN stddev_samp({x}) / avg({x}) END, 4) AS cv, "
+            f"round(CASE WHEN count({x}) >= 3 THEN skewness({x}) END, 4) AS skewness, "
+            f"round(CASE WHEN count({x}) >= 4 THEN kurtosis({x}) END, 4) AS kurtosis, "
+            f"count(CASE WHEN {x} = 0 THEN 1 END) AS zeros, count(CASE WHEN {x} < 0 THEN 1 END) AS negatives, "
+            f"count(DISTINCT {x}) AS distinct, round(count(DISTINCT {x}) * 100.0 / count({x}), 2) AS distinct_pct, "
+            f"count(DISTINCT {x}) = count({x}) AND count({x}) > 0 AS is_unique FROM {table}")
+    return _union(parts)
+
+
+@register("profile_numeric", _profile_numeric_sql("lineitem", _LI_NUM))
+def _profile_numeric(t: Tables):
+    return profile.profile_numeric(t.lineitem)
+
+
+@register("profile_string", _union([
+    f"SELECT '{c}' AS column, count({c}) AS count, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct, "
+    f"round(count(DISTINCT {c}) * 100.0 / count({c}), 2) AS distinct_pct, "
+    f"count(DISTINCT {c}) = count({c}) AND count({c}) > 0 AS is_unique, CAST(min(length({c})) AS INTEGER) AS min_length, "
+    f"round(avg(length({c})), 4) AS mean_length, CAST(max(length({c})) AS INTEGER) AS max_length FROM part"
+    for c in ["p_name", "p_brand", "p_type"]]))
+def _profile_string(t: Tables):
+    return profile.profile_string(t.part)
+
+
+def _alerts_sql() -> str:
+    src = "(SELECT *, 2.0 AS constant_col FROM part_gap_mid)"
+    kinds = {"p_partkey": "num", "p_name": "str", "p_brand": "str", "p_type": "str", "p_size": "num",
+             "p_retailprice": "num", "constant_col": "num"}
+    parts = []
+    for c, k in kinds.items():
+        base = (f"SELECT '{c}' AS column, count(*) AS rows_, count({c}) AS n, count(DISTINCT {c}) AS d"
+                + (f", count(CASE WHEN {c} = 0 THEN 1 END) AS z, CASE WHEN count({c}) >= 3 THEN skewness(CAST({c} AS DOUBLE)) END AS sk"
+                   if k == "num" else ", NULL AS z, NULL AS sk") + f" FROM {src}")
+        rules = [("CONSTANT", "d = 1", "CAST(d AS DOUBLE)"),
+                 ("UNIQUE", "d = n AND n > 1", "CAST(d AS DOUBLE)"),
+                 ("MISSING", "(rows_ - n) * 1.0 / rows_ > 0 AND (rows_ - n) * 1.0 / rows_ <= 0.5", "(rows_ - n) * 1.0 / rows_"),
+                 ("MOSTLY_MISSING", "(rows_ - n) * 1.0 / rows_ > 0.5", "(rows_ - n) * 1.0 / rows_")]
+        if k == "num":
+            rules += [("ZEROS", "z * 1.0 / n > 0.05", "z * 1.0 / n"), ("SKEWED", "abs(sk) > 20", "sk")]
+        else:
+            rules.append(("HIGH_CARDINALITY", "d > 50", "CAST(d AS DOUBLE)"))
+        for a, cond, val in rules:
+            parts.append(f"SELECT \"column\", '{a}' AS alert, round({val}, 4) AS value FROM ({base}) WHERE coalesce({cond}, false)")
+    return with_derived(_union(parts), "part_gap_mid")
+
+
+@register("quality_alerts", _alerts_sql())
+def _quality_alerts(t: Tables):
+    return profile.quality_alerts(fx.part_gap_mid(t).withColumn("constant_col", F.lit(2.0)))
+
+
+@register("duplicate_rows", with_derived("""
+SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM doc_dedupe)) AS distinct_rows,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM doc_dedupe)) AS duplicate_rows
+FROM doc_dedupe""", "doc_dedupe"))
+def _duplicate_rows(t: Tables):
+    return profile.duplicate_rows(fx.doc_dedupe(t))
+
+
+@register("outliers_iqr", """
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT events.* FROM events, q WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
+def _outliers_iqr(t: Tables):
+    return profile.outliers_iqr(t.events, "value")
+
+
+@register("outliers_zscore", """
+WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM events)
+SELECT events.* FROM events, s WHERE abs(value - m) / sd > 3""")
+def _outliers_zscore(t: Tables):
+    return profile.outliers_zscore(t.events, "value")
+
+
+@register("recommendations", with_derived("""
+SELECT * FROM (
+SELECT 1 AS rule_no, 'data_cleaning' AS type, 'high' AS priority,
+       'Missing values found in ' || CAST(m AS VARCHAR) || ' columns' AS description,
+       'Consider imputation techniques (mean, median, mode) or removal of missing values' AS suggestion
+FROM (SELECT (count(*) - count(p_size) > 0)::INT + (count(*) - count(p_retailprice) > 0)::INT
+           + (count(*) - count(p_partkey) > 0)::INT + (count(*) - count(p_name) > 0)::INT
+           + (count(*) - count(p_brand) > 0)::INT + (count(*) - count(p_type) > 0)::INT AS m FROM part_gap_mid) WHERE m > 0
+UNION ALL SELECT 2, 'analysis', 'medium', 'Numerical columns present in dataset',
+       'Perform outlier detection using box plots or z-scores'
+UNION ALL SELECT 3, 'feature_engineering', 'medium', 'Dataset has multiple features',
+       'Consider creating interaction terms or polynomial features for machine learning'
+UNION ALL SELECT 4, 'machine_learning', 'high', 'Dataset has both numerical and categorical features',
+       'Consider building a predictive model for classification on ''p_name'', regression on ''p_partkey'' using algorithms like Random Forest or Gradient Boosting'
+)""", "part_gap_mid"))
+def _recommendations(t: Tables):
+    return profile.recommendations(fx.part_gap_mid(t))
+
+
+@register("insight_digest")
+def _insight_digest(t: Tables):
+    """P8 over lineitem (rows-only: the relationship count needs p-values)."""
+    return profile.insight_digest(t.lineitem.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount"))))
+
+
+# ------------------------------------------------------------ temporal (T)
+
+_PARSE_SQL = ("CAST(coalesce(try_strptime(trim({c}), '%Y-%m-%d %H:%M:%S'), try_strptime(trim({c}), '%Y-%m-%dT%H:%M:%S'), "
+              "try_strptime(trim({c}), '%Y-%m-%d %H:%M'), try_strptime(trim({c}), '%Y-%m-%d'), "
+              "try_strptime(trim({c}), '%Y/%m/%d'), try_strptime(trim({c}), '%m/%d/%Y')) AS TIMESTAMP)")
+
+
+@register("to_datetime", with_derived(f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {_PARSE_SQL.format(c='o_orderdate')} AS o_orderdate,
+       o_orderpriority FROM orders_dirty_date""", "orders_dirty_date"))
+def _to_datetime(t: Tables):
+    return temporal.to_datetime(fx.orders_dirty_date(t), "o_orderdate", "coerce")
+
+
+@register("datetime_features", """
+SELECT event_id, ts, CAST(year(ts) AS INTEGER) AS ts_year, CAST(month(ts) AS INTEGER) AS ts_month,
+       CAST(day(ts) AS INTEGER) AS ts_day, CAST(hour(ts) AS INTEGER) AS ts_hour, CAST(minute(ts) AS INTEGER) AS ts_minute,
+       CAST(isodow(ts) - 1 AS INTEGER) AS ts_dayofweek, CAST(dayofyear(ts) AS INTEGER) AS ts_dayofyear,
+       CAST(weekofyear(ts) AS INTEGER) AS ts_weekofyear, CAST(quarter(ts) AS INTEGER) AS ts_quarter FROM events""")
+def _datetime_features(t: Tables):
+    return temporal.extract_datetime_features(t.events.select("event_id", "ts"), "ts")
+
+
+# ------------------------------------------------------------ cleaning (C)
+
+def _strategy_sql(name: str, cols: list[str]) -> str:
+    miss = " + ".join(f"(count(*) - count({c}))" for c in cols)
+    return (f"SELECT '{name}' AS dataset, CAST({miss} AS BIGINT) AS missing_cells, CAST(count(*) * {len(cols)} AS BIGINT) AS total_cells, "
+            f"round(({miss}) * 1.0 / (count(*) * {len(cols)}), 6) AS missing_share, "
+            f"CASE WHEN ({miss}) * 1.0 / (count(*) * {len(cols)}) < 0.05 THEN 'drop' "
+            f"WHEN ({miss}) * 1.0 / (count(*) * {len(cols)}) < 0.3 THEN 'knn' ELSE 'median' END AS strategy FROM {name}")
+
+
+@register("missing_strategy", with_derived(_union([
+    _strategy_sql("part_gap_low", _GAP_MID_COLS), _strategy_sql("part_gap_mid", _GAP_MID_COLS),
+    _strategy_sql("part_gap_high", ["p_partkey", "p_size", "p_retailprice"])]),
+    "part_gap_low", "part_gap_mid", "part_gap_high"))
+def _missing_strategy(t: Tables):
+    out = None
+    for name, frame in (("part_gap_low", fx.part_gap_low(t)), ("part_gap_mid", fx.part_gap_mid(t)),
+                        ("part_gap_high", fx.part_gap_high(t))):
+        s = cleaning.missing_strategy(frame).select(F.lit(name).alias("dataset"), "*")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@register("impute_drop", with_derived("""
+SELECT * FROM part_gap_low WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL AND p_brand IS NOT NULL
+  AND p_type IS NOT NULL AND p_size IS NOT NULL AND p_retailprice IS NOT NULL""", "part_gap_low"))
+def _impute_drop(t: Tables):
+    return cleaning.impute_drop(fx.part_gap_low(t))
+
+
+def _simple_sql(stat: str) -> str:
+    def s(c):
+        if stat == "mean":
+            return f"(SELECT avg(CAST({c} AS DOUBLE)) FROM part_gap_high)"
+        if stat == "median":
+            return f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM part_gap_high)"
+        return (f"(SELECT CAST({c} AS DOUBLE) FROM part_gap_high WHERE {c} IS NOT NULL GROUP BY {c} "
+                f"ORDER BY count(*) DESC, {c} LIMIT 1)")
+    cols = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), {s(c)}), 4) AS {c}"
+                     for c in ["p_partkey", "p_size", "p_retailprice"])
+    return with_derived(f"SELECT {cols} FROM part_gap_high", "part_gap_high")
+
+
+def _rounded(df: DataFrame, cols: list[str], nd: int = 4) -> DataFrame:
+    return df.select(*[F.round(c, nd).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+for _stat in ("mean", "median", "mode"):
+    def _mk(stat):
+        @register(f"impute_{stat}", _simple_sql(stat))
+        def _f(t: Tables):
+            out = cleaning.impute_simple(fx.part_gap_high(t), stat)
+            return _rounded(out, ["p_partkey", "p_size", "p_retailprice"])
+        return _f
+    _mk(_stat)
+
+
+@register("impute_constant", with_derived("""
+SELECT p_partkey, p_name, p_brand, p_type, coalesce(p_size, 0) AS p_size, p_retailprice FROM part_gap_low""",
+                                          "part_gap_low"))
+def _impute_constant(t: Tables):
+    return cleaning.impute_constant(fx.part_gap_low(t), 0)
+
+
+@register("dedupe", with_derived("SELECT DISTINCT text, lang FROM doc_dedupe", "doc_dedupe"))
+def _dedupe(t: Tables):
+    return cleaning.remove_duplicates(fx.doc_dedupe(t))
+
+
+_NUM_SQL = "CASE WHEN regexp_matches({c}, '" + NUMBER_RE.replace("\\", "\\") + "') THEN CAST(trim({c}) AS DOUBLE) END"
+
+
+@register("coerce_numeric", with_derived(f"""
+SELECT p_partkey, p_name, p_brand, p_type, {_NUM_SQL.format(c='p_size')} AS p_size, p_retailprice
+FROM part_dirty_num""", "part_dirty_num"))
+def _coerce_numeric(t: Tables):
+    return cleaning.coerce_numeric(fx.part_dirty_num(t))
+
+
+@register("coerce_datetime", with_derived(f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {_PARSE_SQL.format(c='o_orderdate')} AS o_orderdate,
+       o_orderpriority FROM orders_dirty_date""", "orders_dirty_date"))
+def _coerce_datetime(t: Tables):
+    return cleaning.coerce_datetime(fx.orders_dirty_date(t))
+
+
+@register("correct_types", with_derived(f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {_PARSE_SQL.format(c='o_orderdate')} AS o_orderdate,
+       o_orderpriority FROM orders_dirty_date""", "orders_dirty_date"))
+def _correct_types(t: Tables):
+    return cleaning.correct_data_types(fx.orders_dirty_date(t))
+
+
+def _type_changes_sql() -> str:
+    parts = []
+    for c in ["p_name", "p_brand", "p_type", "p_size"]:
+        num = f"count(CASE WHEN regexp_matches({c}, '{NUMBER_RE}') THEN 1 END)"
+        dt = f"count({_PARSE_SQL.format(c=c)})"
+        parts.append(
+            f"SELECT '{c}' AS column, CASE WHEN {num} > 0 THEN 'numeric' WHEN {dt} > 0 THEN 'datetime' "
+            f"WHEN count(DISTINCT {c}) * 1.0 / count(*) < 0.5 THEN 'category' END AS change FROM part_dirty_num")
+    return with_derived(f"SELECT * FROM ({_union(parts)}) WHERE change IS NOT NULL", "part_dirty_num")
+
+
+@register("type_changes", _type_changes_sql())
+def _type_changes(t: Tables):
+    return cleaning.type_changes(fx.part_dirty_num(t))
+
+
+@register("category_columns", _union([
+    f"SELECT '{c}' AS column, count(DISTINCT {c}) AS distinct_count, count(*) AS rows, "
+    f"round(count(DISTINCT {c}) * 1.0 / count(*), 6) AS ratio, count(DISTINCT {c}) * 1.0 / count(*) < 0.5 AS is_category FROM part"
+    for c in ["p_name", "p_brand", "p_type"]]))
+def _category_columns(t: Tables):
+    return cleaning.category_columns(t.part)
+
+
+def _collapse_sql() -> str:
+    def coll(c):
+        return (f"CASE WHEN {c} IS NOT NULL AND (SELECT count(DISTINCT {c}) FROM part_rare) <= 100 "
+                f"AND count(*) OVER (PARTITION BY {c}) * 1.0 / count(*) OVER () < 0.05 THEN 'Other' ELSE {c} END AS {c}")
+    return with_derived(f"SELECT p_partkey, {coll('p_name')}, {coll('p_brand')}, {coll('p_type')}, p_size, p_retailprice "
+                        f"FROM part_rare", "part_rare")
+
+
+@register("collapse_rare", _collapse_sql())
+def _collapse_rare(t: Tables):
+    return cleaning.collapse_rare(fx.part_rare(t))
+
+
+def _clean_sql(c: str) -> str:
+    return (f"lower(trim(regexp_replace(regexp_replace({c}, '{NON_WORD_NON_SPACE}', '', 'g'), "
+            f"'{WS_RUN}', ' ', 'g')))")
+
+
+@register("clean_text", f"""
+SELECT doc_id, {_clean_sql('text')} AS text, {_clean_sql('lang')} AS lang,
+       {_clean_sql('source')} AS source, n_chars FROM documents""")
+def _clean_text(t: Tables):
+    return cleaning.clean_text(t.documents)
+
+
+@register("auto_clean", f"""
+SELECT doc_id, {_clean_sql('text')} AS text, lang, source, n_chars FROM documents""")
+def _auto_clean(t: Tables):
+    """C13 on documents: no gaps -> drop; no duplicates; lang and source
+    become categories (so their text is kept); text is normalised."""
+    return cleaning.auto_clean(t.documents, key="doc_id")

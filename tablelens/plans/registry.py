@@ -713,3 +713,178 @@ def _auto_clean(t: Tables):
     """C13 on documents: no gaps -> drop; no duplicates; lang and source
     become categories (so their text is kept); text is normalised."""
     return cleaning.auto_clean(t.documents, key="doc_id")
+
+
+# ------------------------------------------------------ catalog and chat
+
+import datetime as _dt  # noqa: E402
+
+from tablelens.operators import chat  # noqa: E402
+from tablelens.sources import catalog as cat  # noqa: E402
+
+_FIRST_BATCH = ["region", "nation", "customer", "supplier", "part"]
+_T0, _T1 = _dt.datetime(2024, 1, 1), _dt.datetime(2024, 1, 2)
+_NCOLS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11,
+          "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
+
+
+def _catalog_candidates(t: Tables, names: list[str]) -> DataFrame:
+    out = None
+    for n in names:
+        d = cat.describe_file(getattr(t, n), f"{n}.parquet", f"table {n}")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def _catalog(t: Tables) -> DataFrame:
+    """Catalog of the fixture tables: five recorded first, then all
+    fourteen (the five already present keep their ids)."""
+    cand = _catalog_candidates(t, list(fx.TABLES)).cache()  # 14 metadata rows
+    first = cand.filter(F.col("file_name").isin([f"{n}.parquet" for n in _FIRST_BATCH]))
+    c0 = cat.record_datasets(cat.empty_catalog(t.spark), first, _T0)
+    return cat.record_datasets(c0, cand, _T1)
+
+
+def _catalog_sql() -> str:
+    parts = [f"SELECT '{n}.parquet' AS file_name, (SELECT count(*) FROM {n}) AS rows, {_NCOLS[n]} AS columns, "
+             f"'table {n}' AS description, {1 if n in _FIRST_BATCH else 2} AS batch" for n in fx.TABLES]
+    return ("WITH t AS (" + _union(parts) + "),\ncatalog AS (SELECT CAST(row_number() OVER (PARTITION BY batch ORDER BY file_name) "
+            "+ CASE WHEN batch = 1 THEN 0 ELSE 5 END AS BIGINT) AS dataset_id, file_name, "
+            "CASE WHEN batch = 1 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-02 00:00:00' END AS upload_time, "
+            "CAST(rows AS BIGINT) AS rows, CAST(columns AS INTEGER) AS columns, description FROM t)\n")
+
+
+@register("catalog_record", _catalog_sql() + "SELECT * FROM catalog")
+def _catalog_record(t: Tables):
+    return _catalog(t)
+
+
+@register("catalog_history", _catalog_sql() + "SELECT * FROM catalog ORDER BY dataset_id")
+def _catalog_history(t: Tables):
+    return cat.history(_catalog(t))
+
+
+@register("catalog_by_id", _catalog_sql() + "SELECT * FROM catalog WHERE dataset_id = 3")
+def _catalog_by_id(t: Tables):
+    return cat.by_id(_catalog(t), 3)
+
+
+@register("recall_like", _catalog_sql()
+          + "SELECT * FROM catalog WHERE contains(lower(file_name), 'line') ORDER BY dataset_id LIMIT 1")
+def _recall_like(t: Tables):
+    return cat.recall(_catalog(t), file_name="line")
+
+
+@register("dataset_listing", _catalog_sql()
+          + "SELECT dataset_id, regexp_replace(file_name, '\\.[^.]*$', '') AS name, rows, columns, "
+            "dataset_id = 12 AS is_current FROM catalog")
+def _dataset_listing(t: Tables):
+    return cat.listing(_catalog(t), current_id=12)
+
+
+_LOG_SQL = ("SELECT conv_id, turn AS id, role, text AS content, "
+            "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(turn) AS timestamp FROM conversations")
+
+
+@register("chat_load", _LOG_SQL)
+def _chat_load(t: Tables):
+    return chat.load_history(chat.chat_log_from_turns(t.conversations))
+
+
+@register("last_n_messages", f"""
+SELECT conv_id, id, role, content, timestamp FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY timestamp DESC, id DESC) AS rn FROM ({_LOG_SQL}))
+WHERE rn <= 3""")
+def _last_n_messages(t: Tables):
+    return chat.last_n_messages(chat.chat_log_from_turns(t.conversations), 3)
+
+
+@register("dialogue_messages", f"""
+SELECT conv_id, id, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' END AS role, content, timestamp
+FROM ({_LOG_SQL}) WHERE role IN ('user', 'assistant')""")
+def _dialogue_messages(t: Tables):
+    return chat.dialogue_messages(chat.chat_log_from_turns(t.conversations))
+
+
+# Example prompts from the reference's documentation, added to
+# the conversation messages because the fixture text is invented words.
+EXAMPLE_PROMPTS = (
+    "list datasets", "switch to sales data", "use customer file", "/profile", "/insights", "/help", "/reset",
+    "What are the key relationships in my data?", "Create an interactive histogram of age distribution",
+    "Show me correlations between numerical columns", "Generate a pie chart of product categories",
+    "What data quality issues should I address?", "Switch to sales data and show top 10 products",
+    "Use customer file and create a pie chart of countries", "Load inventory data and analyze stock levels",
+)
+
+
+def _messages(t: Tables) -> DataFrame:
+    log = chat.chat_log_from_turns(t.conversations)
+    ex = t.spark.createDataFrame([(-1, i, "user", p) for i, p in enumerate(EXAMPLE_PROMPTS)],
+                                 "conv_id long, turn long, role string, text string")
+    return log.unionByName(chat.chat_log_from_turns(ex))
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+def _intents_sql() -> str:
+    ex = _union([f"SELECT -1 AS conv_id, {i} AS turn, 'user' AS role, '{p.replace(chr(39), chr(39) * 2)}' AS text"
+                 for i, p in enumerate(EXAMPLE_PROMPTS)])
+    msgs = (f"SELECT conv_id, CAST(turn AS BIGINT) AS id, role, text AS content, "
+            f"TIMESTAMP '2024-01-01 00:00:00' + to_seconds(turn) AS timestamp FROM "
+            f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL {ex})")
+    low = "lower(content)"
+    clause = f"regexp_extract({low}, '{chat.SWITCH_RE}', 1)"
+    words = f"list_filter(string_split(trim({clause}), ' '), lambda w: w <> '' AND NOT list_contains({_sql_list(chat.STOP_WORDS)}, w))"
+    target = f"nullif(array_to_string({words}, ' '), '')"
+    follow = f"trim(regexp_extract({low}, '{chat.FOLLOW_RE}', 1))"
+    has = f"regexp_matches({low}, '{chat.SWITCH_RE}')"
+    listing = " OR ".join(f"contains({low}, '{p}')" for p in chat.LIST_PHRASES)
+    return (f"SELECT conv_id, id, role, content, timestamp, "
+            f"CASE WHEN list_contains({_sql_list(chat.COMMANDS)}, trim({low})) THEN trim({low}) END AS command, "
+            f"CASE WHEN {has} THEN {target} END AS switch_target, "
+            f"CASE WHEN {has} AND length({follow}) > 3 THEN {follow} END AS follow_up, "
+            f"({listing}) AS list_intent, regexp_matches({low}, '{chat.PLOT_RE}') AS plot_intent "
+            f"FROM ({msgs})")
+
+
+@register("chat_intents", _intents_sql())
+def _chat_intents(t: Tables):
+    return chat.message_intents(_messages(t))
+
+
+# ------------------------------------------------------------------- KNN
+
+from tablelens.operators.knn import impute_knn  # noqa: E402
+
+_KNN_SQL = with_derived("""
+, d AS (SELECT p_partkey AS k, CAST(p_partkey AS DOUBLE) AS x0, CAST(p_size AS DOUBLE) AS x1, p_retailprice AS x2
+        FROM part_gap_mid),
+pairs AS (
+  SELECT r.k AS rk, o.k AS dk, r.x1 IS NULL AS m1, r.x2 IS NULL AS m2, o.x1 AS v1, o.x2 AS v2,
+    CASE WHEN c > 0 THEN sq * 3 / c END AS d2
+  FROM (SELECT r.k AS rk0, o.k AS dk0,
+          (coalesce((r.x0 - o.x0) * (r.x0 - o.x0), 0) + coalesce((r.x1 - o.x1) * (r.x1 - o.x1), 0))
+            + coalesce((r.x2 - o.x2) * (r.x2 - o.x2), 0) AS sq,
+          (r.x0 IS NOT NULL AND o.x0 IS NOT NULL)::INT + (r.x1 IS NOT NULL AND o.x1 IS NOT NULL)::INT
+            + (r.x2 IS NOT NULL AND o.x2 IS NOT NULL)::INT AS c
+        FROM d r, d o WHERE (r.x1 IS NULL OR r.x2 IS NULL)) p
+  JOIN d r ON r.k = p.rk0 JOIN d o ON o.k = p.dk0),
+c1 AS (SELECT rk, v1 AS v, d2, row_number() OVER (PARTITION BY rk ORDER BY d2 NULLS LAST, dk) AS rn
+       FROM pairs WHERE m1 AND v1 IS NOT NULL),
+c2 AS (SELECT rk, v2 AS v, d2, row_number() OVER (PARTITION BY rk ORDER BY d2 NULLS LAST, dk) AS rn
+       FROM pairs WHERE m2 AND v2 IS NOT NULL),
+i1 AS (SELECT rk, CASE WHEN min(d2) IS NULL THEN (SELECT avg(x1) FROM d) ELSE avg(v) END AS v FROM c1 WHERE rn <= 5 GROUP BY rk),
+i2 AS (SELECT rk, CASE WHEN min(d2) IS NULL THEN (SELECT avg(x2) FROM d) ELSE avg(v) END AS v FROM c2 WHERE rn <= 5 GROUP BY rk)
+SELECT CAST(p.p_partkey AS DOUBLE) AS p_partkey, p.p_name, p.p_brand, p.p_type,
+       round(coalesce(CAST(p.p_size AS DOUBLE), i1.v), 4) AS p_size,
+       round(coalesce(p.p_retailprice, i2.v), 4) AS p_retailprice
+FROM part_gap_mid p LEFT JOIN i1 ON i1.rk = p.p_partkey LEFT JOIN i2 ON i2.rk = p.p_partkey""", "part_gap_mid")
+_KNN_SQL = _KNN_SQL.replace(")\n\n, d AS", "),\nd AS").replace(")\n, d AS", "),\nd AS")
+
+
+@register("impute_knn", _KNN_SQL)
+def _impute_knn(t: Tables):
+    out = impute_knn(fx.part_gap_mid(t), key="p_partkey", k=5)
+    return _rounded(out, ["p_size", "p_retailprice"])

@@ -888,3 +888,72 @@ _KNN_SQL = _KNN_SQL.replace(")\n\n, d AS", "),\nd AS").replace(")\n, d AS", "),\
 def _impute_knn(t: Tables):
     out = impute_knn(fx.part_gap_mid(t), key="p_partkey", k=5)
     return _rounded(out, ["p_size", "p_retailprice"])
+
+
+# ------------------------------------------------------ Q-Q (G10) and vectors
+
+from tablelens.functions import special  # noqa: E402
+from tablelens.operators import qq as qqmod  # noqa: E402
+from tablelens.operators import retrieval  # noqa: E402
+
+
+def _horner_sql(coefs, x: str) -> str:
+    acc = repr(coefs[0])
+    for c in coefs[1:]:
+        acc = f"({acc}) * {x} + ({c!r})"
+    return acc
+
+
+def _probit_sql(p: str) -> str:
+    ql = f"sqrt(-2.0 * ln({p}))"
+    qh = f"sqrt(-2.0 * ln(1.0 - {p}))"
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    lower = f"({_horner_sql(special.ACKLAM_C, ql)}) / (({_horner_sql(special.ACKLAM_D, ql)}) * {ql} + 1.0)"
+    upper = f"-({_horner_sql(special.ACKLAM_C, qh)}) / (({_horner_sql(special.ACKLAM_D, qh)}) * {qh} + 1.0)"
+    central = f"({_horner_sql(special.ACKLAM_A, r)}) * {q} / (({_horner_sql(special.ACKLAM_B, r)}) * {r} + 1.0)"
+    return (f"CASE WHEN {p} < {special.ACKLAM_LOW} THEN {lower} WHEN {p} > {1.0 - special.ACKLAM_LOW} THEN {upper} "
+            f"ELSE {central} END")
+
+
+_FILL = ("CASE WHEN rank = n THEN power(0.5, 1.0 / n) WHEN rank = 1 THEN 1.0 - power(0.5, 1.0 / n) "
+         "ELSE (rank - 0.3175) / (n + 0.365) END")
+_QQ_RANKED = """
+WITH v AS (SELECT CAST(value AS DOUBLE) AS value FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+r AS (SELECT value, row_number() OVER (ORDER BY value) AS rank, count(*) OVER () AS n FROM v),
+p AS (SELECT *, """ + _FILL + """ AS prob FROM r)"""
+
+
+@register("qq_positions", _QQ_RANKED + """,
+m AS (SELECT least(max(n), 1000) AS m, max(n) AS n FROM r),
+pts AS (SELECT CAST(j AS INTEGER) AS point, CASE WHEN m.m = 1 THEN 1 ELSE 1 + (j * (m.n - 1)) // (m.m - 1) END AS rank
+        FROM m, range(0, m.m) t(j))
+SELECT point, CAST(pts.rank AS BIGINT) AS rank, p.value, round(prob, 8) AS prob,
+       round(""" + _probit_sql("prob") + """, 6) AS theoretical
+FROM pts JOIN p ON p.rank = pts.rank""")
+def _qq_positions(t: Tables):
+    return qqmod.qq_positions(t.events, "value")
+
+
+@register("qq_fit", _QQ_RANKED + """
+SELECT count(*) AS n, round(regr_slope(value, x), 4) AS slope, round(regr_intercept(value, x), 4) AS intercept,
+       round(corr(x, value), 4) AS r
+FROM (SELECT value, """ + _probit_sql("prob") + """ AS x FROM p)""")
+def _qq_fit(t: Tables):
+    return qqmod.qq_fit(t.events, "value")
+
+
+@register("vector_topk", """
+WITH c AS (SELECT label, list(m ORDER BY i) AS q FROM (
+             SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i)
+             WHERE i <= len(embedding) GROUP BY label, i) GROUP BY label),
+s AS (SELECT CAST(c.label AS BIGINT) AS qid, e.vec_id,
+             list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.q) AS score FROM c, embeddings e)
+SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 4) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def _vector_topk(t: Tables):
+    """For each label's centroid, the 5 most similar embeddings."""
+    emb = t.embeddings
+    cent = retrieval.label_centroids(emb).withColumnRenamed("label", "qid")
+    hits = retrieval.top_k(emb, cent, k=5)
+    return hits.withColumn("score", F.round("score", 4))

@@ -957,3 +957,49 @@ def _vector_topk(t: Tables):
     cent = retrieval.label_centroids(emb).withColumnRenamed("label", "qid")
     hits = retrieval.top_k(emb, cent, k=5)
     return hits.withColumn("score", F.round("score", 4))
+
+
+# -------------------------------------------------------------- sources
+
+from tablelens.session import scratch_path  # noqa: E402
+from tablelens.sources import files  # noqa: E402
+from tablelens.sources.xlsx_writer import write_xlsx  # noqa: E402
+
+
+@register("scan_csv", """
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part""")
+def _scan_csv(t: Tables):
+    """Part written as CSV to the shared folder, scanned back with
+    pandas-like typing (integers become bigint)."""
+    path = files.write_csv(t.part, scratch_path(t.spark, "csv-part") + "/part.csv")
+    return files.read_csv(t.spark, path)
+
+
+@register("scan_csv_latin1", "SELECT conv_id, turn, role, text FROM conversations")
+def _scan_csv_latin1(t: Tables):
+    """Conversations written as latin1 CSV; the scanner sees invalid
+    UTF-8 and re-reads as latin1, so accented text survives."""
+    path = files.write_csv(t.conversations, scratch_path(t.spark, "csv-latin1") + "/conv.csv",
+                           encoding="ISO-8859-1")
+    return files.read_csv(t.spark, path)
+
+
+@register("scan_csv_na", with_derived("""
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part_gap_mid""",
+                                      "part_gap_mid"))
+def _scan_csv_na(t: Tables):
+    """S3: gaps written as the tokens NA / n/a; read back as nulls."""
+    src = fx.part_gap_mid(t)
+    tok = src.select("p_partkey", "p_name", "p_brand", "p_type",
+                     F.coalesce(F.col("p_size").cast("string"), F.lit("NA")).alias("p_size"),
+                     F.coalesce(F.col("p_retailprice").cast("string"), F.lit("n/a")).alias("p_retailprice"))
+    path = files.write_csv(tok, scratch_path(t.spark, "csv-na") + "/gaps.csv")
+    return files.read_csv(t.spark, path)
+
+
+@register("scan_xlsx")
+def _scan_xlsx(t: Tables):
+    """Part written as .xlsx workbooks (one per partition) and scanned
+    back through the binaryFile source (rows-only check)."""
+    folder = write_xlsx(t.part.repartition(4), scratch_path(t.spark, "xlsx-part"))
+    return files.read_excel(t.spark, folder)

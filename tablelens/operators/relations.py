@@ -283,6 +283,10 @@ def relationships(df: DataFrame, max_insights: int | None = MAX_INSIGHTS) -> Dat
                  F.col("col2")).alias("description"),
         F.lit("Consider creating a stacked bar chart or mosaic plot to visualize this relationship").alias("suggestion"))
     out = corr.unionByName(an).unionByName(ch)
-    order = [F.col("kind"), F.abs(F.col("statistic")).desc(), F.col("col1"), F.col("col2")]
+    # reference order: correlations by strength, then ANOVA and chi-square
+    # in column order
+    pos = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
+    order = [F.col("kind"), F.when(F.col("kind") == 1, -F.col("strength")).otherwise(F.lit(0.0)),
+             pos[F.col("col1")], pos[F.col("col2")]]
     out = out.orderBy(*order)
     return out.limit(max_insights) if max_insights else out

@@ -203,8 +203,10 @@ def _chi2_stat(t: Tables):
 
 @register("relationships")
 def _relationships(t: Tables):
-    """Report over ``orders``: correlations, ANOVA, chi-square, first 5."""
-    return relations.relationships(t.orders)
+    """Report over lineitem plus its net price: correlations, ANOVA,
+    chi-square, first 5 (rows-only: p-values have no SQL twin)."""
+    li = t.lineitem.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return relations.relationships(li)
 
 
 # --------------------------------------------------------------- charts (G)
@@ -1003,3 +1005,63 @@ def _scan_xlsx(t: Tables):
     back through the binaryFile source (rows-only check)."""
     folder = write_xlsx(t.part.repartition(4), scratch_path(t.spark, "xlsx-part"))
     return files.read_excel(t.spark, folder)
+
+
+# ---------------------------------------------------------- fuzzy lookup (L2)
+
+from tablelens.operators.lookup import fuzzy_lookup  # noqa: E402
+
+
+def _lookup_inputs(t: Tables):
+    terms = (t.customer.select(F.col("c_mktsegment").alias("term"))
+             .unionByName(t.part.select(F.col("p_type").alias("term")))
+             .unionByName(t.nation.select(F.col("n_name").alias("term")))
+             .unionByName(t.region.select(F.col("r_name").alias("term"))).distinct())
+    names = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("name_order"))
+    return terms, names
+
+
+@register("fuzzy_lookup", """
+WITH terms AS (SELECT DISTINCT term FROM (SELECT c_mktsegment AS term FROM customer UNION ALL SELECT p_type FROM part
+               UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)),
+names AS (SELECT p_name AS name, min(p_partkey) AS name_order FROM part GROUP BY p_name),
+p AS (SELECT term, name, name_order, lower(term) AS tl, lower(regexp_replace(name, '\\.[^.]*$', '')) AS nl
+      FROM terms, names WHERE length(term) > 0),
+q AS (SELECT *, CASE WHEN length(tl) <= length(nl) THEN tl ELSE nl END AS s,
+                CASE WHEN length(tl) <= length(nl) THEN nl ELSE tl END AS t FROM p),
+sc AS (SELECT term, name, name_order, contains(nl, tl) OR contains(tl, nl) AS c,
+              CASE WHEN length(s) = 0 THEN 0.0 ELSE round(100.0 * (1 - list_min(list_transform(range(1, length(t) - length(s) + 2),
+                   lambda i: levenshtein(s, substr(t, i, length(s))))) / length(s)), 2) END AS sc
+       FROM q),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY c DESC,
+                 CASE WHEN c THEN name_order END NULLS LAST, sc DESC, name_order) AS rn
+                 FROM sc WHERE c OR sc > 60) WHERE rn = 1)
+SELECT terms.term, best.name, best.name_order, CASE WHEN c THEN 100.0 ELSE sc END AS score,
+       CASE WHEN c THEN 'contains' WHEN c IS NULL THEN NULL ELSE 'fuzzy' END AS method
+FROM terms LEFT JOIN best ON best.term = terms.term""")
+def _fuzzy_lookup(t: Tables):
+    terms, names = _lookup_inputs(t)
+    return fuzzy_lookup(terms, names)
+
+
+# ------------------------------------------------------------ chart pack
+
+from tablelens.operators.chart_pack import chart_pack, chart_pack_plan  # noqa: E402
+
+
+@register("chart_pack_plan", """
+SELECT * FROM (VALUES ('histogram', 'o_orderkey', NULL), ('box', 'o_orderkey', NULL), ('qq', 'o_orderkey', NULL),
+  ('histogram', 'o_custkey', NULL), ('box', 'o_custkey', NULL), ('qq', 'o_custkey', NULL),
+  ('histogram', 'o_totalprice', NULL), ('box', 'o_totalprice', NULL), ('qq', 'o_totalprice', NULL),
+  ('bar', 'o_orderstatus', NULL), ('bar', 'o_orderpriority', NULL), ('heatmap', NULL, NULL), ('pairplot', NULL, NULL),
+  ('line', 'o_orderdate', 'o_orderkey'), ('line', 'o_orderdate', 'o_custkey'), ('line', 'o_orderdate', 'o_totalprice'))
+  AS v(chart, "column", column2)
+UNION ALL SELECT 'pie', 'o_orderstatus', NULL WHERE (SELECT count(DISTINCT o_orderstatus) FROM orders) <= 20
+UNION ALL SELECT 'pie', 'o_orderpriority', NULL WHERE (SELECT count(DISTINCT o_orderpriority) FROM orders) <= 20""")
+def _chart_pack_plan(t: Tables):
+    return chart_pack_plan(t.orders)
+
+
+@register("chart_pack")
+def _chart_pack(t: Tables):
+    return chart_pack(t.orders)

@@ -132,7 +132,7 @@ ACKLAM_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+0
 ACKLAM_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
             6.680131188771972e+01, -1.328068155288572e+01)
 ACKLAM_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-            -2.549671010584844e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+            -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
 ACKLAM_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
             3.754408661907416e+00)
 ACKLAM_LOW = 0.02425

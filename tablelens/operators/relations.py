@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import (numeric_columns, stat_categorical_columns,
                                          validate)
 from tablelens.functions.special import chi2_pvalue, f_pvalue
+from tablelens.session import cut_lineage
 
 # Thresholds of the relationship rules.
 STRONG_CORRELATION = 0.7
@@ -169,7 +170,9 @@ def anova(df: DataFrame, cat_cols: list[str] | None = None,
         return df.sparkSession.createDataFrame(
             [], "cat_col string, num_col string, f_stat double, df_between long, "
                 "df_within long, n_groups long, n long")
-    g = _grouped_stats(df, cats, nums).filter(F.col("n") > 1)
+    # one row per (column, group): materialised once in the shared
+    # checkpoint folder so both uses below read it instead of rescanning
+    g = cut_lineage(_grouped_stats(df, cats, nums).filter(F.col("n") > 1))
     tot = g.groupBy("cat_col", "num_col").agg(
         F.sum("n").alias("tot_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand_mean"),
         F.count("*").alias("tot_groups"))
@@ -213,8 +216,8 @@ def chi_square(df: DataFrame, columns: list[str] | None = None,
         c2 = F.when(hit, F.lit(b)).otherwise(c2)
         v1 = F.when(hit, F.col(a)).otherwise(v1)
         v2 = F.when(hit, F.col(b)).otherwise(v2)
-    cells = (g.select(c1.alias("col1"), c2.alias("col2"), v1.alias("a"), v2.alias("b"), "O")
-             .filter(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    cells = cut_lineage(g.select(c1.alias("col1"), c2.alias("col2"), v1.alias("a"), v2.alias("b"), "O")
+                        .filter(F.col("a").isNotNull() & F.col("b").isNotNull()))
     rows = cells.groupBy("col1", "col2", "a").agg(F.sum("O").alias("R"))
     colt = cells.groupBy("col1", "col2", "b").agg(F.sum("O").alias("C"))
     tot = rows.groupBy("col1", "col2").agg(F.sum("R").alias("N"), F.count("*").alias("r"))

@@ -35,12 +35,15 @@ def value_runs(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKE
     if b > 1:
         probs = [i / b for i in range(1, b)]
         cuts = runs.agg(F.percentile_approx("v", probs, max(10000, 20 * b)).alias("c")).first()["c"]
-        cuts = sorted(set(cuts))
-        arr = F.array(*[F.lit(float(c)) for c in cuts])
-        bucket = F.size(F.filter(arr, lambda c: c <= F.col("v")))
+        cuts = sorted(set(float(c) for c in cuts))
+        # JVM-side binary search over the cut points (bucket i = number of
+        # cut points <= v)
+        from pyspark.ml.feature import Bucketizer
+        splits = [float("-inf")] + cuts + [float("inf")]
+        runs = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(runs)
+        runs = runs.withColumn("bucket", F.col("b").cast("int")).drop("b")
     else:
-        bucket = F.lit(0)
-    runs = runs.withColumn("bucket", bucket.cast("int"))
+        runs = runs.withColumn("bucket", F.lit(0))
     totals = runs.groupBy("bucket").agg(F.sum("cnt").alias("btot"))
     # at most max_buckets rows: a single-partition prefix sum is bounded
     offs = totals.select("bucket", (F.sum("btot").over(Window.orderBy("bucket")) - F.col("btot")).alias("off"))

@@ -10,6 +10,7 @@ from tablelens.functions.columns import datetime_named_columns, numeric_columns,
 from tablelens.operators import charts
 from tablelens.operators.profile import top_values
 from tablelens.operators.relations import corr_matrix
+from tablelens.plans.distinct import distinct_counts
 
 PLAN_SCHEMA = "chart string, column string, column2 string"
 PACK_SCHEMA = "chart string, column string, column2 string, key string, value double, count long"
@@ -22,8 +23,7 @@ def chart_pack_plan(df: DataFrame) -> DataFrame:
     nums, cats = numeric_columns(df), plot_categorical_columns(df)
     distinct = {}
     if cats:
-        r = df.agg(*[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(cats)]).first()
-        distinct = {c: r[f"d{i}"] for i, c in enumerate(cats)}
+        distinct = {r["column"]: r["distinct"] for r in distinct_counts(df, cats).collect()}
     plan = []
     for c in nums:
         plan += [("histogram", c, None), ("box", c, None), ("qq", c, None)]

@@ -16,6 +16,7 @@ from tablelens.functions.columns import (FRACTIONAL, NUMERIC, is_category, is_mi
                                          numeric_columns, plot_categorical_columns, text_columns)
 from tablelens.functions.text import NON_WORD_NON_SPACE, NUMBER_RE, WS_RUN
 from tablelens.operators.temporal import DATETIME_FORMATS, parse_datetime
+from tablelens.plans.distinct import distinct_counts
 
 # Auto-strategy thresholds, category ratio, rare-category rule.
 DROP_BELOW = 0.05
@@ -120,9 +121,9 @@ def _type_decisions(df: DataFrame, min_parse_ratio: float = 0.0,
         col = F.col(c)
         aggs += [F.count(col).alias(f"n{i}"),
                  F.count(F.when(col.rlike(NUMBER_RE), 1)).alias(f"num{i}"),
-                 F.count(parse_datetime(col, formats)).alias(f"dt{i}"),
-                 F.countDistinct(col).alias(f"d{i}")]
+                 F.count(parse_datetime(col, formats)).alias(f"dt{i}")]
     r = df.agg(*aggs).first()
+    dist = {row["column"]: row["distinct"] for row in distinct_counts(df, strs).collect()}  # one row per column
     out = []
     for i, c in enumerate(strs):
         n = r[f"n{i}"] or 0
@@ -131,7 +132,7 @@ def _type_decisions(df: DataFrame, min_parse_ratio: float = 0.0,
             out.append((c, "numeric"))
         elif r[f"dt{i}"] >= need and r[f"dt{i}"] > 0:
             out.append((c, "datetime"))
-        elif r["__rows"] and r[f"d{i}"] / r["__rows"] < CATEGORY_RATIO:
+        elif r["__rows"] and dist[c] / r["__rows"] < CATEGORY_RATIO:
             out.append((c, "category"))
         else:
             out.append((c, None))
@@ -170,13 +171,11 @@ def coerce_datetime(df: DataFrame, min_parse_ratio: float = 0.0, formats=DATETIM
 def category_columns(df: DataFrame) -> DataFrame:
     """``(column, distinct_count, rows, ratio, is_category)`` for string columns."""
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    row = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(strs)])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_count"),
-                 F.col("__rows").alias("rows"),
-                 F.round(F.col(f"d{i}") / F.col("__rows"), 6).alias("ratio"),
-                 (F.col(f"d{i}") / F.col("__rows") < CATEGORY_RATIO).alias("is_category"))
-        for i, c in enumerate(strs)])))
+    n = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
+    d = distinct_counts(df, strs)
+    return d.select("column", F.col("distinct").alias("distinct_count"), F.lit(n).cast("long").alias("rows"),
+                    F.round(F.col("distinct") / F.lit(n), 6).alias("ratio"),
+                    (F.col("distinct") / F.lit(n) < CATEGORY_RATIO).alias("is_category"))
 
 
 def correct_data_types(df: DataFrame, min_parse_ratio: float = 0.0) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tablelens.functions.columns import (DATETIME, FRACTIONAL, NUMERIC, datetime_named_columns,
                                          is_missing, numeric_columns, stat_categorical_columns,
                                          validate)
+from tablelens.plans.distinct import distinct_counts
 
 # Alert thresholds (defaults of the profiling library the
 # reference delegates to) and the quartile set of ``describe``.
@@ -91,8 +92,7 @@ def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> Dat
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         c = f.name
-        aggs += [F.countDistinct(F.col(c)).alias(f"d{i}"),
-                 F.count(F.when(is_missing(df, c), 1)).alias(f"mi{i}")]
+        aggs += [F.count(F.when(is_missing(df, c), 1)).alias(f"mi{i}")]
         if isinstance(f.dataType, NUMERIC):
             v = F.col(c).cast("double")
             aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"),
@@ -111,7 +111,7 @@ def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> Dat
         rd = lambda e: F.round(e, ndigits)
         structs.append(F.struct(
             F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.col(f"d{i}").alias("distinct_count"), F.col(f"mi{i}").alias("missing_count"),
+            F.col(f"mi{i}").alias("missing_count"),
             F.round(F.col(f"mi{i}") * 100.0 / rows, 2).alias("missing_pct"),
             (rd(F.col(f"lo{i}")) if num else null_d).alias("min_value"),
             (rd(F.col(f"hi{i}")) if num else null_d).alias("max_value"),
@@ -121,7 +121,10 @@ def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> Dat
             (_from_micros(F.col(f"hi{i}")) if dt else null_t).alias("max_time"),
             (_from_micros(F.col(f"m{i}")) if dt else null_t).alias("mean_time"),
             (_from_micros(F.col(f"md{i}")) if dt else null_t).alias("median_time")))
-    return row.select(F.inline(F.array(*structs)))
+    out = row.select(F.inline(F.array(*structs)))
+    d = distinct_counts(df, [f.name for f in fields]).withColumnRenamed("distinct", "distinct_count")
+    return out.join(d, "column").select("column", "dtype", "distinct_count", *[c for c in out.columns
+                                                                              if c not in ("column", "dtype")])
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VALUES) -> DataFrame:
@@ -163,8 +166,7 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None, approx: boo
                  F.var_samp(v).alias(f"v{i}"), F.sum(v).alias(f"su{i}"), F.min(v).alias(f"lo{i}"),
                  F.max(v).alias(f"hi{i}"), _pct(v, PROFILE_PROBS, approx).alias(f"q{i}"),
                  F.skewness(v).alias(f"g1{i}"), F.kurtosis(v).alias(f"g2{i}"),
-                 F.count(F.when(v == 0, 1)).alias(f"z{i}"), F.count(F.when(v < 0, 1)).alias(f"neg{i}"),
-                 F.countDistinct(v).alias(f"d{i}")]
+                 F.count(F.when(v == 0, 1)).alias(f"z{i}"), F.count(F.when(v < 0, 1)).alias(f"neg{i}")]
     row = df.select(*cols).agg(*aggs)
     rd = lambda e: F.round(e, ndigits)
     structs = []
@@ -184,11 +186,10 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None, approx: boo
             rd(q[4]).alias("p95"), rd(q[3] - q[1]).alias("iqr"),
             rd(F.when(F.col(f"m{i}") != 0, F.col(f"s{i}") / F.col(f"m{i}"))).alias("cv"),
             rd(skew).alias("skewness"), rd(kurt).alias("kurtosis"),
-            F.col(f"z{i}").alias("zeros"), F.col(f"neg{i}").alias("negatives"),
-            F.col(f"d{i}").alias("distinct"),
-            F.round(F.col(f"d{i}") * 100.0 / F.col(f"n{i}"), 2).alias("distinct_pct"),
-            ((F.col(f"d{i}") == F.col(f"n{i}")) & (F.col(f"n{i}") > 0)).alias("is_unique")))
-    return row.select(F.inline(F.array(*structs)))
+            F.col(f"z{i}").alias("zeros"), F.col(f"neg{i}").alias("negatives")))
+    out = row.select(F.inline(F.array(*structs))).join(distinct_counts(df, cols), "column")
+    return out.select("*", F.round(F.col("distinct") * 100.0 / F.col("count"), 2).alias("distinct_pct"),
+                      ((F.col("distinct") == F.col("count")) & (F.col("count") > 0)).alias("is_unique"))
 
 
 def profile_string(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -200,17 +201,19 @@ def profile_string(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
         ln = F.length(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.countDistinct(F.col(c)).alias(f"d{i}"),
+        aggs += [F.count(F.col(c)).alias(f"n{i}"),
                  F.min(ln).alias(f"lmin{i}"), F.avg(ln).alias(f"lavg{i}"), F.max(ln).alias(f"lmax{i}")]
     row = df.select(*cols).agg(*aggs)
-    return row.select(F.inline(F.array(*[
+    out = row.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
-                 (F.col("__rows") - F.col(f"n{i}")).alias("missing"), F.col(f"d{i}").alias("distinct"),
-                 F.round(F.col(f"d{i}") * 100.0 / F.col(f"n{i}"), 2).alias("distinct_pct"),
-                 ((F.col(f"d{i}") == F.col(f"n{i}")) & (F.col(f"n{i}") > 0)).alias("is_unique"),
+                 (F.col("__rows") - F.col(f"n{i}")).alias("missing"),
                  F.col(f"lmin{i}").alias("min_length"), F.round(F.col(f"lavg{i}"), 4).alias("mean_length"),
                  F.col(f"lmax{i}").alias("max_length"))
-        for i, c in enumerate(cols)])))
+        for i, c in enumerate(cols)]))).join(distinct_counts(df, cols), "column")
+    return out.select("column", "count", "missing", "distinct",
+                      F.round(F.col("distinct") * 100.0 / F.col("count"), 2).alias("distinct_pct"),
+                      ((F.col("distinct") == F.col("count")) & (F.col("count") > 0)).alias("is_unique"),
+                      "min_length", "mean_length", "max_length")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -230,12 +233,16 @@ def quality_alerts(df: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         c = f.name
-        aggs += [F.count(F.when(~is_missing(df, c), 1)).alias(f"n{i}"),
-                 F.countDistinct(F.col(c)).alias(f"d{i}")]
+        aggs += [F.count(F.when(~is_missing(df, c), 1)).alias(f"n{i}")]
         if isinstance(f.dataType, NUMERIC):
             v = F.col(c).cast("double")
             aggs += [F.count(F.when(v == 0, 1)).alias(f"z{i}"), F.skewness(v).alias(f"g1{i}")]
+    dist = distinct_counts(df, [f.name for f in fields])
+    wide = dist.agg(*[F.max(F.when(F.col("column") == f.name, F.col("distinct"))).alias(f"d{i}")
+                      for i, f in enumerate(fields)])
     row = df.agg(*aggs)
+    r_d = wide.first()  # one number per column
+    row = row.select("*", *[F.lit(r_d[f"d{i}"]).cast("long").alias(f"d{i}") for i in range(len(fields))])
     rows = F.col("__rows").cast("double")
     alerts = []
     for i, f in enumerate(fields):

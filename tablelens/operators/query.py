@@ -95,8 +95,9 @@ def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
 
 
 def nunique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    cols = columns or df.columns
-    return df.agg(*[F.countDistinct(c).alias(c) for c in cols])
+    """``(column, distinct)``: exact distinct counts, nulls not counted."""
+    from tablelens.plans.distinct import distinct_counts
+    return distinct_counts(df, columns or df.columns)
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:

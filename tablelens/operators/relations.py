@@ -44,6 +44,28 @@ def _guarded_corr(i: int) -> Column:
 
 
 def corr_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per unordered pair ``(col1, col2, corr, n)``."""
+    cols = columns or numeric_columns(df)
+    validate(df, *cols)
+    if len(cols) < 2 or len(cols) * 3 + len(cols) * (len(cols) - 1) // 2 * 6 > MAX_AGGS_PER_SCAN:
+        return _corr_pairs_moments(df, cols)
+    row, meta = _centered_sums(df, cols)
+    col = F.col
+    structs = []
+    for (a, b), (kind, i) in meta.items():
+        ja, jb = cols.index(a), cols.index(b)
+        if kind == "shared":
+            n = F.least(col(f"c{ja}"), col("__n"))
+            r = _corr_from_sums(col("__n"), col(f"s{ja}"), col(f"s{jb}"), col(f"q{ja}"), col(f"q{jb}"), col(f"p{i}"))
+        else:
+            n = col(f"pn{i}")
+            r = _corr_from_sums(n, col(f"pa{i}"), col(f"pb{i}"), col(f"paa{i}"), col(f"pbb{i}"), col(f"p{i}"))
+        structs.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), r.alias("corr"),
+                                n.cast("long").alias("n")))
+    return row.select(F.inline(F.array(*structs)))
+
+
+def _corr_pairs_moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per unordered pair ``(col1, col2, corr, n)``, col1 before col2
     in frame order.  All pairs in a single scan (split above
     ``MAX_AGGS_PER_SCAN`` aggregate expressions)."""
@@ -71,39 +93,87 @@ def corr_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out
 
 
+def _centered_sums(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
+    """Two codegen-friendly passes: column means (shift) and null flags,
+    then plain sums of mean-centred values and products.  Null-free pairs
+    share per-column sums; pairs touching a column with nulls get masked
+    (pairwise-complete) sums of their own."""
+    first = df.select(*cols).agg(F.count(F.lit(1)).alias("__rows"),
+                                 *[F.avg(F.col(c).cast("double")).alias(f"m{j}") for j, c in enumerate(cols)],
+                                 *[F.count(c).alias(f"n{j}") for j, c in enumerate(cols)]).first()
+    rows = first["__rows"]
+    full = {c: first[f"n{j}"] == rows for j, c in enumerate(cols)}
+    shift = {c: first[f"m{j}"] if first[f"m{j}"] is not None else 0.0 for j, c in enumerate(cols)}
+    x = {c: F.col(c).cast("double") - F.lit(float(shift[c])) for c in cols}
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for j, c in enumerate(cols):
+        aggs += [F.sum(x[c]).alias(f"s{j}"), F.sum(x[c] * x[c]).alias(f"q{j}"), F.count(c).alias(f"c{j}")]
+    meta = {}
+    for i, (a, b) in enumerate(combinations(cols, 2)):
+        if full[a] and full[b]:
+            aggs.append(F.sum(x[a] * x[b]).alias(f"p{i}"))
+            meta[(a, b)] = ("shared", i)
+        else:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            xa, xb = F.when(both, x[a]), F.when(both, x[b])
+            aggs += [F.count(F.when(both, 1)).alias(f"pn{i}"), F.sum(xa).alias(f"pa{i}"), F.sum(xb).alias(f"pb{i}"),
+                     F.sum(xa * xa).alias(f"paa{i}"), F.sum(xb * xb).alias(f"pbb{i}"), F.sum(xa * xb).alias(f"p{i}")]
+            meta[(a, b)] = ("masked", i)
+    return df.select(*cols).agg(*aggs), meta
+
+
+def _corr_from_sums(n, sa, sb, saa, sbb, sab) -> Column:
+    n = n.cast("double")
+    cov = sab - sa * sb / n
+    va = saa - sa * sa / n
+    vb = sbb - sb * sb / n
+    r = cov / F.sqrt(va * vb)
+    return F.when((n > 1) & (va > 0) & (vb > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def corr_matrix(df: DataFrame, columns: list[str] | None = None,
                 ndigits: int | None = 4) -> DataFrame:
     """Pearson matrix in long form ``(col1, col2, corr)``, both orders plus
     the diagonal (1.0, or null for a constant column), pairwise-complete.
-    One scan: the unordered pairs and the variances come from one ``agg``
-    and are mirrored by a single ``inline`` of that one-row result."""
+    Plain sums of mean-centred values (no per-pair moment buffers), so the
+    aggregate stays in whole-stage codegen; mirrored by one ``inline``."""
     cols = columns or numeric_columns(df)
     validate(df, *cols)
-    pairs = list(combinations(cols, 2))
-    if len(pairs) * 3 + len(cols) > MAX_AGGS_PER_SCAN:
-        p = corr_pairs(df, cols).select("col1", "col2", "corr")
-        var_row = df.select(*cols).agg(*[F.var_samp(F.col(c).cast("double")).alias(f"v{j}")
-                                         for j, c in enumerate(cols)])
-        diag = var_row.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("col1"), F.lit(c).alias("col2"),
-                     F.when(F.col(f"v{j}") > 0, F.lit(1.0)).alias("corr"))
-            for j, c in enumerate(cols)])))
-        both = (p.unionByName(p.select(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "corr"))
-                .unionByName(diag))
-    else:
-        aggs = [F.var_samp(F.col(c).cast("double")).alias(f"v{j}") for j, c in enumerate(cols)]
-        for i, (a, b) in enumerate(pairs):
-            aggs += _pair_corr_exprs(a, b, i)
-        row = df.select(*cols).agg(*aggs)
-        structs = []
-        for i, (a, b) in enumerate(pairs):
-            r = _guarded_corr(i)
-            structs.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), r.alias("corr")))
-            structs.append(F.struct(F.lit(b).alias("col1"), F.lit(a).alias("col2"), r.alias("corr")))
-        for j, c in enumerate(cols):
-            structs.append(F.struct(F.lit(c).alias("col1"), F.lit(c).alias("col2"),
-                                    F.when(F.col(f"v{j}") > 0, F.lit(1.0)).alias("corr")))
-        both = row.select(F.inline(F.array(*structs)))
+    if len(cols) * 3 + len(cols) * (len(cols) - 1) // 2 * 6 > MAX_AGGS_PER_SCAN:
+        return _corr_matrix_chunked(df, cols, ndigits)
+    row, meta = _centered_sums(df, cols)
+    structs = []
+    col = F.col
+    for (a, b), (kind, i) in meta.items():
+        ja, jb = cols.index(a), cols.index(b)
+        if kind == "shared":
+            r = _corr_from_sums(col("__n"), col(f"s{ja}"), col(f"s{jb}"), col(f"q{ja}"), col(f"q{jb}"), col(f"p{i}"))
+        else:
+            r = _corr_from_sums(col(f"pn{i}"), col(f"pa{i}"), col(f"pb{i}"), col(f"paa{i}"), col(f"pbb{i}"), col(f"p{i}"))
+        structs.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), r.alias("corr")))
+        structs.append(F.struct(F.lit(b).alias("col1"), F.lit(a).alias("col2"), r.alias("corr")))
+    for j, c in enumerate(cols):
+        n = col(f"c{j}").cast("double")
+        var = col(f"q{j}") - col(f"s{j}") * col(f"s{j}") / n
+        structs.append(F.struct(F.lit(c).alias("col1"), F.lit(c).alias("col2"),
+                                F.when((n > 1) & (var > 0), F.lit(1.0)).alias("corr")))
+    both = row.select(F.inline(F.array(*structs)))
+    if ndigits is not None:
+        both = both.withColumn("corr", F.round("corr", ndigits))
+    return both
+
+
+def _corr_matrix_chunked(df: DataFrame, cols: list[str], ndigits: int | None) -> DataFrame:
+    """Many columns: pairs in several scans (codegen method-size limit)."""
+    p = _corr_pairs_moments(df, cols).select("col1", "col2", "corr")
+    var_row = df.select(*cols).agg(*[F.var_samp(F.col(c).cast("double")).alias(f"v{j}")
+                                     for j, c in enumerate(cols)])
+    diag = var_row.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("col1"), F.lit(c).alias("col2"),
+                 F.when(F.col(f"v{j}") > 0, F.lit(1.0)).alias("corr"))
+        for j, c in enumerate(cols)])))
+    both = (p.unionByName(p.select(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "corr"))
+            .unionByName(diag))
     if ndigits is not None:
         both = both.withColumn("corr", F.round("corr", ndigits))
     return both

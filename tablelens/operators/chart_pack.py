@@ -56,18 +56,13 @@ def chart_pack(df: DataFrame, bins: int = charts.HIST_BINS) -> DataFrame:
         parts.append(long.filter(F.col("bin").isNotNull()).groupBy("column", "bin").count().select(
             F.lit("histogram").alias("chart"), "column", F.lit(None).cast("string").alias("column2"),
             F.col("bin").cast("string").alias("key"), F.lit(None).cast("double").alias("value"), "count"))
-        aggs = []
-        for i, c in enumerate(nums):
-            v = F.col(c).cast("double")
-            aggs += [F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
-                     F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-        row = df.agg(*aggs)
-        parts.append(row.select(F.inline(F.array(*[
-            F.struct(F.lit("box").alias("chart"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("column2"),
-                     F.lit(k).alias("key"), e.alias("value"), F.lit(None).cast("long").alias("count"))
-            for i, c in enumerate(nums)
-            for k, e in (("min", F.col(f"lo{i}")), ("q1", F.col(f"q{i}")[0]), ("median", F.col(f"q{i}")[1]),
-                         ("q3", F.col(f"q{i}")[2]), ("max", F.col(f"hi{i}")))]))))
+        from tablelens.plans.quantiles import quantiles
+        qt = quantiles(df, nums, [0.0, 0.25, 0.5, 0.75, 1.0])
+        parts.append(qt.select(F.lit("box").alias("chart"), "column", F.lit(None).cast("string").alias("column2"),
+                               F.posexplode("q").alias("k", "value")).select(
+            "chart", "column", "column2",
+            F.element_at(F.array(*[F.lit(x) for x in ("min", "q1", "median", "q3", "max")]), F.col("k") + 1).alias("key"),
+            "value", F.lit(None).cast("long").alias("count")))
     if cats:
         tv = top_values(df, cats, 10)
         pie_cols = [c for (k, c, _) in plan if k == "pie"]

@@ -129,11 +129,12 @@ def box_stats(df: DataFrame, column: str, by: str | None = None,
     base = df.select(*keys, v.alias("v")).filter(F.col("v").isNotNull())
     if grouped:
         base = base.filter(F.col(by).isNotNull())
-    q = base.groupBy(*keys).agg(
-        F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("qs"),
-        F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
-    q = q.select(*keys, F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-                 F.col("qs")[2].alias("q3"), "n", "min", "max")
+    from tablelens.plans.quantiles import quantiles
+    basic = base.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+    qs = quantiles(base, ["v"], [0.25, 0.5, 0.75], by=keys).drop("column")
+    q = basic.join(qs, keys) if keys else _one_row_zip(basic, qs)
+    q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+                 F.col("q")[2].alias("q3"), "n", "min", "max")
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("lower_fence", F.col("q1") - IQR_WHISKER * F.col("iqr"))
          .withColumn("upper_fence", F.col("q3") + IQR_WHISKER * F.col("iqr")))
@@ -281,10 +282,12 @@ def violin_density(df: DataFrame, column: str, by: str | None = None,
     gk = [f"g_{k}" for k in keys]
     if by:
         base = base.filter(F.col(gk[0]).isNotNull())
+    from tablelens.plans.quantiles import quantiles
     st = base.groupBy(*gk).agg(
         F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.stddev_samp("v").alias("sd"),
-        F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+        F.stddev_samp("v").alias("sd"))
+    qv = quantiles(base, ["v"], [0.25, 0.75], by=gk).drop("column")
+    st = st.join(qv, gk) if gk else _one_row_zip(st, qv)
     iqr = F.col("q")[1] - F.col("q")[0]
     spread = F.when(iqr > 0, F.least(F.col("sd"), iqr / 1.34)).otherwise(F.col("sd"))
     st = st.select(*gk, "n", "lo", "hi",

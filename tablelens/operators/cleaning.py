@@ -67,13 +67,16 @@ def impute_simple(df: DataFrame, strategy: str = "mean", columns: list[str] | No
     if not cols:
         return df
     strategy = "most_frequent" if strategy == "mode" else strategy
+    if strategy == "median":
+        from tablelens.plans.quantiles import quantiles
+        med = {r["column"]: (r["q"][0] if r["q"] else None)
+               for r in quantiles(df, cols, [0.5], method="approx" if approx else "auto").collect()}
+        return _numeric_fill(df, med)
     aggs = []
     for i, c in enumerate(cols):
         v = F.when(~is_missing(df, c), F.col(c).cast("double"))
         if strategy == "mean":
             aggs.append(F.avg(v).alias(f"s{i}"))
-        elif strategy == "median":
-            aggs.append((F.percentile_approx(v, 0.5, 10000) if approx else F.percentile(v, 0.5)).alias(f"s{i}"))
         elif strategy == "most_frequent":
             aggs.append(F.mode(v, True).alias(f"s{i}"))
         else:

@@ -15,6 +15,7 @@ from tablelens.functions.columns import (DATETIME, FRACTIONAL, NUMERIC, datetime
                                          is_missing, numeric_columns, stat_categorical_columns,
                                          validate)
 from tablelens.plans.distinct import distinct_counts
+from tablelens.plans.quantiles import quantiles
 
 # Alert thresholds (defaults of the profiling library the
 # reference delegates to) and the quartile set of ``describe``.
@@ -27,9 +28,8 @@ PROFILE_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 TOP_VALUES = 10
 
 
-def _pct(c: Column, probs, approx: bool) -> Column:
-    arr = F.array(*[F.lit(p) for p in probs])
-    return F.percentile_approx(c, arr, 10000) if approx else F.percentile(c, arr)
+def _method(approx: bool) -> str:
+    return "approx" if approx else "auto"
 
 
 def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = False,
@@ -43,15 +43,16 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
     for i, c in enumerate(cols):
         v = F.col(c).cast("double")
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), _pct(v, DESCRIBE_PROBS, approx).alias(f"q{i}")]
+                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.select(*cols).agg(*aggs)
     r = lambda e: F.round(e, ndigits)
-    return row.select(F.inline(F.array(*[
+    mom = row.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), r(F.col(f"m{i}")).alias("mean"),
-                 r(F.col(f"s{i}")).alias("std"), r(F.col(f"lo{i}")).alias("min"),
-                 r(F.col(f"q{i}")[0]).alias("p25"), r(F.col(f"q{i}")[1]).alias("p50"),
-                 r(F.col(f"q{i}")[2]).alias("p75"), r(F.col(f"hi{i}")).alias("max"))
+                 r(F.col(f"s{i}")).alias("std"), r(F.col(f"lo{i}")).alias("min"), r(F.col(f"hi{i}")).alias("max"))
         for i, c in enumerate(cols)])))
+    q = quantiles(df, cols, DESCRIBE_PROBS, method=_method(approx))
+    return mom.join(q, "column").select("column", "count", "mean", "std", "min", r(F.col("q")[0]).alias("p25"),
+                                        r(F.col("q")[1]).alias("p50"), r(F.col("q")[2]).alias("p75"), "max")
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
@@ -95,13 +96,13 @@ def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> Dat
         aggs += [F.count(F.when(is_missing(df, c), 1)).alias(f"mi{i}")]
         if isinstance(f.dataType, NUMERIC):
             v = F.col(c).cast("double")
-            aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"),
-                     (F.percentile_approx(v, 0.5, 10000) if approx else F.percentile(v, 0.5)).alias(f"md{i}")]
+            aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}")]
         elif isinstance(f.dataType, DATETIME):
             v = _micros(c)
-            aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"),
-                     (F.percentile_approx(v, 0.5, 10000) if approx else F.percentile(v, 0.5)).alias(f"md{i}")]
+            aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}")]
     row = df.agg(*aggs)
+    qcols = [f.name for f in fields if isinstance(f.dataType, NUMERIC + DATETIME)]
+    med = quantiles(df, qcols, [0.5], method=_method(approx)).select("column", F.col("q")[0].alias("__med"))
     rows = F.col("__rows")
     null_d, null_t = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
     structs = []
@@ -116,15 +117,19 @@ def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> Dat
             (rd(F.col(f"lo{i}")) if num else null_d).alias("min_value"),
             (rd(F.col(f"hi{i}")) if num else null_d).alias("max_value"),
             (rd(F.col(f"m{i}")) if num else null_d).alias("mean_value"),
-            (rd(F.col(f"md{i}")) if num else null_d).alias("median_value"),
+            null_d.alias("median_value"),
             (_from_micros(F.col(f"lo{i}")) if dt else null_t).alias("min_time"),
             (_from_micros(F.col(f"hi{i}")) if dt else null_t).alias("max_time"),
             (_from_micros(F.col(f"m{i}")) if dt else null_t).alias("mean_time"),
-            (_from_micros(F.col(f"md{i}")) if dt else null_t).alias("median_time")))
+            null_t.alias("median_time")))
     out = row.select(F.inline(F.array(*structs)))
     d = distinct_counts(df, [f.name for f in fields]).withColumnRenamed("distinct", "distinct_count")
-    return out.join(d, "column").select("column", "dtype", "distinct_count", *[c for c in out.columns
-                                                                              if c not in ("column", "dtype")])
+    out = out.join(d, "column").join(med, "column", "left")
+    is_dt = F.col("dtype").isin("timestamp", "timestamp_ntz", "date")
+    out = (out.withColumn("median_value", F.when(~is_dt, F.round("__med", ndigits)))
+           .withColumn("median_time", F.when(is_dt, _from_micros(F.col("__med")))))
+    return out.select("column", "dtype", "distinct_count", *[c for c in out.columns
+                                                            if c not in ("column", "dtype", "distinct_count", "__med")])
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = TOP_VALUES) -> DataFrame:
@@ -156,7 +161,9 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None, approx: boo
                     ndigits: int = 4) -> DataFrame:
     """Numeric profile per column: count, missing, mean, std, variance, sum,
     min, max, range, p5..p95, IQR, CV, sample skewness, sample excess
-    kurtosis, zeros, negatives, distinct, distinct %, is_unique."""
+    kurtosis, zeros, negatives, distinct, distinct %, is_unique.  Moments
+    come from one wide aggregate; quantiles and distinct counts from their
+    own distributed plans, joined on the column name."""
     cols = columns or numeric_columns(df)
     validate(df, *cols)
     aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -164,8 +171,7 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None, approx: boo
         v = F.col(c).cast("double")
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
                  F.var_samp(v).alias(f"v{i}"), F.sum(v).alias(f"su{i}"), F.min(v).alias(f"lo{i}"),
-                 F.max(v).alias(f"hi{i}"), _pct(v, PROFILE_PROBS, approx).alias(f"q{i}"),
-                 F.skewness(v).alias(f"g1{i}"), F.kurtosis(v).alias(f"g2{i}"),
+                 F.max(v).alias(f"hi{i}"), F.skewness(v).alias(f"g1{i}"), F.kurtosis(v).alias(f"g2{i}"),
                  F.count(F.when(v == 0, 1)).alias(f"z{i}"), F.count(F.when(v < 0, 1)).alias(f"neg{i}")]
     row = df.select(*cols).agg(*aggs)
     rd = lambda e: F.round(e, ndigits)
@@ -175,21 +181,25 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None, approx: boo
         g1, g2 = F.col(f"g1{i}"), F.col(f"g2{i}")
         skew = F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
         kurt = F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-        q = F.col(f"q{i}")
         structs.append(F.struct(
             F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
             (F.col("__rows") - F.col(f"n{i}")).alias("missing"),
             rd(F.col(f"m{i}")).alias("mean"), rd(F.col(f"s{i}")).alias("std"), rd(F.col(f"v{i}")).alias("variance"),
             rd(F.col(f"su{i}")).alias("sum"), rd(F.col(f"lo{i}")).alias("min"), rd(F.col(f"hi{i}")).alias("max"),
             rd(F.col(f"hi{i}") - F.col(f"lo{i}")).alias("range"),
-            rd(q[0]).alias("p5"), rd(q[1]).alias("p25"), rd(q[2]).alias("p50"), rd(q[3]).alias("p75"),
-            rd(q[4]).alias("p95"), rd(q[3] - q[1]).alias("iqr"),
             rd(F.when(F.col(f"m{i}") != 0, F.col(f"s{i}") / F.col(f"m{i}"))).alias("cv"),
             rd(skew).alias("skewness"), rd(kurt).alias("kurtosis"),
             F.col(f"z{i}").alias("zeros"), F.col(f"neg{i}").alias("negatives")))
-    out = row.select(F.inline(F.array(*structs))).join(distinct_counts(df, cols), "column")
-    return out.select("*", F.round(F.col("distinct") * 100.0 / F.col("count"), 2).alias("distinct_pct"),
-                      ((F.col("distinct") == F.col("count")) & (F.col("count") > 0)).alias("is_unique"))
+    mom = row.select(F.inline(F.array(*structs)))
+    qt = quantiles(df, cols, PROFILE_PROBS, method=_method(approx))
+    out = mom.join(qt, "column").join(distinct_counts(df, cols), "column")
+    q = F.col("q")
+    return out.select(
+        "column", "count", "missing", "mean", "std", "variance", "sum", "min", "max", "range",
+        rd(q[0]).alias("p5"), rd(q[1]).alias("p25"), rd(q[2]).alias("p50"), rd(q[3]).alias("p75"),
+        rd(q[4]).alias("p95"), rd(q[3] - q[1]).alias("iqr"), "cv", "skewness", "kurtosis", "zeros", "negatives",
+        "distinct", F.round(F.col("distinct") * 100.0 / F.col("count"), 2).alias("distinct_pct"),
+        ((F.col("distinct") == F.col("count")) & (F.col("count") > 0)).alias("is_unique"))
 
 
 def profile_string(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -271,7 +281,7 @@ def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Rows outside [Q1 - k IQR, Q3 + k IQR] (the box-plot fences)."""
     validate(df, column)
     v = F.col(column).cast("double")
-    q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"]
+    q = quantiles(df, [column], [0.25, 0.75]).first()["q"]
     if q is None:
         return df.limit(0)
     lo, hi = q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])

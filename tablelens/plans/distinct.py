@@ -30,20 +30,24 @@ def _as_key(df: DataFrame, c: str) -> tuple[str, Column]:
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, distinct)`` with nulls not counted (``countDistinct``)."""
-    fams: dict[str, list[tuple[str, Column]]] = {}
-    for c in columns:
-        fam, e = _as_key(df, c)
-        fams.setdefault(fam, []).append((c, e))
+    """``(column, distinct)`` with nulls not counted (``countDistinct``).
+    One unpivot with one typed slot per family (double / long / string),
+    so any mix of column types costs one scan."""
     spark = df.sparkSession
-    out = None
-    for fam, items in fams.items():
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), e.alias("v")) for c, e in items])))
-        part = (long.filter(F.col("v").isNotNull()).distinct()
-                .groupBy("column").agg(F.count(F.lit(1)).alias("distinct")))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if not columns:
         return spark.createDataFrame([], "column string, distinct long")
+    structs = []
+    for c in columns:
+        fam, e = _as_key(df, c)
+        slots = {"d": F.lit(None).cast("double"), "l": F.lit(None).cast("long"), "s": F.lit(None).cast("string")}
+        slots[fam] = e
+        structs.append(F.struct(F.lit(c).alias("column"), slots["d"].alias("dv"), slots["l"].alias("lv"),
+                                slots["s"].alias("sv")))
+    long = df.select(F.inline(F.array(*structs)))
+    present = F.col("dv").isNotNull() | F.col("lv").isNotNull() | F.col("sv").isNotNull()
+    counted = (long.filter(present).distinct()
+               .groupBy("column").agg(F.count(F.lit(1)).alias("distinct")))
     # columns that are entirely null have no row above
     names = spark.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(out, "column", "left").select("column", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"))
+    return names.join(counted, "column", "left").select(
+        "column", F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"))

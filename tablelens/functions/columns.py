@@ -77,13 +77,31 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def ntz_micros(c: Column) -> Column:
+    """Wall-clock microseconds since 1970-01-01 of a ``timestamp_ntz``,
+    by arithmetic on its fields (independent of the session time zone)."""
+    secs = F.date_part(F.lit("SECOND"), c).cast("decimal(9,6)")
+    return (F.unix_date(F.to_date(c)).cast("long") * F.lit(86_400_000_000)
+            + (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * F.lit(1_000_000)
+            + (secs * 1_000_000).cast("long"))
+
+
+def micros_to_ntz(micros: Column) -> Column:
+    """Inverse of :func:`ntz_micros` (interval arithmetic, no time zone)."""
+    epoch = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
 def as_number(df: DataFrame, name: str) -> Column:
-    """Numeric view of a column: timestamps and dates as epoch microseconds."""
+    """Numeric view of a column: datetimes as epoch microseconds (wall
+    clock for ``timestamp_ntz`` and dates, instant for ``timestamp``)."""
     dt = _field(df, name).dataType
     if isinstance(dt, T.DateType):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+        return (F.unix_date(F.col(name)).cast("long") * F.lit(86_400_000_000)).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        return ntz_micros(F.col(name)).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(F.col(name)).cast("double")
     return F.col(name).cast("double")
 
 

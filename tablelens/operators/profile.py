@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.columns import (DATETIME, FRACTIONAL, NUMERIC, datetime_named_columns,
-                                         is_missing, numeric_columns, stat_categorical_columns,
-                                         validate)
+                                         is_missing, micros_to_ntz, ntz_micros, numeric_columns,
+                                         stat_categorical_columns, validate)
 from tablelens.plans.distinct import distinct_counts
 from tablelens.plans.quantiles import quantiles
 
@@ -76,11 +76,11 @@ def dtype_tally(df: DataFrame) -> DataFrame:
 
 
 def _micros(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    return ntz_micros(F.col(c).cast("timestamp_ntz")).cast("double")
 
 
 def _from_micros(e: Column) -> Column:
-    return F.timestamp_micros(F.floor(e).cast("long")).cast("timestamp_ntz")
+    return micros_to_ntz(F.floor(e).cast("long"))
 
 
 def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> DataFrame:

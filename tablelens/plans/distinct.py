@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.columns import DATETIME, FRACTIONAL, NUMERIC
+from tablelens.functions.columns import DATETIME, FRACTIONAL, NUMERIC, as_number
 
 
 def _as_key(df: DataFrame, c: str) -> tuple[str, Column]:
@@ -25,7 +25,7 @@ def _as_key(df: DataFrame, c: str) -> tuple[str, Column]:
     if isinstance(dt, NUMERIC) and not isinstance(dt, T.DecimalType):
         return "l", col.cast("long")
     if isinstance(dt, DATETIME):
-        return "l", F.unix_micros(col.cast("timestamp"))
+        return "l", as_number(df, c).cast("long")
     return "s", col.cast("string")
 
 

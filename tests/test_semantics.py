@@ -147,3 +147,17 @@ def test_try_query_returns_error_text(spark):
     df = spark.range(3)
     out = query.try_query(spark, df, "SELECT nope FROM {df}").first()
     assert out["error"].startswith("Error executing query")
+
+
+def test_ntz_micros_ignore_session_zone(spark):
+    from tablelens.functions.columns import micros_to_ntz, ntz_micros
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 0, 123456),), (dt.datetime(1969, 12, 31, 23, 0),)],
+                                   "t timestamp_ntz")
+        out = df.select("t", ntz_micros(F.col("t")).alias("us")).withColumn("back", micros_to_ntz(F.col("us"))).collect()
+        assert out[0]["us"] == 1710037800123456 and out[1]["us"] == -3600000000
+        assert all(r["t"] == r["back"] for r in out)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

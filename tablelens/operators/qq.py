@@ -50,9 +50,10 @@ def qq_fit(df: DataFrame, column: str, ndigits: int = 4) -> DataFrame:
     runs, n = value_runs(df, column)
     if n == 0:
         return df.sparkSession.createDataFrame([], "n long, slope double, intercept double, r double")
-    pts = expand_ranks(runs)
-    x = probit(filliben(F.col("rank"), n))
-    y = F.col("v")
+    # the quantile is projected once; aggregating the expression directly
+    # would inline it into every aggregate and overflow the codegen method
+    pts = expand_ranks(runs).select(probit(filliben(F.col("rank"), n)).alias("x"), F.col("v"))
+    x, y = F.col("x"), F.col("v")
     return pts.agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(y, x), ndigits).alias("slope"),
                    F.round(F.regr_intercept(y, x), ndigits).alias("intercept"),
                    F.round(F.corr(x, y), ndigits).alias("r"))

@@ -142,22 +142,28 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None,
     if len(cols) * 3 + len(cols) * (len(cols) - 1) // 2 * 6 > MAX_AGGS_PER_SCAN:
         return _corr_matrix_chunked(df, cols, ndigits)
     row, meta = _centered_sums(df, cols)
-    structs = []
     col = F.col
+    vals = []
     for (a, b), (kind, i) in meta.items():
         ja, jb = cols.index(a), cols.index(b)
         if kind == "shared":
             r = _corr_from_sums(col("__n"), col(f"s{ja}"), col(f"s{jb}"), col(f"q{ja}"), col(f"q{jb}"), col(f"p{i}"))
         else:
             r = _corr_from_sums(col(f"pn{i}"), col(f"pa{i}"), col(f"pb{i}"), col(f"paa{i}"), col(f"pbb{i}"), col(f"p{i}"))
-        structs.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), r.alias("corr")))
-        structs.append(F.struct(F.lit(b).alias("col1"), F.lit(a).alias("col2"), r.alias("corr")))
+        vals.append(r.alias(f"r{i}"))
     for j, c in enumerate(cols):
         n = col(f"c{j}").cast("double")
         var = col(f"q{j}") - col(f"s{j}") * col(f"s{j}") / n
-        structs.append(F.struct(F.lit(c).alias("col1"), F.lit(c).alias("col2"),
-                                F.when((n > 1) & (var > 0), F.lit(1.0)).alias("corr")))
-    both = row.select(F.inline(F.array(*structs)))
+        vals.append(F.when((n > 1) & (var > 0), F.lit(1.0)).alias(f"dg{j}"))
+    # each coefficient is computed once; the mirror only references columns
+    vals_row = row.select(*vals)
+    structs = []
+    for (a, b), (kind, i) in meta.items():
+        structs.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), col(f"r{i}").alias("corr")))
+        structs.append(F.struct(F.lit(b).alias("col1"), F.lit(a).alias("col2"), col(f"r{i}").alias("corr")))
+    for j, c in enumerate(cols):
+        structs.append(F.struct(F.lit(c).alias("col1"), F.lit(c).alias("col2"), col(f"dg{j}").alias("corr")))
+    both = vals_row.select(F.inline(F.array(*structs)))
     if ndigits is not None:
         both = both.withColumn("corr", F.round("corr", ndigits))
     return both

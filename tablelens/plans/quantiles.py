@@ -101,42 +101,42 @@ def quantile_table(df: DataFrame, columns: list[str], probs, by: list[str] | Non
     return names.join(out, "column", "left")
 
 
-# Distinct values up to which Spark's map-based ``percentile`` is used: its
-# per-group buffer holds one entry per distinct value, so it is bounded here.
-MAP_MAX_DISTINCT = 1_000_000
+# Input size (optimizer estimate, no job) up to which Spark's map-based
+# ``percentile`` is used: its single final task merges at most about the
+# input's worth of value -> count entries, which is bounded here.
+MAP_MAX_BYTES = 2 * 1024 ** 3
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - unknown size: treat as large
+        return 1 << 62
 
 
 def quantiles(df: DataFrame, columns: list[str], probs, by: list[str] | None = None,
-              method: str = "auto", map_max_distinct: int = MAP_MAX_DISTINCT) -> DataFrame:
+              method: str = "auto", distinct: dict | None = None,
+              map_max_bytes: int = MAP_MAX_BYTES) -> DataFrame:
     """Exact (or ``approx``) quantiles ``(by..., column, q)``.
 
-    ``auto``: a distinct sketch per column decides - columns with a bounded
-    number of distinct values use the built-in ``percentile`` in one
-    aggregate, the others the distributed plan of :func:`quantile_table`.
-    ``map`` / ``distributed`` force one path; ``approx`` uses sketches."""
+    ``auto``: inputs estimated below ``map_max_bytes`` use Spark's exact
+    ``percentile`` in one aggregate; larger inputs use the distributed
+    :func:`quantile_table`, since a global ``percentile`` merges one
+    value -> count map per input partition in a single task.  ``map`` /
+    ``distributed`` force a path; ``approx`` uses ``percentile_approx``.
+    ``distinct`` (column -> count), when known, saves the sizing pass."""
     by = list(by or [])
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, q array<double>")
+    if method == "auto":
+        method = "map" if estimated_bytes(df.select(*by, *columns)) <= map_max_bytes else "distributed"
+    if method == "distributed":
+        return quantile_table(df, columns, probs, by, distinct=distinct)
     num = {c: as_number(df, c) for c in columns}
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    if method in ("auto", "distributed"):
-        d = df.agg(*[F.approx_count_distinct(F.when(~F.isnan(num[c]), num[c])).alias(f"d{i}")
-                     for i, c in enumerate(columns)]).first()
-        dist = {c: d[f"d{i}"] or 0 for i, c in enumerate(columns)}
-        big = columns if method == "distributed" else [c for c in columns if dist[c] > map_max_distinct]
-    else:
-        dist, big = {}, []
-    small = [c for c in columns if c not in big]
-    parts = []
-    if small:
-        fn = (lambda v: F.percentile_approx(v, arr, 10000)) if method == "approx" else (lambda v: F.percentile(v, arr))
-        g = df.groupBy(*by) if by else df
-        row = g.agg(*[fn(F.when(~F.isnan(num[c]), num[c])).alias(f"q{i}") for i, c in enumerate(small)])
-        parts.append(row.select(*by, F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q")) for i, c in enumerate(small)]))))
-    if big:
-        parts.append(quantile_table(df, big, probs, by, distinct={c: dist[c] for c in big}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fn = (lambda v: F.percentile_approx(v, arr, 10000)) if method == "approx" else (lambda v: F.percentile(v, arr))
+    g = df.groupBy(*by) if by else df
+    row = g.agg(*[fn(F.when(~F.isnan(num[c]), num[c])).alias(f"q{i}") for i, c in enumerate(columns)])
+    return row.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)])))

@@ -157,47 +157,69 @@ def missing_report(df: DataFrame) -> DataFrame:
     return out.filter(F.col("missing_count") > 0)
 
 
-def profile_numeric(df: DataFrame, columns: list[str] | None = None, approx: bool = False,
-                    ndigits: int = 4) -> DataFrame:
-    """Numeric profile per column: count, missing, mean, std, variance, sum,
-    min, max, range, p5..p95, IQR, CV, sample skewness, sample excess
-    kurtosis, zeros, negatives, distinct, distinct %, is_unique.  Moments
-    come from one wide aggregate; quantiles and distinct counts from their
-    own distributed plans, joined on the column name."""
-    cols = columns or numeric_columns(df)
-    validate(df, *cols)
+def _power_sum_moments(df: DataFrame, cols: list[str], shift: dict) -> DataFrame:
+    """Per column, from power sums of median-shifted values: count, sum,
+    mean, variance, std, min, max, sample-free central moments m2..m4,
+    zeros and negatives - about ten buffer fields per column, so the
+    aggregate stays in whole-stage codegen (Spark's moment aggregates carry
+    three to five fields each, per function)."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
         v = F.col(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.var_samp(v).alias(f"v{i}"), F.sum(v).alias(f"su{i}"), F.min(v).alias(f"lo{i}"),
-                 F.max(v).alias(f"hi{i}"), F.skewness(v).alias(f"g1{i}"), F.kurtosis(v).alias(f"g2{i}"),
+        y = v - F.lit(float(shift.get(c) or 0.0))
+        aggs += [F.count(v).alias(f"n{i}"), F.sum(v).alias(f"su{i}"), F.sum(y).alias(f"a{i}"),
+                 F.sum(y * y).alias(f"b{i}"), F.sum(y * y * y).alias(f"c{i}"), F.sum(y * y * y * y).alias(f"d{i}"),
+                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
                  F.count(F.when(v == 0, 1)).alias(f"z{i}"), F.count(F.when(v < 0, 1)).alias(f"neg{i}")]
     row = df.select(*cols).agg(*aggs)
-    rd = lambda e: F.round(e, ndigits)
     structs = []
     for i, c in enumerate(cols):
         n = F.col(f"n{i}").cast("double")
-        g1, g2 = F.col(f"g1{i}"), F.col(f"g2{i}")
-        skew = F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
-        kurt = F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+        e1, e2 = F.col(f"a{i}") / n, F.col(f"b{i}") / n
+        e3, e4 = F.col(f"c{i}") / n, F.col(f"d{i}") / n
+        m2 = e2 - e1 * e1
+        m3 = e3 - 3 * e1 * e2 + 2 * e1 * e1 * e1
+        m4 = e4 - 4 * e1 * e3 + 6 * e1 * e1 * e2 - 3 * e1 * e1 * e1 * e1
         structs.append(F.struct(
             F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
             (F.col("__rows") - F.col(f"n{i}")).alias("missing"),
-            rd(F.col(f"m{i}")).alias("mean"), rd(F.col(f"s{i}")).alias("std"), rd(F.col(f"v{i}")).alias("variance"),
-            rd(F.col(f"su{i}")).alias("sum"), rd(F.col(f"lo{i}")).alias("min"), rd(F.col(f"hi{i}")).alias("max"),
-            rd(F.col(f"hi{i}") - F.col(f"lo{i}")).alias("range"),
-            rd(F.when(F.col(f"m{i}") != 0, F.col(f"s{i}") / F.col(f"m{i}"))).alias("cv"),
-            rd(skew).alias("skewness"), rd(kurt).alias("kurtosis"),
+            (F.lit(float(shift.get(c) or 0.0)) + e1).alias("mean"),
+            F.when(n > 1, F.greatest(m2, F.lit(0.0)) * n / (n - 1)).alias("variance"),
+            F.col(f"su{i}").alias("sum"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
+            F.when(m2 > 0, m3 / F.pow(m2, 1.5)).alias("g1"), F.when(m2 > 0, m4 / (m2 * m2) - 3).alias("g2"),
             F.col(f"z{i}").alias("zeros"), F.col(f"neg{i}").alias("negatives")))
-    mom = row.select(F.inline(F.array(*structs)))
+    return row.select(F.inline(F.array(*structs)))
+
+
+def profile_numeric(df: DataFrame, columns: list[str] | None = None, approx: bool = False,
+                    ndigits: int = 4) -> DataFrame:
+    """Numeric profile per column: count, missing, mean, std, variance, sum,
+    min, max, range, p5..p95, IQR, CV, sample skewness, sample excess
+    kurtosis, zeros, negatives, distinct, distinct %, is_unique.  Quantiles
+    come first (k rows read back); their medians shift the power sums of
+    the moment pass; distinct counts come from their own plan."""
+    cols = columns or numeric_columns(df)
+    validate(df, *cols)
     qt = quantiles(df, cols, PROFILE_PROBS, method=_method(approx))
-    out = mom.join(qt, "column").join(distinct_counts(df, cols), "column")
+    qv = {r["column"]: r["q"] for r in qt.collect()}  # k rows of 5 numbers
+    shift = {c: (qv.get(c) or [None] * 5)[2] for c in cols}
+    qdf = df.sparkSession.createDataFrame([(c, qv.get(c)) for c in cols], "column string, q array<double>")
+    mom = _power_sum_moments(df, cols, shift)
+    out = mom.join(qdf, "column").join(distinct_counts(df, cols), "column")
+    rd = lambda e: F.round(e, ndigits)
+    n = F.col("count").cast("double")
+    std = F.sqrt(F.col("variance"))
+    skew = F.when(n >= 3, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
+    kurt = F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
     q = F.col("q")
     return out.select(
-        "column", "count", "missing", "mean", "std", "variance", "sum", "min", "max", "range",
+        "column", "count", "missing", rd(F.col("mean")).alias("mean"), rd(std).alias("std"),
+        rd(F.col("variance")).alias("variance"), rd(F.col("sum")).alias("sum"), rd(F.col("min")).alias("min"),
+        rd(F.col("max")).alias("max"), rd(F.col("max") - F.col("min")).alias("range"),
         rd(q[0]).alias("p5"), rd(q[1]).alias("p25"), rd(q[2]).alias("p50"), rd(q[3]).alias("p75"),
-        rd(q[4]).alias("p95"), rd(q[3] - q[1]).alias("iqr"), "cv", "skewness", "kurtosis", "zeros", "negatives",
+        rd(q[4]).alias("p95"), rd(q[3] - q[1]).alias("iqr"),
+        rd(F.when(F.col("mean") != 0, std / F.col("mean"))).alias("cv"),
+        rd(skew).alias("skewness"), rd(kurt).alias("kurtosis"), "zeros", "negatives",
         "distinct", F.round(F.col("distinct") * 100.0 / F.col("count"), 2).alias("distinct_pct"),
         ((F.col("distinct") == F.col("count")) & (F.col("count") > 0)).alias("is_unique"))
 

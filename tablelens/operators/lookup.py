@@ -7,12 +7,9 @@ contains the other wins; otherwise the best partial score above
 100 (1 - d / |s|) with d the smallest Levenshtein distance between the
 shorter string s and any window of the longer string of the same length.
 
-Candidate pairs come from an equi-join on shared q-grams instead of a cross
-join.  The blocking is exact: a pair scoring above 60 has d < 0.4 |s|; when
-|s| > 5 the strings then share at least |s| - 1 - 2 d > 0 bigrams, and when
-|s| <= 5 they share at least |s| - d > 0 characters.  So every qualifying
-pair shares a bigram, or a character when the shorter side has at most 5
-characters.  Containment implies sharing too."""
+Candidate pairs come from equi-joins on q-grams (prefix filtering, see
+``_candidates``) instead of a cross join; the filtering is exact for the
+score threshold, and containment implies sharing every q-gram."""
 
 from __future__ import annotations
 
@@ -20,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORE_THRESHOLD = 60.0
-SHORT = 5
 
 
 def _grams(s: Column, q: int) -> Column:
@@ -40,35 +36,71 @@ def partial_score(a: Column, b: Column) -> Column:
     return F.when(ls == 0, F.lit(0.0)).otherwise(F.round(100.0 * (1 - best / ls), 2))
 
 
+def _max_edits(length: Column, threshold: float) -> Column:
+    """Largest Levenshtein distance d with 100 (1 - d / L) > threshold."""
+    return F.greatest(F.ceil(F.lit(1 - threshold / 100.0) * length) - 1, F.lit(0))
+
+
+def _candidates(T: DataFrame, N: DataFrame, threshold: float) -> DataFrame:
+    """Exact candidate pairs by prefix filtering.
+
+    For the shorter string s of a qualifying pair (d <= d_max edits), the
+    distinct bigrams of s not touched by an edit number at least
+    |B(s)| - 2 d_max and all occur in the partner.  So when that bound is
+    positive, s's 2 d_max + 1 globally rarest bigrams must meet the
+    partner's bigrams: s joins on that short prefix only, the partner on
+    all its bigrams - hot bigrams rarely sit in a prefix.  When the bound
+    is not positive (short strings) s joins on its characters, which any
+    qualifying partner shares."""
+    def grams(df, col):
+        return df.select("*", F.explode(F.array_distinct(_grams(F.col(col), 2))).alias("g"))
+
+    tg, ng = grams(T, "tl"), grams(N, "nl")
+    freq = (tg.select("g").unionByName(ng.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f")))
+
+    def prefix(df, col, key):
+        # rank a string's bigrams by (global frequency, gram); keep the rarest
+        L = F.length(F.col(col))
+        g = grams(df, col).join(freq, "g")
+        lst = g.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("gs"))
+        keep = 2 * _max_edits(L, threshold) + 1
+        out = df.join(lst, key).select(
+            "*", (F.size("gs") - 2 * _max_edits(L, threshold)).alias("tau"))
+        return out.filter(F.col("tau") >= 1).select(
+            *df.columns, F.explode(F.transform(F.slice("gs", 1, keep.cast("int")), lambda x: x["g"])).alias("g"))
+
+    def chars(df, col, short_only):
+        L = F.length(F.col(col))
+        out = df
+        if short_only:
+            nb = F.size(F.array_distinct(_grams(F.col(col), 2)))
+            out = df.filter(nb - 2 * _max_edits(L, threshold) < 1)
+        return out.select("*", F.explode(F.array_distinct(_grams(F.col(col), 1))).alias("g"))
+
+    tcols, ncols = ["t", "tl"], ["n", "o", "nl"]
+    lt, ln = F.length("tl"), F.length("nl")
+    # term is the shorter side (ties included)
+    j1 = prefix(T, "tl", "t").join(ng, "g").filter(lt <= ln)
+    j2 = chars(T, "tl", True).join(chars(N, "nl", False), "g").filter(lt <= ln)
+    # name is the strictly shorter side
+    j3 = prefix(N, "nl", "o").join(tg, "g").filter(ln < lt)
+    j4 = chars(N, "nl", True).join(chars(T, "tl", False), "g").filter(ln < lt)
+    return (j1.select(*tcols, *ncols).unionByName(j2.select(*tcols, *ncols))
+            .unionByName(j3.select(*tcols, *ncols)).unionByName(j4.select(*tcols, *ncols))
+            .dropDuplicates(["t", "n", "o"]))
+
+
 def fuzzy_lookup(terms: DataFrame, names: DataFrame, term: str = "term", name: str = "name",
                  name_order: str = "name_order", threshold: float = SCORE_THRESHOLD,
                  strip_extension: bool = True) -> DataFrame:
     """``(term, name, name_order, score, method)`` - one row per term;
-    ``method`` is ``contains`` or ``fuzzy``; unmatched terms have nulls."""
+    ``method`` is ``contains`` or ``fuzzy``; unmatched terms have nulls.
+    ``name_order`` must identify a name row (it ranks ties)."""
     tl = F.lower(F.col(term))
     nl = F.regexp_replace(F.col(name), r"\.[^.]*$", "") if strip_extension else F.col(name)
     T = terms.select(F.col(term).alias("t"), tl.alias("tl")).filter(F.length("tl") > 0).dropDuplicates(["t"])
     N = names.select(F.col(name).alias("n"), F.col(name_order).alias("o"), F.lower(nl).alias("nl"))
-
-    def keyed(df, col, chars: bool, bigrams: bool, short_only: bool):
-        arrs = []
-        if bigrams:
-            arrs.append(F.transform(_grams(F.col(col), 2), lambda g: F.concat(F.lit("b:"), g)))
-        if chars:
-            c = F.transform(_grams(F.col(col), 1), lambda g: F.concat(F.lit("c:"), g))
-            arrs.append(F.when(F.length(col) <= SHORT, c).otherwise(F.array().cast("array<string>"))
-                        if short_only else c)
-        keys = arrs[0] if len(arrs) == 1 else F.array_union(*arrs)
-        return df.select("*", F.explode(F.array_distinct(keys)).alias("k"))
-
-    tb = keyed(T, "tl", chars=False, bigrams=True, short_only=False)
-    nb = keyed(N, "nl", chars=False, bigrams=True, short_only=False)
-    t_short, n_all = keyed(T, "tl", True, False, True), keyed(N, "nl", True, False, False)
-    t_all, n_short = keyed(T, "tl", True, False, False), keyed(N, "nl", True, False, True)
-    pairs = (tb.join(nb, "k").select("t", "tl", "n", "o", "nl")
-             .unionByName(t_short.join(n_all, "k").select("t", "tl", "n", "o", "nl"))
-             .unionByName(t_all.join(n_short, "k").select("t", "tl", "n", "o", "nl"))
-             .dropDuplicates(["t", "n", "o"]))
+    pairs = _candidates(T, N, threshold)
     contained = (F.instr(F.col("nl"), F.col("tl")) > 0) | (F.instr(F.col("tl"), F.col("nl")) > 0)
     scored = pairs.select("t", "n", "o", contained.alias("c"), partial_score(F.col("tl"), F.col("nl")).alias("s"))
     scored = scored.filter(F.col("c") | (F.col("s") > threshold))

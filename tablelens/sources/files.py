@@ -133,8 +133,9 @@ def _sheet_path(z: zipfile.ZipFile, sheet) -> str:
     return target if target.startswith("xl/") else f"xl/{target}"
 
 
-def parse_xlsx(content: bytes, sheet=0) -> list[list[str | None]]:
-    """Rows of one sheet as text cells (numbers keep their stored text)."""
+def parse_xlsx(content: bytes, sheet=0, max_rows: int | None = None) -> list[list[str | None]]:
+    """Rows of one sheet as text cells (numbers keep their stored text);
+    ``max_rows`` stops early (header discovery)."""
     z = zipfile.ZipFile(io.BytesIO(content))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
@@ -158,6 +159,8 @@ def parse_xlsx(content: bytes, sheet=0) -> list[list[str | None]]:
             cells[_col_index(c.get("r"))] = val
         if cells:
             rows.append([cells.get(i) for i in range(max(cells) + 1)])
+            if max_rows is not None and len(rows) >= max_rows:
+                break
     return rows
 
 
@@ -173,7 +176,7 @@ def read_excel(spark: SparkSession, path: str, sheet=0, typed: bool = True) -> D
     def headers(it):
         for pdf in it:
             for content in pdf["content"]:
-                rows = parse_xlsx(content, sheet)
+                rows = parse_xlsx(content, sheet, max_rows=1)
                 yield pd.DataFrame({"h": ["\u0001".join("" if x is None else x for x in rows[0]) if rows else ""]})
     hs = [r["h"] for r in files.select("content").mapInPandas(headers, "h string").distinct().collect()]
     hs = [h for h in hs if h]

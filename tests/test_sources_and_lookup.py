@@ -150,3 +150,31 @@ def test_vector_topk_matches_numpy(spark):
     for q in range(3):
         exp = list(np.argsort(-S[q], kind="stable")[:4])
         assert [r["vec_id"] for r in sorted((r for r in got if r["qid"] == q), key=lambda r: r["rank"])] == exp
+
+
+def test_fuzzy_lookup_random_strings_exact(spark):
+    import random
+    rnd = random.Random(7)
+    alpha = "abcde"
+
+    def word(lo, hi):
+        return "".join(rnd.choice(alpha) for _ in range(rnd.randint(lo, hi)))
+    names = sorted({word(1, 12) for _ in range(60)})
+    terms = sorted({word(1, 12) for _ in range(80)})
+    nd = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, name_order int")
+    td = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {r["term"]: (r["name"], r["method"]) for r in lookup.fuzzy_lookup(td, nd).collect()}
+    for t in terms:
+        exp = None
+        for n in names:
+            if t in n or n in t:
+                exp = (n, "contains")
+                break
+        if exp is None:
+            best, score = None, 60.0
+            for n in names:
+                s = _partial(t, n)
+                if s > score:
+                    best, score = n, s
+            exp = (best, "fuzzy" if best else None)
+        assert got[t] == exp, (t, got[t], exp)

@@ -44,12 +44,17 @@ def value_runs(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKE
         runs = runs.withColumn("bucket", F.col("b").cast("int")).drop("b")
     else:
         runs = runs.withColumn("bucket", F.lit(0))
+    w = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    within = F.sum("cnt").over(w) - F.col("cnt") + 1
+    if b == 1:
+        # a single bucket holds at most rows_per_bucket runs: no offsets
+        ranked = runs.select("v", "cnt", within.cast("long").alias("start"))
+        return ranked, n
     totals = runs.groupBy("bucket").agg(F.sum("cnt").alias("btot"))
     # at most max_buckets rows: a single-partition prefix sum is bounded
     offs = totals.select("bucket", (F.sum("btot").over(Window.orderBy("bucket")) - F.col("btot")).alias("off"))
-    w = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (runs.join(F.broadcast(offs), "bucket")
-              .select("v", "cnt", (F.col("off") + F.sum("cnt").over(w) - F.col("cnt") + 1).cast("long").alias("start")))
+              .select("v", "cnt", (F.col("off") + within).cast("long").alias("start")))
     return ranked, n
 
 

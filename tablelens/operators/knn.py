@@ -32,14 +32,20 @@ MAX_BLOCK_BYTES = 64 * 1024 * 1024
 CANDIDATE_SCHEMA = "rk long, f int, dk long, d2 double, v double"
 
 
+_NO_KEY = np.iinfo(np.int64).max
+
+
 def _partial_topk(R: np.ndarray, rkeys: np.ndarray, k: int):
     """mapInPandas body: running top-k donors per (receiver, missing
-    feature) over one donor partition."""
+    feature) over one donor partition, kept as (receivers x k) arrays and
+    merged batch by batch with vectorised sorts on (distance, donor key)."""
     nr, nf = R.shape
     rmask = ~np.isnan(R)
 
     def run(batches):
-        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        best_d = np.full((nf, nr, k), np.inf)
+        best_k = np.full((nf, nr, k), _NO_KEY, dtype="int64")
+        best_v = np.full((nf, nr, k), np.nan)
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -63,30 +69,35 @@ def _partial_topk(R: np.ndarray, rkeys: np.ndarray, k: int):
                         continue
                     sub = d2[np.ix_(rows, donors)]
                     kk = min(k, donors.size)
-                    kth = np.partition(sub, kk - 1, axis=1)[:, kk - 1]
-                    for ri, r in enumerate(rows):
+                    part = np.argpartition(sub, kk - 1, axis=1)[:, :kk]
+                    kth = np.max(np.take_along_axis(sub, part, axis=1), axis=1)
+                    ties = (sub <= kth[:, None]).sum(axis=1) > kk
+                    cd = np.full((rows.size, kk), np.inf)
+                    ck = np.full((rows.size, kk), _NO_KEY, dtype="int64")
+                    cv = np.full((rows.size, kk), np.nan)
+                    plain = ~ties
+                    if plain.any():
+                        pi = part[plain]
+                        cd[plain] = np.take_along_axis(sub[plain], pi, axis=1)
+                        ck[plain] = dk[donors][pi]
+                        cv[plain] = D[donors[pi], j]
+                    for ri in np.flatnonzero(ties):  # boundary ties: exact order by key
                         sel = np.flatnonzero(sub[ri] <= kth[ri])
-                        cand_d, cand_k = sub[ri, sel], dk[donors[sel]]
-                        cand_v = D[donors[sel], j]
-                        key = (s + r, j)
-                        if key in best:
-                            od, ok, ov = best[key]
-                            cand_d = np.concatenate([od, cand_d])
-                            cand_k = np.concatenate([ok, cand_k])
-                            cand_v = np.concatenate([ov, cand_v])
-                        order = np.lexsort((cand_k, cand_d))[:k]
-                        best[key] = (cand_d[order], cand_k[order], cand_v[order])
-        if best:
-            rk, f, dks, d2s, vs = [], [], [], [], []
-            for (r, j), (d, kk_, v) in best.items():
-                rk += [rkeys[r]] * len(d)
-                f += [j] * len(d)
-                dks += list(kk_)
-                d2s += list(d)
-                vs += list(v)
-            yield pd.DataFrame({"rk": np.asarray(rk, dtype="int64"), "f": np.asarray(f, dtype="int32"),
-                                "dk": np.asarray(dks, dtype="int64"), "d2": np.asarray(d2s, dtype="float64"),
-                                "v": np.asarray(vs, dtype="float64")})
+                        order = np.lexsort((dk[donors[sel]], sub[ri, sel]))[:kk]
+                        cd[ri], ck[ri], cv[ri] = sub[ri, sel[order]], dk[donors[sel[order]]], D[donors[sel[order]], j]
+                    r_idx = s + rows
+                    md = np.concatenate([best_d[j, r_idx], cd], axis=1)
+                    mk = np.concatenate([best_k[j, r_idx], ck], axis=1)
+                    mv = np.concatenate([best_v[j, r_idx], cv], axis=1)
+                    order = np.lexsort((mk, md), axis=1)[:, :k]
+                    best_d[j, r_idx] = np.take_along_axis(md, order, axis=1)
+                    best_k[j, r_idx] = np.take_along_axis(mk, order, axis=1)
+                    best_v[j, r_idx] = np.take_along_axis(mv, order, axis=1)
+        real = best_k != _NO_KEY
+        if real.any():
+            j_i, r_i, _ = np.nonzero(real)
+            yield pd.DataFrame({"rk": rkeys[r_i].astype("int64"), "f": j_i.astype("int32"),
+                                "dk": best_k[real], "d2": best_d[real], "v": best_v[real]})
     return run
 
 

@@ -248,6 +248,9 @@ def normalise_text(c: Column) -> Column:
 def clean_text(df: DataFrame) -> DataFrame:
     """Normalise every free-text column (strings not flagged category)."""
     txt = set(text_columns(df))
+    if txt:
+        from tablelens.session import spread
+        df = spread(df)
     return df.select(*[normalise_text(F.col(f.name)).alias(f.name, metadata=f.metadata)
                        if f.name in txt else F.col(f.name) for f in df.schema.fields])
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import numeric_columns, validate
+from tablelens.session import spread
 
 MAX_BLOCK_BYTES = 64 * 1024 * 1024
 CANDIDATE_SCHEMA = "rk long, f int, dk long, d2 double, v double"
@@ -132,6 +133,7 @@ def impute_knn(df: DataFrame, key: str | None, k: int = 5, columns: list[str] |
     if n_gaps == 0:
         return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
     n_blocks = max(1, math.ceil(n_gaps / block_rows))
+    donors = spread(data)
     parts = []
     for b in range(n_blocks):
         blk = receivers.filter(F.pmod(F.xxhash64("__key"), F.lit(n_blocks)) == b) if n_blocks > 1 else receivers
@@ -145,7 +147,7 @@ def impute_knn(df: DataFrame, key: str | None, k: int = 5, columns: list[str] |
         def fn(batches, bc=bc):
             R_, rk_ = bc.value
             return _partial_topk(R_, rk_, k)(batches)
-        parts.append(data.mapInPandas(fn, CANDIDATE_SCHEMA))
+        parts.append(donors.mapInPandas(fn, CANDIDATE_SCHEMA))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

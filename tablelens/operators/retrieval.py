@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.session import spread
+
 MAX_BLOCK_BYTES = 64 * 1024 * 1024
 HIT_SCHEMA = "qid long, vid long, score double"
 
@@ -57,7 +59,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     nq, dim = st["n"], st["d"] or 1
     per_block = max(1, max_block_bytes // (8 * dim))
     n_blocks = max(1, math.ceil(nq / per_block))
-    vecs = vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col)
+    vecs = spread(vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col))
     parts = []
     for b in range(n_blocks):
         blk = q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b) if n_blocks > 1 else q

@@ -67,3 +67,13 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     checkpoint_root(spark)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Compute-heavy per-row work (distances, regexes) should use every
+    core: when the input has fewer partitions than the cluster's default
+    parallelism (e.g. one large parquet row group), repartition it
+    round-robin.  On inputs that already have enough partitions this is a
+    no-op, so it adds no shuffle at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

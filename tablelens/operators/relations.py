@@ -280,8 +280,11 @@ def chi_square(df: DataFrame, columns: list[str] | None = None,
             [], "col1 string, col2 string, chi2 double, dof long, n long, yates boolean")
     involved = sorted({c for p in pairs for c in p}, key=cols.index)
     base = df.select(*[F.col(c).cast("string").alias(c) for c in involved])
-    g = base.groupingSets([list(p) for p in pairs], *involved).agg(
-        F.grouping_id().alias("gid"), F.count("*").alias("O"))
+    # rows -> distinct category combinations first (partial-aggregated), so
+    # the per-pair replication of grouping sets runs on the reduced table
+    combos = base.groupBy(*involved).agg(F.count(F.lit(1)).alias("w"))
+    g = combos.groupingSets([list(p) for p in pairs], *involved).agg(
+        F.grouping_id().alias("gid"), F.sum("w").alias("O"))
     k = len(involved)
     full = (1 << k) - 1
     c1 = c2 = v1 = v2 = F.lit(None).cast("string")

@@ -72,19 +72,37 @@ def impute_simple(df: DataFrame, strategy: str = "mean", columns: list[str] | No
         med = {r["column"]: (r["q"][0] if r["q"] else None)
                for r in quantiles(df, cols, [0.5], method="approx" if approx else "auto").collect()}
         return _numeric_fill(df, med)
+    if strategy == "most_frequent":
+        return _numeric_fill(df, most_frequent(df, cols))
     aggs = []
     for i, c in enumerate(cols):
         v = F.when(~is_missing(df, c), F.col(c).cast("double"))
         if strategy == "mean":
             aggs.append(F.avg(v).alias(f"s{i}"))
         elif strategy == "most_frequent":
-            aggs.append(F.mode(v, True).alias(f"s{i}"))
+            continue
         else:
             raise ValueError(f"unsupported strategy {strategy!r}")
     r = df.agg(*aggs).first()
     return _numeric_fill(df, {c: r[f"s{i}"] for i, c in enumerate(cols)})
 
 
+def most_frequent(df: DataFrame, columns: list[str]) -> dict:
+    """Most frequent value of each column, smallest on ties, as
+    ``{column: value}``.  Value counts are a distributed, partial-aggregated
+    shuffle of (column, value); the top-1 per column is a group-limited
+    window, so no single task ever holds a column's value -> count map."""
+    from pyspark.sql import Window
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.when(~is_missing(df, c), F.col(c).cast("double")).alias("v"))
+        for c in columns]))).filter(F.col("v").isNotNull())
+    vc = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("v"))
+    top = vc.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == 1)
+    got = {r["column"]: r["v"] for r in top.collect()}  # one row per column
+    return {c: got.get(c) for c in columns}
+
+
 def impute_constant(df: DataFrame, value) -> DataFrame:
     """Fill every type-compatible column with ``value``."""
     return df.na.fill(value)

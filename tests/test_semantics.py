@@ -161,3 +161,19 @@ def test_ntz_micros_ignore_session_zone(spark):
         assert all(r["t"] == r["back"] for r in out)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_chart_dispatch_both_vocabularies(spark):
+    rows = [(float(i), float(i % 7) * 2.5, "g%d" % (i % 3), dt.datetime(2024, 1, 1 + i % 5, i % 24)) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, y double, g string, t timestamp_ntz")
+    args = {"histogram": {"column": "x"}, "scatter": {"x_col": "x", "y_col": "y", "hue_col": "g"},
+            "box": {"column": "y", "by_col": "g"}, "bar": {"x_col": "g", "y_col": "y", "top_n": 2},
+            "heatmap": {"columns": ["x", "y"]}, "pairplot": {"columns": ["x", "y"]},
+            "line": {"x_col": "t", "y_col": "y", "hue_col": "g"}, "violin": {"column": "y", "by_col": "g"},
+            "pie": {"column": "g", "top_n": 2}, "qq": {"column": "x"}}
+    long_names = {"scatter": "scatterplot", "box": "boxplot", "bar": "barplot", "line": "lineplot",
+                  "violin": "violinplot", "pie": "piechart", "qq": "qqplot"}
+    for kind, a in args.items():
+        for name in {kind, long_names.get(kind, kind)}:
+            out = charts.chart(df, name, **a)
+            assert out is not None and out.count() > 0, name

@@ -27,6 +27,26 @@ DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 PROFILE_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 TOP_VALUES = 10
 
+# The six recommendation rules of the reference, in order:
+# (rule_no, type, priority, description, suggestion).  ``{n}`` is the
+# number of columns with missing values, ``{cat}`` / ``{num}`` the first
+# categorical / numeric column, ``{dates}`` the date/time-named columns.
+RECOMMENDATION_RULES = (
+    (1, "data_cleaning", "high", "Missing values found in {n} columns",
+     "Consider imputation techniques (mean, median, mode) or removal of missing values"),
+    (2, "analysis", "medium", "Numerical columns present in dataset",
+     "Perform outlier detection using box plots or z-scores"),
+    (3, "feature_engineering", "medium", "Dataset has multiple features",
+     "Consider creating interaction terms or polynomial features for machine learning"),
+    (4, "machine_learning", "high", "Dataset has both numerical and categorical features",
+     "Consider building a predictive model for classification on '{cat}', regression on '{num}' "
+     "using algorithms like Random Forest or Gradient Boosting"),
+    (5, "time_series", "high", "Date/time columns detected: {dates}",
+     "Perform time series analysis to identify trends, seasonality, and patterns over time"),
+    (6, "dimensionality_reduction", "medium", "Dataset has a high number of features",
+     "Apply dimensionality reduction techniques like PCA or t-SNE to visualize high-dimensional data"),
+)
+
 
 def _method(approx: bool) -> str:
     return "approx" if approx else "auto"
@@ -328,26 +348,12 @@ def recommendations(df: DataFrame) -> DataFrame:
     cats = stat_categorical_columns(df)
     dates = datetime_named_columns(df)
     n_missing = missing_report(df).count()
-    recs = []
-    if n_missing:
-        recs.append((1, "data_cleaning", "high", f"Missing values found in {n_missing} columns",
-                     "Consider imputation techniques (mean, median, mode) or removal of missing values"))
-    if nums:
-        recs.append((2, "analysis", "medium", "Numerical columns present in dataset",
-                     "Perform outlier detection using box plots or z-scores"))
-    if len(df.columns) > 5:
-        recs.append((3, "feature_engineering", "medium", "Dataset has multiple features",
-                     "Consider creating interaction terms or polynomial features for machine learning"))
-    if cats and nums:
-        recs.append((4, "machine_learning", "high", "Dataset has both numerical and categorical features",
-                     f"Consider building a predictive model for classification on '{cats[0]}', "
-                     f"regression on '{nums[0]}' using algorithms like Random Forest or Gradient Boosting"))
-    if dates:
-        recs.append((5, "time_series", "high", f"Date/time columns detected: {', '.join(dates)}",
-                     "Perform time series analysis to identify trends, seasonality, and patterns over time"))
-    if len(df.columns) > 10:
-        recs.append((6, "dimensionality_reduction", "medium", "Dataset has a high number of features",
-                     "Apply dimensionality reduction techniques like PCA or t-SNE to visualize high-dimensional data"))
+    hit = {1: n_missing > 0, 2: bool(nums), 3: len(df.columns) > 5, 4: bool(cats and nums),
+           5: bool(dates), 6: len(df.columns) > 10}
+    fill = {"n": n_missing, "cat": cats[0] if cats else "", "num": nums[0] if nums else "",
+            "dates": ", ".join(dates)}
+    recs = [(no, kind, prio, desc.format(**fill), sug.format(**fill))
+            for no, kind, prio, desc, sug in RECOMMENDATION_RULES if hit[no]]
     return spark.createDataFrame(recs, "rule_no int, type string, priority string, description string, suggestion string")
 
 

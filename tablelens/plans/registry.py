@@ -519,21 +519,21 @@ def _outliers_zscore(t: Tables):
     return profile.outliers_zscore(t.events, "value")
 
 
-@register("recommendations", with_derived("""
-SELECT * FROM (
-SELECT 1 AS rule_no, 'data_cleaning' AS type, 'high' AS priority,
-       'Missing values found in ' || CAST(m AS VARCHAR) || ' columns' AS description,
-       'Consider imputation techniques (mean, median, mode) or removal of missing values' AS suggestion
-FROM (SELECT (count(*) - count(p_size) > 0)::INT + (count(*) - count(p_retailprice) > 0)::INT
-           + (count(*) - count(p_partkey) > 0)::INT + (count(*) - count(p_name) > 0)::INT
-           + (count(*) - count(p_brand) > 0)::INT + (count(*) - count(p_type) > 0)::INT AS m FROM part_gap_mid) WHERE m > 0
-UNION ALL SELECT 2, 'analysis', 'medium', 'Numerical columns present in dataset',
-       'Perform outlier detection using box plots or z-scores'
-UNION ALL SELECT 3, 'feature_engineering', 'medium', 'Dataset has multiple features',
-       'Consider creating interaction terms or polynomial features for machine learning'
-UNION ALL SELECT 4, 'machine_learning', 'high', 'Dataset has both numerical and categorical features',
-       'Consider building a predictive model for classification on ''p_name'', regression on ''p_partkey'' using algorithms like Random Forest or Gradient Boosting'
-)""", "part_gap_mid"))
+def _recommendations_sql() -> str:
+    r = {no: (kind, prio, desc, sug) for no, kind, prio, desc, sug in profile.RECOMMENDATION_RULES}
+    q = lambda x: x.replace("'", "''")
+    fill = {"cat": "p_name", "num": "p_partkey"}
+    miss = " + ".join(f"(count(*) - count({c}) > 0)::INT" for c in _GAP_MID_COLS)
+    d1 = q(r[1][2]).replace("{n}", "' || CAST(m AS VARCHAR) || '")
+    parts = [f"SELECT 1 AS rule_no, '{r[1][0]}' AS type, '{r[1][1]}' AS priority, '{d1}' AS description, "
+             f"'{q(r[1][3])}' AS suggestion FROM (SELECT {miss} AS m FROM part_gap_mid) WHERE m > 0"]
+    for no in (2, 3, 4):  # 6 numeric+string columns, no date/time name, not > 10 columns
+        kind, prio, desc, sug = r[no]
+        parts.append(f"SELECT {no}, '{kind}', '{prio}', '{q(desc)}', '{q(sug.format(**fill))}'")
+    return with_derived("SELECT * FROM (\n" + "\nUNION ALL ".join(parts) + "\n)", "part_gap_mid")
+
+
+@register("recommendations", _recommendations_sql())
 def _recommendations(t: Tables):
     return profile.recommendations(fx.part_gap_mid(t))
 

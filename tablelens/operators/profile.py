@@ -15,7 +15,7 @@ from tablelens.functions.columns import (DATETIME, FRACTIONAL, NUMERIC, datetime
                                          is_missing, micros_to_ntz, ntz_micros, numeric_columns,
                                          stat_categorical_columns, validate)
 from tablelens.plans.distinct import distinct_counts
-from tablelens.plans.quantiles import map_path, percentile_expr, quantiles
+from tablelens.plans.quantiles import quantiles
 
 # Alert thresholds (defaults of the profiling library the
 # reference delegates to) and the quartile set of ``describe``.
@@ -59,23 +59,15 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
     exact (linear interpolation) unless ``approx``."""
     cols = columns or numeric_columns(df)
     validate(df, *cols)
-    one_scan = not approx and map_path(df, cols)
+    # quantiles stay in their own aggregate: in the same aggregate they would
+    # force an object hash aggregate and take the moments out of codegen
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(c).cast("double")
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-        if one_scan:  # small input: exact percentile folded into the same scan
-            aggs.append(percentile_expr(df, c, DESCRIBE_PROBS).alias(f"q{i}"))
     row = df.select(*cols).agg(*aggs)
     r = lambda e: F.round(e, ndigits)
-    if one_scan:
-        return row.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), r(F.col(f"m{i}")).alias("mean"),
-                     r(F.col(f"s{i}")).alias("std"), r(F.col(f"lo{i}")).alias("min"),
-                     r(F.col(f"q{i}")[0]).alias("p25"), r(F.col(f"q{i}")[1]).alias("p50"),
-                     r(F.col(f"q{i}")[2]).alias("p75"), r(F.col(f"hi{i}")).alias("max"))
-            for i, c in enumerate(cols)])))
     mom = row.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), r(F.col(f"m{i}")).alias("mean"),
                  r(F.col(f"s{i}")).alias("std"), r(F.col(f"lo{i}")).alias("min"), r(F.col(f"hi{i}")).alias("max"))
@@ -131,12 +123,9 @@ def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> Dat
             v = _micros(c)
             aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}")]
     qcols = [f.name for f in fields if isinstance(f.dataType, NUMERIC + DATETIME)]
-    one_scan = bool(qcols) and not approx and map_path(df, qcols)
-    if one_scan:  # small input: exact medians folded into the same scan
-        aggs += [percentile_expr(df, c, [0.5])[0].alias(f"md{j}") for j, c in enumerate(qcols)]
+    # medians in their own aggregate (see describe)
     row = df.agg(*aggs)
-    med = None if one_scan else quantiles(df, qcols, [0.5], method=_method(approx)).select(
-        "column", F.col("q")[0].alias("__med"))
+    med = quantiles(df, qcols, [0.5], method=_method(approx)).select("column", F.col("q")[0].alias("__med"))
     rows = F.col("__rows")
     null_d, null_t = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
     structs = []
@@ -155,14 +144,10 @@ def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> Dat
             (_from_micros(F.col(f"lo{i}")) if dt else null_t).alias("min_time"),
             (_from_micros(F.col(f"hi{i}")) if dt else null_t).alias("max_time"),
             (_from_micros(F.col(f"m{i}")) if dt else null_t).alias("mean_time"),
-            null_t.alias("median_time"),
-            (F.col(f"md{qcols.index(f.name)}") if one_scan and f.name in qcols
-             else F.lit(None).cast("double")).alias("__med")))
+            null_t.alias("median_time")))
     out = row.select(F.inline(F.array(*structs)))
     d = distinct_counts(df, [f.name for f in fields]).withColumnRenamed("distinct", "distinct_count")
-    out = out.join(d, "column")
-    if med is not None:
-        out = out.drop("__med").join(med, "column", "left")
+    out = out.join(d, "column").join(med, "column", "left")
     is_dt = F.col("dtype").isin("timestamp", "timestamp_ntz", "date")
     out = (out.withColumn("median_value", F.when(~is_dt, F.round("__med", ndigits)))
            .withColumn("median_time", F.when(is_dt, _from_micros(F.col("__med")))))

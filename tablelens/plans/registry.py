@@ -373,7 +373,17 @@ def _describe(t: Tables):
     return profile.describe(t.lineitem)
 
 
-@register("schema_profile")
+# DuckDB type names and the Spark names the schema listing uses.
+_SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
+               "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean", "FLOAT": "float", "DATE": "date"}
+
+
+@register("schema_profile", """
+SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS "column",
+       CASE data_type """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SPARK_TYPE.items()) + """ END AS dtype,
+       (SELECT count(*) FROM orders) AS rows,
+       CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = 'orders') AS INTEGER) AS columns
+FROM information_schema.columns WHERE table_name = 'orders'""")
 def _schema_profile(t: Tables):
     return profile.schema_profile(t.orders)
 

@@ -19,10 +19,6 @@ def _field(df: DataFrame, name: str) -> T.StructField:
     raise KeyError(f"column {name!r} not in {df.columns}")
 
 
-def has_column(df: DataFrame, name: str | None) -> bool:
-    return name is not None and name in df.columns
-
-
 def is_category(field: T.StructField) -> bool:
     return bool(field.metadata.get("category", False))
 
@@ -105,10 +101,6 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def dtype_name(dt: T.DataType) -> str:
-    return dt.simpleString()
-
-
 def validate(df: DataFrame, *names: str | None) -> None:
     for n in names:
         if n is not None and n not in df.columns:

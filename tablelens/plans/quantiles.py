@@ -115,19 +115,6 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
-def map_path(df: DataFrame, columns: list[str], method: str = "auto",
-             map_max_bytes: int = MAP_MAX_BYTES) -> bool:
-    """True when ``auto`` would use Spark's exact map-based ``percentile``."""
-    return method == "map" or (method == "auto" and estimated_bytes(df.select(*columns)) <= map_max_bytes)
-
-
-def percentile_expr(df: DataFrame, column: str, probs) -> Column:
-    """Spark's exact percentile of a column (datetimes as micros), as an
-    aggregate expression to fold into a caller's own aggregate."""
-    v = as_number(df, column)
-    return F.percentile(F.when(~F.isnan(v), v), F.array(*[F.lit(float(p)) for p in probs]))
-
-
 def quantiles(df: DataFrame, columns: list[str], probs, by: list[str] | None = None,
               method: str = "auto", distinct: dict | None = None,
               map_max_bytes: int = MAP_MAX_BYTES) -> DataFrame:

@@ -74,13 +74,18 @@ def write_xlsx(df: DataFrame, folder: str) -> str:
 
     def fn(it):
         import os
+        from pyspark import TaskContext
         frames = [p for p in it if not p.empty]
         if frames:
             pdf = pd.concat(frames, ignore_index=True)
             os.makedirs(target, exist_ok=True)
-            name = f"{target}/part-{uuid.uuid4().hex[:12]}.xlsx"
-            with open(name, "wb") as fh:
+            # one name per partition, written then renamed: a retried task
+            # replaces its workbook instead of adding a second one
+            name = f"{target}/part-{TaskContext.get().partitionId():05d}.xlsx"
+            tmp = f"{name}.{uuid.uuid4().hex[:8]}.tmp"
+            with open(tmp, "wb") as fh:
                 fh.write(workbook_bytes(pdf))
+            os.replace(tmp, name)
             yield pd.DataFrame({"path": [name]})
     df.mapInPandas(fn, "path string").collect()
     return folder

@@ -62,7 +62,9 @@ def run_history(spark: SparkSession, inbox: str, log_path: str, window_path: str
     win = history_window_stream(msgs, n)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(window_path)
+        # one folder per epoch, overwritten: a replayed micro-batch rewrites
+        # its own output instead of appending a second copy
+        batch.write.mode("overwrite").parquet(f"{window_path}/epoch={epoch}")
 
     win_q = win.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/win")
     if available_now:

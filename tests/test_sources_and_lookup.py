@@ -178,3 +178,32 @@ def test_fuzzy_lookup_random_strings_exact(spark):
                     best, score = n, s
             exp = (best, "fuzzy" if best else None)
         assert got[t] == exp, (t, got[t], exp)
+
+
+def test_knn_falls_back_to_mean_without_common_features(spark):
+    rows = [(1, None, 1.0), (2, 5.0, None), (3, 7.0, None), (4, None, 3.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    out = {r["k"]: (r["a"], r["b"]) for r in impute_knn(df, "k", k=2, columns=["a", "b"]).collect()}
+    # receivers 1 and 4 share no present feature with the donors of a -> mean of a
+    assert out[1][0] == 6.0 and out[4][0] == 6.0
+    # donors 2 and 3 for b: the only rows with b share nothing with them -> mean of b
+    assert out[2][1] == 2.0 and out[3][1] == 2.0
+
+
+def test_catalog_refresh_updates_counts(spark):
+    schema = "file_name string, rows long, columns int, description string"
+    c0 = cat.record_datasets(cat.empty_catalog(spark), spark.createDataFrame([("a.csv", 3, 1, "")], schema))
+    c1 = cat.record_datasets(c0, spark.createDataFrame([("a.csv", 9, 4, "")], schema), refresh=True)
+    r = c1.first()
+    assert (r["dataset_id"], r["rows"], r["columns"]) == (1, 9, 4)
+    assert cat.dataset_id_of(c1, "a.csv").first()["dataset_id"] == 1
+
+
+def test_handle_missing_dispatch(spark):
+    from tablelens.operators import cleaning
+    df = spark.createDataFrame([(1, None, "x"), (2, 4.0, None), (3, 6.0, "y")], "k long, v double, s string")
+    const = cleaning.handle_missing(df, "constant", fill_value=0.0).orderBy("k").collect()
+    assert [r["v"] for r in const] == [0.0, 4.0, 6.0]
+    knn = cleaning.handle_missing(df, "knn", key="k", k=1).orderBy("k").collect()
+    assert knn[0]["v"] == 4.0  # nearest by key distance
+    assert cleaning.handle_missing(df, "unknown").count() == 3

@@ -276,6 +276,8 @@ def violin_density(df: DataFrame, column: str, by: str | None = None,
     most groups x grid rows); the kernel then runs per group on the cells,
     so no group ever holds its raw rows."""
     validate(df, column, by)
+    from tablelens.session import ship_package
+    ship_package(df.sparkSession)
     v = F.col(column).cast("double")
     keys = [by] if by else []
     base = df.select(*[F.col(k).alias(f"g_{k}") for k in keys], v.alias("v")).filter(F.col("v").isNotNull())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import numeric_columns, validate
-from tablelens.session import spread
+from tablelens.session import ship_package, spread
 
 MAX_BLOCK_BYTES = 64 * 1024 * 1024
 CANDIDATE_SCHEMA = "rk long, f int, dk long, d2 double, v double"
@@ -117,6 +117,7 @@ def impute_knn(df: DataFrame, key: str | None, k: int = 5, columns: list[str] |
     if block_rows * nf * 8 > max_block_bytes:
         block_rows = max(1, max_block_bytes // (nf * 8))
     spark = df.sparkSession
+    ship_package(spark)
 
     def clean(c):
         v = F.col(c).cast("double")

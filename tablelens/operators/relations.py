@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import (numeric_columns, stat_categorical_columns,
                                          validate)
 from tablelens.functions.special import chi2_pvalue, f_pvalue
-from tablelens.session import cut_lineage
+from tablelens.session import cut_lineage, ship_package
 
 # Thresholds of the relationship rules.
 STRONG_CORRELATION = 0.7
@@ -335,11 +335,13 @@ def chi_square(df: DataFrame, columns: list[str] | None = None,
 
 
 def with_f_pvalue(anova_df: DataFrame) -> DataFrame:
+    ship_package(anova_df.sparkSession)
     return anova_df.withColumn("p_value", f_pvalue("f_stat", F.col("df_between").cast("double"),
                                                    F.col("df_within").cast("double")))
 
 
 def with_chi2_pvalue(chi_df: DataFrame) -> DataFrame:
+    ship_package(chi_df.sparkSession)
     return chi_df.withColumn("p_value", chi2_pvalue("chi2", F.col("dof").cast("double")))
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.session import spread
+from tablelens.session import ship_package, spread
 
 MAX_BLOCK_BYTES = 64 * 1024 * 1024
 HIT_SCHEMA = "qid long, vid long, score double"
@@ -53,6 +53,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """``(qid, rank, vec_id, score)``: the ``k`` vectors most cosine-similar
     to each query vector; ties by vector id."""
     spark = vectors.sparkSession
+    ship_package(spark)
     q = queries.select(F.col(qid_col).cast("long").alias("qid"),
                        F.transform(qvec_col, lambda x: x.cast("double")).alias("qvec"))
     st = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("d")).first()

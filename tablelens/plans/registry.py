@@ -18,9 +18,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _run(fn, spark, sf_dir):
+    from tablelens.session import ship_package
+    ship_package(spark)  # Python workers (Arrow UDFs) must import the package
+    return fn(Tables(spark, sf_dir))
+
+
 def register(key: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[key] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: _run(fn, spark, sf_dir)
         QUERIES[key].__name__ = key
         QUERIES[key].__doc__ = fn.__doc__
         if sql is not None:

@@ -80,3 +80,32 @@ def spread(df):
     no-op, so it adds no shuffle at scale."""
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tablelens`` importable in Python workers (Arrow UDFs,
+    ``mapInPandas`` / ``applyInPandas``): zip the package once per
+    SparkContext and add it with ``addPyFile``, the standard way to ship
+    Python code to executors.  A no-op when already done."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    folder = tempfile.mkdtemp(prefix="tablelens-py-")
+    target = os.path.join(folder, "tablelens.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            if "__pycache__" in base:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)

@@ -168,6 +168,8 @@ def read_excel(spark: SparkSession, path: str, sheet=0, typed: bool = True) -> D
     """Scan .xlsx workbook(s); the first row of the sheet is the header.
     Headers are read first (one small row per file), then every workbook is
     parsed in its own task."""
+    from tablelens.session import ship_package
+    ship_package(spark)
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     except AnalysisException as exc:

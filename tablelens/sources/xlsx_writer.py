@@ -70,6 +70,8 @@ def workbook_bytes(pdf: pd.DataFrame, sheet: str = "Sheet1") -> bytes:
 def write_xlsx(df: DataFrame, folder: str) -> str:
     """One workbook per non-empty partition under ``folder`` (a shared,
     executor-visible path)."""
+    from tablelens.session import ship_package
+    ship_package(df.sparkSession)
     target = folder.replace("file:", "")
 
     def fn(it):

@@ -44,6 +44,8 @@ def _last_n(n: int):
 def history_window_stream(messages: DataFrame, n: int = MAX_HISTORY) -> DataFrame:
     """Streaming frame of the current last-``n`` window of every
     conversation touched by a micro-batch (output mode ``update``)."""
+    from tablelens.session import ship_package
+    ship_package(messages.sparkSession)
     return messages.groupBy("conv_id").applyInPandasWithState(
         _last_n(n), WINDOW_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 

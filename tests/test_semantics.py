@@ -177,3 +177,11 @@ def test_chart_dispatch_both_vocabularies(spark):
         for name in {kind, long_names.get(kind, kind)}:
             out = charts.chart(df, name, **a)
             assert out is not None and out.count() > 0, name
+
+
+def test_package_is_shipped_to_python_workers(spark):
+    from tablelens.session import ship_package
+    ship_package(spark)
+    ship_package(spark)  # idempotent per SparkContext
+    includes = spark.sparkContext._python_includes
+    assert sum(1 for p in includes if p.endswith("tablelens.zip")) == 1

@@ -22,7 +22,12 @@ from tablelens.session import cut_lineage, ship_package
 STRONG_CORRELATION = 0.7
 SIGNIFICANCE = 0.05
 MAX_INSIGHTS = 5
-# Suggestion text per relation type.
+# Description template and suggestion text per relation type.
+DESCRIPTIONS = {
+    "numerical-numerical": "Strong %s correlation between %s and %s",
+    "categorical-numerical": "Significant difference in %s across groups of %s",
+    "categorical-categorical": "Significant association between %s and %s",
+}
 SUGGESTIONS = {
     "numerical-numerical": "Consider creating a scatter plot to visualize this relationship",
     "categorical-numerical": "Consider creating a box plot or violin plot to visualize the differences",
@@ -356,21 +361,18 @@ def relationships(df: DataFrame, max_insights: int | None = MAX_INSIGHTS) -> Dat
         F.lit(1).alias("kind"), "type", "col1", "col2", "strength",
         F.col("corr").alias("statistic"), F.lit(None).cast("double").alias("p_value"),
         F.lit(None).cast("long").alias("n"),
-        F.concat(F.lit("Strong "), F.col("direction"), F.lit(" correlation between "),
-                 F.col("col1"), F.lit(" and "), F.col("col2")).alias("description"),
+        F.format_string(DESCRIPTIONS["numerical-numerical"], "direction", "col1", "col2").alias("description"),
         F.lit(SUGGESTIONS["numerical-numerical"]).alias("suggestion"))
     an = with_f_pvalue(anova(df)).filter(F.col("p_value") < SIGNIFICANCE).select(
         F.lit(2).alias("kind"), F.lit("categorical-numerical").alias("type"),
         F.col("cat_col").alias("col1"), F.col("num_col").alias("col2"),
         F.col("f_stat").alias("strength"), F.col("f_stat").alias("statistic"), "p_value", "n",
-        F.concat(F.lit("Significant difference in "), F.col("num_col"),
-                 F.lit(" across groups of "), F.col("cat_col")).alias("description"),
+        F.format_string(DESCRIPTIONS["categorical-numerical"], "num_col", "cat_col").alias("description"),
         F.lit(SUGGESTIONS["categorical-numerical"]).alias("suggestion"))
     ch = with_chi2_pvalue(chi_square(df)).filter(F.col("p_value") < SIGNIFICANCE).select(
         F.lit(3).alias("kind"), F.lit("categorical-categorical").alias("type"), "col1", "col2",
         F.lit(None).cast("double").alias("strength"), F.col("chi2").alias("statistic"), "p_value", "n",
-        F.concat(F.lit("Significant association between "), F.col("col1"), F.lit(" and "),
-                 F.col("col2")).alias("description"),
+        F.format_string(DESCRIPTIONS["categorical-categorical"], "col1", "col2").alias("description"),
         F.lit(SUGGESTIONS["categorical-categorical"]).alias("suggestion"))
     out = corr.unionByName(an).unionByName(ch)
     # reference order: correlations by strength, then ANOVA and chi-square

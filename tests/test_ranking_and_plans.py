@@ -115,3 +115,15 @@ def test_distributed_quantiles_equal_percentile(spark, by):
     assert set(e) == set(g)
     for k in e:
         np.testing.assert_allclose(g[k], e[k], atol=1e-12)
+
+
+def test_no_registered_query_uses_pair_joins_or_row_udfs(spark):
+    """Scale rules as a regression guard: no cartesian or nested-loop join
+    and no row-at-a-time Python UDF in any registered query's plan."""
+    import __spark_entry__ as E
+    banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+    for key, fn in E.queries().items():
+        out = fn(spark, SF_SMALL)
+        out.write.format("noop").mode("overwrite").save()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert not [b for b in banned if b in plan], key

@@ -71,7 +71,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_quality_rules", r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
 wins AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM w WHERE len(w) >= 8)),
 rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n > 1),
 cov AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS i FROM rep) GROUP BY doc_id),
@@ -136,3 +136,35 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.sort_array(F.transform("items", lambda x: x.cast("string")))
     return out.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def vocabulary_path() -> str:
+    """The public vocabulary file that op2 encodes with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, decode the ids again; digests of both."""
+    from tablelens.llm.bpe import decode, encode
+
+    path = vocabulary_path()
+    out = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _remainder(k: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(k))
+
+
+@register("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from three quarters of the documents, label all."""
+    from tablelens.llm.langid import label, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs.filter(F.coalesce(_remainder(4), F.lit(0)) != 2))
+    out = label(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")

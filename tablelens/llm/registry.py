@@ -168,3 +168,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs.filter(F.coalesce(_remainder(4), F.lit(0)) != 2))
     out = label(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` scored by what the labels of rows outside the held-out quarter teach."""
+    from tablelens.llm.toxicity import learn, score
+
+    return score(docs, learn(docs, labels.filter(_remainder(4) != 2)))
+
+
+#: Score from which a document counts as toxic.
+TOXIC_FROM = 0.3
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weakly supervised toxicity score of every text."""
+    out = toxicity_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "toxic_terms")

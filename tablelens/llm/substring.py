@@ -25,14 +25,16 @@ removed only if its words also start at a smaller (id, start).  Null ids come la
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.words import (U64, Words, bitmap, blank_table, i64, in_bitmap, lists, materialise, sliding, span_hashes,
-                                 buffers, take_bytes, text_slices, window_hashes)
+from tablelens.llm.words import (U64, Words, bitmap, blank_table, buffers, i64, in_bitmap, joined, lists, materialise, ranges, sliding,
+                                 span_hashes, take_bytes, text_slices, window_hashes)
 from tablelens.session import ship_package
 
 FILTER_BITS = 27
@@ -72,8 +74,6 @@ _SPAN = "array<struct<s1:long,s2:long,start:int,n:int>>"
 def _pack(docs: DataFrame, repeated, k: int, m: int, id_type: str) -> DataFrame:
     """Two kinds of rows: documents (doc_id, n_words, digest of all words, text and spans if any super-k-mer
     may repeat) and packed strings (bucket gram, hashes, string, first place in the slice)."""
-    import hashlib
-
     table = blank_table()
     names = ["is_doc", "doc_id", "n_words", "sha", "text", "spans", "g", "s1", "s2", "packed", "first_start", "many"]
 
@@ -95,11 +95,10 @@ def _pack(docs: DataFrame, repeated, k: int, m: int, id_type: str) -> DataFrame:
             s1, s2 = span_hashes(w.hashes(0), a, end, 0), span_hashes(w.hashes(1), a, end, 1)
             per = np.bincount(doc[a], minlength=len(n)) if len(a) else np.zeros(len(n), np.int64)
             spans = pa.StructArray.from_arrays([i64(s1), i64(s2), pa.array(behind[a].astype(np.int32)), pa.array((stop - a).astype(np.int32))], ["s1", "s2", "start", "n"])
-            lo, hi = w.first[:-1], w.first[1:]
-            words = take_bytes(w.data, w.starts, w.ends)
-            sha = [hashlib.sha256(b" ".join(words.slice(x, y - x).to_pylist())).digest() for x, y in zip(lo.tolist(), hi.tolist())]
+            whole, o = joined(w)
+            sha = [hashlib.sha256(whole[x:y]).digest() for x, y in zip(o, o[1:])]
             d = len(n)
-            text = pc.if_else(pa.array(per > 0), rows.column("_text").cast(pa.string()), pa.scalar(None, pa.string()))
+            text = rows.column("_text").take(pa.array(np.arange(d), mask=per == 0))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.ones(d, bool)), ids, pa.array(n.astype(np.int64)), pa.array(sha, pa.binary()), text, lists(spans, per),
                 *[pa.nulls(d, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_())]], names)
@@ -215,25 +214,22 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     table = blank_table()
 
     def digests(batches):
-        import hashlib
-
         for rows, w in text_slices(batches, "text", table):
-            words = take_bytes(w.data, w.starts, w.ends)
-            out = []
-            for i, (removed, sha) in enumerate(zip(rows.column("removed").to_pylist(), rows.column("sha").to_pylist())):
-                if removed:
-                    mine = words.slice(w.first[i], w.first[i + 1] - w.first[i]).to_pylist()
-                    for s in reversed(removed):
-                        del mine[s["start"]:s["till"]]
-                    sha = hashlib.sha256(b" ".join(mine)).digest()
-                out.append(sha.hex())
+            removed = rows.column("removed")
+            spans, per = removed.flatten(), pc.list_value_length(removed).to_numpy()
+            base = np.repeat(w.first[:-1], per)
+            start, till = spans.field("start").to_numpy() + base, spans.field("till").to_numpy() + base
+            kept = np.ones(len(w.starts), bool)
+            kept[ranges(start, till - start)] = False
+            whole, o = joined(w, kept)
+            out = [hashlib.sha256(whole[x:y]).hexdigest() for x, y in zip(o, o[1:])]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_words"), rows.column("removed"), pa.array(out, pa.string())],
                                              ["doc_id", "n_words", "removed", "kept_sha256"])
 
     cols = ["doc_id", "n_words", "removed", "text", "sha"]
-    joined = (owners.filter("size(spans) > 0").join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast(none))).select(cols))
+    touched = (owners.filter("size(spans) > 0").join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast(none))).select(cols))
     whole = owners.filter("size(spans) = 0").withColumn("removed", F.array().cast(none)).withColumn("kept_sha256", F.lower(F.hex("sha")))
-    out = joined.mapInArrow(digests, f"doc_id {id_type}, n_words long, removed {none}, kept_sha256 string")
+    out = touched.mapInArrow(digests, f"doc_id {id_type}, n_words long, removed {none}, kept_sha256 string")
     out = out.unionByName(whole.select(out.columns))
     n = F.expr("aggregate(removed, 0L, (a, x) -> a + x.till - x.start)")
     return out.select("doc_id", "n_words", n.alias("n_removed"), "removed", "kept_sha256")

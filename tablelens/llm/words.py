@@ -204,6 +204,23 @@ def take_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
     return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(out))])
 
 
+def joined(w: Words, kept: np.ndarray | None = None) -> tuple[memoryview, list[int]]:
+    """Words of each text (those that ``kept`` marks) joined by one space: all bytes, and each text's offsets."""
+    kept = np.ones(len(w.starts), bool) if kept is None else kept
+    last = np.zeros(len(w.starts), bool)
+    k = np.flatnonzero(kept)
+    doc = w.doc_of()[k]
+    last[k[np.append(doc[1:] != doc[:-1], True)] if len(k) else k] = True
+    edge = np.zeros(len(w.data) + 1, np.int8)
+    edge[w.starts[k]] += 1
+    edge[w.ends[k]] -= 1
+    mask = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    data = w.data.copy()
+    gaps = w.ends[kept & ~last]  # a later word of the text is kept, so a blank follows
+    mask[gaps], data[gaps] = True, 0x20
+    return memoryview(data[mask]), np.append(0, np.cumsum(mask))[w.offs].tolist()
+
+
 def i64(h: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(h).view(np.int64))
 

@@ -187,3 +187,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "toxic_terms")
+
+
+@register("op3_minhash_dedup", r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 4) - 1], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b USING (s) JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+          WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM words UNION SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.c AS component_id, w.doc_id = c.c AS kept
+FROM words w JOIN (SELECT d, min(r) AS c FROM reach GROUP BY d) c ON c.d = w.doc_id LEFT JOIN sizes s ON s.doc_id = w.doc_id""")
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have similarity 0.8 or more."""
+    from tablelens.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)

@@ -205,3 +205,12 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablelens.llm.minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+
+
+@register("op1_lm_score")
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and maximum-entropy log10 probabilities of every text."""
+    from tablelens.llm.lm_score import score
+
+    out = score(_table(spark, sf_dir, "documents"), _remainder(10) != 0)
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

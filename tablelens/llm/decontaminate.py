@@ -84,7 +84,7 @@ def _candidates(docs: DataFrame, prefix_words, place_words, shapes: list[int], k
     table = alnum_table()
 
     def run(batches):
-        cols = ["doc_id", "n_words", "found"]
+        cols = ["doc_id", "text_hash", "n_words", "found"]
         for rows, w in text_slices(batches, "_text", table):
             room, doc, n = w.room(), w.doc_of(), w.counts
             behind = np.arange(len(doc)) - np.repeat(w.first[:-1], n)  # words of the text before each
@@ -108,9 +108,9 @@ def _candidates(docs: DataFrame, prefix_words, place_words, shapes: list[int], k
                 w1[sel], w2[sel] = window_hashes(h1, x)[p[sel]], window_hashes(h2, x, 1)[p[sel]]
             found = pa.StructArray.from_arrays([pa.array(behind[p].astype(np.int32)), pa.array(m), i64(w1), i64(w2)], ["start", "m", "w1", "w2"])
             per = np.bincount(doc[p], minlength=len(n)) if len(p) else np.zeros(len(n), np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), pa.array(n.astype(np.int64)), lists(found, per)], cols)
+            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_th"), pa.array(n.astype(np.int64)), lists(found, per)], cols)
 
-    return docs.mapInArrow(run, f"doc_id {doc_type}, n_words long, found array<struct<start:int,m:int,w1:long,w2:long>>")
+    return docs.mapInArrow(run, f"doc_id {doc_type}, text_hash long, n_words long, found array<struct<start:int,m:int,w1:long,w2:long>>")
 
 
 def _covered(spans: str) -> F.Column:
@@ -123,7 +123,7 @@ def _covered(spans: str) -> F.Column:
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = 13, shingle: int = 3,
                   min_share: tuple[int, int] = (1, 20)) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, spans (start, m of each window found), items
+    """One row per document: doc_id, text_hash (Spark's xxhash64, to find the row by), n_words, n_hit, spans (start, m of each window found), items
     (distinct ids whose windows occur), contaminated (n_hit > 0 and n_hit at least the
     fraction min_share of n_words)."""
     spark = docs.sparkSession
@@ -144,7 +144,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     rare = materialise(rare, "decon-prefix")
     prefix = sc.broadcast(bitmap(rare, "s", FILTER_BITS))
     places = sc.broadcast(bitmap(rare, "p", FILTER_BITS))
-    found = _candidates(src, prefix, places, shapes, shingle, src.schema["_id"].dataType.simpleString())
+    found = _candidates(src.withColumn("_th", F.xxhash64("_text")), prefix, places, shapes, shingle, src.schema["_id"].dataType.simpleString())
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "decon-found")
 
     hits = found.select("row", F.explode("found").alias("x")).select("row", "x.*").join(rare.select("w1", "w2", "m"), ["w1", "w2", "m"])
@@ -152,9 +152,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     held = (hits.select("row", "w1", "w2").distinct().join(wins.select("w1", "w2", "item_id").distinct(), ["w1", "w2"])
             .groupBy("row").agg(F.collect_set("item_id").alias("items")))
     none = "array<struct<start:int,m:int>>"
-    out = (found.select("row", "doc_id", "n_words").join(spans, "row", "left").join(held, "row", "left")
+    out = (found.select("row", "doc_id", "text_hash", "n_words").join(spans, "row", "left").join(held, "row", "left")
            .withColumn("spans", F.coalesce("spans", F.array().cast(none)))
            .withColumn("items", F.coalesce("items", F.array().cast(held.schema["items"].dataType)))
            .withColumn("n_hit", _covered("spans")))
-    return out.select("doc_id", "n_words", "n_hit", "spans", "items",
+    return out.select("doc_id", "text_hash", "n_words", "n_hit", "spans", "items",
                       ((F.col("n_hit") > 0) & (F.col("n_hit") * min_share[1] >= F.col("n_words") * min_share[0])).alias("contaminated"))

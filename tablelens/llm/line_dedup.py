@@ -62,8 +62,9 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             .groupBy("key").agg(F.collect_set("at.start").alias("starts")))
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lines: int = 3) -> DataFrame:
-    """``docs`` with ``text`` rid of repeats, and columns ``lines_total`` and ``lines_removed`` (counting lines)."""
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lines: int = 3,
+                total: str = "lines_total", removed: str = "lines_removed") -> DataFrame:
+    """``docs`` with ``text`` rid of repeats, and the numbers of counting lines before and removed, replacing columns of these names."""
     key = _key(F.col(doc_id), F.col(text))
     repeats = repeated_windows(docs, doc_id, text, lines)
     joined = docs.withColumn("_tl_key", key).join(repeats.select(F.col("key").alias("_tl_key"), F.col("starts").alias("_tl_starts")), "_tl_key", "left")
@@ -81,5 +82,5 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         "_tl_total": F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: _trimmed(x) != "")), F.lit(0)),
         "_tl_removed": F.when(changed, F.size(gone)).otherwise(0),
         "_tl_text": F.when(changed, rebuilt).otherwise(F.col(text))})
-    same = [F.col("_tl_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*same, F.col("_tl_total").alias("lines_total"), F.col("_tl_removed").alias("lines_removed"))
+    same = [F.col("_tl_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in (total, removed)]
+    return out.select(*same, F.col("_tl_total").alias(total), F.col("_tl_removed").alias(removed))

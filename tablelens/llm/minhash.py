@@ -171,7 +171,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
                     similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable), kept (is it that one)."""
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable), kept
+    (is it that one), text_hash (Spark's xxhash64 of the text, to find the row by)."""
     ship_package(docs.sparkSession)
     num, den = similarity
     src = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_th", F.xxhash64("_text"))
@@ -214,6 +215,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     by_class = classes.select("c", "d1", "d2", F.col("rep.doc_id").alias("id")).join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     heads = by_class.groupBy("comp").agg(F.min("id").alias("component_id"))
     found = by_class.join(heads, "comp").select("d1", "d2", "component_id")
-    out = (scan.filter("n > 0").select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2"], "left").select("doc_id", "n", "component_id")
-           .union(scan.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = (scan.filter("n > 0").select("doc_id", "th", "n", "d1", "d2").join(found, ["d1", "d2"], "left").select("doc_id", "th", "n", "component_id")
+           .union(scan.filter("n = 0").select("doc_id", "th", "n", F.col("doc_id").alias("component_id"))))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                      F.col("th").alias("text_hash"))

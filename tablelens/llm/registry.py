@@ -170,11 +170,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
     """``docs`` scored by what the labels of rows outside the held-out quarter teach."""
-    from tablelens.llm.toxicity import learn, score
+    from tablelens.llm import toxicity
 
-    return score(docs, learn(docs, labels.filter(_remainder(4) != 2)))
+    return toxicity.score(docs, toxicity.learn(docs, labels.filter(_remainder(4) != 2)), **names)
 
 
 #: Score from which a document counts as toxic.
@@ -204,7 +204,7 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have similarity 0.8 or more."""
     from tablelens.llm.minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4).drop("text_hash")
 
 
 @register("op1_lm_score")

@@ -13,8 +13,11 @@ listed.  Documents of equal sets are one class.  Then
 1. every class is compared with the centre it shares most buckets with: a bucket's
    centre is its class whose buckets are largest (the one that others are copies of);
 2. confirmed links give components, and only buckets that still hold classes of
-   different components give pairs, across components: every pair that meets in
-   a bucket is either confirmed, refuted or inside a component.
+   different components give pairs, across components. How two classes differ from a
+   common centre bounds how much they have in common, so most pairs of edited copies
+   are refuted there; the others within the signature distance are compared in full,
+   each in its first common bucket. So every pair within the distance is confirmed,
+   refuted or inside a component.
 
 Buckets are ordinary joins and pre-aggregated groups, so a bucket of any size is
 spread over tasks.
@@ -35,8 +38,12 @@ from tablelens.llm.words import U64, Words, blank_table, buffers, folded, i64, m
 from tablelens.session import ship_package
 
 CHUNKS, CHUNK = 12, 6
+#: Classes of one bucket that are compared in one group.
+TILE = 2048
+#: Cells in which differences from a centre are counted.
+DIFF_CELLS = 128
 #: Text of the pairs that one step compares.
-PAIR_BYTES = 8 << 20
+PAIR_BYTES = 1 << 20
 
 
 def _sets(w: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +98,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, c): every chunk with one symbol left out."""
+    """(key, slot, c): every chunk with one symbol left out; slot says which."""
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
@@ -105,13 +112,14 @@ def _keys(classes: DataFrame) -> DataFrame:
                     for s in range(CHUNK):
                         if s != j:
                             key = mix(key * U64(0x9E3779B97F4A7C15) + sig[:, i, s])
-                    yield pa.RecordBatch.from_arrays([i64(key), pa.array(c)], ["key", "c"])
+                    yield pa.RecordBatch.from_arrays([i64(key), pa.array(np.full(len(c), i * CHUNK + j, np.int32)), pa.array(c)], ["key", "slot", "c"])
 
-    return classes.select("c", "sig").mapInArrow(run, "key long, c long")
+    return classes.select("c", "sig").mapInArrow(run, "key long, slot int, c long")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes with den * |intersection| >= num * |union|, on full sets."""
+def _compared(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes on full sets: ok (den * |intersection| >= num * |union|), and how they differ:
+    apart (size of the symmetric difference) and diff (its elements counted by hash into DIFF_CELLS cells)."""
     table = folded(blank_table())
 
     def run(batches):
@@ -122,29 +130,60 @@ def _similar(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> D
             for begin, stop in zip(cuts, cuts[1:]):
                 rows = batch.slice(begin, stop - begin)
                 (x, fx), (y, fy) = (_sets(Words(*buffers(rows.column(c)), table), k) for c in ("ta", "tb"))
-                ok = []
+                ok, apart, diff = [], [], []
                 for i in range(rows.num_rows):
                     p, q = x[fx[i]:fx[i + 1]], y[fy[i]:fy[i + 1]]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok.append(den * both >= num * (len(p) + len(q) - both))
-                yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                    other = np.setxor1d(p, q, assume_unique=True)
+                    both = (len(p) + len(q) - len(other)) // 2
+                    ok.append(den * both >= num * (both + len(other)))
+                    apart.append(len(other))
+                    diff.append(np.bincount(other & U64(DIFF_CELLS - 1), minlength=DIFF_CELLS).astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), pa.array(apart, pa.int64()), pa.array(diff, pa.binary())],
+                                                 ["a", "b", "ok", "apart", "diff"])
 
     one = sets.select(F.col("c").alias("a"), F.col("text").alias("ta"))
     two = sets.select(F.col("c").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def _close(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Pairs whose signatures differ in at most ``most`` symbols."""
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (buffers(batch.column(c))[0].view(np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((a != b).sum(1) <= most))
-
-    one = classes.select(F.col("c").alias("a"), F.col("sig").alias("sa"))
-    two = classes.select(F.col("c").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(
+        run, "a long, b long, ok boolean, apart long, diff binary")
+
+
+def _met(group: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs (a, b) of a bucket's classes of two tiles and of different components whose signatures differ in at
+    most 2 * CHUNKS - 1 symbols, that their sizes and differences from a common centre let be similar enough, and
+    whose first common key this is.  Sets x, y differ in |x ^ y| = |x ^ m| + |y ^ m| - 2 |(x ^ m) & (y ^ m)| elements."""
+    group = group.combine_chunks()
+    slot = group["slot"][0].as_py()
+    chunk, left_out = divmod(slot, CHUNK)
+    c, comp, n, centre, apart, tile = (group[x].to_numpy() for x in ("c", "comp", "n", "centre", "apart", "tile"))
+    diff = np.frombuffer(b"".join(x or bytes(4 * DIFF_CELLS) for x in group["diff"].to_pylist()), "<u4").reshape(len(c), -1)
+    sig = buffers(group["sig"])[0].view(np.uint16).reshape(len(c), -1)
+    p, q = group["p"][0].as_py(), group["q"][0].as_py()
+    rows, cols = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
+    out = []
+    for x in range(0, len(rows), 64):
+        i = rows[x:x + 64]
+        less, more = np.minimum(n[i][:, None], n[cols]), np.maximum(n[i][:, None], n[cols])
+        may = (comp[i][:, None] != comp[cols]) & (den * less >= num * more)
+        if p == q:
+            may &= c[i][:, None] < c[cols]
+        u, v = np.nonzero(may)
+        u, v = i[u], cols[v]
+        for y in range(0, len(u), 1 << 16):
+            a, b = u[y:y + (1 << 16)], v[y:y + (1 << 16)]
+            unequal = (sig[a] != sig[b]).reshape(len(a), CHUNKS, CHUNK)
+            wrong = unequal.sum(2)
+            near = wrong <= 1
+            first = near.argmax(1) == chunk
+            mine = np.where(wrong[:, chunk] == 1, unequal[:, chunk, left_out], left_out == 0)
+            ok = (wrong.sum(1) <= 2 * CHUNKS - 1) & near[:, chunk] & first & mine
+            a, b = a[ok], b[ok]
+            # of one centre: elements in which both differ from it are counted from above, cell by cell
+            shared = np.minimum(diff[a], diff[b]).sum(1, dtype=np.int64)
+            differ = np.where(centre[a] == centre[b], apart[a] + apart[b] - 2 * shared, 0)
+            ok = (den + num) * differ <= (den - num) * (n[a] + n[b])
+            out.append(np.sort(np.stack([c[a[ok]], c[b[ok]]]), axis=0))
+    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(both[0].astype(np.int64)), "b": pa.array(both[1].astype(np.int64))})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,7 +216,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     num, den = similarity
     src = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_th", F.xxhash64("_text"))
     scan = materialise(_scan(src, shingle), "minhash")
-    classes = materialise(scan.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep"), F.first("sig").alias("sig"))
+    classes = materialise(scan.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
                           .withColumn("c", F.monotonically_increasing_id()), "minhash-classes")
 
     # buckets of two classes or more
@@ -196,20 +235,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         src.alias("s").join(want.alias("w"), (F.col("s._th") == F.col("w._th")) & F.col("s._id").eqNullSafe(F.col("w._id")))
         .select(F.col("w.c").alias("c"), F.col("s._text").alias("text")).dropDuplicates(["c"]))
     texts = materialise(texts, "minhash-texts")
-    links = materialise(_similar(tried, texts, shingle, num, den), "minhash-links")
+    compared = materialise(_compared(tried, texts, shingle, num, den), "minhash-links")
+    links = compared.filter("ok").select("a", "b")
 
     # what still lies across components
     comp = components(links)
-    label = buckets.select("key", "c").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    label = buckets.select("key", "slot", "c").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     label = materialise(label, "minhash-labels")
     mixed = label.join(label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "key")
-    a, b = (mixed.select("key", F.col("c").alias(x), F.col("comp").alias(f"{x}_comp")) for x in ("a", "b"))
-    cross = a.join(b, "key").filter("a_comp < b_comp").select("a", "b").distinct()
-    cross = cross.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    # a pair that is similar enough differs in size * (1 - similarity) symbols on average; beyond eight deviations it is not looked at
-    size, p = CHUNKS * CHUNK, 1 - num / den
-    far = int(size * p + 8 * np.sqrt(size * p * (1 - p))) + 1
-    more = _similar(_close(cross, classes, far), texts, shingle, num, den)
+    # buckets in tiles of bounded size, every two of which meet in a group
+    tiles = mixed.groupBy("key").agg(F.ceil(F.count("c") / TILE).cast("int").alias("tiles"))
+    known = classes.select("c", "sig", "n").join(compared.select(F.col("a").alias("c"), F.col("b").alias("centre"), "apart", "diff"), "c", "left")
+    rows = (mixed.join(tiles, "key").join(known, "c").withColumns({"centre": F.coalesce("centre", "c"), "apart": F.coalesce("apart", F.lit(0).cast("long"))})
+            .withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
+            .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+            .select("key", "slot", "c", "comp", "n", "centre", "apart", "diff", "sig", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q")))
+    cross = rows.groupBy("key", "p", "q").applyInArrow(lambda group: _met(group, num, den), "a long, b long")
+    cross = materialise(cross.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "minhash-cross")
+    more = _compared(cross, texts, shingle, num, den).filter("ok").select("a", "b")
     comp = components(links.union(more))
 
     by_class = classes.select("c", "d1", "d2", F.col("rep.doc_id").alias("id")).join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))

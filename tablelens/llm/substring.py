@@ -1,14 +1,15 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is ``k`` consecutive words of a document.  Its minimiser is the
-smallest hash of the ``m``-word grams in it; consecutive windows that share it
-form a super-k-mer, one span of words.  Equal windows have equal minimisers, so
-they meet in the minimiser's bucket:
-
-1. minimiser places are counted over all documents; a window can repeat only
-   under a minimiser with two places or more (a filter of fixed size holds those);
-2. the super-k-mers under such minimisers travel as packed strings to their
-   buckets, once for all equal ones of a slice of documents;
+smallest hash of the grams of so many words in it.  Equal windows have equal
+minimisers:
+
+1. places of minimisers of long grams (``probe`` words) are counted over all
+   documents; a window can repeat only under one with two places or more (a filter
+   of fixed size holds those);
+2. consecutive windows that may repeat and share a minimiser of short grams (``m``
+   words) form a super-k-mer, one span of words, which travels as a packed string
+   to the minimiser's bucket, once for all equal ones of a slice of documents;
 3. a bucket cuts its strings into windows again, sorts them, and finds the
    first place (smallest id, then smallest start) of every window;
 4. super-k-mers with repeats are joined back to their places, and the words
@@ -38,7 +39,6 @@ from tablelens.llm.words import (U64, Words, bitmap, blank_table, buffers, i64,
 from tablelens.session import ship_package
 
 FILTER_BITS = 27
-SLICE = 4 << 20
 #: Packed bytes that one bucket should hold.
 BUCKET_BYTES = 16 << 20
 
@@ -71,26 +71,28 @@ def _minimiser_counts(docs: DataFrame, k: int, m: int) -> DataFrame:
 _SPAN = "array<struct<s1:long,s2:long,start:int,n:int>>"
 
 
-def _pack(docs: DataFrame, repeated, k: int, m: int, id_type: str) -> DataFrame:
+def _pack(docs: DataFrame, repeated, k: int, probe: int, m: int, id_type: str) -> DataFrame:
     """Two kinds of rows: documents (doc_id, n_words, digest of all words, text and spans if any super-k-mer
     may repeat) and packed strings (bucket gram, hashes, string, first place in the slice)."""
     table = blank_table()
     names = ["is_doc", "doc_id", "n_words", "sha", "text", "spans", "g", "s1", "s2", "packed", "first_start", "many"]
 
     def run(batches):
-        for rows, w in text_slices(batches, "_text", table, SLICE):
-            ok, low, _ = _minimisers(w, k, m)
+        for rows, w in text_slices(batches, "_text", table):
+            ok, long_low, _ = _minimisers(w, k, probe)
             n, doc = w.counts, w.doc_of()
             ids = rows.column("_id")
             behind = np.arange(len(doc)) - np.repeat(w.first[:-1], n)
+            if len(ok):  # the filter is asked once per run of one minimiser
+                new = np.append(True, long_low[1:] != long_low[:-1])
+                ok &= in_bitmap(repeated.value, long_low[new])[np.cumsum(new) - 1]
+            _, low, _ = _minimisers(w, k, m)
             # runs of windows of one document and one minimiser
             new = ok.copy()
             if len(ok):
                 new[1:] &= ~(ok[:-1] & (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]))
             a = np.flatnonzero(new)
             stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1 if len(ok) else a
-            may = in_bitmap(repeated.value, low[a])
-            a, stop = a[may], stop[may]
             end = stop + k - 1
             s1, s2 = span_hashes(w.hashes(0), a, end, 0), span_hashes(w.hashes(1), a, end, 1)
             per = np.bincount(doc[a], minlength=len(n)) if len(a) else np.zeros(len(n), np.int64)
@@ -192,15 +194,15 @@ def merged(spans: str) -> F.Column:
            concat(a, array(x))))""")
 
 
-def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 20, m: int = 6) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 20, probe: int = 10, m: int = 3) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, removed (disjoint word spans, end exclusive),
     kept_sha256 (of the words that stay, joined by one space)."""
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
     id_type = src.schema["_id"].dataType.simpleString()
-    repeated = spark.sparkContext.broadcast(bitmap(_minimiser_counts(src, k, m), "g", FILTER_BITS))
-    packed = materialise(_pack(src, repeated, k, m, id_type).withColumn("row", F.monotonically_increasing_id()), "substring")
+    repeated = spark.sparkContext.broadcast(bitmap(_minimiser_counts(src, k, probe), "g", FILTER_BITS))
+    packed = materialise(_pack(src, repeated, k, probe, m, id_type).withColumn("row", F.monotonically_increasing_id()), "substring")
     owners = packed.filter("is_doc")
     firsts = _bucket_firsts(packed.filter("not is_doc"), k, id_type)
     places = owners.select("row", "doc_id", F.explode("spans").alias("x")).select("row", "doc_id", "x.s1", "x.s2", F.col("x.start").alias("from"))

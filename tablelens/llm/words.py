@@ -231,7 +231,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later reads don't depend on the executors that made it."""
     spark = df.sparkSession
     path = f"{scratch_path(spark, name)}/t"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 from tablelens.session import ship_package
 
 #: Distinct words, and blank-separated pieces, whose ids a Python worker remembers.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 #: Text that one step encodes.
-STEP_CHARS = 4 << 20
+STEP_CHARS = 2 << 20
 #: Blank: what Unicode calls white space.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N}]+")
 BLANKS = regex.compile(r"[\t-\r \x85\p{Z}]+")
@@ -284,7 +284,7 @@ def _steps(column: pa.Array, most: int):
 def _add(df: DataFrame, source: str, new: list[T.StructField], make) -> DataFrame:
     """``df`` with columns that ``make`` computes from steps of ``source``."""
     names = [f.name for f in new]
-    keep = [c for c in df.columns if c not in names]
+    keep = [c for c in df.columns if c.lower() not in names]
     if source not in keep:
         raise ValueError(f"{source} cannot be both read and replaced")
 

@@ -177,7 +177,7 @@ def label(docs: DataFrame, model: LangModel, *, text: str = "text", penalty: flo
     sent = docs.sparkSession.sparkContext.broadcast(model)
     table = letter_table()
     new = ["lang_pred", "score", "spans"]
-    keep = docs.select(*[f"`{c}`" for c in docs.columns if c not in new])
+    keep = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in new])
 
     def run(batches):
         m = sent.value
@@ -186,14 +186,14 @@ def label(docs: DataFrame, model: LangModel, *, text: str = "text", penalty: flo
             column = batch.column(batch.schema.get_field_index(text))
             for i, j, data, offs in slices(*buffers(column), STEP_BYTES):
                 parts = [Words(d, o, table) for _, _, d, o in slices(data, offs)]
-                each = [_emissions(w, m) for w in parts]
                 counts = np.concatenate([w.counts for w in parts])
-                s, letters = np.concatenate([e for e, _ in each]), np.concatenate([n for _, n in each])
                 n = len(counts)
                 rows = batch.slice(i, j - i)
                 pred, score = np.full(n, "und", object), np.zeros(n)
                 start, end, lang, per = [], [], [], np.zeros(n, np.int64)
                 if m.langs:
+                    each = [_emissions(w, m) for w in parts]
+                    s, letters = np.concatenate([e for e, _ in each]), np.concatenate([x for _, x in each])
                     path, doc = viterbi(s, counts, penalty), np.repeat(np.arange(n), counts)
                     weight = np.bincount(doc * len(names) + path, letters, n * len(names)).reshape(n, -1)
                     some = weight.sum(1) > 0

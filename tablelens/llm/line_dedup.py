@@ -82,5 +82,5 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         "_tl_total": F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: _trimmed(x) != "")), F.lit(0)),
         "_tl_removed": F.when(changed, F.size(gone)).otherwise(0),
         "_tl_text": F.when(changed, rebuilt).otherwise(F.col(text))})
-    same = [F.col("_tl_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in (total, removed)]
+    same = [F.col("_tl_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() not in (total, removed)]
     return out.select(*same, F.col("_tl_total").alias(total), F.col("_tl_removed").alias(removed))

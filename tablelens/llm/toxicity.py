@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", score: s
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     table = letter_table()
-    keep = docs.select(*[f"`{c}`" for c in docs.columns if c not in (score, terms)])
+    keep = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in (score, terms)])
 
     def run(batches):
         m = sent.value

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,8 +64,25 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null, which built-in aggregates skip."""
+    c = F.col(name)
+    return F.when(~F.isnan(c), c) if isinstance(_field(df, name).dataType, FRACTIONAL) else c
+
+
+def skips_nan(fn):
+    """For operators whose result holds no rows of their frame: they see NaN as null, as the
+    one definition of a missing value says."""
+    @wraps(fn)
+    def call(df: DataFrame, *args, **kwargs):
+        return fn(nan_to_null(df), *args, **kwargs)
+    return call
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN into null in float columns so built-in aggregates skip them."""
+    if not any(isinstance(f.dataType, FRACTIONAL) for f in df.schema.fields):
+        return df
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, FRACTIONAL):
@@ -98,7 +117,7 @@ def as_number(df: DataFrame, name: str) -> Column:
         return ntz_micros(F.col(name)).cast("double")
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+    return present(df, name).cast("double")
 
 
 def validate(df: DataFrame, *names: str | None) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.columns import (as_number, datetime_columns, datetime_named_columns,
-                                         numeric_columns, plot_categorical_columns, validate)
+                                         numeric_columns, plot_categorical_columns, skips_nan, validate)
 
 # Chart defaults of the reference.
 HIST_BINS = 50
@@ -66,10 +66,12 @@ def bin_index(v: Column, lo: float, hi: float, bins: int) -> Column:
     if hi is None or lo is None or hi <= lo:
         return F.when(v.isNotNull(), F.lit(0))
     width = float(hi) - float(lo)
-    return F.least(F.floor((v - F.lit(float(lo))) / F.lit(width) * F.lit(bins)).cast("int"),
-                   F.lit(bins - 1))
+    # least() skips nulls, so a missing value is kept out of the last bin here
+    return F.when(v.isNotNull(), F.least(F.floor((v - F.lit(float(lo))) / F.lit(width) * F.lit(bins)).cast("int"),
+                                         F.lit(bins - 1)))
 
 
+@skips_nan
 def histogram(df: DataFrame, column: str, bins: int = HIST_BINS) -> DataFrame:
     """Counts of ``bins`` equal-width bins: ``(bin, bin_lo, bin_hi, count)``."""
     validate(df, column)
@@ -88,6 +90,7 @@ def histogram(df: DataFrame, column: str, bins: int = HIST_BINS) -> DataFrame:
                     "count"))
 
 
+@skips_nan
 def scatter_trend(df: DataFrame, x: str, y: str, hue: str | None = None,
                   ndigits: int = 4) -> DataFrame:
     """Ordinary least squares line of y on x, per hue group when given:
@@ -105,6 +108,7 @@ def scatter_trend(df: DataFrame, x: str, y: str, hue: str | None = None,
     return df.agg(*aggs)
 
 
+@skips_nan
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = HIST_BINS) -> DataFrame:
     """2-D density of the scatter: ``(x_bin, y_bin, count)``."""
     validate(df, x, y)
@@ -117,6 +121,7 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = HIST_BINS) -> DataFr
             .groupBy("x_bin", "y_bin").count())
 
 
+@skips_nan
 def box_stats(df: DataFrame, column: str, by: str | None = None,
               ndigits: int = 4) -> DataFrame:
     """Box plot numbers: quartiles (linear interpolation), fences at 1.5 IQR,
@@ -167,6 +172,7 @@ def _one_row_zip(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("*", *[F.lit(r[c]).alias(c) for c in b.columns])
 
 
+@skips_nan
 def bar_top_n(df: DataFrame, x: str, y: str | None = None, top_n: int = BAR_TOP_N) -> DataFrame:
     """Top ``top_n`` categories of x by mean of y (or by count without y):
     ``(x, mean_y, sum_y, count)``; ties broken by category ascending."""
@@ -202,6 +208,7 @@ def heatmap(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return corr_matrix(df, cols, ndigits=2)
 
 
+@skips_nan
 def pair_bins(df: DataFrame, columns: list[str], bins: int = PAIR_BINS,
               hue: str | None = None) -> DataFrame:
     """Scatter-matrix data without the diagonal: per unordered column pair,
@@ -226,6 +233,7 @@ def pair_bins(df: DataFrame, columns: list[str], bins: int = PAIR_BINS,
     return ex.groupBy(*keys, "x_col", "y_col", "x_bin", "y_bin").agg(F.sum("count").alias("count"))
 
 
+@skips_nan
 def line_series(df: DataFrame, x: str, y: str, hue: str | None = None,
                 unit: str | None = "day", ndigits: int = 4) -> DataFrame:
     """y over x (per hue): datetime x is truncated to ``unit``; per point the
@@ -267,6 +275,7 @@ def _kde_cells(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+@skips_nan
 def violin_density(df: DataFrame, column: str, by: str | None = None,
                    grid: int = VIOLIN_GRID) -> DataFrame:
     """Kernel density of ``column`` (per ``by`` group) on ``grid`` points from
@@ -323,6 +332,7 @@ def _one(df: DataFrame, cols: list[str]) -> list:
     return [r[c] for c in cols]
 
 
+@skips_nan
 def pie_top_n(df: DataFrame, column: str, top_n: int | None = PIE_TOP_N,
               ndigits: int = 4) -> DataFrame:
     """Value counts, first ``top_n``, with each slice's share of the shown
@@ -332,9 +342,8 @@ def pie_top_n(df: DataFrame, column: str, top_n: int | None = PIE_TOP_N,
           .orderBy(F.col("count").desc(), F.col(column)))
     if top_n and top_n > 0:
         vc = vc.limit(top_n)
-    # at most top_n rows reach this window
-    from pyspark.sql import Window
-    return vc.select(column, "count", F.round(F.col("count") / F.sum("count").over(Window.partitionBy()), ndigits).alias("share"))
+    total = vc.agg(F.sum("count")).first()[0]  # of the shown slices: one number, whatever their count
+    return vc.select(column, "count", F.round(F.col("count") / F.lit(total).cast("double"), ndigits).alias("share"))
 
 
 # -- dispatch -----------------------------------------------------------------

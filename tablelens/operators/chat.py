@@ -20,7 +20,8 @@ PLOT_WORDS = ("plot", "chart", "graph", "histogram", "scatter", "bar", "pie", "h
               "visualization", "interactive", "box", "pairplot", "line", "violin", "qq")
 
 _LEFT = f"(?:^|[^{WORD_CLASS}])"
-SWITCH_RE = _LEFT + "(?:" + "|".join(SWITCH_PHRASES) + r") +(.*?)(?: +and +|[.!?,;\n]|$)"
+SWITCH_RE = _LEFT + "(?:" + "|".join(SWITCH_PHRASES) + r") "
+TARGET_RE = _LEFT + r"%s (.+?)(?:[ \t\n]|$)"
 FOLLOW_RE = _LEFT + "(?:" + "|".join(SWITCH_PHRASES) + r") +.*? +and +([^.!?\n]*)"
 PLOT_RE = _LEFT + "(?:" + "|".join(PLOT_WORDS) + ")"
 
@@ -69,11 +70,12 @@ def _strip_stop_words(clause: Column) -> Column:
 
 
 def message_intents(messages: DataFrame, text: str = "content") -> DataFrame:
-    """Per message: slash command, switch target (stop words removed), the
-    follow-up request of a combined command, list intent, plot intent."""
+    """Per message: slash command, switch target (the word after the first
+    phrase, in the phrases' order, that isn't a stop word), the follow-up request of a combined command, list intent, plot intent."""
     low = F.lower(F.col(text))
     cmd = F.trim(low)
-    clause = F.regexp_extract(low, SWITCH_RE, 1)
+    # the phrases in their order; a phrase followed by a stop word only gives way to the next one
+    target = F.coalesce(*[_strip_stop_words(F.regexp_extract(low, TARGET_RE % p, 1)) for p in SWITCH_PHRASES])
     has_switch = low.rlike(SWITCH_RE)
     follow = F.trim(F.regexp_extract(low, FOLLOW_RE, 1))
     listing = F.lit(False)
@@ -82,7 +84,7 @@ def message_intents(messages: DataFrame, text: str = "content") -> DataFrame:
     return messages.select(
         "*",
         F.when(cmd.isin(list(COMMANDS)), cmd).alias("command"),
-        F.when(has_switch, _strip_stop_words(clause)).alias("switch_target"),
+        target.alias("switch_target"),
         F.when(has_switch & (F.length(follow) > 3), follow).alias("follow_up"),
         listing.alias("list_intent"),
         low.rlike(PLOT_RE).alias("plot_intent"))

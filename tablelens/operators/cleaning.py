@@ -70,7 +70,7 @@ def impute_simple(df: DataFrame, strategy: str = "mean", columns: list[str] | No
     if strategy == "median":
         from tablelens.plans.quantiles import quantiles
         med = {r["column"]: (r["q"][0] if r["q"] else None)
-               for r in quantiles(df, cols, [0.5], method="approx" if approx else "auto").collect()}
+               for r in quantiles(df, cols, [0.5], method="approx" if approx else "exact").collect()}
         return _numeric_fill(df, med)
     if strategy == "most_frequent":
         return _numeric_fill(df, most_frequent(df, cols))
@@ -130,8 +130,8 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def _type_decisions(df: DataFrame, min_parse_ratio: float = 0.0,
-                    formats=DATETIME_FORMATS) -> list[tuple[str, str]]:
+def _type_decisions(df: DataFrame, min_parse_ratio: float = 0.0, formats=DATETIME_FORMATS,
+                    kinds=("numeric", "datetime", "category")) -> list[tuple[str, str]]:
     """For every string column: 'numeric', 'datetime', 'category' or None,
     decided from one aggregate over all string columns."""
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -144,7 +144,9 @@ def _type_decisions(df: DataFrame, min_parse_ratio: float = 0.0,
                  F.count(F.when(col.rlike(NUMBER_RE), 1)).alias(f"num{i}"),
                  F.count(parse_datetime(col, formats)).alias(f"dt{i}")]
     r = df.agg(*aggs).first()
-    dist = {row["column"]: row["distinct"] for row in distinct_counts(df, strs).collect()}  # one row per column
+    # distinct counts only where categories are asked for and a column is neither number nor datetime
+    open_ = [c for i, c in enumerate(strs) if "category" in kinds and (min_parse_ratio > 0 or not (r[f"num{i}"] or r[f"dt{i}"]))]
+    dist = {row["column"]: row["distinct"] for row in distinct_counts(df, open_).collect()}  # one row per column
     out = []
     for i, c in enumerate(strs):
         n = r[f"n{i}"] or 0
@@ -153,7 +155,7 @@ def _type_decisions(df: DataFrame, min_parse_ratio: float = 0.0,
             out.append((c, "numeric"))
         elif r[f"dt{i}"] >= need and r[f"dt{i}"] > 0:
             out.append((c, "datetime"))
-        elif r["__rows"] and dist[c] / r["__rows"] < CATEGORY_RATIO:
+        elif r["__rows"] and c in dist and dist[c] / r["__rows"] < CATEGORY_RATIO:
             out.append((c, "category"))
         else:
             out.append((c, None))
@@ -180,13 +182,13 @@ def _apply_types(df: DataFrame, decisions, kinds=("numeric", "datetime", "catego
 def coerce_numeric(df: DataFrame, min_parse_ratio: float = 0.0) -> DataFrame:
     """String columns where at least one value (or ``min_parse_ratio`` of
     them) is a number become double; the other values become null."""
-    return _apply_types(df, _type_decisions(df, min_parse_ratio), kinds=("numeric",))
+    return _apply_types(df, _type_decisions(df, min_parse_ratio, kinds=("numeric",)), kinds=("numeric",))
 
 
 def coerce_datetime(df: DataFrame, min_parse_ratio: float = 0.0, formats=DATETIME_FORMATS) -> DataFrame:
     """String columns that are not numeric but where a value parses as a
     datetime become ``timestamp_ntz``."""
-    return _apply_types(df, _type_decisions(df, min_parse_ratio, formats), kinds=("datetime",), formats=formats)
+    return _apply_types(df, _type_decisions(df, min_parse_ratio, formats, kinds=("datetime",)), kinds=("datetime",), formats=formats)
 
 
 def category_columns(df: DataFrame) -> DataFrame:
@@ -194,9 +196,9 @@ def category_columns(df: DataFrame) -> DataFrame:
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     n = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
     d = distinct_counts(df, strs)
+    ratio = F.when(F.lit(n) > 0, F.col("distinct") / F.nullif(F.lit(n), F.lit(0)))  # null without rows
     return d.select("column", F.col("distinct").alias("distinct_count"), F.lit(n).cast("long").alias("rows"),
-                    F.round(F.col("distinct") / F.lit(n), 6).alias("ratio"),
-                    (F.col("distinct") / F.lit(n) < CATEGORY_RATIO).alias("is_category"))
+                    F.round(ratio, 6).alias("ratio"), F.coalesce(ratio < CATEGORY_RATIO, F.lit(False)).alias("is_category"))
 
 
 def correct_data_types(df: DataFrame, min_parse_ratio: float = 0.0) -> DataFrame:

@@ -7,15 +7,14 @@ that have that feature, the ``k`` nearest are averaged (uniform weights);
 a row with no comparable donor gets the column mean.  Ties in distance are
 broken by the row key, so the result is deterministic.
 
-Plan: rows with a gap ("receivers") are few by construction (the auto rule
-picks KNN below 30 % missing cells).  They are sent to executors in blocks
-of at most ``block_rows`` rows (broadcast size = block_rows x features x 8
-bytes, checked against ``max_block_bytes``).  Every donor partition is
-streamed once per block through ``mapInPandas``, keeping a running top-k
-per (receiver, feature) - no pair rows are ever materialised, and the merge
-of partial top-k lists is a small ``row_number() <= k`` over at most
-k x partitions rows per cell.  Cost is receivers x rows distance
-evaluations: the inherent cost of exact KNN."""
+Plan: rows with a gap ("receivers") are a query set against all rows, in
+blocks.  Receivers are dealt into blocks of about ``block_rows`` rows and all
+rows ("donors") into chunks of about ``chunk_rows``; each (block, chunk) meets
+in one task by a cogroup, which keeps a top-k per (receiver, feature) - no pair
+rows are ever materialised, nothing passes the driver, and a task holds one
+block and one chunk.  The merge of partial top-k lists is a small
+``row_number() <= k`` over at most k x chunks rows per cell.  Cost is
+receivers x rows distance evaluations: the inherent cost of exact KNN."""
 
 from __future__ import annotations
 
@@ -25,11 +24,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablelens.functions.columns import numeric_columns, validate
-from tablelens.session import ship_package, spread
+from tablelens.functions.columns import numeric_columns, present, validate
+from tablelens.session import cut_lineage, ship_package
 
-MAX_BLOCK_BYTES = 64 * 1024 * 1024
+# Rows of one block and one chunk: what a task holds.
+BLOCK_ROWS = 20_000
+CHUNK_ROWS = 200_000
 CANDIDATE_SCHEMA = "rk long, f int, dk long, d2 double, v double"
 
 
@@ -102,56 +104,42 @@ def _partial_topk(R: np.ndarray, rkeys: np.ndarray, k: int):
     return run
 
 
-def impute_knn(df: DataFrame, key: str | None, k: int = 5, columns: list[str] | None = None,
-               block_rows: int = 50_000, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """Fill gaps of the numeric columns from the ``k`` nearest rows.  ``key``
-    must identify rows (it breaks distance ties and joins results back);
-    numeric columns come back as double, other columns untouched."""
-    if key is None:
-        raise ValueError("impute_knn needs a row key column")
+def impute_knn(df: DataFrame, key: str | None = None, k: int = 5, columns: list[str] | None = None,
+               block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Fill gaps of the numeric columns from the ``k`` nearest rows; they
+    come back as double, other columns untouched.  Distance ties go to the
+    smaller ``key`` if an integer column that identifies rows is given, else
+    to the earlier row."""
     cols = columns or numeric_columns(df)
     validate(df, key, *cols)
     nf = len(cols)
     if nf == 0:
         return df
-    if block_rows * nf * 8 > max_block_bytes:
-        block_rows = max(1, max_block_bytes // (nf * 8))
-    spark = df.sparkSession
-    ship_package(spark)
-
-    def clean(c):
-        v = F.col(c).cast("double")
-        return F.when(~F.isnan(v), v)
-
-    data = df.select(F.col(key).cast("long").alias("__key"), *[clean(c).alias(f"x{j}") for j, c in enumerate(cols)])
+    ship_package(df.sparkSession)
+    if key is not None and isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        rows = df.withColumn("__key", F.col(key).cast("long"))
+    else:
+        # numbered once and written, so that both uses below see the same numbers
+        rows = cut_lineage(df.withColumn("__key", F.monotonically_increasing_id()))
+    data = rows.select("__key", *[present(df, c).cast("double").alias(f"x{j}") for j, c in enumerate(cols)])
     gap = F.lit(False)
     for j in range(nf):
         gap = gap | F.col(f"x{j}").isNull()
-    receivers = data.filter(gap)
     stats = data.agg(*[F.avg(f"x{j}").alias(f"m{j}") for j in range(nf)],
-                     F.count(F.when(gap, 1)).alias("__gaps")).first()
-    n_gaps = stats["__gaps"]
-    if n_gaps == 0:
-        return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
-    n_blocks = max(1, math.ceil(n_gaps / block_rows))
-    donors = spread(data)
-    parts = []
-    for b in range(n_blocks):
-        blk = receivers.filter(F.pmod(F.xxhash64("__key"), F.lit(n_blocks)) == b) if n_blocks > 1 else receivers
-        pdf = blk.toPandas()  # at most ~block_rows rows: bounded by max_block_bytes
-        if pdf.empty:
-            continue
-        R = pdf[[f"x{j}" for j in range(nf)]].to_numpy(dtype="float64")
-        rkeys = pdf["__key"].to_numpy(dtype="int64")
-        bc = spark.sparkContext.broadcast((R, rkeys))
-
-        def fn(batches, bc=bc):
-            R_, rk_ = bc.value
-            return _partial_topk(R_, rk_, k)(batches)
-        parts.append(donors.mapInPandas(fn, CANDIDATE_SCHEMA))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+                     F.count(F.when(gap, 1)).alias("__gaps"), F.count(F.lit(1)).alias("__rows")).first()
+    blocks = max(1, math.ceil(stats["__gaps"] / block_rows))
+    chunks = max(1, math.ceil(stats["__rows"] / chunk_rows), df.sparkSession.sparkContext.defaultParallelism)
+    deal = lambda salt, n: F.pmod(F.xxhash64("__key", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    receivers = data.filter(gap).select(deal(1, blocks).alias("b"), every(chunks).alias("c"), "*")
+    donors = data.select(deal(2, chunks).alias("c"), every(blocks).alias("b"), "*")
+
+    def meet(block, chunk):
+        R = block[[f"x{j}" for j in range(nf)]].to_numpy(dtype="float64")
+        found = list(_partial_topk(R, block["__key"].to_numpy(dtype="int64"), k)([chunk])) if len(block) else []
+        return found[0] if found else pd.DataFrame({"rk": [], "f": [], "dk": [], "d2": [], "v": []})
+
+    cand = receivers.groupBy("b", "c").cogroup(donors.groupBy("b", "c")).applyInPandas(meet, CANDIDATE_SCHEMA)
     w = Window.partitionBy("rk", "f").orderBy("d2", "dk")
     top = cand.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k)
     means = F.array(*[F.lit(stats[f"m{j}"]).cast("double") for j in range(nf)])
@@ -159,14 +147,7 @@ def impute_knn(df: DataFrame, key: str | None, k: int = 5, columns: list[str] |
         F.when(F.min("d2") < F.lit(float("inf")), F.avg("v")).otherwise(means[F.col("f")]).alias("val"))
     wide = filled.groupBy("rk").agg(*[F.max(F.when(F.col("f") == j, F.col("val"))).alias(f"i{j}")
                                       for j in range(nf)])
-    joined = df.join(wide, df[key].cast("long") == wide["rk"], "left")
-    out = []
-    for c in df.columns:
-        if c in cols:
-            j = cols.index(c)
-            v = F.col(c).cast("double")
-            v = F.when(~F.isnan(v), v)
-            out.append(F.coalesce(v, F.col(f"i{j}")).alias(c))
-        else:
-            out.append(df[c])
-    return joined.select(*out)
+    joined = rows.join(wide, rows["__key"] == wide["rk"], "left")
+    return joined.select(*[
+        F.coalesce(present(df, c).cast("double"), F.col(f"i{cols.index(c)}")).alias(c) if c in cols else F.col(c)
+        for c in df.columns])

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.columns import (DATETIME, FRACTIONAL, NUMERIC, datetime_named_columns,
-                                         is_missing, micros_to_ntz, ntz_micros, numeric_columns,
-                                         stat_categorical_columns, validate)
+                                         is_missing, micros_to_ntz, ntz_micros, numeric_columns, present,
+                                         skips_nan, stat_categorical_columns, validate)
 from tablelens.plans.distinct import distinct_counts
 from tablelens.plans.quantiles import quantiles
 
@@ -49,9 +49,10 @@ RECOMMENDATION_RULES = (
 
 
 def _method(approx: bool) -> str:
-    return "approx" if approx else "auto"
+    return "approx" if approx else "exact"
 
 
+@skips_nan
 def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = False,
              ndigits: int = 4) -> DataFrame:
     """pandas ``describe()`` of numeric columns, one row per column:
@@ -105,6 +106,7 @@ def _from_micros(e: Column) -> Column:
     return micros_to_ntz(F.floor(e).cast("long"))
 
 
+@skips_nan
 def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> DataFrame:
     """Per column: dtype, distinct, missing count and % (2 dp); numeric
     columns add min/max/mean/median, datetime columns the same as
@@ -126,7 +128,7 @@ def column_summary(df: DataFrame, approx: bool = False, ndigits: int = 4) -> Dat
     # medians in their own aggregate (see describe)
     row = df.agg(*aggs)
     med = quantiles(df, qcols, [0.5], method=_method(approx)).select("column", F.col("q")[0].alias("__med"))
-    rows = F.col("__rows")
+    rows = F.nullif(F.col("__rows"), F.lit(0))  # an empty frame has no shares
     null_d, null_t = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
     structs = []
     for i, f in enumerate(fields):
@@ -197,7 +199,7 @@ def _power_sum_moments(df: DataFrame, cols: list[str], shift: dict) -> DataFrame
     row = df.select(*cols).agg(*aggs)
     structs = []
     for i, c in enumerate(cols):
-        n = F.col(f"n{i}").cast("double")
+        n = F.nullif(F.col(f"n{i}").cast("double"), F.lit(0.0))  # no moments without values
         e1, e2 = F.col(f"a{i}") / n, F.col(f"b{i}") / n
         e3, e4 = F.col(f"c{i}") / n, F.col(f"d{i}") / n
         m2 = e2 - e1 * e1
@@ -214,6 +216,7 @@ def _power_sum_moments(df: DataFrame, cols: list[str], shift: dict) -> DataFrame
     return row.select(F.inline(F.array(*structs)))
 
 
+@skips_nan
 def profile_numeric(df: DataFrame, columns: list[str] | None = None, approx: bool = False,
                     ndigits: int = 4) -> DataFrame:
     """Numeric profile per column: count, missing, mean, std, variance, sum,
@@ -243,7 +246,7 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None, approx: boo
         rd(q[4]).alias("p95"), rd(q[3] - q[1]).alias("iqr"),
         rd(F.when(F.col("mean") != 0, std / F.col("mean"))).alias("cv"),
         rd(skew).alias("skewness"), rd(kurt).alias("kurtosis"), "zeros", "negatives",
-        "distinct", F.round(F.col("distinct") * 100.0 / F.col("count"), 2).alias("distinct_pct"),
+        "distinct", F.round(F.col("distinct") * 100.0 / F.nullif(F.col("count"), F.lit(0)), 2).alias("distinct_pct"),
         ((F.col("distinct") == F.col("count")) & (F.col("count") > 0)).alias("is_unique"))
 
 
@@ -266,7 +269,7 @@ def profile_string(df: DataFrame, columns: list[str] | None = None) -> DataFrame
                  F.col(f"lmax{i}").alias("max_length"))
         for i, c in enumerate(cols)]))).join(distinct_counts(df, cols), "column")
     return out.select("column", "count", "missing", "distinct",
-                      F.round(F.col("distinct") * 100.0 / F.col("count"), 2).alias("distinct_pct"),
+                      F.round(F.col("distinct") * 100.0 / F.nullif(F.col("count"), F.lit(0)), 2).alias("distinct_pct"),
                       ((F.col("distinct") == F.col("count")) & (F.col("count") > 0)).alias("is_unique"),
                       "min_length", "mean_length", "max_length")
 
@@ -280,6 +283,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         (F.coalesce("rows", F.lit(0).cast("long")) - F.col("distinct_rows")).alias("duplicate_rows"))
 
 
+@skips_nan
 def quality_alerts(df: DataFrame) -> DataFrame:
     """Data-quality alerts per column: CONSTANT, UNIQUE, MISSING,
     MOSTLY_MISSING, ZEROS, SKEWED, HIGH_CARDINALITY.  ``(column, alert,
@@ -298,7 +302,7 @@ def quality_alerts(df: DataFrame) -> DataFrame:
     row = df.agg(*aggs)
     r_d = wide.first()  # one number per column
     row = row.select("*", *[F.lit(r_d[f"d{i}"]).cast("long").alias(f"d{i}") for i in range(len(fields))])
-    rows = F.col("__rows").cast("double")
+    rows = F.nullif(F.col("__rows").cast("double"), F.lit(0.0))
     alerts = []
     for i, f in enumerate(fields):
         n, d = F.col(f"n{i}").cast("double"), F.col(f"d{i}")
@@ -310,7 +314,7 @@ def quality_alerts(df: DataFrame) -> DataFrame:
             (f.name, "MOSTLY_MISSING", miss > MOSTLY_MISSING_SHARE, miss),
         ]
         if isinstance(f.dataType, NUMERIC):
-            zs = F.col(f"z{i}") / n
+            zs = F.col(f"z{i}") / F.nullif(n, F.lit(0.0))
             skew = F.when(n >= 3, F.col(f"g1{i}") * F.sqrt(n * (n - 1)) / (n - 2))
             alerts += [(f.name, "ZEROS", zs > ZEROS_SHARE, zs),
                        (f.name, "SKEWED", F.abs(skew) > SKEWNESS_THRESHOLD, skew)]
@@ -325,7 +329,7 @@ def quality_alerts(df: DataFrame) -> DataFrame:
 def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Rows outside [Q1 - k IQR, Q3 + k IQR] (the box-plot fences)."""
     validate(df, column)
-    v = F.col(column).cast("double")
+    v = present(df, column).cast("double")
     q = quantiles(df, [column], [0.25, 0.75]).first()["q"]
     if q is None:
         return df.limit(0)
@@ -336,7 +340,7 @@ def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
 def outliers_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
     """Rows with |value - mean| / std > threshold (sample std)."""
     validate(df, column)
-    v = F.col(column).cast("double")
+    v = present(df, column).cast("double")
     r = df.agg(F.avg(v).alias("m"), F.stddev_samp(v).alias("s")).first()
     if r["s"] is None or r["s"] == 0:
         return df.limit(0)

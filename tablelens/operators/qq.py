@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from tablelens.functions.special import probit
 from tablelens.plans.ranking import expand_ranks, value_runs
 
-# Filliben's order-statistic median constants; output thinning.
+# Filliben's order-statistic median constants.
 FILLIBEN_A = 0.3175
 FILLIBEN_B = 0.365
-MAX_POINTS = 1000
 
 
 def filliben(rank: Column, n: int) -> Column:
@@ -22,11 +21,19 @@ def filliben(rank: Column, n: int) -> Column:
     return F.when(rank == n, F.lit(last)).when(rank == 1, F.lit(1.0 - last)).otherwise(mid)
 
 
-def qq_positions(df: DataFrame, column: str, max_points: int = MAX_POINTS,
+def qq_positions(df: DataFrame, column: str, max_points: int | None = None,
                  ndigits: int = 6) -> DataFrame:
-    """At most ``max_points`` evenly spaced ranks: ``(point, rank, value,
-    prob, theoretical)``; rank j maps to 1 + floor(j (n-1) / (m-1))."""
+    """Every point of the plot, as runs of equal values: ``(rank, count,
+    value, prob, theoretical)`` where ``rank`` is a run's first rank and prob
+    and theoretical belong to it; the run's other points are the ``count - 1``
+    ranks after it.  With ``max_points``, a thinned plot instead: at most so
+    many evenly spaced ranks ``(point, rank, value, prob, theoretical)``; rank
+    j maps to 1 + floor(j (n-1) / (m-1))."""
     runs, n = value_runs(df, column)
+    if max_points is None:
+        p = filliben(F.col("start"), max(n, 1))
+        return runs.select(F.col("start").alias("rank"), F.col("cnt").alias("count"), F.col("v").alias("value"),
+                           F.round(p, 8).alias("prob"), F.round(probit(p), ndigits).alias("theoretical"))
     m = min(n, max_points)
     if n == 0:
         return df.sparkSession.createDataFrame([], "point int, rank long, value double, prob double, theoretical double")
@@ -60,7 +67,7 @@ def qq_fit(df: DataFrame, column: str, ndigits: int = 4) -> DataFrame:
 
 
 def qq_plot(df: DataFrame, column: str) -> DataFrame:
-    """Chart data: thinned points plus the fitted line's y at each point."""
+    """Chart data: all points (as runs) plus the fitted line's y at each run's first point."""
     fit = qq_fit(df, column).first()
     pos = qq_positions(df, column)
     if fit is None or fit["slope"] is None:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tablelens.functions.columns import validate
+from tablelens.functions.columns import skips_nan, validate
 
 # Default row cap of a query answer, and the declared rename map.
 MAX_ROWS = 30
@@ -64,6 +64,7 @@ def filter_project(df: DataFrame, predicate, columns: list[str]) -> DataFrame:
     return df.filter(pred).select(*columns)
 
 
+@skips_nan
 def groupby_agg(df: DataFrame, by: str, value: str, func: str = "mean",
                 alias: str | None = None) -> DataFrame:
     """``df.groupby(by)[value].<func>()``: null keys dropped as pandas does."""
@@ -74,6 +75,7 @@ def groupby_agg(df: DataFrame, by: str, value: str, func: str = "mean",
             .agg(fn(value).alias(alias or f"{func}_{value}")))
 
 
+@skips_nan
 def top_n(df: DataFrame, by: str, value: Column | str, n: int = 10,
           agg: str = "sum", alias: str = "total", ndigits: int | None = 2) -> DataFrame:
     """Top ``n`` groups by an aggregate, ties broken by key ascending."""
@@ -86,6 +88,7 @@ def top_n(df: DataFrame, by: str, value: Column | str, n: int = 10,
             .orderBy(F.col(alias).desc(), F.col(by)).limit(n))
 
 
+@skips_nan
 def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """``value_counts``: descending count, nulls dropped, ties by value."""
     validate(df, column)

@@ -13,8 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import (numeric_columns, stat_categorical_columns,
-                                         validate)
+from tablelens.functions.columns import numeric_columns, skips_nan, stat_categorical_columns, validate
 from tablelens.functions.special import chi2_pvalue, f_pvalue
 from tablelens.session import cut_lineage, ship_package
 
@@ -54,6 +53,7 @@ def _guarded_corr(i: int) -> Column:
     return F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+@skips_nan
 def corr_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per unordered pair ``(col1, col2, corr, n)``."""
     cols = columns or numeric_columns(df)
@@ -142,6 +142,7 @@ def _corr_from_sums(n, sa, sb, saa, sbb, sab) -> Column:
     return F.when((n > 1) & (va > 0) & (vb > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+@skips_nan
 def corr_matrix(df: DataFrame, columns: list[str] | None = None,
                 ndigits: int | None = 4) -> DataFrame:
     """Pearson matrix in long form ``(col1, col2, corr)``, both orders plus
@@ -208,6 +209,7 @@ def strong_correlations(df: DataFrame, columns: list[str] | None = None,
         .orderBy(F.col("strength").desc(), "col1", "col2"))
 
 
+@skips_nan
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Long-form contingency table ``(a, b, count)``; nulls dropped."""
     validate(df, a, b)
@@ -241,6 +243,7 @@ def _grouped_stats(df: DataFrame, cats: list[str], nums: list[str]) -> DataFrame
         for j, n in enumerate(nums)])))
 
 
+@skips_nan
 def anova(df: DataFrame, cat_cols: list[str] | None = None,
           num_cols: list[str] | None = None) -> DataFrame:
     """One-way ANOVA F for every (categorical, numeric) pair.
@@ -271,12 +274,15 @@ def anova(df: DataFrame, cat_cols: list[str] | None = None,
     res = res.filter(F.col("n_groups") >= 2)
     dfb = F.col("n_groups") - 1
     dfw = F.col("n") - F.col("n_groups")
-    f = F.when((F.col("ssw") > 0) & (dfw > 0), (F.col("ssb") / dfb) / (F.col("ssw") / dfw))
+    # groups without spread that differ are perfectly separated
+    f = (F.when((F.col("ssw") > 0) & (dfw > 0), (F.col("ssb") / dfb) / (F.col("ssw") / dfw))
+         .when((F.col("ssb") > 0) & (dfw > 0), F.lit(float("inf"))))
     return res.select("cat_col", "num_col", f.alias("f_stat"),
                       dfb.cast("long").alias("df_between"), dfw.cast("long").alias("df_within"),
                       F.col("n_groups").cast("long").alias("n_groups"), F.col("n").cast("long").alias("n"))
 
 
+@skips_nan
 def chi_square(df: DataFrame, columns: list[str] | None = None,
                correction: bool = True) -> DataFrame:
     """Chi-square independence statistic for every pair of categorical

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.columns import DATETIME, FRACTIONAL, NUMERIC, as_number
+from tablelens.functions.columns import DATETIME, FRACTIONAL, NUMERIC, as_number, skips_nan
 
 
 def _as_key(df: DataFrame, c: str) -> tuple[str, Column]:
@@ -29,6 +29,7 @@ def _as_key(df: DataFrame, c: str) -> tuple[str, Column]:
     return "s", col.cast("string")
 
 
+@skips_nan
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, distinct)`` with nulls not counted (``countDistinct``).
     One unpivot with one typed slot per family (double / long / string),

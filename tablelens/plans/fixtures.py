@@ -87,6 +87,16 @@ def events_shift(t: Tables) -> DataFrame:
                            .otherwise(F.col("value")).alias("value"))
 
 
+def events_nan(t: Tables) -> DataFrame:
+    """NaN beside null: NaN at every fifth event, null at every seventh; ``tax``
+    follows ``value`` but for its own NaNs, ``nothing`` has no value at all."""
+    k = F.col("event_id")
+    nan = F.lit(float("nan"))
+    value = F.when(k % 7 == 0, F.lit(None)).when(k % 5 == 0, nan).otherwise(F.col("value"))
+    tax = F.when(k % 3 == 0, nan).otherwise(F.col("value") * 0.1 + k % 11)
+    return t.events.select("event_type", value.alias("value"), tax.alias("tax"), F.when(k % 2 == 0, nan).alias("nothing"))
+
+
 def flags(t: Tables) -> DataFrame:
     return t.lineitem.select("l_returnflag", "l_linestatus")
 
@@ -119,6 +129,9 @@ DERIVED_SQL = {
     "line_net": """SELECT l_extendedprice, l_extendedprice * (1 - l_discount) AS net, l_quantity FROM lineitem""",
     "events_plain": "SELECT event_type, value FROM events",
     "events_shift": """SELECT event_type, CASE WHEN event_type = 'click' THEN value + 50 ELSE value END AS value FROM events""",
+    # a missing value is one thing here: NaN above is NULL
+    "events_nan": """SELECT event_type, CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 THEN value END AS value,
+        CASE WHEN event_id % 3 <> 0 THEN value * 0.1 + event_id % 11 END AS tax, CAST(NULL AS DOUBLE) AS nothing FROM events""",
     "flags": "SELECT l_returnflag, l_linestatus FROM lineitem",
     "status_2x2": """SELECT o_orderstatus = 'P' AS is_pending, o_orderpriority = '1-URGENT' AS is_urgent FROM orders""",
 }

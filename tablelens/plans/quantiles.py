@@ -6,15 +6,15 @@ merges all partial maps of a group in ONE task: for a global quantile of a
 near-unique column that is the whole column in one task.  This plan never
 does that:
 
-1. one scan: per column count, distinct sketch and up to ``MAX_CUTS`` cut
-   points from ``percentile_approx``;
+1. one scan: per column a distinct sketch, and cut points from
+   ``percentile_approx``, one per ``ROWS_PER_BUCKET`` distinct values;
 2. values are range-bucketed (JVM binary search, ``Bucketizer``) and
    collapsed to runs ``(group, column, bucket, v, cnt)`` - a value held by
    a third of all rows is one row after the partial aggregate;
 3. cumulative counts inside each (group, column, bucket); bucket offsets
-   from prefix sums over the bucket table (<= MAX_CUTS rows per group);
-4. the target ranks of each probability are located in their bucket and
-   joined to the runs on (group, column, bucket).
+   from prefix sums over the bucket table;
+4. the target ranks of each probability are located in their bucket, and only
+   those buckets' runs are ranked and joined.
 
 Results are exact: buckets only decide where the work happens.
 """
@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import as_number
+from tablelens.session import cut_lineage
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_CUTS = 512
+ROWS_PER_BUCKET = 100_000
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs, by: list[str] | None = None,
-                   rows_per_bucket: int = ROWS_PER_BUCKET, max_cuts: int = MAX_CUTS,
+                   rows_per_bucket: int = ROWS_PER_BUCKET,
                    distinct: dict | None = None) -> DataFrame:
     """``(by..., column, q)`` where ``q`` is the array of quantiles at
     ``probs`` (null for a column/group without values)."""
@@ -48,12 +48,12 @@ def quantile_table(df: DataFrame, columns: list[str], probs, by: list[str] | Non
     nb = {}
     for i, c in enumerate(columns):
         d = distinct[c] if distinct is not None else (dist[f"d{i}"] or 0)
-        nb[c] = max(1, min(max_cuts, math.ceil(d / rows_per_bucket)))
+        nb[c] = max(1, math.ceil(d / rows_per_bucket))
     need = [c for c in columns if nb[c] > 1]
     splits = {c: [float("-inf"), float("inf")] for c in columns}
     if need:
         row = df.agg(*[F.percentile_approx(F.when(~F.isnan(num[c]), num[c]),
-                                           [k / nb[c] for k in range(1, nb[c])], 10 * max_cuts).alias(f"g{j}")
+                                           [k / nb[c] for k in range(1, nb[c])], max(10_000, 20 * nb[c])).alias(f"g{j}")
                        for j, c in enumerate(need)]).first()
         for j, c in enumerate(need):
             cuts = sorted({float(x) for x in (row[f"g{j}"] or [])})
@@ -71,15 +71,13 @@ def quantile_table(df: DataFrame, columns: list[str], probs, by: list[str] | Non
                  (F.col(f"b{i}").cast("int") if c in multi else F.lit(0)).alias("bucket"))
         for i, c in enumerate(columns)]))).filter(F.col("v").isNotNull())
     keys = [*by, "column"]
-    runs = long.groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    # read several times below: written once to the shared folder
+    runs = cut_lineage(long.groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("cnt")))
     # 3. offsets of buckets (small table: groups x columns x buckets)
     tot = runs.groupBy(*keys, "bucket").agg(F.sum("cnt").alias("btot"))
     wb = Window.partitionBy(*keys).orderBy("bucket")
     offs = tot.select(*keys, "bucket", "btot", (F.sum("btot").over(wb) - F.col("btot")).alias("off"),
                       F.sum("btot").over(Window.partitionBy(*keys)).alias("n"))
-    wr = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = runs.select(*keys, "bucket", "v", "cnt",
-                         (F.sum("cnt").over(wr) - F.col("cnt") + 1).alias("start_in"))
     # 4. target ranks -> their bucket -> their run
     sizes = offs.select(*keys, "n").distinct()
     targ = sizes.select(*keys, "n", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("pi", "p"))
@@ -88,6 +86,10 @@ def quantile_table(df: DataFrame, columns: list[str], probs, by: list[str] | Non
                        F.explode(F.array((F.floor(pos) + 1).cast("long"), (F.ceil(pos) + 1).cast("long"))).alias("r"))
     tb = targ.join(offs.select(*keys, "bucket", "off", "btot"), keys).filter(
         (F.col("r") > F.col("off")) & (F.col("r") <= F.col("off") + F.col("btot")))
+    # only the buckets that hold a target are ranked
+    wr = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = runs.join(tb.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi").select(
+        *keys, "bucket", "v", "cnt", (F.sum("cnt").over(wr) - F.col("cnt") + 1).alias("start_in"))
     hit = tb.join(ranked, [*keys, "bucket"]).filter(
         (F.col("r") - F.col("off") >= F.col("start_in")) & (F.col("r") - F.col("off") < F.col("start_in") + F.col("cnt")))
     # value at floor and ceil rank, interpolated
@@ -96,47 +98,30 @@ def quantile_table(df: DataFrame, columns: list[str], probs, by: list[str] | Non
     out = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pi", "val"))).alias("qs"))
     out = out.select(*keys, F.transform("qs", lambda s: s["val"]).alias("q"))
     names = spark.createDataFrame([(c,) for c in columns], "column string")
-    if by:
-        return out
+    if by:  # groups without values have a null q
+        groups = df.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+        return groups.join(out, keys, "left").select(*keys, "q")
     return names.join(out, "column", "left")
 
 
-# Input size (optimizer estimate, no job) up to which Spark's map-based
-# ``percentile`` is used: its single final task merges at most about the
-# input's worth of value -> count entries, which is bounded here.
-MAP_MAX_BYTES = 2 * 1024 ** 3
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - unknown size: treat as large
-        return 1 << 62
-
-
 def quantiles(df: DataFrame, columns: list[str], probs, by: list[str] | None = None,
-              method: str = "auto", distinct: dict | None = None,
-              map_max_bytes: int = MAP_MAX_BYTES) -> DataFrame:
-    """Exact (or ``approx``) quantiles ``(by..., column, q)``.
-
-    ``auto``: inputs estimated below ``map_max_bytes`` use Spark's exact
-    ``percentile`` in one aggregate; larger inputs use the distributed
-    :func:`quantile_table`, since a global ``percentile`` merges one
-    value -> count map per input partition in a single task.  ``map`` /
-    ``distributed`` force a path; ``approx`` uses ``percentile_approx``.
-    ``distinct`` (column -> count), when known, saves the sizing pass."""
+              method: str = "exact", distinct: dict | None = None) -> DataFrame:
+    """Exact (or ``approx``) quantiles ``(by..., column, q)``; a group or
+    column without values has a null ``q``, rows without a group drop out
+    (as pandas' groupby).
+
+    Exact ones always come from :func:`quantile_table`; ``approx`` uses
+    ``percentile_approx``.  ``distinct`` (column -> count), when known, saves
+    the sizing pass."""
     by = list(by or [])
+    df = df.dropna("any", subset=by) if by else df
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, q array<double>")
-    if method == "auto":
-        method = "map" if estimated_bytes(df.select(*by, *columns)) <= map_max_bytes else "distributed"
-    if method == "distributed":
+    if method != "approx":
         return quantile_table(df, columns, probs, by, distinct=distinct)
     num = {c: as_number(df, c) for c in columns}
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    fn = (lambda v: F.percentile_approx(v, arr, 10000)) if method == "approx" else (lambda v: F.percentile(v, arr))
     g = df.groupBy(*by) if by else df
-    row = g.agg(*[fn(F.when(~F.isnan(num[c]), num[c])).alias(f"q{i}") for i, c in enumerate(columns)])
+    row = g.agg(*[F.percentile_approx(num[c], arr, 10000).alias(f"q{i}") for i, c in enumerate(columns)])
     return row.select(*by, F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)])))

@@ -824,14 +824,13 @@ def _dialogue_messages(t: Tables):
     return chat.dialogue_messages(chat.chat_log_from_turns(t.conversations))
 
 
-# Example prompts from the reference's documentation, added to
-# the conversation messages because the fixture text is invented words.
+# Prompts that reach every intent, added to the conversation messages because
+# the fixture text is invented words.
 EXAMPLE_PROMPTS = (
-    "list datasets", "switch to sales data", "use customer file", "/profile", "/insights", "/help", "/reset",
-    "What are the key relationships in my data?", "Create an interactive histogram of age distribution",
-    "Show me correlations between numerical columns", "Generate a pie chart of product categories",
-    "What data quality issues should I address?", "Switch to sales data and show top 10 products",
-    "Use customer file and create a pie chart of countries", "Load inventory data and analyze stock levels",
+    "please list datasets", "switch to harvest data", "could you use the rainfall table", "/profile", " /insights ", "/help", "/reset",
+    "which columns move together?", "a histogram of heights, please", "draw a pie of the regions",
+    "Switch to orchard data and count the trees", "use old notes then switch to sales", "go to the last dataset",
+    "work with  soil.csv", "because of the paragraph", "open my file and then load wells", "show datasets and plot the newest",
 )
 
 
@@ -853,15 +852,17 @@ def _intents_sql() -> str:
             f"TIMESTAMP '2024-01-01 00:00:00' + to_seconds(turn) AS timestamp FROM "
             f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL {ex})")
     low = "lower(content)"
-    clause = f"regexp_extract({low}, '{chat.SWITCH_RE}', 1)"
-    words = f"list_filter(string_split(trim({clause}), ' '), lambda w: w <> '' AND NOT list_contains({_sql_list(chat.STOP_WORDS)}, w))"
-    target = f"nullif(array_to_string({words}, ' '), '')"
+    # the eight phrases one after another: the word after the phrase, unless it is a stop word
+    tries = [f"regexp_extract({low}, '(?:^|[^\\p{{L}}\\p{{N}}_]){p} (.+?)(?:[ \\t\\n]|$)', 1)"
+             for p in ("switch to", "use", "load", "change to", "open", "analyze", "work with", "go to")]
+    stop = "('the', 'my', 'dataset', 'data', 'file', 'table', 'previous', 'old', 'new', 'last', '')"
+    target = "coalesce(" + ", ".join(f"CASE WHEN trim({e}) NOT IN {stop} THEN trim({e}) END" for e in tries) + ")"
     follow = f"trim(regexp_extract({low}, '{chat.FOLLOW_RE}', 1))"
     has = f"regexp_matches({low}, '{chat.SWITCH_RE}')"
     listing = " OR ".join(f"contains({low}, '{p}')" for p in chat.LIST_PHRASES)
     return (f"SELECT conv_id, id, role, content, timestamp, "
             f"CASE WHEN list_contains({_sql_list(chat.COMMANDS)}, trim({low})) THEN trim({low}) END AS command, "
-            f"CASE WHEN {has} THEN {target} END AS switch_target, "
+            f"{target} AS switch_target, "
             f"CASE WHEN {has} AND length({follow}) > 3 THEN {follow} END AS follow_up, "
             f"({listing}) AS list_intent, regexp_matches({low}, '{chat.PLOT_RE}') AS plot_intent "
             f"FROM ({msgs})")
@@ -943,12 +944,10 @@ p AS (SELECT *, """ + _FILL + """ AS prob FROM r)"""
 
 
 @register("qq_positions", _QQ_RANKED + """,
-m AS (SELECT least(max(n), 1000) AS m, max(n) AS n FROM r),
-pts AS (SELECT CAST(j AS INTEGER) AS point, CASE WHEN m.m = 1 THEN 1 ELSE 1 + (j * (m.n - 1)) // (m.m - 1) END AS rank
-        FROM m, range(0, m.m) t(j))
-SELECT point, CAST(pts.rank AS BIGINT) AS rank, p.value, round(prob, 8) AS prob,
+f AS (SELECT value, min(rank) AS rank, count(*) AS count FROM p GROUP BY value)
+SELECT CAST(f.rank AS BIGINT) AS rank, f.count, f.value, round(prob, 8) AS prob,
        round(""" + _probit_sql("prob") + """, 6) AS theoretical
-FROM pts JOIN p ON p.rank = pts.rank""")
+FROM f JOIN p ON p.rank = f.rank""")
 def _qq_positions(t: Tables):
     return qqmod.qq_positions(t.events, "value")
 
@@ -999,7 +998,7 @@ def _scan_csv_latin1(t: Tables):
     UTF-8 and re-reads as latin1, so accented text survives."""
     path = files.write_csv(t.conversations, scratch_path(t.spark, "csv-latin1") + "/conv.csv",
                            encoding="ISO-8859-1")
-    return files.read_csv(t.spark, path)
+    return files.read_csv(t.spark, path, multiline=True)
 
 
 @register("scan_csv_na", with_derived("""
@@ -1082,3 +1081,82 @@ def _chart_pack_plan(t: Tables):
 @register("chart_pack")
 def _chart_pack(t: Tables):
     return chart_pack(t.orders)
+
+
+# ------------------------------------------- missing values: NaN beside null
+
+_NAN_NUM = ["value", "tax", "nothing"]
+
+
+def _on_nan(sql: str) -> str:
+    return with_derived(sql, "events_nan")
+
+
+@register("describe_nan", _on_nan(_union([
+    f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, "
+    f"round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, "
+    f"round(max({c}), 4) AS max FROM events_nan" for c in _NAN_NUM])))
+def _describe_nan(t: Tables):
+    return profile.describe(fx.events_nan(t))
+
+
+@register("profile_numeric_nan", _on_nan(_profile_numeric_sql("events_nan", _NAN_NUM).replace("* 100.0 / count(", "* 100.0 / nullif(count(").replace("), 2) AS distinct_pct", "), 0), 2) AS distinct_pct")))
+def _profile_numeric_nan(t: Tables):
+    return profile.profile_numeric(fx.events_nan(t))
+
+
+@register("corr_matrix_nan", _on_nan(_corr_sql("events_nan", _NAN_NUM, 4)))
+def _corr_matrix_nan(t: Tables):
+    return relations.corr_matrix(fx.events_nan(t))
+
+
+@register("anova_nan", "WITH events_nan AS (" + fx.DERIVED_SQL["events_nan"] + ")," + _ANOVA_SQL.format(name="events_nan") + "\nSELECT * FROM events_nan_r")
+def _anova_nan(t: Tables):
+    return relations.anova(fx.events_nan(t).select("event_type", "value")).select(
+        F.lit("events_nan").alias("dataset"), "cat_col", "num_col", F.round("f_stat", 4).alias("f_stat"), "df_between", "df_within", "n_groups", "n")
+
+
+@register("groupby_mean_nan", _on_nan("SELECT event_type, round(avg(value), 4) AS mean_value FROM events_nan WHERE event_type IS NOT NULL GROUP BY event_type"))
+def _groupby_mean_nan(t: Tables):
+    out = query.groupby_agg(fx.events_nan(t), "event_type", "value")
+    return out.select("event_type", F.round("mean_value", 4).alias("mean_value"))
+
+
+@register("distinct_nan", _on_nan(_union([f"SELECT '{c}' AS column, count(DISTINCT {c}) AS distinct FROM events_nan" for c in ["event_type", *_NAN_NUM]])))
+def _distinct_nan(t: Tables):
+    return query.nunique(fx.events_nan(t))
+
+
+@register("outliers_iqr_nan", _on_nan("""SELECT event_type, value FROM events_nan, (
+SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events_nan)
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)"""))
+def _outliers_iqr_nan(t: Tables):
+    return profile.outliers_iqr(fx.events_nan(t), "value").select("event_type", "value")
+
+
+@register("histogram_nan", _on_nan(f"""
+SELECT bin, round(lo + bin * ((hi - lo) / 50), 4) AS bin_lo, round(lo + (bin + 1) * ((hi - lo) / 50), 4) AS bin_hi, count(*) AS count
+FROM (SELECT {_bin_sql('value', 'lo', 'hi', 50)} AS bin, lo, hi FROM events_nan, (SELECT min(value) AS lo, max(value) AS hi FROM events_nan)
+      WHERE value IS NOT NULL) GROUP BY bin, lo, hi"""))
+def _histogram_nan(t: Tables):
+    return charts.histogram(fx.events_nan(t), "value")
+
+
+@register("bar_topn_nan", _on_nan("""
+SELECT event_type, round(avg(value), 4) AS mean_y, round(sum(value), 2) AS sum_y, count(value) AS count
+FROM events_nan WHERE event_type IS NOT NULL GROUP BY event_type HAVING count(value) > 0 ORDER BY mean_y DESC, event_type LIMIT 3"""))
+def _bar_topn_nan(t: Tables):
+    return charts.bar_top_n(fx.events_nan(t), "event_type", "value", 3)
+
+
+@register("pie_all", """
+SELECT o_custkey, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey""")
+def _pie_all(t: Tables):
+    """G9 without a limit: every value's share."""
+    return charts.pie_top_n(t.orders, "o_custkey", None)
+
+
+@register("impute_knn_nokey", _KNN_SQL)
+def _impute_knn_nokey(t: Tables):
+    """C5 without a key: ties go to the earlier row."""
+    return _rounded(impute_knn(fx.part_gap_mid(t).orderBy("p_partkey")), ["p_size", "p_retailprice"])

@@ -71,28 +71,37 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _is_utf8(spark: SparkSession, path: str) -> bool:
+def _by_encoding(spark: SparkSession, path: str) -> list[tuple[str, list[str] | str]]:
+    """(encoding, files): the names of files with an undecodable line are read back, nothing else."""
     lines = spark.read.text(path)
-    return lines.filter(~F.is_valid_utf8(F.col("value"))).limit(1).count() == 0
+    bad = {r[0] for r in lines.filter(~F.is_valid_utf8(F.col("value"))).select(F.input_file_name()).distinct().collect()}
+    if not bad:
+        return [("UTF-8", path)]
+    good = sorted(f for f in lines.inputFiles() if f not in bad)
+    return ([("UTF-8", good)] if good else []) + [("ISO-8859-1", sorted(bad))]
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = True,
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = False,
              sep: str = ",", na_tokens=NA_TOKENS, typed: bool = True) -> DataFrame:
     """Scan CSV file(s) with a header row.  Missing path, empty file and
-    undecodable file are distinct errors; non-UTF-8 input is re-read as
-    latin1.  ``multiline`` allows quoted line breaks (as pandas does); turn
-    it off for very large single files so they can be split."""
+    undecodable file are distinct errors; each file that isn't UTF-8 is read
+    as latin1, the others aren't.  ``multiline`` allows quoted line breaks (as
+    pandas does), but such files can't be split over tasks."""
     try:
-        enc = encoding or ("UTF-8" if _is_utf8(spark, path) else "ISO-8859-1")
+        groups = [(encoding, path)] if encoding else _by_encoding(spark, path)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise FileNotFoundError(path) from exc
         raise
-    df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
-          .option("escape", '"').option("encoding", enc).option("sep", sep)
-          .option("nullValue", None).option("emptyValue", "").csv(path))
-    if not df.columns:
+    parts = [spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
+             .option("escape", '"').option("encoding", enc).option("sep", sep)
+             .option("nullValue", None).option("emptyValue", "").csv(files) for enc, files in groups]
+    parts = [x for x in parts if x.columns]
+    if not parts:
         raise SourceError(f"empty CSV file: {path}")
+    df = parts[0]
+    for x in parts[1:]:
+        df = df.unionByName(x, allowMissingColumns=True)
     df = _na_to_null(df, na_tokens)
     return infer_types(df) if typed else df
 

@@ -34,7 +34,7 @@ def test_csv_latin1_and_na_tokens(spark):
     d = _tmp()
     with open(f"{d}/l1.csv", "wb") as fh:
         fh.write("name,qty,flag\nCafé,1,True\nNA,n/a,False\nÜber,3,\n".encode("latin-1"))
-    assert not files._is_utf8(spark, f"{d}/l1.csv")
+    assert [e for e, _ in files._by_encoding(spark, f"{d}/l1.csv")] == ["ISO-8859-1"]
     rows = files.read_csv(spark, f"{d}/l1.csv").collect()
     assert [r["name"] for r in rows] == ["Café", None, "Über"]
     assert [r["qty"] for r in rows] == [1, None, 3]

@@ -15,9 +15,9 @@ listed.  Documents of equal sets are one class.  Then
 2. confirmed links give components, and only buckets that still hold classes of
    different components give pairs, across components. How two classes differ from a
    common centre bounds how much they have in common, so most pairs of edited copies
-   are refuted there; the others within the signature distance are compared in full,
-   each in its first common bucket. So every pair within the distance is confirmed,
-   refuted or inside a component.
+   are refuted there; the others that meet are compared in full, each in its first
+   common bucket. So every pair within the distance is confirmed, refuted or inside a
+   component.
 
 Buckets are ordinary joins and pre-aggregated groups, so a bucket of any size is
 spread over tasks.
@@ -38,6 +38,9 @@ from tablelens.llm.words import U64, Words, blank_table, buffers, folded, i64, m
 from tablelens.session import ship_package
 
 CHUNKS, CHUNK = 12, 6
+#: Pairs across components are compared up to so many unequal symbols: four deviations beyond
+#: what pairs at similarity 0.8 have on average, more than the 2 * CHUNKS - 1 that are sure to meet.
+FAR = 28
 #: Classes of one bucket that are compared in one group.
 TILE = 2048
 #: Cells in which differences from a centre are counted.
@@ -149,7 +152,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) ->
 
 def _met(group: pa.Table, num: int, den: int) -> pa.Table:
     """Pairs (a, b) of a bucket's classes of two tiles and of different components whose signatures differ in at
-    most 2 * CHUNKS - 1 symbols, that their sizes and differences from a common centre let be similar enough, and
+    most FAR symbols, that their sizes and differences from a common centre let be similar enough, and
     whose first common key this is.  Sets x, y differ in |x ^ y| = |x ^ m| + |y ^ m| - 2 |(x ^ m) & (y ^ m)| elements."""
     group = group.combine_chunks()
     slot = group["slot"][0].as_py()
@@ -175,7 +178,7 @@ def _met(group: pa.Table, num: int, den: int) -> pa.Table:
             near = wrong <= 1
             first = near.argmax(1) == chunk
             mine = np.where(wrong[:, chunk] == 1, unequal[:, chunk, left_out], left_out == 0)
-            ok = (wrong.sum(1) <= 2 * CHUNKS - 1) & near[:, chunk] & first & mine
+            ok = (wrong.sum(1) <= FAR) & near[:, chunk] & first & mine
             a, b = a[ok], b[ok]
             # of one centre: elements in which both differ from it are counted from above, cell by cell
             shared = np.minimum(diff[a], diff[b]).sum(1, dtype=np.int64)

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from tablelens.session import ship_package
 
 #: Distinct words, and blank-separated pieces, whose ids a Python worker remembers.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 150_000
 #: Text that one step encodes.
 STEP_CHARS = 2 << 20
 #: Blank: what Unicode calls white space.
@@ -246,6 +246,10 @@ class Bpe:
         get = known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.pieces.clear()
+
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -281,41 +285,49 @@ def _steps(column: pa.Array, most: int):
         yield first, len(column)
 
 
-def _add(df: DataFrame, source: str, new: list[T.StructField], make) -> DataFrame:
-    """``df`` with columns that ``make`` computes from steps of ``source``."""
+def _add(df: DataFrame, source: str, new: list[T.StructField], sent, make) -> DataFrame:
+    """``df`` with columns that ``make`` computes with the model from steps of ``source``."""
     names = [f.name for f in new]
     keep = [c for c in df.columns if c.lower() not in names]
     if source not in keep:
         raise ValueError(f"{source} cannot be both read and replaced")
 
     def run(batches):
+        model = _model(sent)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(source))
             for i, j in _steps(column, STEP_CHARS):
                 rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *make(column.slice(i, j - i))], [*rows.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*rows.columns, *make(model, column.slice(i, j - i))], [*rows.schema.names, *names])
+        model.forget()  # the worker lives on after the task
 
     src = df.select(*[f"`{c}`" for c in keep])
     return src.mapInArrow(run, T.StructType([*src.schema.fields, *new]))
 
 
-def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
-    """Adds ``ids`` (binary: little-endian unsigned 32-bit integers) and ``n_tokens`` (long)."""
-    sent = _send(df, path)
+def _ids(model: Bpe, column: pa.Array) -> tuple[list[bytes], pa.Array, pa.Array]:
+    out = model.encode([t or "" for t in column.to_pylist()])
+    return out, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())
 
-    def make(column):
-        out = _model(sent).encode([t or "" for t in column.to_pylist()])
-        return pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())
 
-    return _add(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())], make)
+def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
+    """Adds ``ids`` (binary: little-endian unsigned 32-bit integers) and ``n_tokens`` (long)."""
+    return _add(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())], _send(df, path),
+                lambda model, column: _ids(model, column)[1:])
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``decoded``: the text of ``ids``."""
-    sent = _send(df, path)
+    return _add(df, ids, [T.StructField(decoded, T.StringType())], _send(df, path),
+                lambda model, column: [pa.array([model.decode(x or b"") for x in column.to_pylist()], pa.string())])
 
-    def make(column):
-        model = _model(sent)
-        return [pa.array([model.decode(x or b"") for x in column.to_pylist()], pa.string())]
 
-    return _add(df, ids, [T.StructField(decoded, T.StringType())], make)
+def encode_decode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens",
+                  decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass over the texts, by one worker a task."""
+    def make(model, column):
+        out, packed, n = _ids(model, column)
+        return packed, n, pa.array(list(map(model.decode, out)), pa.string())
+
+    return _add(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType()), T.StructField(decoded, T.StringType())],
+                _send(df, path), make)

@@ -148,10 +148,9 @@ def vocabulary_path() -> str:
 @register("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids again; digests of both."""
-    from tablelens.llm.bpe import decode, encode
+    from tablelens.llm.bpe import encode_decode
 
-    path = vocabulary_path()
-    out = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    out = encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

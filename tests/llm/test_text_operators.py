@@ -185,6 +185,8 @@ def test_bpe(odd, clash, none, small):
             e = lib.encode(r.text or "", add_special_tokens=False).ids
             assert np.frombuffer(r.ids, "<u4").tolist() == e and r.n_tokens == len(e)
             assert r.decoded == lib.decode(e, skip_special_tokens=False)
+        both = bpe.encode_decode(df, vocabulary_path())
+        assert both.columns == out.columns and rows_of(both, "ids", "n_tokens", "decoded") == rows_of(out, "ids", "n_tokens", "decoded")
     assert bpe.encode(none, vocabulary_path()).count() == 0
 
 

@@ -30,7 +30,7 @@ from tablelens.session import ship_package
 
 GRAM_BITS = 16
 #: Text whose words are labelled in lockstep; a longer document is a step of its own.
-STEP_BYTES = 16 << 20
+STEP_BYTES = 4 << 20
 #: Share of a language's words that a script needs to count as one of its scripts.
 SCRIPT_SHARE = 0.001
 

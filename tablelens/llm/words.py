@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tablelens.session import scratch_path
 
 #: Text bytes that one numpy step works on; a longer document is one step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2**64
 

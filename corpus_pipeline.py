@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.bpe import decode, encode
+from tablelens.llm.bpe import encode_decode
 from tablelens.llm.decontaminate import decontaminate
 from tablelens.llm.line_dedup import dedup_lines
 from tablelens.llm.minhash import near_duplicates
@@ -58,9 +58,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids (packed), number of tokens and the digest of the decoded text."""
-    path = vocabulary_path()
     new = ("ids", "n_tokens", "decoded_sha256")
-    out = decode(encode(docs.select([c for c in docs.columns if c not in new]), path), path, decoded="_tl_decoded")
+    out = encode_decode(docs.select([c for c in docs.columns if c not in new]), vocabulary_path(), decoded="_tl_decoded")
     return out.withColumn("decoded_sha256", F.sha2(F.col("_tl_decoded").cast("binary"), 256)).drop("_tl_decoded")
 
 

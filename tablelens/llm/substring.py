@@ -11,7 +11,9 @@ minimisers:
    words) form a super-k-mer, one span of words, which travels as a packed string
    to the minimiser's bucket, once for all equal ones of a slice of documents;
 3. a bucket cuts its strings into windows again, sorts them, and finds the
-   first place (smallest id, then smallest start) of every window;
+   first place (smallest id, then smallest start) of every window; a minimiser whose
+   strings are too many for that (no number of buckets splits it) gets no bucket: its
+   distinct strings are cut into windows, rows that are grouped by their own hashes;
 4. super-k-mers with repeats are joined back to their places, and the words
    under windows that start elsewhere first are removed.
 
@@ -39,8 +41,9 @@ from tablelens.llm.words import (U64, Words, bitmap, blank_table, buffers, i64,
 from tablelens.session import ship_package
 
 FILTER_BITS = 27
-#: Packed bytes that one bucket should hold.
-BUCKET_BYTES = 16 << 20
+#: Packed bytes that one bucket should hold, and those of one minimiser from which its windows are dealt one by one.
+BUCKET_BYTES = 8 << 20
+HOT_BYTES = 4 << 20
 
 
 def _minimisers(w: Words, k: int, m: int):
@@ -179,11 +182,49 @@ def _bucket_firsts(strings: DataFrame, k: int, id_type: str) -> DataFrame:
         per = np.bincount(string[x], minlength=len(n))[pick]
         return pa.table({"s1": s1[pick], "s2": s2[pick], "runs": lists(runs, per)})
 
-    total = strings.agg(F.sum(F.length("packed"))).first()[0] or 0
+    few, hot = _by_bytes(strings)
+    total = few.agg(F.sum(F.length("packed"))).first()[0] or 0
     buckets = max(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    keyed = strings.select("doc_id", "s1", "s2", "packed", "first_start", "many", F.expr(f"pmod(g, {buckets})").alias("bucket"))
-    return keyed.groupBy("bucket").applyInArrow(
+    keyed = few.select("doc_id", "s1", "s2", "packed", "first_start", "many", F.expr(f"pmod(g, {buckets})").alias("bucket"))
+    out = keyed.groupBy("bucket").applyInArrow(
         firsts, f"s1 long, s2 long, runs array<struct<at:int,n:int,id:{id_type},start:int>>")
+    return out if hot is None else out.unionByName(_window_firsts(hot, k, id_type))
+
+
+def _by_bytes(strings: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Strings of minimisers of at most HOT_BYTES packed bytes, and those of the others, if any."""
+    # at most one row per HOT_BYTES of all strings
+    hot = materialise(strings.groupBy("g").agg(F.sum(F.length("packed")).alias("n")).filter(F.col("n") > HOT_BYTES).select("g"), "substring-hot")
+    if hot.isEmpty():
+        return strings, None
+    return strings.join(F.broadcast(hot), "g", "left_anti"), strings.join(F.broadcast(hot), "g", "left_semi")
+
+
+def _window_firsts(strings: DataFrame, k: int, id_type: str) -> DataFrame:
+    """The same as _bucket_firsts, without a group that has to fit a task: a row per window of each distinct string."""
+    table = blank_table()
+
+    def run(batches):
+        for rows, w in text_slices(batches, "packed", table):
+            n = w.counts - (k - 1)
+            string = np.repeat(np.arange(len(n)), n)
+            off = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
+            at = w.first[string] + off
+            which = pa.array(string)
+            yield pa.RecordBatch.from_arrays([
+                *[rows.column(c).take(which) for c in ("s1", "s2", "doc_id", "many")], pa.array(off.astype(np.int32)),
+                pa.array((rows.column("first_start").to_numpy()[string] + off).astype(np.int32)),
+                i64(window_hashes(w.hashes(0), k, 0)[at]), i64(window_hashes(w.hashes(1), k, 1)[at])],
+                ["s1", "s2", "doc_id", "many", "at", "start", "w1", "w2"])
+
+    once = (strings.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "first_start")).alias("p"),
+                                            (F.max("many") | (F.count(F.lit(1)) > 1)).alias("many"), F.first("packed").alias("packed"))
+            .select("s1", "s2", "p.doc_id", "p.first_start", "many", "packed"))
+    windows = once.mapInArrow(run, f"s1 long, s2 long, doc_id {id_type}, many boolean, at int, start int, w1 long, w2 long")
+    shared = (windows.groupBy("w1", "w2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "start")).alias("first"),
+                                              (F.max("many") | (F.count(F.lit(1)) > 1)).alias("many")).filter("many").drop("many"))
+    return (windows.select("s1", "s2", "at", "w1", "w2").join(shared, ["w1", "w2"])
+            .groupBy("s1", "s2").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "first.id", "first.start")).alias("runs")))
 
 
 def merged(spans: str) -> F.Column:

@@ -77,6 +77,24 @@ def test_substring_dedup(odd, clash, none):
     assert substring.repeated_spans(none).count() == 0
 
 
+def test_substring_dedup_of_a_hot_minimiser(spark, odd, none, monkeypatch):
+    """No bucket gets more of one minimiser than the bound, however many distinct strings lie under it."""
+    monkeypatch.setattr(substring, "HOT_BYTES", 0)
+    assert rows_of(substring.repeated_spans(odd), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substring(odd_rows())
+    assert substring.repeated_spans(none).count() == 0
+    limit = 5000
+    monkeypatch.setattr(substring, "HOT_BYTES", limit)
+    common = LINE.split()[:19]
+    # every text holds the common words, each between other words, and half of the texts are there twice
+    texts = [" ".join([*(f"a{i}x{j}" for j in range(12)), *common, *(f"b{i}x{j}" for j in range(12))]) for i in range(150)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[::2]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(substring.repeated_spans(df), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substring(rows)
+    strings = spark.createDataFrame([(g, bytes(100)) for g in (1, 2) for _ in range(10 if g == 1 else 100)], "g long, packed binary")
+    few, hot = substring._by_bytes(strings)
+    assert {r.g for r in few.collect()} == {1} and {r.g for r in hot.collect()} == {2}
+
+
 def test_substring_dedup_of_one_word(spark):
     df = spark.createDataFrame([(1, "a " * 50), (2, "b " * 19), (3, "a " * 20 + "c")], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in substring.repeated_spans(df).collect()}

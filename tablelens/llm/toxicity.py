@@ -1,9 +1,8 @@
 """Toxicity by weak supervision.
 
-1. On labelled documents a lexicon is mined: words and word beginnings whose
-   documents are labelled toxic almost always, each next one that of most toxic
-   documents, which count half as much with each term they have (so copies of a document
-   don't bring in its other words).
+1. On all labelled documents a lexicon is mined: every word and word beginning whose
+   documents are labelled toxic almost always, equal texts counted once (so copies of a
+   document don't bring in its other words).
 2. Voters: the lexicon is dealt over lexicon voters (toxic if one of their terms
    occurs, else no opinion); pattern voters look at shouting, exclamation runs and
    symbols; one voter says clean where no term occurs.
@@ -12,19 +11,24 @@
    whose votes go together beyond the class share one voice, by their
    correlation given the class.  Its posterior is the label of each document.
 4. A logistic classifier over lexicon terms and patterns is fitted to the posteriors.
+   Terms that cover the fitted documents have weights of their own (each next one that of
+   most toxic documents, which count half as much with each term they have), the others
+   share the weights of having a term and of how many there are.
 
-Fitting looks at no more than ``SAMPLE_ROWS`` labelled documents, those whose id
-hashes lowest; the sample's counts and votes are gathered on the driver.  Scoring reads every
-document's whole text, and nothing else of it.
+The label model and the classifier are fitted on no more than ``SAMPLE_ROWS`` labelled
+documents, those whose id hashes lowest; the sample's votes and the lexicon are gathered
+on the driver.  Scoring reads every document's whole text, and nothing else of it.
 
 Null and empty texts score what a text without any term scores.  A document with
-several labels counts as toxic if one says so; null labels count for nothing.
+several labels counts as toxic if one says so, so does a text of several documents
+in the lexicon's counts; null labels count for nothing.
 Without labelled documents, or with one class only, every text scores that
 class's share (0 without labels).
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,11 +41,11 @@ from tablelens.llm.langid import letter_table
 from tablelens.llm.words import U64, Words, _byte_values, i64, mix, powers, take_bytes, text_slices
 from tablelens.session import ship_package
 
-#: Labelled documents that fitting looks at, at most.
+#: Labelled documents that the label model and the classifier are fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: Candidate terms that are looked at, and voters that the chosen ones are dealt over.
-TERMS, LEXICON_VOTERS = 2048, 24
-#: A term needs as many toxic documents, such a share of toxic ones among its documents, and such a worth of documents without other terms.
+#: Voters that the terms are dealt over.
+LEXICON_VOTERS = 24
+#: A term needs as many toxic texts and such a share of toxic ones among its texts; for a weight of its own, such a worth of documents without other terms.
 MIN_DOCS, MIN_PRECISION, MIN_NEW = 5, 0.9, 1.5
 PREFIXES = (4, 5, 6)  # bytes
 PATTERNS = 4
@@ -91,11 +95,11 @@ def _hits(w: Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, term) of every occurrence of a term."""
     docs, which = [], []
     if len(terms):
-        small = np.zeros(1 << 16, bool)
-        small[terms & U64(0xFFFF)] = True
+        small = np.zeros(1 << 20, bool)
+        small[terms & U64(0xFFFFF)] = True
         doc = w.doc_of()
         for word, _, h in _terms(w):
-            x = np.flatnonzero(small[h & U64(0xFFFF)])
+            x = np.flatnonzero(small[h & U64(0xFFFFF)])
             at = np.minimum(np.searchsorted(terms, h[x]), len(terms) - 1)
             x, at = x[terms[at] == h[x]], at[terms[at] == h[x]]
             docs.append(doc[word[x]])
@@ -113,41 +117,73 @@ def _features(w: Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return pair // max(len(terms), 1), pair % max(len(terms), 1), dense
 
 
-def _mine(sample: DataFrame, table) -> tuple[np.ndarray, list[str]]:
+def _distinct_texts(src: DataFrame, marks: DataFrame) -> DataFrame:
+    """(_text, _y, _share) of labelled rows: one document for each distinct text, toxic if one of the text's
+    documents is; its rows have shares that add up to 1."""
+    src = src.filter(F.col("_text").isNotNull()).withColumn("_d", F.md5(F.col("_text").cast("binary")))
+    one = (src.select("_id", "_d").join(marks, "_id").groupBy("_id", "_d").agg(F.max("_y").alias("_y"), F.count(F.lit(1)).alias("m"))
+           .groupBy("_d").agg(F.max("_y").alias("_y"), F.min(F.struct("_id", "m")).alias("x"))
+           .select("x._id", "_d", "_y", (1 / F.col("x.m")).alias("_share")))
+    return src.join(one, ["_id", "_d"]).select("_text", "_y", "_share")
+
+
+def _mine(src: DataFrame, marks: DataFrame, table) -> tuple[np.ndarray, list[str]]:
+    """Hashes (sorted) and names of all terms that pass."""
     def run(batches):
         for rows, w in text_slices(batches, "_text", table):
-            y, doc = rows.column("_y").to_numpy(), w.doc_of()
-            for word, end, h in _terms(w):
+            y, share, doc = rows.column("_y").to_numpy(), rows.column("_share").to_numpy(), w.doc_of()
+            for word, _, h in _terms(w):
                 # each term once a document
                 order = np.lexsort((h, doc[word]))
                 d, hh = doc[word][order], h[order]
                 once = order[np.append(True, (d[1:] != d[:-1]) | (hh[1:] != hh[:-1]))] if len(order) else order
-                u, first, inv = np.unique(h[once], return_index=True, return_inverse=True)
-                pos = np.bincount(inv, y[doc[word[once]]], len(u)).astype(np.int64)
-                x = once[first]
-                yield pa.RecordBatch.from_arrays([i64(u), take_bytes(w.data, w.starts[word[x]], end[x]), pa.array(np.bincount(inv, minlength=len(u))), pa.array(pos)],
-                                                 ["h", "term", "n", "pos"])
-
-    counts = sample.mapInArrow(run, "h long, term binary, n long, pos long").groupBy("h").agg(
-        F.min("term").alias("term"), F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    best = (counts.filter((F.col("pos") >= MIN_DOCS) & (F.col("pos") >= MIN_PRECISION * (F.col("n") + 0.5)))
-            .orderBy(F.desc("pos"), "h").limit(TERMS).collect())
-    best.sort(key=lambda r: np.uint64(r.h & (2**64 - 1)))
-    return np.array([r.h for r in best], np.int64).view(U64), [bytes(r.term).decode("utf-8", "replace") for r in best]
-
-
-def _cover(has: np.ndarray) -> np.ndarray:
-    """Terms (columns, sorted): always the one of most rows, a row counting half as much with each term it has."""
-    worth, chosen = np.ones(len(has), np.float32), []
-    value = worth @ has
-    while len(value) and value.max() >= MIN_NEW:
-        best = int(value.argmax())
-        chosen.append(best)
-        rows = np.flatnonzero(has[:, best])
-        worth[rows] /= 2
-        value = value - worth[rows] @ has[rows]
-        value[best] = 0
-    return np.array(sorted(chosen), np.int64)
+                u, inv = np.unique(h[once], return_inverse=True)
+                d = doc[word[once]]
+                yield pa.RecordBatch.from_arrays([i64(u), *[pa.array(np.bincount(inv, x[d], len(u)), pa.float64()) for x in (share, y * share)]], ["h", "n", "pos"])
+
+    counts = (_distinct_texts(src, marks).mapInArrow(run, "h long, n double, pos double").groupBy("h")
+              .agg(F.round(F.sum("n"), 3).alias("n"), F.round(F.sum("pos"), 3).alias("pos")))
+    best = counts.filter((F.col("pos") >= MIN_DOCS) & (F.col("pos") >= MIN_PRECISION * (F.col("n") + 0.5))).select("h").toArrow()
+    terms = np.sort(best["h"].to_numpy().view(U64))
+    if len(terms) == 0:
+        return terms, []
+
+    def name(batches):
+        # a name is sought once in a task
+        seen = np.zeros(len(terms), bool)
+        for _, w in text_slices(batches, "_text", table):
+            for word, end, h in _terms(w):
+                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+                x = np.flatnonzero((terms[at] == h) & ~seen[at])
+                u, first = np.unique(at[x], return_index=True)
+                x = x[first]
+                seen[u] = True
+                yield pa.RecordBatch.from_arrays([pa.array(u), take_bytes(w.data, w.starts[word[x]], end[x])], ["at", "term"])
+
+    got = src.select("_text").mapInArrow(name, "at long, term binary").groupBy("at").agg(F.min("term").alias("term")).orderBy("at").collect()
+    return terms, [bytes(r.term).decode("utf-8", "replace") for r in got]
+
+
+def _cover(doc: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Terms (sorted) from (document, term) pairs: always the one of most documents, a document counting half as much with each term it has."""
+    order = np.argsort(term, kind="stable")
+    ids, first = np.unique(term[order], return_index=True)
+    docs = np.split(doc[order], first[1:]) if len(ids) else []
+    worth, chosen = np.ones(int(doc.max()) + 1 if len(doc) else 0), []
+    # a value only falls, so a term that still leads with its value of now is the best
+    heap = [(-float(len(d)), i) for i, d in enumerate(docs)]
+    heapq.heapify(heap)
+    while heap:
+        i = heapq.heappop(heap)[1]
+        now = float(worth[docs[i]].sum())
+        if now < MIN_NEW:
+            continue
+        if heap and (-now, i) > heap[0]:
+            heapq.heappush(heap, (-now, i))
+            continue
+        chosen.append(i)
+        worth[docs[i]] /= 2
+    return ids[np.sort(np.array(chosen, np.int64))]
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, list[dict]]:
@@ -172,16 +208,20 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> tuple
     return q, [{"toxic_if_toxic": float(a), "toxic_if_clean": float(b), "voice": float(v)} for a, b, v in zip(p1[:, 2], p0[:, 2], voice)]
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient descent."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    step = 4 / max(np.einsum("ij,ij->i", x1, x1).mean(), 1e-9) / 4
-    w = v = np.zeros(x1.shape[1])
-    pull = np.full(x1.shape[1], l2)
+def fit_linear(doc: np.ndarray, term: np.ndarray, terms: int, dense: np.ndarray, q: np.ndarray, rounds: int = 300,
+               l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by accelerated gradient descent; features are (row, term) pairs and dense columns."""
+    x1 = np.column_stack([dense, np.ones(len(dense))])
+    n = len(x1)
+    step = 4 / max((np.einsum("ij,ij->i", x1, x1) + np.bincount(doc, minlength=n)).mean(), 1e-9) / 4
+    w = v = np.zeros(terms + x1.shape[1])
+    pull = np.full(len(w), l2)
     pull[-1] = 0
     for t in range(rounds):
         ahead = v + t / (t + 3) * (v - w)
-        g = x1.T @ (1 / (1 + np.exp(-np.clip(x1 @ ahead, -30, 30))) - q) / len(x1) + pull * ahead
+        z = np.bincount(doc, ahead[term], n) + x1 @ ahead[terms:]
+        r = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - q
+        g = np.concatenate([np.bincount(term, r[doc], terms), x1.T @ r]) / n + pull * ahead
         w, v = v, ahead - step * g
     return v[:-1], float(v[-1])
 
@@ -190,11 +230,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
           label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     ship_package(docs.sparkSession)
     table = letter_table()
-    marks = (labels.select(F.col(label_id).alias("_id"), F.col(label).cast("double").alias("_y")).dropna()
-             .groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
+    src = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
+    marks = labels.select(F.col(label_id).alias("_id"), F.col(label).cast("double").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     # the sample is bounded, so it may be broadcast
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(marks), "_id").select("_text", "_y")
-    terms, names = _mine(sample, table)
+    sample = src.join(F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)), "_id").select("_text", "_y")
+    terms, names = _mine(src, marks, table)
 
     def votes_of(batches):
         for rows, w in text_slices(batches, "_text", table):
@@ -208,26 +248,24 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     if len(y) == 0 or y.min() == y.max():
         return ToxicityModel(share=float(y.mean()) if len(y) else 0.0)
     dense = np.array(got["dense"].to_pylist())
-    has = np.zeros((len(y), len(terms)), bool)
-    for i, ts in enumerate(got["terms"].to_pylist()):
-        has[i, ts] = True
-    chosen = _cover(has[y > 0])
-    terms, names, has = terms[chosen], [names[i] for i in chosen.tolist()], has[:, chosen]
-    order = np.random.default_rng(0).permutation(len(terms))
-    lexicon = [has[:, order[v::LEXICON_VOTERS]].any(1).astype(int) for v in range(min(LEXICON_VOTERS, len(terms)))]
+    lists = got["terms"].combine_chunks()
+    which, per = lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy())
+    doc = np.repeat(np.arange(len(y)), per)
+    some = per > 0
+    deal = np.random.default_rng(0).permutation(len(terms)) % LEXICON_VOTERS
+    lexicon = np.zeros((len(y), min(LEXICON_VOTERS, len(terms))), int)
+    lexicon[doc, deal[which]] = 1
     shout = (dense[:, :PATTERNS] > np.quantile(dense[:, :PATTERNS], 0.95, axis=0)).astype(int)
-    clean = -(~has.any(1)).astype(int) if len(terms) else np.zeros(len(y), int)
-    votes = np.column_stack([*lexicon, shout, clean])
+    votes = np.column_stack([lexicon, shout, -(~some).astype(int) if len(terms) else np.zeros(len(y), int)])
     q, voters = label_model(votes, y)
-    x = _design(has, dense)
-    weights, bias = fit_linear(x, q)
+    chosen = _cover(doc[y[doc] > 0], which[y[doc] > 0])
+    own = np.isin(which, chosen)
+    w, bias = fit_linear(doc[own], np.searchsorted(chosen, which[own]), len(chosen), np.column_stack([dense, some]), q)
+    weights = np.zeros(len(terms) + dense.shape[1] + 1)
+    weights[chosen], weights[len(terms):] = w[:len(chosen)], w[len(chosen):]
     return ToxicityModel(terms, names, weights, bias, None, voters)
 
 
-def _design(has: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    return np.column_stack([has, dense, has.any(1)]) if has.shape[1] else np.column_stack([dense, np.zeros(len(dense))])
-
-
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", score: str = "score", terms: str = "toxic_terms") -> DataFrame:
     """``docs`` with a score (0 to 1) and the lexicon terms found, replacing columns of these names."""
     ship_package(docs.sparkSession)

@@ -356,6 +356,26 @@ def test_toxicity(spark, odd, clash, none):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
 
+def test_toxicity_terms_of_all_labels(spark):
+    """The lexicon isn't limited to the fitted sample, nor to a number of terms, and copies of a text count once."""
+    bad = [f"{x}{y}zzq" for x in "bdfg" for y in "aei"]
+    copied = " ".join(f"q{i:04d}x" for i in range(900))
+    texts = ([(f"plain words number {i} and {i % 13} more of them", 0) for i in range(300)]
+             + [(f"plain words number {i} with {bad[i % 12]} and {i % 13} more", 1) for i in range(300, 396)] + [(copied, 1)] * 40)
+    rows = [(i, t, y) for i, (t, y) in enumerate(texts)]
+    # a document that is there twice, and one of two labels, count once
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(300, texts[300][0])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(300, 0)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, sample_rows=150)
+    assert set(bad) <= set(model.names) and not any(x.startswith("q0") for x in model.names)
+    assert len(model.names) == len(model.terms) == len(model.weights) - toxicity.PATTERNS - 2
+    new = spark.createDataFrame([(i, f"other plain words {x} here") for i, x in enumerate([*bad, "and"])], "doc_id long, text string")
+    got = [r.score for r in toxicity.score(new, model).orderBy("doc_id").collect()]
+    assert min(got[:-1]) >= 0.3 > got[-1]
+    several = toxicity._distinct_texts(docs.selectExpr("doc_id _id", "text _text"), labels.selectExpr("doc_id _id", "cast(toxic as double) _y").groupBy("_id").agg(F.max("_y").alias("_y")))
+    assert several.agg(F.sum("_share")).first()[0] == len({t for t, _ in texts})
+
+
 def test_label_model_finds_accuracies_and_correlated_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3

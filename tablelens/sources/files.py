@@ -16,6 +16,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -71,31 +72,54 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _by_encoding(spark: SparkSession, path: str) -> list[tuple[str, list[str] | str]]:
-    """(encoding, files): the names of files with an undecodable line are read back, nothing else."""
+def _open_quote(line, sep: str):
+    """Does a quoted field begin on this line that doesn't end on it?  Doubled quotes go first, then whole quoted fields."""
+    begin = rf"(^|\Q{sep}\E)"
+    return F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), rf'{begin}"[^"]*+"', "$1").rlike(rf'{begin}"')
+
+
+def _by_form(spark: SparkSession, path: str, encoding: str | None, multiline: bool | None, sep: str) -> list[tuple[str, bool, list[str] | str]]:
+    """(encoding, multiline, files), from one pass over the lines: the names of files with an undecodable line
+    or a quoted line break are read back, nothing else."""
+    if encoding and multiline is not None:
+        return [(encoding, multiline, path)]
     lines = spark.read.text(path)
-    bad = {r[0] for r in lines.filter(~F.is_valid_utf8(F.col("value"))).select(F.input_file_name()).distinct().collect()}
-    if not bad:
-        return [("UTF-8", path)]
-    good = sorted(f for f in lines.inputFiles() if f not in bad)
-    return ([("UTF-8", good)] if good else []) + [("ISO-8859-1", sorted(bad))]
+    bad = F.lit(False) if encoding else ~F.is_valid_utf8(F.col("value"))
+    broken = _open_quote(F.col("value"), sep) if multiline is None else F.lit(False)
+    found = (lines.select(F.input_file_name().alias("file"), bad.alias("bad"), broken.alias("broken")).filter("bad or broken")
+             .groupBy("file").agg(F.max("bad").alias("bad"), F.max("broken").alias("broken")).collect())
+    plain = (encoding or "UTF-8", bool(multiline))
+    if not found:
+        return [(*plain, path)]
+    groups = {plain: sorted(set(lines.inputFiles()) - {r.file for r in found})}  # names as URIs, so blanks are %20
+    for r in sorted(found, key=lambda r: r.file):
+        groups.setdefault(("ISO-8859-1" if r.bad else plain[0], r.broken or plain[1]), []).append(r.file)
+    groups = {form: files for form, files in groups.items() if files}
+    return [(*form, [unquote(f) for f in files] if len(groups) > 1 else path) for form, files in groups.items()]
+
+
+def _by_encoding(spark: SparkSession, path: str) -> list[tuple[str, list[str] | str]]:
+    """(encoding, files): the same for encodings alone."""
+    return [(enc, files) for enc, _, files in _by_form(spark, path, None, False, ",")]
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = False,
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool | None = None,
              sep: str = ",", na_tokens=NA_TOKENS, typed: bool = True) -> DataFrame:
     """Scan CSV file(s) with a header row.  Missing path, empty file and
     undecodable file are distinct errors; each file that isn't UTF-8 is read
-    as latin1, the others aren't.  ``multiline`` allows quoted line breaks (as
-    pandas does), but such files can't be split over tasks."""
+    as latin1, the others aren't.  Quoted line breaks stay in their fields (as in
+    pandas): files with one are found first and can't be split over tasks, the
+    others can.  ``multiline`` says it for all files instead: True reads none of
+    them split, False takes every line for a row."""
     try:
-        groups = [(encoding, path)] if encoding else _by_encoding(spark, path)
+        groups = _by_form(spark, path, encoding, multiline, sep)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise FileNotFoundError(path) from exc
         raise
-    parts = [spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
+    parts = [spark.read.option("header", True).option("inferSchema", False).option("multiLine", many)
              .option("escape", '"').option("encoding", enc).option("sep", sep)
-             .option("nullValue", None).option("emptyValue", "").csv(files) for enc, files in groups]
+             .option("nullValue", None).option("emptyValue", "").csv(files) for enc, many, files in groups]
     parts = [x for x in parts if x.columns]
     if not parts:
         raise SourceError(f"empty CSV file: {path}")

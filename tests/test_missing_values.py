@@ -121,3 +121,24 @@ def test_csv_folder_of_two_encodings(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("k,t\n1,Straße é\n".encode())
     (tmp_path / "b.csv").write_bytes("k,t\n2,Straße é\n".encode("latin1"))
     assert [(r["k"], r["t"]) for r in read_csv(spark, str(tmp_path)).orderBy("k").collect()] == [(1, "Straße é"), (2, "Straße é")]
+
+
+def test_csv_with_quoted_line_breaks(spark, tmp_path):
+    from tablelens.sources.files import _by_form, load, read_csv
+
+    plain, broken, latin = (tmp_path / x for x in ("plain.csv", "with break.csv", "latin.csv"))
+    plain.write_text('k,t\n1,"a, ""b"""\n2,""\n3,5" x 7\n')
+    broken.write_text('k,t\n4,"one\ntwo, ""three""\n\nfour"\n5,"""quoted""\nnext"\n')
+    latin.write_bytes('k,t\n6,"é\nè"\n'.encode("latin1"))
+    want = [(1, 'a, "b"'), (2, None), (3, '5" x 7'), (4, 'one\ntwo, "three"\n\nfour'), (5, '"quoted"\nnext'), (6, "é\nè")]
+    rows = lambda df: [(r["k"], r["t"]) for r in df.orderBy("k").collect()]
+    assert rows(read_csv(spark, str(tmp_path))) == want
+    assert rows(load(spark, str(broken))) == want[3:5]
+    assert rows(load(spark, str(plain))) == want[:3]
+    assert rows(read_csv(spark, str(latin), encoding="ISO-8859-1")) == want[5:]
+    forms = {(enc, many): len(files) for enc, many, files in _by_form(spark, str(tmp_path), None, None, ",")}
+    assert forms == {("UTF-8", False): 1, ("UTF-8", True): 1, ("ISO-8859-1", True): 1}
+    assert _by_form(spark, str(plain), None, None, ",") == [("UTF-8", False, str(plain))]
+    (tmp_path / "tab").mkdir()
+    (tmp_path / "tab" / "x.csv").write_text('k\tt\n1\t"a\nb"\n')
+    assert rows(load(spark, str(tmp_path / "tab" / "x.csv"), sep="\t")) == [(1, "a\nb")]

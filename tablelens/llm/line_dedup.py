@@ -8,7 +8,8 @@ lines under any repeat are removed.  Blank lines stay where they are.
 
 Null and empty texts, and texts of fewer counting lines than a window, have no
 window and stay as they are.  Rows that repeat with the same id and text are
-one document: they get the same result.  A null id comes after all others.
+one document: they get the same result; rows of one id and different texts are
+different documents, in the order of their digests.  A null id comes after all others.
 
 Two shuffles of window digests (the first one combined on the map side) find
 the repeats; a window held by any share of all rows is one row there, and the
@@ -56,7 +57,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     k, t = F.col(doc_id), F.col(text)
     places = (docs.filter(t.isNotNull())
               .select(_key(k, t).alias("key"), k.isNull().alias("no_id"), k.alias("id"), F.posexplode(_digests(t, lines)).alias("start", "w"))
-              .select("key", "w", F.struct("no_id", "id", "start").alias("at")))
+              .select("key", "w", F.struct("no_id", "id", "key", "start").alias("at")))
     firsts = places.groupBy("w").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter(F.col("first") < F.col("last"))
     return (places.join(firsts.select("w", "first"), "w").filter(F.col("at") > F.col("first"))
             .groupBy("key").agg(F.collect_set("at.start").alias("starts")))

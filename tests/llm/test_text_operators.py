@@ -53,6 +53,18 @@ def test_line_dedup(odd, clash, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_one_id(spark):
+    """Texts of one id, null ids above all, keep a header they share once; rows of one id and text are one document."""
+    head = "one\ntwo\nthree"
+    rows = [(i, f"{head}\n{x}") for i, some in ((None, "abc"), (7, "def")) for x in some]
+    out = line_dedup.dedup_lines(spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3)).collect()
+    whole = {(r.doc_id, r.text) for r in out if r.lines_removed == 0}
+    assert len(whole) == 1 and whole <= set(rows) and next(iter(whole))[0] == 7
+    assert all(r.text in "abcdef" and r.lines_removed == 3 for r in out if (r.doc_id, r.text) not in whole)
+    nulls = line_dedup.dedup_lines(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()
+    assert sorted(r.lines_removed for r in nulls) == [0, 3, 3]
+
+
 def brute_substring(rows, k=20):
     rank = lambda i: (i is None, i or 0)
     first = {}

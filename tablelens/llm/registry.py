@@ -213,3 +213,19 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = score(_table(spark, sf_dir, "documents"), _remainder(10) != 0)
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def byte_vocabulary_path() -> str:
+    """The public vocabulary file that op11 encodes with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into sequences of at most 1024 tokens; one row per piece."""
+    from tablelens.llm.packing import pack
+
+    out = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), byte_vocabulary_path())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

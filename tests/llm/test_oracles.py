@@ -11,7 +11,7 @@ from .conftest import SF
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_matches_duckdb(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     exp = con.execute(ORACLE[key])
     names = [d[0] for d in exp.description]

@@ -72,6 +72,15 @@ def cut_lineage(df, spark: SparkSession | None = None):
     return df.checkpoint(eager=True)
 
 
+def written(df, name: str):
+    """``df`` as a table written to the shared folder and read back: computed once
+    (a checkpoint computes it twice), and later steps don't depend on the
+    executors that made it."""
+    path = f"{scratch_path(df.sparkSession, name)}/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df):
     """Compute-heavy per-row work (distances, regexes) should use every
     core: when the input has fewer partitions than the cluster's default

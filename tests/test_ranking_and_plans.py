@@ -105,7 +105,7 @@ def test_distributed_quantiles_equal_percentile(spark, by):
     rows += [("b", None), ("a", float("nan"))]
     df = spark.createDataFrame(rows, "g string, x double").repartition(6)
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = quantile_table(df, ["x"], probs, by=by, rows_per_bucket=40)
+    got = quantile_table(df, ["x"], probs, by=by)
     keys = by or []
     clean = df.filter(~F.isnan("x"))
     exp = (clean.groupBy(*keys) if keys else clean).agg(
@@ -117,6 +117,77 @@ def test_distributed_quantiles_equal_percentile(spark, by):
         np.testing.assert_allclose(g[k], e[k], atol=1e-12)
 
 
+def _doubles():
+    import struct
+    rng = np.random.default_rng(9)
+    raw = [struct.unpack("<d", int(b).to_bytes(8, "little"))[0] for b in rng.integers(0, 2**64, 3000, dtype=np.uint64)]
+    edges = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.7976931348623157e308, float("inf"), float("-inf")]
+    edges += [s * 2.0**k * m for k in range(-1060, 1020, 13) for s in (1, -1) for m in (1.0, 1 - 2.0**-53, 1 + 2.0**-52)]
+    return [v for v in [*raw, *edges, 1.0, 1.0, 0.1, 1e5 / 3] if v == v]
+
+
+def test_order_codes_are_the_bits_of_doubles(spark):
+    import struct
+    from tablelens.plans.quantiles import order_code
+    df = spark.createDataFrame([(v,) for v in _doubles()], "v double")
+    for r in order_code(df).collect():
+        bits = struct.unpack("<q", struct.pack("<d", r["v"] if r["v"] else 0.0))[0]
+        assert r["code"] == (bits if bits >= 0 else bits ^ (2**63 - 1)), r["v"]
+
+
+def _linear(values, p):
+    values = sorted(values)
+    pos = p * (len(values) - 1)
+    lo, hi = values[int(np.floor(pos))], values[int(np.ceil(pos))]
+    return lo if lo == hi else lo + (hi - lo) * (pos - np.floor(pos))
+
+
+@pytest.mark.parametrize("bits", [4, 16])
+def test_radix_quantiles_of_any_doubles(spark, bits):
+    """All magnitudes, neighbours that differ in the last bit, hot values, columns of other types."""
+    from tablelens.plans.quantiles import quantile_table
+    values = [v for v in _doubles() if abs(v) < 1e300]
+    near = [1.0 + k * 2.0**-52 for k in range(len(values))]
+    df = spark.createDataFrame([(v, n, i % 3, f"g{i % 2}") for i, (v, n) in enumerate(zip(values, near))], "v double, n double, k int, g string").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r["column"]: r["q"] for r in quantile_table(df, ["v", "n", "k"], probs, bits=bits).collect()}
+    assert got["v"] == [_linear(values, p) for p in probs]
+    assert got["n"] == [_linear(near, p) for p in probs]
+    assert got["k"] == [_linear([i % 3 for i in range(len(values))], p) for p in probs]
+    by = {(r["g"], r["column"]): r["q"] for r in quantile_table(df, ["v", "n"], probs, by=["g"], bits=bits).collect()}
+    for g in (0, 1):
+        assert by[f"g{g}", "v"] == [_linear(values[g::2], p) for p in probs]
+        assert by[f"g{g}", "n"] == [_linear(near[g::2], p) for p in probs]
+
+
+def test_radix_counters_are_bounded(spark):
+    """A pass hands on at most 2**bits counters per column and wanted cell, however many values are distinct."""
+    from tablelens.plans import quantiles as Q
+    sizes = {}
+    for n in (20_000, 200_000):
+        df = spark.range(n).select(F.lit(0).alias("col"), (F.sin(F.col("id")) * F.exp(F.col("id") % 50)).alias("v"))
+        first = Q.cell_counts(df, ["col"], "56")
+        cell = first.orderBy(F.desc("cnt")).first()
+        second = Q.cell_counts(df.filter(F.col("v").between(cell["lo"], cell["hi"])), ["col"], "48")
+        sizes[n] = (df.select("v").distinct().count(), first.count(), second.count())
+        assert max(sizes[n][1:]) <= 256
+        assert "Window" not in first._jdf.queryExecution().optimizedPlan().toString()
+    assert sizes[200_000][0] > 9 * sizes[20_000][0]
+
+
+def test_radix_scans(spark, monkeypatch):
+    """At most 64 / bits scans, and none after the ranks are settled."""
+    from tablelens.plans import quantiles as Q
+    scans = []
+    counted = Q.cell_counts
+    monkeypatch.setattr(Q, "cell_counts", lambda *a: scans.append(a[2]) or counted(*a))
+    df = spark.range(200_000).select((F.sin(F.col("id")) * F.exp(F.col("id") % 50)).alias("v"), F.lit(2.0).alias("c"))
+    for frame, column, bits, n in ((df, "v", 16, 2), (df, "v", 8, 4), (df, "c", 16, 1), (df.limit(60_000), "v", 16, 1)):
+        scans.clear()
+        Q.quantile_table(frame, [column], [0.1, 0.5], bits=bits)
+        assert 1 <= len(scans) <= n, (column, bits, scans)
+
+
 def test_no_registered_query_uses_pair_joins_or_row_udfs(spark):
     """Scale rules as a regression guard: no cartesian or nested-loop join
     and no row-at-a-time Python UDF in any registered query's plan."""

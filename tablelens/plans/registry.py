@@ -976,6 +976,18 @@ def _vector_topk(t: Tables):
     return hits.withColumn("score", F.round("score", 4))
 
 
+@register("vector_topk_rows", """
+WITH s AS (SELECT q.vec_id AS qid, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score
+           FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)
+SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 4) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def _vector_topk_rows(t: Tables):
+    """Every row whose id is divisible by 100, against all rows."""
+    emb = t.embeddings
+    asked = emb.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return retrieval.top_k(emb, asked, k=10).withColumn("score", F.round("score", 4))
+
+
 # -------------------------------------------------------------- sources
 
 from tablelens.session import scratch_path  # noqa: E402

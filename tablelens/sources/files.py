@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions.text import NUMBER_RE
+from tablelens.sources.csv_records import open_quote, records
 
 # pandas' default strings read as missing.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -72,12 +73,6 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _open_quote(line, sep: str):
-    """Does a quoted field begin on this line that doesn't end on it?  Doubled quotes go first, then whole quoted fields."""
-    begin = rf"(^|\Q{sep}\E)"
-    return F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), rf'{begin}"[^"]*+"', "$1").rlike(rf'{begin}"')
-
-
 def _by_form(spark: SparkSession, path: str, encoding: str | None, multiline: bool | None, sep: str) -> list[tuple[str, bool, list[str] | str]]:
     """(encoding, multiline, files), from one pass over the lines: the names of files with an undecodable line
     or a quoted line break are read back, nothing else."""
@@ -85,7 +80,7 @@ def _by_form(spark: SparkSession, path: str, encoding: str | None, multiline: bo
         return [(encoding, multiline, path)]
     lines = spark.read.text(path)
     bad = F.lit(False) if encoding else ~F.is_valid_utf8(F.col("value"))
-    broken = _open_quote(F.col("value"), sep) if multiline is None else F.lit(False)
+    broken = open_quote(F.col("value"), sep) if multiline is None else F.lit(False)
     found = (lines.select(F.input_file_name().alias("file"), bad.alias("bad"), broken.alias("broken")).filter("bad or broken")
              .groupBy("file").agg(F.max("bad").alias("bad"), F.max("broken").alias("broken")).collect())
     plain = (encoding or "UTF-8", bool(multiline))
@@ -103,23 +98,39 @@ def _by_encoding(spark: SparkSession, path: str) -> list[tuple[str, list[str] |
     return [(enc, files) for enc, _, files in _by_form(spark, path, None, False, ",")]
 
 
+#: Encodings (beside the ISO-8859 and windows-125x families) that write quotes and line breaks as ASCII does.
+_ASCII_LIKE = ("UTF-8", "US-ASCII")
+
+
+def _parsed(spark: SparkSession, files, encoding: str, multiline: bool, sep: str) -> DataFrame:
+    """Text columns named by the header."""
+    whole = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
+             .option("escape", '"').option("encoding", encoding).option("sep", sep)
+             .option("nullValue", None).option("emptyValue", "").csv(files))
+    if not multiline or not whole.columns or not encoding.upper().startswith((*_ASCII_LIKE, "ISO-8859-", "WINDOWS-125")):
+        return whole
+    ddl = ", ".join("`" + c.replace("`", "``") + "` string" for c in whole.columns)
+    fields = F.from_csv("record", ddl, {"sep": sep, "escape": '"', "multiLine": "true", "emptyValue": ""})
+    return records(spark, files, encoding, sep).select(fields.alias("r")).select("r.*")
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool | None = None,
              sep: str = ",", na_tokens=NA_TOKENS, typed: bool = True) -> DataFrame:
     """Scan CSV file(s) with a header row.  Missing path, empty file and
     undecodable file are distinct errors; each file that isn't UTF-8 is read
     as latin1, the others aren't.  Quoted line breaks stay in their fields (as in
-    pandas): files with one are found first and can't be split over tasks, the
-    others can.  ``multiline`` says it for all files instead: True reads none of
-    them split, False takes every line for a row."""
+    pandas): files with one are found first, and their records are put together
+    from lines (``csv_records``).  ``multiline`` says it for all files instead: False
+    takes every line for a row.  Files of either kind are split over tasks; only an
+    ``encoding`` whose quotes and line breaks aren't ASCII bytes reads a file with
+    quoted line breaks in one task."""
     try:
         groups = _by_form(spark, path, encoding, multiline, sep)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise FileNotFoundError(path) from exc
         raise
-    parts = [spark.read.option("header", True).option("inferSchema", False).option("multiLine", many)
-             .option("escape", '"').option("encoding", enc).option("sep", sep)
-             .option("nullValue", None).option("emptyValue", "").csv(files) for enc, many, files in groups]
+    parts = [_parsed(spark, files, enc, many, sep) for enc, many, files in groups]
     parts = [x for x in parts if x.columns]
     if not parts:
         raise SourceError(f"empty CSV file: {path}")

@@ -99,7 +99,7 @@ def test_quantiles_keep_groups_without_values(spark):
     many = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("double").alias("v"))
     from tablelens.plans.quantiles import quantile_table
 
-    assert quantile_table(many, ["v"], [0.0, 0.25, 0.5, 1.0], rows_per_bucket=300).first()["q"] == [0.0, 1249.75, 2499.5, 4999.0]
+    assert quantile_table(many, ["v"], [0.0, 0.25, 0.5, 1.0], bits=8).first()["q"] == [0.0, 1249.75, 2499.5, 4999.0]
 
 
 def test_qq_has_every_point(spark):
@@ -142,3 +142,50 @@ def test_csv_with_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "tab").mkdir()
     (tmp_path / "tab" / "x.csv").write_text('k\tt\n1\t"a\nb"\n')
     assert rows(load(spark, str(tmp_path / "tab" / "x.csv"), sep="\t")) == [(1, "a\nb")]
+
+
+def _messy_csv(rng, rows):
+    """Text, and its rows, with quoted breaks, doubled quotes, empty and blank lines in fields, quotes in bare fields."""
+    words = ["a", "b c", '"', '""', ",", "\n", "\n\n", "é", '",\n"', "x" * 30, '5" x 7']
+    out, want = ["k,t,u\n"], []
+    for k in range(rows):
+        t, u = ("".join(rng.choice(words) for _ in range(rng.randrange(0, 6))) for _ in range(2))
+        out.append(f'{k},"{t.replace(chr(34), chr(34) * 2)}","{u.replace(chr(34), chr(34) * 2)}"\n' if rng.random() < 0.7 else f'{k},5" x 7,plain\n')
+        want.append((k, t, u) if '5" x 7,plain' not in out[-1] else (k, '5" x 7', "plain"))
+    return "".join(out), [(k, t or None, u or None) for k, t, u in want]
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_csv_with_quoted_line_breaks_is_read_by_many_tasks(spark, tmp_path, monkeypatch, most):
+    """Ranges of 300 bytes cut fields, doubled quotes and headers anywhere; the records are those of the whole file."""
+    import random
+
+    from tablelens.sources import csv_records
+    from tablelens.sources.files import read_csv
+
+    monkeypatch.setattr(csv_records.records, "__defaults__", ("UTF-8", ",", most))
+    saved = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c, v in zip(saved, ("300", "1")):
+            spark.conf.set(c, v)
+        for seed in range(3):
+            rng = random.Random(seed)
+            text, want = _messy_csv(rng, 150)
+            path = tmp_path / f"{seed}.csv"
+            path.write_text(text.replace("\n", "\r\n") if seed == 1 else text, newline="")
+            got = read_csv(spark, str(path), na_tokens=("",))
+            assert got.columns == ["k", "t", "u"]
+            whole = spark.read.csv(str(path), header=True, multiLine=True, escape='"', emptyValue="", schema="k long, t string, u string").na.fill("")
+            rows = sorted((r["k"], r["t"], r["u"]) for r in got.na.fill("").collect())
+            assert rows == sorted(map(tuple, whole.collect()))
+            assert rows == [(k, t or "", u or "") for k, t, u in want]
+            assert spark.read.text(str(path)).rdd.getNumPartitions() > 8
+            ranges = csv_records.range_functions(csv_records._lines(spark, str(path), "UTF-8", ","))
+            assert ranges.count() > 8 and csv_records.range_states(ranges).filter("open").count() > 0
+        one = tmp_path / "one.csv"
+        one.write_text('"k\nk",t\n1,"' + "line\n" * 400 + '"\n2,"open\nto the end\n')
+        got = read_csv(spark, str(one))
+        assert sorted((r[0], r[1]) for r in got.collect()) == [(1, "line\n" * 400), (2, "open\nto the end")]
+    finally:
+        for c, v in saved.items():
+            spark.conf.set(c, v)

@@ -23,7 +23,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.session import ship_package, written
@@ -38,17 +38,22 @@ HIT_SCHEMA = "qid long, vid long, score double"
 _SLACK = 1e-6
 
 
-def _unit(vector: Column) -> Column:
-    """The vector scaled to length one; null if it can't be."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    size = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    fine = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(fine & (size > 0) & (size < float("inf")), F.transform(wide, lambda x: x / size))
+def _units(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that take part, and their vectors scaled to length one."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    X = column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
+    with np.errstate(invalid="ignore", over="ignore"):
+        size = np.sqrt((X * X).sum(axis=1))
+    rows = np.flatnonzero((size > 0) & (size < np.inf))  # NaN, for a null too, is neither
+    return rows, X[rows] / size[rows, None]
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _lists(X: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(X) + 1, dtype=np.int32) * X.shape[1]), pa.array(X.ravel()))
+
+
+def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def needed(cos_pivot: np.ndarray, count: np.ndarray, width: np.ndarray, k: int) -> np.ndarray:
@@ -93,16 +98,19 @@ class _Plan:
 
     def __init__(self, vectors: DataFrame, queries: DataFrame, dim: int, n: int, k: int, cells: int):
         picked = vectors.orderBy(F.xxhash64("vid"), "vid").limit(max(1, min(cells, math.ceil(n / CELL_ROWS)))).collect()
-        P = np.array([r["v"] for r in picked], dtype="float64").reshape(-1, dim)
+        P = _units(pa.array([r["v"] for r in picked], pa.list_(pa.float64())), dim)[1]
+        if len(P) == 0:
+            P = np.eye(1, dim)
 
         def assign(batches):
             for batch in batches:
                 for s in range(0, batch.num_rows, STEP_ROWS):
                     part = batch.slice(s, STEP_ROWS)
-                    cos = _matrix(part.column("v"), dim) @ P.T
+                    rows, V = _units(part.column("v"), dim)
+                    cos = V @ P.T
                     cell = cos.argmax(axis=1)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype("int32")), pa.array(cos[np.arange(len(cell)), cell])],
-                                                     [*part.schema.names, "cell", "cos"])
+                    yield pa.RecordBatch.from_arrays([part.column("vid").take(pa.array(rows)), _lists(V), pa.array(cell.astype("int32")),
+                                                      pa.array(cos[np.arange(len(cell)), cell])], ["vid", "v", "cell", "cos"])
 
         self.vectors = written(vectors.mapInArrow(assign, "vid long, v array<double>, cell int, cos double"), "vectors")
         self.count, width = np.zeros(len(P), "int64"), np.zeros(len(P))
@@ -114,9 +122,9 @@ class _Plan:
             for batch in batches:
                 for s in range(0, batch.num_rows, STEP_QUERIES):
                     part = batch.slice(s, STEP_QUERIES)
-                    q, cell = np.nonzero(needed(_matrix(part.column("v"), dim) @ P.T, count, width, k))
-                    rows = part.take(pa.array(q))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell.astype("int32"))], [*rows.schema.names, "cell"])
+                    rows, Q = _units(part.column("v"), dim)
+                    q, cell = np.nonzero(needed(Q @ P.T, count, width, k))
+                    yield pa.RecordBatch.from_arrays([part.column("qid").take(pa.array(rows[q])), _lists(Q[q]), pa.array(cell.astype("int32"))], ["qid", "v", "cell"])
 
         self.queries = written(queries.mapInArrow(match, "qid long, v array<double>, cell int"), "vector-queries")
         self.asked = np.zeros(len(P), "int64")
@@ -145,11 +153,13 @@ class _Plan:
 def _plans(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, qid_col: str, qvec_col: str, cells: int):
     """(dimension, plan) for every dimension that queries have."""
     ship_package(vectors.sparkSession)
-    q = queries.select(F.col(qid_col).cast("long").alias("qid"), _unit(F.col(qvec_col)).alias("v")).dropna()
-    v = vectors.select(F.col(id_col).cast("long").alias("vid"), _unit(F.col(vec_col)).alias("v")).dropna()
-    asked = {r["d"] for r in q.select(F.size("v").alias("d")).distinct().collect()}
-    sizes = {r["d"]: r["count"] for r in v.groupBy(F.size("v").alias("d")).count().collect()}
-    for dim in sorted(asked & set(sizes)):
+    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).cast("array<double>").alias("v")).dropna()
+    v = vectors.select(F.col(id_col).cast("long").alias("vid"), F.col(vec_col).cast("array<double>").alias("v")).dropna()
+    sizes = {r["d"]: r["count"] for r in v.groupBy(F.size("v").alias("d")).count().collect() if r["d"]}
+    if len(sizes) > 1:
+        asked = {r["d"] for r in q.select(F.size("v").alias("d")).distinct().collect()}
+        sizes = {d: n for d, n in sizes.items() if d in asked}
+    for dim in sorted(sizes):
         yield dim, _Plan(v.filter(F.size("v") == dim), q.filter(F.size("v") == dim), dim, sizes[dim], k, cells)
 
 

@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.words import (U64, Words, bitmap, blank_table, buffers, i64, in_bitmap, joined, lists, materialise, ranges, sliding,
-                                 span_hashes, take_bytes, text_slices, window_hashes)
+                                 span_hashes, take_bytes, text_slices, tidy, window_hashes)
 from tablelens.session import ship_package
 
 FILTER_BITS = 27
 #: Packed bytes that one bucket should hold, and those of one minimiser from which its windows are dealt one by one.
-BUCKET_BYTES = 8 << 20
-HOT_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
+HOT_BYTES = 1 << 20
 
 
 def _minimisers(w: Words, k: int, m: int):
@@ -57,6 +57,7 @@ def _minimisers(w: Words, k: int, m: int):
 def _minimiser_counts(docs: DataFrame, k: int, m: int) -> DataFrame:
     table = blank_table()
 
+    @tidy
     def run(batches):
         for _, w in text_slices(batches, "_text", table):
             ok, low, grams = _minimisers(w, k, m)
@@ -80,6 +81,7 @@ def _pack(docs: DataFrame, repeated, k: int, probe: int, m: int, id_type: str) -
     table = blank_table()
     names = ["is_doc", "doc_id", "n_words", "sha", "text", "spans", "g", "s1", "s2", "packed", "first_start", "many"]
 
+    @tidy
     def run(batches):
         for rows, w in text_slices(batches, "_text", table):
             ok, long_low, _ = _minimisers(w, k, probe)
@@ -197,13 +199,14 @@ def _by_bytes(strings: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     hot = materialise(strings.groupBy("g").agg(F.sum(F.length("packed")).alias("n")).filter(F.col("n") > HOT_BYTES).select("g"), "substring-hot")
     if hot.isEmpty():
         return strings, None
-    return strings.join(F.broadcast(hot), "g", "left_anti"), strings.join(F.broadcast(hot), "g", "left_semi")
+    return strings.join(hot, "g", "left_anti"), strings.join(hot, "g", "left_semi")
 
 
 def _window_firsts(strings: DataFrame, k: int, id_type: str) -> DataFrame:
     """The same as _bucket_firsts, without a group that has to fit a task: a row per window of each distinct string."""
     table = blank_table()
 
+    @tidy
     def run(batches):
         for rows, w in text_slices(batches, "packed", table):
             n = w.counts - (k - 1)
@@ -256,6 +259,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     none = "array<struct<start:int,till:int>>"
     table = blank_table()
 
+    @tidy
     def digests(batches):
         for rows, w in text_slices(batches, "text", table):
             removed = rows.column("removed")

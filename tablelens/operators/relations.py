@@ -1,21 +1,23 @@
 """Relations between columns: Pearson correlation, one-way ANOVA, crosstab,
 chi-square independence, and the combined relationship report.
 
-Every statistic for every column pair comes out of ONE scan: a wide ``agg``
-for correlations, grouping sets for ANOVA and chi-square cells.  The reference
-re-scans the frame once per pair.
+Every statistic for every column pair comes out of ONE scan: blocks of products
+for correlations, grouping sets for ANOVA, counts by sets of columns for chi-square
+cells.  The reference re-scans the frame once per pair.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import numeric_columns, skips_nan, stat_categorical_columns, validate
 from tablelens.functions.special import chi2_pvalue, f_pvalue
-from tablelens.session import cut_lineage, ship_package
+from tablelens.session import ship_package, written
 
 # Thresholds of the relationship rules.
 STRONG_CORRELATION = 0.7
@@ -32,169 +34,104 @@ SUGGESTIONS = {
     "categorical-numerical": "Consider creating a box plot or violin plot to visualize the differences",
     "categorical-categorical": "Consider creating a stacked bar chart or mosaic plot to visualize this relationship",
 }
-# Above this many aggregate expressions one agg is split (codegen method size).
-MAX_AGGS_PER_SCAN = 240
-
-
-def _pair_corr_exprs(a: str, b: str, i: int) -> list[Column]:
-    """Pairwise-complete covariance and variances of one pair."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    return [F.covar_samp(x, y).alias(f"c{i}"),
-            F.var_samp(F.when(y.isNotNull(), x)).alias(f"vx{i}"),
-            F.var_samp(F.when(x.isNotNull(), y)).alias(f"vy{i}")]
-
-
-def _guarded_corr(i: int) -> Column:
-    """r = cov / sqrt(vx vy); null when either side is constant (Spark's
-    ``corr`` raises DIVIDE_BY_ZERO under ANSI for a constant column)."""
-    c, vx, vy = F.col(f"c{i}"), F.col(f"vx{i}"), F.col(f"vy{i}")
-    r = c / F.sqrt(vx * vy)
-    # clamp rounding noise to [-1, 1]
-    return F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+#: Bytes of rows that one step multiplies, and columns on one side of a block of products.
+GRAM_BYTES, GRAM_BLOCK = 32 << 20, 256
+#: Cells that a set of columns may have to be counted at once for its pairs.
+SUPERSET_CELLS = 50_000
+
+
+def _gram(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(a, b, n, sa, sb, saa, sbb, sab)`` for columns a <= b (by position): count, sums and sums of products of their
+    shifted values over the rows that have both.
+
+    One scan for the shifts (means; of a constant column its value, so that its spread is exactly 0), and one for all
+    products whatever the number of columns: each task multiplies its rows block by block of columns, and the blocks'
+    entries are summed by (a, b) with map-side combine."""
+    k = len(cols)
+    num = [F.col(c).cast("double") for c in cols]
+    first = df.agg(*[f(x).alias(f"{name}{j}") for j, x in enumerate(num) for f, name in ((F.avg, "m"), (F.min, "lo"), (F.max, "hi"))]).first()
+    shift = np.array([0.0 if first[f"m{j}"] is None else first[f"lo{j}"] if first[f"lo{j}"] == first[f"hi{j}"] else first[f"m{j}"] for j in range(k)])
+    most = max(4096, GRAM_BYTES // (8 * k))
+
+    def blocks(X):
+        M = (~np.isnan(X)).astype("float64")
+        X = np.nan_to_num(X - shift, nan=0.0, posinf=np.inf, neginf=-np.inf)
+        X2 = X * X
+        for s in range(0, k, GRAM_BLOCK):
+            left = slice(s, s + GRAM_BLOCK)
+            n, sab = M[:, left].T @ M[:, s:], X[:, left].T @ X[:, s:]
+            sa, sb = X[:, left].T @ M[:, s:], M[:, left].T @ X[:, s:]
+            saa, sbb = X2[:, left].T @ M[:, s:], M[:, left].T @ X2[:, s:]
+            a, b = np.nonzero(np.arange(n.shape[0])[:, None] <= np.arange(n.shape[1])[None, :])
+            yield pa.RecordBatch.from_arrays([pa.array((a + s).astype("int32")), pa.array((b + s).astype("int32")), pa.array(n[a, b].astype("int64")),
+                                              *[pa.array(x[a, b]) for x in (sa, sb, saa, sbb, sab)]], ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns], axis=1))
+            rows += batch.num_rows
+            if rows >= most:
+                yield from blocks(np.concatenate(held))
+                held, rows = [], 0
+        if rows:
+            yield from blocks(np.concatenate(held))
+
+    part = df.select(*[x.alias(f"x{j}") for j, x in enumerate(num)]).mapInArrow(
+        run, "a int, b int, n long, sa double, sb double, saa double, sbb double, sab double")
+    return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+
+
+def _correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(a, b, corr, n)`` for columns a <= b; null where a side is constant (Spark's ``corr`` raises
+    DIVIDE_BY_ZERO under ANSI there)."""
+    g = _gram(df, cols)
+    n = F.col("n").cast("double")
+    mean = lambda x, y: F.col(x) * F.col(y) / n
+    va, vb, cov = F.col("saa") - mean("sa", "sa"), F.col("sbb") - mean("sb", "sb"), F.col("sab") - mean("sa", "sb")
+    g = g.filter("n > 0").select("a", "b", "n", va.alias("va"), vb.alias("vb"), cov.alias("cov"), "saa", "sbb")
+    # what is left of equal sums by rounding is no spread
+    spread = (F.col("n") > 1) & (F.col("va") > F.col("saa") * 1e-14) & (F.col("vb") > F.col("sbb") * 1e-14)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))))
+    return g.select("a", "b", F.when(spread, F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(r)).alias("corr"), "n")
+
+
+def _named(df: DataFrame, cols: list[str], pairs: DataFrame, *keep) -> DataFrame:
+    """All pairs a <= b, also those without a common row, with their columns' names."""
+    k = len(cols)
+    every = df.sparkSession.range(k).select(F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.col("id").cast("int"), F.lit(k - 1))).alias("b"))
+    name = lambda c: F.array(*[F.lit(x) for x in cols])[F.col(c)]
+    return every.join(pairs, ["a", "b"], "left").select("a", "b", name("a").alias("col1"), name("b").alias("col2"), *keep)
 
 
 @skips_nan
 def corr_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per unordered pair ``(col1, col2, corr, n)``."""
-    cols = columns or numeric_columns(df)
-    validate(df, *cols)
-    if len(cols) < 2 or len(cols) * 3 + len(cols) * (len(cols) - 1) // 2 * 6 > MAX_AGGS_PER_SCAN:
-        return _corr_pairs_moments(df, cols)
-    row, meta = _centered_sums(df, cols)
-    col = F.col
-    structs = []
-    for (a, b), (kind, i) in meta.items():
-        ja, jb = cols.index(a), cols.index(b)
-        if kind == "shared":
-            n = F.least(col(f"c{ja}"), col("__n"))
-            r = _corr_from_sums(col("__n"), col(f"s{ja}"), col(f"s{jb}"), col(f"q{ja}"), col(f"q{jb}"), col(f"p{i}"))
-        else:
-            n = col(f"pn{i}")
-            r = _corr_from_sums(n, col(f"pa{i}"), col(f"pb{i}"), col(f"paa{i}"), col(f"pbb{i}"), col(f"p{i}"))
-        structs.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), r.alias("corr"),
-                                n.cast("long").alias("n")))
-    return row.select(F.inline(F.array(*structs)))
-
-
-def _corr_pairs_moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per unordered pair ``(col1, col2, corr, n)``, col1 before col2
-    in frame order.  All pairs in a single scan (split above
-    ``MAX_AGGS_PER_SCAN`` aggregate expressions)."""
+    """One row per unordered pair ``(col1, col2, corr, n)``, col1 before col2 in frame order, pairwise-complete."""
     cols = columns or numeric_columns(df)
     validate(df, *cols)
-    pairs = list(combinations(cols, 2))
-    if not pairs:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, corr double, n long")
-    per = max(1, MAX_AGGS_PER_SCAN // 4)
-    parts = []
-    for start in range(0, len(pairs), per):
-        chunk = pairs[start:start + per]
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            aggs += _pair_corr_exprs(a, b, i)
-            aggs.append(F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"n{i}"))
-        row = df.select(*{c for p in chunk for c in p}).agg(*aggs)
-        structs = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-                            _guarded_corr(i).alias("corr"), F.col(f"n{i}").alias("n"))
-                   for i, (a, b) in enumerate(chunk)]
-        parts.append(row.select(F.inline(F.array(*structs))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _centered_sums(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
-    """Two codegen-friendly passes: column means (shift) and null flags,
-    then plain sums of mean-centred values and products.  Null-free pairs
-    share per-column sums; pairs touching a column with nulls get masked
-    (pairwise-complete) sums of their own."""
-    first = df.select(*cols).agg(F.count(F.lit(1)).alias("__rows"),
-                                 *[F.avg(F.col(c).cast("double")).alias(f"m{j}") for j, c in enumerate(cols)],
-                                 *[F.count(c).alias(f"n{j}") for j, c in enumerate(cols)]).first()
-    rows = first["__rows"]
-    full = {c: first[f"n{j}"] == rows for j, c in enumerate(cols)}
-    shift = {c: first[f"m{j}"] if first[f"m{j}"] is not None else 0.0 for j, c in enumerate(cols)}
-    x = {c: F.col(c).cast("double") - F.lit(float(shift[c])) for c in cols}
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for j, c in enumerate(cols):
-        aggs += [F.sum(x[c]).alias(f"s{j}"), F.sum(x[c] * x[c]).alias(f"q{j}"), F.count(c).alias(f"c{j}")]
-    meta = {}
-    for i, (a, b) in enumerate(combinations(cols, 2)):
-        if full[a] and full[b]:
-            aggs.append(F.sum(x[a] * x[b]).alias(f"p{i}"))
-            meta[(a, b)] = ("shared", i)
-        else:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa, xb = F.when(both, x[a]), F.when(both, x[b])
-            aggs += [F.count(F.when(both, 1)).alias(f"pn{i}"), F.sum(xa).alias(f"pa{i}"), F.sum(xb).alias(f"pb{i}"),
-                     F.sum(xa * xa).alias(f"paa{i}"), F.sum(xb * xb).alias(f"pbb{i}"), F.sum(xa * xb).alias(f"p{i}")]
-            meta[(a, b)] = ("masked", i)
-    return df.select(*cols).agg(*aggs), meta
-
-
-def _corr_from_sums(n, sa, sb, saa, sbb, sab) -> Column:
-    n = n.cast("double")
-    cov = sab - sa * sb / n
-    va = saa - sa * sa / n
-    vb = sbb - sb * sb / n
-    r = cov / F.sqrt(va * vb)
-    return F.when((n > 1) & (va > 0) & (vb > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    ship_package(df.sparkSession)
+    out = _named(df, cols, _correlations(df, cols), "corr", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return out.filter("a < b").drop("a", "b")
 
 
 @skips_nan
 def corr_matrix(df: DataFrame, columns: list[str] | None = None,
                 ndigits: int | None = 4) -> DataFrame:
     """Pearson matrix in long form ``(col1, col2, corr)``, both orders plus
-    the diagonal (1.0, or null for a constant column), pairwise-complete.
-    Plain sums of mean-centred values (no per-pair moment buffers), so the
-    aggregate stays in whole-stage codegen; mirrored by one ``inline``."""
+    the diagonal (1.0, or null for a constant column), pairwise-complete,
+    from blocks of products of shifted values."""
     cols = columns or numeric_columns(df)
     validate(df, *cols)
-    if len(cols) * 3 + len(cols) * (len(cols) - 1) // 2 * 6 > MAX_AGGS_PER_SCAN:
-        return _corr_matrix_chunked(df, cols, ndigits)
-    row, meta = _centered_sums(df, cols)
-    col = F.col
-    vals = []
-    for (a, b), (kind, i) in meta.items():
-        ja, jb = cols.index(a), cols.index(b)
-        if kind == "shared":
-            r = _corr_from_sums(col("__n"), col(f"s{ja}"), col(f"s{jb}"), col(f"q{ja}"), col(f"q{jb}"), col(f"p{i}"))
-        else:
-            r = _corr_from_sums(col(f"pn{i}"), col(f"pa{i}"), col(f"pb{i}"), col(f"paa{i}"), col(f"pbb{i}"), col(f"p{i}"))
-        vals.append(r.alias(f"r{i}"))
-    for j, c in enumerate(cols):
-        n = col(f"c{j}").cast("double")
-        var = col(f"q{j}") - col(f"s{j}") * col(f"s{j}") / n
-        vals.append(F.when((n > 1) & (var > 0), F.lit(1.0)).alias(f"dg{j}"))
-    # each coefficient is computed once; the mirror only references columns
-    vals_row = row.select(*vals)
-    structs = []
-    for (a, b), (kind, i) in meta.items():
-        structs.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), col(f"r{i}").alias("corr")))
-        structs.append(F.struct(F.lit(b).alias("col1"), F.lit(a).alias("col2"), col(f"r{i}").alias("corr")))
-    for j, c in enumerate(cols):
-        structs.append(F.struct(F.lit(c).alias("col1"), F.lit(c).alias("col2"), col(f"dg{j}").alias("corr")))
-    both = vals_row.select(F.inline(F.array(*structs)))
-    if ndigits is not None:
-        both = both.withColumn("corr", F.round("corr", ndigits))
-    return both
-
-
-def _corr_matrix_chunked(df: DataFrame, cols: list[str], ndigits: int | None) -> DataFrame:
-    """Many columns: pairs in several scans (codegen method-size limit)."""
-    p = _corr_pairs_moments(df, cols).select("col1", "col2", "corr")
-    var_row = df.select(*cols).agg(*[F.var_samp(F.col(c).cast("double")).alias(f"v{j}")
-                                     for j, c in enumerate(cols)])
-    diag = var_row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("col1"), F.lit(c).alias("col2"),
-                 F.when(F.col(f"v{j}") > 0, F.lit(1.0)).alias("corr"))
-        for j, c in enumerate(cols)])))
-    both = (p.unionByName(p.select(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "corr"))
-            .unionByName(diag))
-    if ndigits is not None:
-        both = both.withColumn("corr", F.round("corr", ndigits))
-    return both
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col1 string, col2 string, corr double")
+    ship_package(df.sparkSession)
+    corr = F.col("corr") if ndigits is None else F.round("corr", ndigits)
+    half = _named(df, cols, _correlations(df, cols), corr.alias("corr"))
+    ways = F.when(F.col("a") < F.col("b"), F.array(F.struct("col1", "col2"), F.struct(F.col("col2").alias("col1"), F.col("col1").alias("col2"))))
+    both = half.select(F.explode(F.coalesce(ways, F.array(F.struct("col1", "col2")))).alias("p"), "corr")
+    return both.select("p.col1", "p.col2", "corr")
 
 
 def strong_correlations(df: DataFrame, columns: list[str] | None = None,
@@ -262,7 +199,7 @@ def anova(df: DataFrame, cat_cols: list[str] | None = None,
                 "df_within long, n_groups long, n long")
     # one row per (column, group): materialised once in the shared
     # checkpoint folder so both uses below read it instead of rescanning
-    g = cut_lineage(_grouped_stats(df, cats, nums).filter(F.col("n") > 1))
+    g = written(_grouped_stats(df, cats, nums).filter(F.col("n") > 1), "anova-groups")
     tot = g.groupBy("cat_col", "num_col").agg(
         F.sum("n").alias("tot_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand_mean"),
         F.count("*").alias("tot_groups"))
@@ -282,6 +219,53 @@ def anova(df: DataFrame, cat_cols: list[str] | None = None,
                       F.col("n_groups").cast("long").alias("n_groups"), F.col("n").cast("long").alias("n"))
 
 
+def supersets(sizes: list[int], most: int = SUPERSET_CELLS) -> list[tuple[int, ...]]:
+    """Sets of columns (by position) that cover every pair: each a pair, or more columns whose ``sizes`` (distinct
+    values) multiply to at most ``most`` cells."""
+    left = set(combinations(range(len(sizes)), 2))
+    out = []
+    for pair in sorted(left, key=lambda p: (sizes[p[0]] * sizes[p[1]], p)):
+        if pair not in left:
+            continue
+        chosen, cells = set(pair), sizes[pair[0]] * sizes[pair[1]]
+        for c in sorted(set(range(len(sizes))) - chosen, key=lambda c: (sizes[c], c)):
+            new = {tuple(sorted((c, x))) for x in chosen} & left
+            if cells * sizes[c] <= most and new:
+                chosen.add(c)
+                cells *= sizes[c]
+        left -= set(combinations(sorted(chosen), 2))
+        out.append(tuple(sorted(chosen)))
+    return out
+
+
+def _superset_counts(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[tuple[int, ...]]]:
+    """``(s, v0, v1, ..., w)``: rows per value combination of superset ``s``, from one scan with map-side combine, and the supersets."""
+    base = df.select(*[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(cols)])
+    row = base.agg(*[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(cols))]).first()
+    sets = supersets([row[f"d{i}"] + 1 for i in range(len(cols))])  # null is a value here
+    keys = [f"v{i}" for i in range(len(cols))]
+    part = lambda s: F.struct(F.lit(s).alias("s"), *[(F.col(k) if i in sets[s] else F.lit(None).cast("string")).alias(k) for i, k in enumerate(keys)])
+    rows = base.select(F.inline(F.array(*[part(s) for s in range(len(sets))])))
+    return rows.groupBy("s", *keys).agg(F.count(F.lit(1)).alias("w")), sets
+
+
+def _pair_cells(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(col1, col2, a, b, O)`` (written): cells of all pairs of columns, nulls dropped.
+
+    Rows are counted by few sets of columns with few cells each, and each pair comes from the smallest set that has it; only
+    pairs too large for any set are counted from the rows themselves.  So what is shuffled is bounded by the
+    sets' cells per task, never by joint combinations of all columns."""
+    counts, sets = _superset_counts(df, cols)
+    counts = written(counts, "chi-square-sets")
+    of = {p: min((s for s, x in enumerate(sets) if set(p) <= set(x)), key=lambda s: len(sets[s])) for p in combinations(range(len(cols)), 2)}
+    cell = lambda p: F.struct(F.lit(cols[p[0]]).alias("col1"), F.lit(cols[p[1]]).alias("col2"), F.col(f"v{p[0]}").alias("a"), F.col(f"v{p[1]}").alias("b"))
+    choice = F
+    for s in range(len(sets)):
+        choice = choice.when(F.col("s") == s, F.array(*[cell(p) for p, x in of.items() if x == s]))
+    rows = counts.select("w", F.inline(choice)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return written(rows.groupBy("col1", "col2", "a", "b").agg(F.sum("w").alias("O")), "chi-square-cells")
+
+
 @skips_nan
 def chi_square(df: DataFrame, columns: list[str] | None = None,
                correction: bool = True) -> DataFrame:
@@ -295,25 +279,7 @@ def chi_square(df: DataFrame, columns: list[str] | None = None,
     if not pairs:
         return df.sparkSession.createDataFrame(
             [], "col1 string, col2 string, chi2 double, dof long, n long, yates boolean")
-    involved = sorted({c for p in pairs for c in p}, key=cols.index)
-    base = df.select(*[F.col(c).cast("string").alias(c) for c in involved])
-    # rows -> distinct category combinations first (partial-aggregated), so
-    # the per-pair replication of grouping sets runs on the reduced table
-    combos = base.groupBy(*involved).agg(F.count(F.lit(1)).alias("w"))
-    g = combos.groupingSets([list(p) for p in pairs], *involved).agg(
-        F.grouping_id().alias("gid"), F.sum("w").alias("O"))
-    k = len(involved)
-    full = (1 << k) - 1
-    c1 = c2 = v1 = v2 = F.lit(None).cast("string")
-    for a, b in pairs:
-        gid = full ^ (1 << (k - 1 - involved.index(a))) ^ (1 << (k - 1 - involved.index(b)))
-        hit = F.col("gid") == gid
-        c1 = F.when(hit, F.lit(a)).otherwise(c1)
-        c2 = F.when(hit, F.lit(b)).otherwise(c2)
-        v1 = F.when(hit, F.col(a)).otherwise(v1)
-        v2 = F.when(hit, F.col(b)).otherwise(v2)
-    cells = cut_lineage(g.select(c1.alias("col1"), c2.alias("col2"), v1.alias("a"), v2.alias("b"), "O")
-                        .filter(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    cells = _pair_cells(df, cols)
     rows = cells.groupBy("col1", "col2", "a").agg(F.sum("O").alias("R"))
     colt = cells.groupBy("col1", "col2", "b").agg(F.sum("O").alias("C"))
     tot = rows.groupBy("col1", "col2").agg(F.sum("R").alias("N"), F.count("*").alias("r"))

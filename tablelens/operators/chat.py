@@ -3,7 +3,8 @@ relabelling, and intent tagging of messages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.text import WORD_CLASS
@@ -37,6 +38,31 @@ def chat_log_from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "tu
                          ).alias("timestamp"))
 
 
+def append_messages(messages: DataFrame, path: str) -> None:
+    """Append messages to the log table at ``path`` (made if it isn't there), each (conv_id, id) once.
+
+    A batch that is appended again, whole or in part, adds nothing, so a job that fails may be rerun.  The
+    log is partitioned by day, and only days between the batch's first and last are looked at."""
+    spark = messages.sparkSession
+    new = messages.withColumn("day", F.to_date("timestamp")).dropDuplicates(["conv_id", "id"])
+    try:
+        log = spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        log = None
+    if log is not None:
+        days = new.agg(F.min("day"), F.max("day")).first()
+        old = log.filter(F.col("day").between(*[F.lit(d) for d in days])).select("conv_id", "id")
+        new = new.join(old, ["conv_id", "id"], "left_anti")
+    new.select(*messages.columns, "day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The messages of a log table."""
+    return spark.read.parquet(path).drop("day")
+
+
 def load_history(log: DataFrame) -> DataFrame:
     """The log in timestamp order (id breaks ties); a range-partitioned
     global sort, not a single-task one."""

@@ -14,11 +14,11 @@ FILLIBEN_A = 0.3175
 FILLIBEN_B = 0.365
 
 
-def filliben(rank: Column, n: int) -> Column:
+def filliben(rank: Column, n: int | Column) -> Column:
     """Uniform order-statistic median of ``rank`` (1-based) out of ``n``."""
-    last = 0.5 ** (1.0 / n)
+    last = F.pow(F.lit(0.5), F.lit(1.0) / n) if isinstance(n, Column) else F.lit(0.5 ** (1.0 / n))
     mid = (rank.cast("double") - FILLIBEN_A) / (n + FILLIBEN_B)
-    return F.when(rank == n, F.lit(last)).when(rank == 1, F.lit(1.0 - last)).otherwise(mid)
+    return F.when(rank == n, last).when(rank == 1, 1.0 - last).otherwise(mid)
 
 
 def qq_positions(df: DataFrame, column: str, max_points: int | None = None,

@@ -15,6 +15,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.session import written
+
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
 
@@ -58,6 +60,37 @@ def value_runs(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKE
     return ranked, n
 
 
+def value_runs_of(df: DataFrame, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET,
+                  max_buckets: int = MAX_BUCKETS) -> tuple[DataFrame, list[int]]:
+    """Runs ``(col, v, cnt, start)`` of several columns (by position) from one unpivoted scan, and the
+    number of non-null values of each.  Cut points are exact quantiles, so a bucket holds at most ``rows_per_bucket``
+    values that differ until ``max_buckets`` are used up."""
+    from tablelens.plans.quantiles import quantile_table
+
+    k = len(columns)
+    wide = df.select(*[F.when(~F.isnan(x), x).alias(f"v{i}") for i, x in enumerate(F.col(c).cast("double") for c in columns)])
+    row = wide.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(k)]).first()
+    sizes = [row[f"n{i}"] for i in range(k)]
+    b = max(1, min(max_buckets, math.ceil(max(sizes, default=0) / rows_per_bucket)))
+    marked = wide.select("*", *[F.lit(0).alias(f"b{i}") for i in range(k)])
+    if b > 1:
+        from pyspark.ml.feature import Bucketizer
+
+        cuts = {r["column"]: r["q"] for r in quantile_table(wide, [f"v{i}" for i in range(k)], [j / b for j in range(1, b)]).collect()}
+        splits = [[float("-inf"), *sorted(set(cuts[f"v{i}"] or [0.0])), float("inf")] for i in range(k)]
+        marked = Bucketizer(splitsArray=splits, inputCols=[f"v{i}" for i in range(k)], outputCols=[f"b{i}" for i in range(k)],
+                            handleInvalid="keep").transform(wide)
+    long = marked.select(F.inline(F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"b{i}").cast("int").alias("bucket"), F.col(f"v{i}").alias("v"))
+                                            for i in range(k)]))).filter(F.col("v").isNotNull())
+    runs = written(long.groupBy("col", "bucket", "v").agg(F.count(F.lit(1)).alias("cnt")), "runs")
+    within = Window.partitionBy("col", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    totals = runs.groupBy("col", "bucket").agg(F.sum("cnt").alias("total"))
+    before = Window.partitionBy("col").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = totals.select("col", "bucket", (F.sum("total").over(before) - F.col("total")).alias("off"))
+    ranked = runs.withColumn("within", F.sum("cnt").over(within) - F.col("cnt") + 1).join(offsets, ["col", "bucket"])
+    return ranked.select("col", "v", "cnt", (F.col("off") + F.col("within")).cast("long").alias("start")), sizes
+
+
 def expand_ranks(runs: DataFrame, chunk: int = 1_000_000, partitions: int | None = None) -> DataFrame:
     """One row per rank ``(rank, v)`` from runs.  A long run is first cut
     into chunks that are redistributed before being expanded, so a value

@@ -1074,7 +1074,7 @@ def _fuzzy_lookup(t: Tables):
 
 # ------------------------------------------------------------ chart pack
 
-from tablelens.operators.chart_pack import chart_pack, chart_pack_plan  # noqa: E402
+from tablelens.operators.chart_pack import chart_pack_plan  # noqa: E402
 
 
 @register("chart_pack_plan", """
@@ -1090,11 +1090,6 @@ def _chart_pack_plan(t: Tables):
     return chart_pack_plan(t.orders)
 
 
-@register("chart_pack")
-def _chart_pack(t: Tables):
-    return chart_pack(t.orders)
-
-
 # ------------------------------------------- missing values: NaN beside null
 
 _NAN_NUM = ["value", "tax", "nothing"]
@@ -1172,3 +1167,6 @@ def _pie_all(t: Tables):
 def _impute_knn_nokey(t: Tables):
     """C5 without a key: ties go to the earlier row."""
     return _rounded(impute_knn(fx.part_gap_mid(t).orderBy("p_partkey")), ["p_size", "p_retailprice"])
+
+
+from tablelens.plans import report_queries  # noqa: E402,F401

@@ -7,12 +7,14 @@ contains the other wins; otherwise the best partial score above
 100 (1 - d / |s|) with d the smallest Levenshtein distance between the
 shorter string s and any window of the longer string of the same length.
 
-Candidate pairs come from equi-joins on q-grams (prefix filtering, see
-``_candidates``) instead of a cross join; the filtering is exact for the
-score threshold, and containment implies sharing every q-gram."""
+Candidate pairs come from equi-joins on what a match must share (rare
+bigrams, segments, masked windows; see ``_candidates``) instead of a cross
+join; the filtering is exact for the score threshold."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,53 +43,76 @@ def _max_edits(length: Column, threshold: float) -> Column:
     return F.greatest(F.ceil(F.lit(1 - threshold / 100.0) * length) - 1, F.lit(0))
 
 
+def _explode(df: DataFrame, keys: Column) -> DataFrame:
+    return df.select("*", F.explode(F.array_distinct(keys)).alias("g"))
+
+
+def _segments(s: Column, parts: Column) -> Column:
+    """The first two characters of each of ``parts`` segments that ``s`` is cut into."""
+    size = F.floor(F.length(s) / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(s, (i * size + 1).cast("int"), F.lit(2)))
+
+
+def _masked(s: Column) -> Column:
+    """Every window of three characters with each of them left out (its number stands in front)."""
+    window = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
+    return F.flatten(F.transform(window, lambda w: F.array(F.concat(F.lit("0"), F.substring(w, 2, 2)), F.concat(F.lit("1"), F.substring(w, 1, 1), F.substring(w, 3, 1)),
+                                                           F.concat(F.lit("2"), F.substring(w, 1, 2)))))
+
+
 def _candidates(T: DataFrame, N: DataFrame, threshold: float) -> DataFrame:
-    """Exact candidate pairs by prefix filtering.
-
-    For the shorter string s of a qualifying pair (d <= d_max edits), the
-    distinct bigrams of s not touched by an edit number at least
-    |B(s)| - 2 d_max and all occur in the partner.  So when that bound is
-    positive, s's 2 d_max + 1 globally rarest bigrams must meet the
-    partner's bigrams: s joins on that short prefix only, the partner on
-    all its bigrams - hot bigrams rarely sit in a prefix.  When the bound
-    is not positive (short strings) s joins on its characters, which any
-    qualifying partner shares."""
-    def grams(df, col):
-        return df.select("*", F.explode(F.array_distinct(_grams(F.col(col), 2))).alias("g"))
-
-    tg, ng = grams(T, "tl"), grams(N, "nl")
-    freq = (tg.select("g").unionByName(ng.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f")))
-
-    def prefix(df, col, key):
+    """Candidate pairs that miss no match, by what the shorter string s of a pair with at most d edits
+    must share with its partner (a window as long as s):
+
+    * bigrams: those of s not touched by an edit number at least |B(s)| - 2 d and all occur in the partner.
+      Where that is positive, one of s's 2 d + 1 globally rarest bigrams is among the
+      partner's: s joins on that short prefix only, so hot bigrams rarely meet;
+    * segments, where it isn't (few distinct bigrams): of d + 1 segments one is untouched, so its first
+      two characters occur in the partner;
+    * three characters and one edit: as long as its window, the edit replaces a character, so s and the window agree when
+      that character is left out of both;
+    * one character: no edit is left, so one string contains it.  Among such partners the lowest
+      order wins, and only that one is kept for each character before anything is joined.
+
+    Thresholds so low that a segment has one character only join on characters."""
+    def edits(col):
+        return _max_edits(F.length(F.col(col)), threshold).cast("int")
+
+    tg, ng = _explode(T, _grams(F.col("tl"), 2)), _explode(N, _grams(F.col("nl"), 2))
+    freq = tg.select("g").unionByName(ng.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+
+    def kind(col):
+        """Which of the ways above a string goes."""
+        L, d = F.length(F.col(col)), edits(col)
+        bound = F.size(F.array_distinct(_grams(F.col(col), 2))) - 2 * d
+        return (F.when(L == 1, "one").when(bound >= 1, "prefix").when(L >= 2 * (d + 1), "segment").when((L == 3) & (d == 1), "three").otherwise("characters"))
+
+    def prefix(df, col, key, g):
         # rank a string's bigrams by (global frequency, gram); keep the rarest
-        L = F.length(F.col(col))
-        g = grams(df, col).join(freq, "g")
-        lst = g.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("gs"))
-        keep = 2 * _max_edits(L, threshold) + 1
-        out = df.join(lst, key).select(
-            "*", (F.size("gs") - 2 * _max_edits(L, threshold)).alias("tau"))
-        return out.filter(F.col("tau") >= 1).select(
-            *df.columns, F.explode(F.transform(F.slice("gs", 1, keep.cast("int")), lambda x: x["g"])).alias("g"))
-
-    def chars(df, col, short_only):
-        L = F.length(F.col(col))
-        out = df
-        if short_only:
-            nb = F.size(F.array_distinct(_grams(F.col(col), 2)))
-            out = df.filter(nb - 2 * _max_edits(L, threshold) < 1)
-        return out.select("*", F.explode(F.array_distinct(_grams(F.col(col), 1))).alias("g"))
+        lst = g.join(freq, "g").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("gs"))
+        rare = F.transform(F.slice("gs", 1, 2 * edits(col) + 1), lambda x: x["g"])
+        return df.filter(kind(col) == "prefix").join(lst, key).select(*df.columns, F.explode(rare).alias("g"))
 
     tcols, ncols = ["t", "tl"], ["n", "o", "nl"]
     lt, ln = F.length("tl"), F.length("nl")
-    # term is the shorter side (ties included)
-    j1 = prefix(T, "tl", "t").join(ng, "g").filter(lt <= ln)
-    j2 = chars(T, "tl", True).join(chars(N, "nl", False), "g").filter(lt <= ln)
-    # name is the strictly shorter side
-    j3 = prefix(N, "nl", "o").join(tg, "g").filter(ln < lt)
-    j4 = chars(N, "nl", True).join(chars(T, "tl", False), "g").filter(ln < lt)
-    return (j1.select(*tcols, *ncols).unionByName(j2.select(*tcols, *ncols))
-            .unionByName(j3.select(*tcols, *ncols)).unionByName(j4.select(*tcols, *ncols))
-            .dropDuplicates(["t", "n", "o"]))
+    out = []
+
+    def meet(short, long, longer):
+        out.append(short.join(long, "g").filter(longer).select(*tcols, *ncols))
+
+    for df, col, key, grams, other, other_col, other_grams, longer in ((T, "tl", "t", tg, N, "nl", ng, lt <= ln), (N, "nl", "o", ng, T, "tl", tg, ln < lt)):
+        of = lambda name: df.filter(kind(col) == name)  # noqa: B023, E731
+        meet(prefix(df, col, key, grams), other_grams, longer)
+        meet(_explode(of("segment"), _segments(F.col(col), edits(col) + 1)), other_grams, longer)
+        meet(_explode(of("three"), _masked(F.col(col))), _explode(other.filter(F.length(other_col) >= 3), _masked(F.col(other_col))), longer)
+        if threshold < SCORE_THRESHOLD:  # else no string goes this way
+            meet(_explode(of("characters"), _grams(F.col(col), 1)), _explode(other, _grams(F.col(other_col), 1)), longer)
+    # one character: the first name that has it, and the first name that is it
+    first = lambda df: df.groupBy("g").agg(F.min(F.struct("o", "n", "nl")).alias("x")).select("g", "x.*")
+    has = first(_explode(N, _grams(F.col("nl"), 1)))
+    out.append(T.filter(lt == 1).join(has, F.col("tl") == F.col("g")).select(*tcols, *ncols))
+    out.append(_explode(T.filter(lt > 1), _grams(F.col("tl"), 1)).join(first(N.filter(ln == 1).withColumn("g", F.col("nl"))), "g").select(*tcols, *ncols))
+    return reduce(DataFrame.unionByName, out).dropDuplicates(["t", "n", "o"])
 
 
 def fuzzy_lookup(terms: DataFrame, names: DataFrame, term: str = "term", name: str = "name",

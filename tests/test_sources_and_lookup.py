@@ -180,6 +180,31 @@ def test_fuzzy_lookup_random_strings_exact(spark):
         assert got[t] == exp, (t, got[t], exp)
 
 
+@pytest.mark.parametrize("threshold,alpha,lo,hi", [(60.0, "ab", 1, 6), (60.0, "abc", 1, 4), (60.0, "ab", 4, 14), (45.0, "abcd", 1, 7), (80.0, "abc", 1, 9)])
+def test_fuzzy_lookup_of_short_strings_exact(spark, threshold, alpha, lo, hi):
+    """Few characters and repeated bigrams: every way of finding candidates."""
+    import random
+    rnd = random.Random(hi)
+    word = lambda: "".join(rnd.choice(alpha) for _ in range(rnd.randint(lo, hi)))
+    names, terms = sorted({word() for _ in range(25)}), sorted({word() for _ in range(40)} | {"z", "zz", "zzz", alpha[0]})
+    got = {r["term"]: (r["name"], r["method"]) for r in lookup.fuzzy_lookup(
+        spark.createDataFrame([(t,) for t in terms], "term string"),
+        spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, name_order int"), threshold=threshold).collect()}
+    for t in terms:
+        exp = next(((n, "contains") for n in names if t in n or n in t), None)
+        if exp is None:
+            score, _, best = max(((_partial(t, n), -i, n) for i, n in enumerate(names)), default=(0, 0, None))
+            exp = (best, "fuzzy") if score > threshold else (None, None)
+        assert got[t] == exp, t
+
+
+def test_fuzzy_lookup_of_one_character_keeps_one_name_per_character(spark):
+    """Single characters meet one row per character, not all names that have it."""
+    names = spark.range(5000).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("n"), F.col("id").alias("o"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("nl"))
+    terms = spark.createDataFrame([("a", "a"), ("7", "7")], "t string, tl string")
+    assert sorted((r["t"], r["n"]) for r in lookup._candidates(terms, names, 60.0).collect()) == [("7", "a7"), ("a", "a0")]
+
+
 def test_knn_falls_back_to_mean_without_common_features(spark):
     rows = [(1, None, 1.0), (2, 5.0, None), (3, 7.0, None), (4, None, 3.0)]
     df = spark.createDataFrame(rows, "k long, a double, b double")

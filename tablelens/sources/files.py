@@ -16,6 +16,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from itertools import islice
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
@@ -177,22 +178,35 @@ def _sheet_path(z: zipfile.ZipFile, sheet) -> str:
     return target if target.startswith("xl/") else f"xl/{target}"
 
 
-def parse_xlsx(content: bytes, sheet=0, max_rows: int | None = None) -> list[list[str | None]]:
-    """Rows of one sheet as text cells (numbers keep their stored text);
-    ``max_rows`` stops early (header discovery)."""
+def _elements(z: zipfile.ZipFile, name: str, tag: str):
+    """Elements of one tag of an XML part as they are read; each is dropped when the next is asked for."""
+    with z.open(name) as part:
+        parents: list[ET.Element] = []
+        for event, el in ET.iterparse(part, events=("start", "end")):
+            if event == "start":
+                parents.append(el)
+                continue
+            parents.pop()
+            if el.tag == tag:
+                yield el
+                if parents:
+                    parents[-1].clear()  # the tree never holds more than the open path
+
+
+def iter_xlsx(content: bytes, sheet=0):
+    """Rows of one sheet as lists of text cells (numbers keep their stored text), one at a time: only the shared
+    strings are held."""
     z = zipfile.ZipFile(io.BytesIO(content))
+    ns = f"{{{_NS['m']}}}"
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
-        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-    root = ET.fromstring(z.read(_sheet_path(z, sheet)))
-    rows = []
-    for row in root.iter(f"{{{_NS['m']}}}row"):
+        shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in _elements(z, "xl/sharedStrings.xml", f"{ns}si")]
+    for row in _elements(z, _sheet_path(z, sheet), f"{ns}row"):
         cells: dict[int, str | None] = {}
         for c in row.findall("m:c", _NS):
             t = c.get("t")
             if t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
+                val = "".join(x.text or "" for x in c.iter(f"{ns}t"))
             else:
                 v = c.find("m:v", _NS)
                 val = None if v is None else v.text
@@ -202,16 +216,23 @@ def parse_xlsx(content: bytes, sheet=0, max_rows: int | None = None) -> list[lis
                     val = "True" if val == "1" else "False"
             cells[_col_index(c.get("r"))] = val
         if cells:
-            rows.append([cells.get(i) for i in range(max(cells) + 1)])
-            if max_rows is not None and len(rows) >= max_rows:
-                break
-    return rows
+            yield [cells.get(i) for i in range(max(cells) + 1)]
+
+
+def parse_xlsx(content: bytes, sheet=0, max_rows: int | None = None) -> list[list[str | None]]:
+    """The sheet's rows, or the first ``max_rows``."""
+    return list(islice(iter_xlsx(content, sheet), max_rows))
+
+
+#: Rows of a sheet that become one batch.
+EXCEL_BATCH = 10_000
 
 
 def read_excel(spark: SparkSession, path: str, sheet=0, typed: bool = True) -> DataFrame:
     """Scan .xlsx workbook(s); the first row of the sheet is the header.
     Headers are read first (one small row per file), then every workbook is
-    parsed in its own task."""
+    parsed in its own task, row by row (a compressed sheet can't be split).  ``path``: a
+    workbook or a folder of them."""
     from tablelens.session import ship_package
     ship_package(spark)
     try:
@@ -238,12 +259,12 @@ def read_excel(spark: SparkSession, path: str, sheet=0, typed: bool = True) -> D
     def body(it):
         for pdf in it:
             for content in pdf["content"]:
-                rows = parse_xlsx(content, sheet)
-                if len(rows) < 2:
-                    continue
-                head = ["" if x is None else x for x in rows[0]]
-                data = [dict(zip(head, r + [None] * (len(head) - len(r)))) for r in rows[1:]]
-                yield pd.DataFrame(data, columns=cols).astype(object).where(lambda d: d.notna(), None)
+                rows = iter_xlsx(content, sheet)
+                head = ["" if x is None else x for x in next(rows, [])]
+                at = [head.index(c) if c in head else None for c in cols]
+                while batch := list(islice(rows, EXCEL_BATCH)):
+                    data = [[r[i] if i is not None and i < len(r) else None for i in at] for r in batch]
+                    yield pd.DataFrame(data, columns=cols, dtype=object)
     df = files.select("content").mapInPandas(body, schema)
     df = _na_to_null(df)
     return infer_types(df) if typed else df

@@ -10,6 +10,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _CT = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
        '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
@@ -41,7 +42,7 @@ def _col(i: int) -> str:
     return s
 
 
-def workbook_bytes(pdf: pd.DataFrame, sheet: str = "Sheet1") -> bytes:
+def workbook_bytes(pdf: pd.DataFrame, sheet: str = "Sheet1", comment: bytes = b"") -> bytes:
     rows = [list(pdf.columns)] + pdf.astype(object).where(pdf.notna(), None).values.tolist()
     out = ['<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
            '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>']
@@ -64,30 +65,35 @@ def workbook_bytes(pdf: pd.DataFrame, sheet: str = "Sheet1") -> bytes:
         z.writestr("xl/workbook.xml", _WB.format(name=escape(sheet)))
         z.writestr("xl/_rels/workbook.xml.rels", _WB_RELS)
         z.writestr("xl/worksheets/sheet1.xml", "".join(out))
+        z.comment = comment
     return buf.getvalue()
 
 
 def write_xlsx(df: DataFrame, folder: str) -> str:
-    """One workbook per non-empty partition under ``folder`` (a shared,
-    executor-visible path)."""
+    """One workbook per non-empty partition under ``folder``, in any file system that Spark writes to.
+
+    Spark's text writer commits them to a folder of their own: a retried task replaces its file, a lost one leaves
+    none.  It ends a row with a line break, which is the archive's comment of one byte, so that each file
+    is a workbook as it stands.  Then they get their names, ``part-00000.xlsx`` on, in ``folder``; a rerun replaces them."""
     from tablelens.session import ship_package
-    ship_package(df.sparkSession)
-    target = folder.replace("file:", "")
+    spark = df.sparkSession
+    ship_package(spark)
 
-    def fn(it):
-        import os
-        from pyspark import TaskContext
+    def books(it):
         frames = [p for p in it if not p.empty]
         if frames:
-            pdf = pd.concat(frames, ignore_index=True)
-            os.makedirs(target, exist_ok=True)
-            # one name per partition, written then renamed: a retried task
-            # replaces its workbook instead of adding a second one
-            name = f"{target}/part-{TaskContext.get().partitionId():05d}.xlsx"
-            tmp = f"{name}.{uuid.uuid4().hex[:8]}.tmp"
-            with open(tmp, "wb") as fh:
-                fh.write(workbook_bytes(pdf))
-            os.replace(tmp, name)
-            yield pd.DataFrame({"path": [name]})
-    df.mapInPandas(fn, "path string").collect()
+            yield pd.DataFrame({"book": [workbook_bytes(pd.concat(frames, ignore_index=True), comment=b"\n")[:-1]]})
+
+    staged = f"{folder.rstrip('/')}/_books-{uuid.uuid4().hex[:12]}"
+    df.mapInPandas(books, "book binary").select(F.col("book").cast("string").alias("value")).write.option("lineSep", "\n").text(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":  # no checksum files beside the workbooks
+        fs = fs.getRawFileSystem()
+    parts = sorted(x.getPath().getName() for x in fs.listStatus(path(staged)) if x.getPath().getName().startswith("part-") and x.getLen())
+    for i, name in enumerate(parts):
+        target = path(f"{folder}/part-{i:05d}.xlsx")
+        fs.delete(target, False)
+        fs.rename(path(f"{staged}/{name}"), target)
+    fs.delete(path(staged), True)
     return folder

@@ -28,10 +28,11 @@ def _last_n(n: int):
                                 "timestamp": list(stamps)})
         else:
             old = pd.DataFrame(columns=["id", "role", "content", "timestamp"])
-        frames = [old] + [b[["id", "role", "content", "timestamp"]] for b in batches]
-        cur = pd.concat([f for f in frames if not f.empty], ignore_index=True) if any(
-            not f.empty for f in frames) else old
-        cur = cur.sort_values(["timestamp", "id"], kind="stable").tail(n)
+        cur = old
+        for batch in batches:  # n messages and one Arrow batch at a time, however long the conversation's part is
+            frames = [f for f in (cur, batch[["id", "role", "content", "timestamp"]]) if not f.empty]
+            if frames:
+                cur = pd.concat(frames, ignore_index=True).sort_values(["timestamp", "id"], kind="stable").tail(n)
         state.update((cur["id"].astype("int64").tolist(), cur["role"].tolist(), cur["content"].tolist(),
                       cur["timestamp"].tolist()))
         out = cur.copy()

@@ -232,3 +232,27 @@ def test_handle_missing_dispatch(spark):
     knn = cleaning.handle_missing(df, "knn", key="k", k=1).orderBy("k").collect()
     assert knn[0]["v"] == 4.0  # nearest by key distance
     assert cleaning.handle_missing(df, "unknown").count() == 3
+
+
+def test_workbooks_are_written_by_spark_and_read_in_bounded_steps(spark, monkeypatch):
+    import tracemalloc
+    import zipfile
+
+    d = tempfile.mkdtemp()
+    df = spark.range(30).select("id", F.concat(F.lit("é & <b> "), F.col("id").cast("string")).alias("name"), (F.col("id") / 4).alias("v")).repartition(3)
+    for _ in range(2):  # a rerun replaces
+        write_xlsx(df, f"{d}/books.xlsx")
+    names = sorted(os.listdir(f"{d}/books.xlsx"))
+    assert names == [f"part-0000{i}.xlsx" for i in range(3)] and all(zipfile.ZipFile(f"{d}/books.xlsx/{n}").testzip() is None for n in names)
+    monkeypatch.setattr(files, "EXCEL_BATCH", 4)
+    got = files.load(spark, f"{d}/books.xlsx")
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(i, f"é & <b> {i}", i / 4) for i in range(30)]
+    # a sheet's tree is never held whole
+    import pandas as pd
+    from tablelens.sources.xlsx_writer import workbook_bytes
+    book = workbook_bytes(pd.DataFrame({"a": range(30_000), "b": ["x" * 50] * 30_000}))
+    tracemalloc.start()
+    assert sum(1 for _ in files.iter_xlsx(book)) == 30_001
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6, peak

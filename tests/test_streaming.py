@@ -50,3 +50,25 @@ def test_catalog_registration_is_idempotent(spark):
     scat.run_registration(spark, inbox, f"{root}/catalog", f"{root}/ck").awaitTermination(120)
     cat = {r["file_name"]: (r["dataset_id"], r["rows"]) for r in scat.read_catalog(spark, f"{root}/catalog").collect()}
     assert cat == {"a.csv": (1, 3), "b.csv": (2, 5), "c.xlsx": (3, 1)}
+
+
+def test_history_window_holds_one_batch_at_a_time(monkeypatch):
+    """A conversation with most of a micro-batch is folded batch by batch into its last n messages."""
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    sizes, concat = [], pd.concat
+    monkeypatch.setattr(chatlog.pd, "concat", lambda frames, **kw: sizes.append(sum(map(len, frames))) or concat(frames, **kw))
+    order = [(i * 7919) % 5000 for i in range(5000)]
+    rows = pd.DataFrame({"id": order, "role": "user", "content": [f"m{i}" for i in order], "timestamp": pd.Timestamp("2024-01-01") + pd.to_timedelta(order, "s")})
+    state, update = State(), chatlog._last_n(4)
+    (first,) = update((9,), (rows[i:i + 100].copy() for i in range(0, 2500, 100)), state)
+    (second,) = update((9,), (rows[i:i + 100].copy() for i in range(2500, 5000, 100)), state)
+    assert first["id"].tolist() == sorted(order[:2500])[-4:] and second["id"].tolist() == [4996, 4997, 4998, 4999]
+    assert second["conv_id"].tolist() == [9] * 4 and second["position"].tolist() == [1, 2, 3, 4]
+    assert max(sizes) <= 104

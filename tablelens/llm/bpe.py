@@ -32,6 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tablelens.llm.words import give_back
 from tablelens.session import ship_package
 
 #: Distinct words, and blank-separated pieces, whose ids a Python worker remembers.
@@ -300,6 +301,7 @@ def _add(df: DataFrame, source: str, new: list[T.StructField], sent, make) -> Da
                 rows = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*rows.columns, *make(model, column.slice(i, j - i))], [*rows.schema.names, *names])
         model.forget()  # the worker lives on after the task
+        give_back()
 
     src = df.select(*[f"`{c}`" for c in keep])
     return src.mapInArrow(run, T.StructType([*src.schema.fields, *new]))

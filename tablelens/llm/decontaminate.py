@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.words import (U64, alnum_table, bitmap, i64, in_bitmap, lists, materialise, mix, text_slices,
-                                 window_hashes)
+                                 tidy, window_hashes)
 from tablelens.session import ship_package
 
 #: Bits of each broadcast filter (4 MB).
@@ -43,6 +43,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int, k: int)
     """(item_id, w1, w2, m, shingles, placed): one row per window of each item."""
     table = alnum_table()
 
+    @tidy
     def run(batches):
         for rows, w in text_slices(batches, "_text", table):
             n = w.counts
@@ -69,6 +70,7 @@ def _shingle_counts(docs: DataFrame, filter_words, lens: list[int]) -> DataFrame
     """How often each shingle that passes the filter occurs in all documents."""
     table = alnum_table()
 
+    @tidy
     def run(batches):
         for _, w in text_slices(batches, "_text", table):
             room, h = w.room(), w.hashes(0)
@@ -83,6 +85,7 @@ def _shingle_counts(docs: DataFrame, filter_words, lens: list[int]) -> DataFrame
 def _candidates(docs: DataFrame, prefix_words, place_words, shapes: list[int], k: int, doc_type: str) -> DataFrame:
     table = alnum_table()
 
+    @tidy
     def run(batches):
         cols = ["doc_id", "text_hash", "n_words", "found"]
         for rows, w in text_slices(batches, "_text", table):

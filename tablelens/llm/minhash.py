@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.words import U64, Words, blank_table, buffers, folded, i64, materialise, mix, text_slices, window_hashes
+from tablelens.llm.words import U64, Words, blank_table, buffers, folded, i64, materialise, mix, text_slices, tidy, window_hashes
 from tablelens.session import ship_package
 
 CHUNKS, CHUNK = 12, 6
@@ -83,6 +83,7 @@ def _signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _scan(docs: DataFrame, k: int) -> DataFrame:
     table = folded(blank_table())
 
+    @tidy
     def run(batches):
         for rows, w in text_slices(batches, "_text", table):
             h, first = _sets(w, k)
@@ -102,6 +103,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
 
 def _keys(classes: DataFrame) -> DataFrame:
     """(key, slot, c): every chunk with one symbol left out; slot says which."""
+    @tidy
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
@@ -125,6 +127,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) ->
     apart (size of the symmetric difference) and diff (its elements counted by hash into DIFF_CELLS cells)."""
     table = folded(blank_table())
 
+    @tidy
     def run(batches):
         for batch in batches:
             size = np.diff(buffers(batch.column("ta"))[1]) + np.diff(buffers(batch.column("tb"))[1])

@@ -23,7 +23,8 @@ Null and empty texts score what a text without any term scores.  A document with
 several labels counts as toxic if one says so, so does a text of several documents
 in the lexicon's counts; null labels count for nothing.
 Without labelled documents, or with one class only, every text scores that
-class's share (0 without labels).
+class's share (0 without labels).  Where no term passes (fewer than ``MIN_DOCS`` toxic texts, say),
+patterns alone decide, and texts without any score about the toxic share of the labels.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablelens.llm.langid import letter_table
-from tablelens.llm.words import U64, Words, _byte_values, i64, mix, powers, take_bytes, text_slices
+from tablelens.llm.words import U64, Words, _byte_values, i64, mix, powers, take_bytes, text_slices, tidy
 from tablelens.session import ship_package
 
 #: Labelled documents that the label model and the classifier are fitted on, at most.
@@ -129,6 +130,7 @@ def _distinct_texts(src: DataFrame, marks: DataFrame) -> DataFrame:
 
 def _mine(src: DataFrame, marks: DataFrame, table) -> tuple[np.ndarray, list[str]]:
     """Hashes (sorted) and names of all terms that pass."""
+    @tidy
     def run(batches):
         for rows, w in text_slices(batches, "_text", table):
             y, share, doc = rows.column("_y").to_numpy(), rows.column("_share").to_numpy(), w.doc_of()
@@ -148,6 +150,7 @@ def _mine(src: DataFrame, marks: DataFrame, table) -> tuple[np.ndarray, list[str
     if len(terms) == 0:
         return terms, []
 
+    @tidy
     def name(batches):
         # a name is sought once in a task
         seen = np.zeros(len(terms), bool)
@@ -188,8 +191,10 @@ def _cover(doc: np.ndarray, term: np.ndarray) -> np.ndarray:
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, list[dict]]:
     """Posterior of class 1 for each row of votes (-1 clean, 0 none, 1 toxic), from class-conditional vote
-    tables and voices weighted by correlation."""
+    tables and voices weighted by correlation.  The share of class 1 is that of ``start``, the labels: votes that
+    tell nothing leave every posterior there."""
     q = np.clip(start.astype(float), 0.02, 0.98)
+    share = np.clip(start.mean(), 1e-3, 1 - 1e-3)
     n, m = votes.shape
     onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
     for _ in range(rounds):
@@ -203,8 +208,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> tuple
         sd = np.sqrt((r * r).mean(0)) + 1e-9
         corr = np.clip((r / sd).T @ (r / sd) / max(n, 1), 0, 1)
         voice = 1 / np.maximum(1, np.where(corr > 0.1, corr, 0).sum(1))
-        prior = np.log(np.clip(q.mean(), 1e-3, 1 - 1e-3) / (1 - np.clip(q.mean(), 1e-3, 1 - 1e-3)))
-        q = 1 / (1 + np.exp(-np.clip(prior + seen @ voice, -30, 30)))
+        q = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + seen @ voice, -30, 30)))
     return q, [{"toxic_if_toxic": float(a), "toxic_if_clean": float(b), "voice": float(v)} for a, b, v in zip(p1[:, 2], p0[:, 2], voice)]
 
 
@@ -236,6 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     sample = src.join(F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)), "_id").select("_text", "_y")
     terms, names = _mine(src, marks, table)
 
+    @tidy
     def votes_of(batches):
         for rows, w in text_slices(batches, "_text", table):
             doc, which, dense = _features(w, terms)
@@ -273,6 +278,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", score: s
     table = letter_table()
     keep = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in (score, terms)])
 
+    @tidy
     def run(batches):
         m = sent.value
         names = np.array(m.names, object)

@@ -13,7 +13,8 @@ listed.  Documents of equal sets are one class.  Then
 1. every class is compared with the centre it shares most buckets with: a bucket's
    centre is its class whose buckets are largest (the one that others are copies of);
 2. confirmed links give components, and only buckets that still hold classes of
-   different components give pairs, across components. How two classes differ from a
+   different components give pairs, across components: the classes outside a bucket's largest
+   component with all others, never that component with itself. How two classes differ from a
    common centre bounds how much they have in common, so most pairs of edited copies
    are refuted there; the others that meet are compared in full, each in its first
    common bucket. So every pair within the distance is confirmed, refuted or inside a
@@ -41,7 +42,7 @@ CHUNKS, CHUNK = 12, 6
 #: Pairs across components are compared up to so many unequal symbols: four deviations beyond
 #: what pairs at similarity 0.8 have on average, more than the 2 * CHUNKS - 1 that are sure to meet.
 FAR = 28
-#: Classes of one bucket that are compared in one group.
+#: Classes of one bucket on each side of one group.
 TILE = 2048
 #: Cells in which differences from a centre are counted.
 DIFF_CELLS = 128
@@ -154,24 +155,23 @@ def _compared(pairs: DataFrame, sets: DataFrame, k: int, num: int, den: int) ->
 
 
 def _met(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs (a, b) of a bucket's classes of two tiles and of different components whose signatures differ in at
+    """Pairs (a, b) of a left and a right class of a bucket and of different components whose signatures differ in at
     most FAR symbols, that their sizes and differences from a common centre let be similar enough, and
     whose first common key this is.  Sets x, y differ in |x ^ y| = |x ^ m| + |y ^ m| - 2 |(x ^ m) & (y ^ m)| elements."""
     group = group.combine_chunks()
     slot = group["slot"][0].as_py()
     chunk, left_out = divmod(slot, CHUNK)
-    c, comp, n, centre, apart, tile = (group[x].to_numpy() for x in ("c", "comp", "n", "centre", "apart", "tile"))
+    c, comp, n, centre, apart = (group[x].to_numpy() for x in ("c", "comp", "n", "centre", "apart"))
+    left, minor = (group[x].to_numpy().astype(bool) for x in ("left", "minor"))
     diff = np.frombuffer(b"".join(x or bytes(4 * DIFF_CELLS) for x in group["diff"].to_pylist()), "<u4").reshape(len(c), -1)
     sig = buffers(group["sig"])[0].view(np.uint16).reshape(len(c), -1)
-    p, q = group["p"][0].as_py(), group["q"][0].as_py()
-    rows, cols = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
+    rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
     out = []
     for x in range(0, len(rows), 64):
         i = rows[x:x + 64]
         less, more = np.minimum(n[i][:, None], n[cols]), np.maximum(n[i][:, None], n[cols])
         may = (comp[i][:, None] != comp[cols]) & (den * less >= num * more)
-        if p == q:
-            may &= c[i][:, None] < c[cols]
+        may &= (c[i][:, None] < c[cols]) | ~minor[cols]  # two minor classes meet both ways round
         u, v = np.nonzero(may)
         u, v = i[u], cols[v]
         for y in range(0, len(u), 1 << 16):
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                           .withColumn("c", F.monotonically_increasing_id()), "minhash-classes")
 
     # buckets of two classes or more
-    keys = _keys(classes)
+    keys = materialise(_keys(classes), "minhash-keys")
     buckets = materialise(keys.join(keys.groupBy("key").agg(F.count("c").alias("n")).filter("n > 1"), "key"), "minhash-buckets")
     rank = buckets.groupBy("c").agg(F.sum("n").alias("size"))
     ranked = buckets.select("key", "c").join(rank, "c")
@@ -249,13 +249,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     label = buckets.select("key", "slot", "c").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     label = materialise(label, "minhash-labels")
     mixed = label.join(label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "key")
-    # buckets in tiles of bounded size, every two of which meet in a group
-    tiles = mixed.groupBy("key").agg(F.ceil(F.count("c") / TILE).cast("int").alias("tiles"))
+    # a bucket's largest component needs no pairs of its own: the other classes are its left side, all are its right
+    # side, both in tiles of bounded size, and every left tile meets every right one in a group
+    big = (mixed.groupBy("key", "comp").agg(F.count("c").alias("m")).groupBy("key")
+           .agg(F.max(F.struct("m", "comp")).alias("big"), F.sum("m").alias("all"))
+           .select("key", F.col("big.comp").alias("big"), F.ceil(F.col("all") / TILE).cast("int").alias("rights"), F.ceil((F.col("all") - F.col("big.m")) / TILE).cast("int").alias("lefts")))
     known = classes.select("c", "sig", "n").join(compared.select(F.col("a").alias("c"), F.col("b").alias("centre"), "apart", "diff"), "c", "left")
-    rows = (mixed.join(tiles, "key").join(known, "c").withColumns({"centre": F.coalesce("centre", "c"), "apart": F.coalesce("apart", F.lit(0).cast("long"))})
-            .withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
-            .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-            .select("key", "slot", "c", "comp", "n", "centre", "apart", "diff", "sig", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q")))
+    sided = (mixed.join(big, "key").join(known, "c").withColumns({"centre": F.coalesce("centre", "c"), "apart": F.coalesce("apart", F.lit(0).cast("long"))})
+             .withColumn("minor", (F.col("comp") != F.col("big")).cast("int")))
+    of = ["key", "slot", "c", "comp", "n", "centre", "apart", "diff", "sig", "minor"]
+    tile = lambda tiles: F.pmod(F.xxhash64("c"), F.col(tiles)).cast("int")
+    every = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+    rows = (sided.filter("minor = 1").select(*of, F.lit(1).alias("left"), tile("lefts").alias("p"), every("rights").alias("q"))
+            .unionByName(sided.select(*of, F.lit(0).alias("left"), tile("rights").alias("q"), every("lefts").alias("p"))))
     cross = rows.groupBy("key", "p", "q").applyInArrow(lambda group: _met(group, num, den), "a long, b long")
     cross = materialise(cross.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "minhash-cross")
     more = _compared(cross, texts, shingle, num, den).filter("ok").select("a", "b")

@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
-Each rule has a rejecting condition and a work estimate (how many characters or
-words its condition has to look at).  On a sample the operator measures each
-rule's mean work and how often it rejects, orders the rules by rejections per
-unit of work, and builds one CASE expression in that order: a row that an early
-rule rejects skips the later rules' conditions.  The order decides the cost and
+Each rule has a rejecting condition, and may state its work.  On a sample of about
+``SAMPLE_ROWS`` rows, written once, the operator measures how often each rule rejects and how
+long its condition takes (beyond a query of no condition; a stated work is taken instead),
+orders the rules by rejections per unit of cost, and builds one CASE expression in that order: a row
+that an early rule rejects skips the later rules' conditions.  The order decides the cost and
 which rule is named as the reason, never whether a row is kept.
 
 Null texts count as empty.  A text of no words is rejected by the word-count rule.
@@ -12,11 +12,16 @@ Null texts count as empty.  A text of no words is rejected by the word-count rul
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.llm.words import materialise
+
+#: Rows of the sample that decides the order.
+SAMPLE_ROWS = 2000
 BLANKS = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -75,10 +80,10 @@ def n_repeat_words(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: condition over the frame's columns; ``work``: units its evaluation costs for a row."""
+    """``rejects``: condition over the frame's columns; ``work``: units its evaluation costs for a row, measured if not stated."""
     name: str
     rejects: Column
-    work: Column
+    work: Column | None = None
 
 
 def standard_rules(text: str = "text") -> list[Rule]:
@@ -90,12 +95,12 @@ def standard_rules(text: str = "text") -> list[Rule]:
     upper = chars - F.length(F.regexp_replace(t, r"\p{Lu}", ""))
     letters = chars - F.length(F.regexp_replace(t, r"\p{L}", ""))
     return [
-        Rule("few_words", F.size(w) < 20, chars * 1.0),
-        Rule("symbols", n_symbols(t) * 5 > F.size(w), chars * 1.5),
-        Rule("repeated_lines", let(lines, lambda x: n_of(x) * 10 > F.size(x) * 3), chars * 0.5),
-        Rule("word_length", let(w, lambda x: (word_chars(x) < 3 * F.size(x)) | (word_chars(x) > 10 * F.size(x))), chars * 1.2),
-        Rule("shouting", upper * 2 > letters, chars * 3.0),
-        Rule("repetition", let(w, lambda x: n_repeat_words(x) * 100 > F.size(x) * 30), chars * 1.0 + F.size(w) * 20.0),
+        Rule("few_words", F.size(w) < 20),
+        Rule("symbols", n_symbols(t) * 5 > F.size(w)),
+        Rule("repeated_lines", let(lines, lambda x: n_of(x) * 10 > F.size(x) * 3)),
+        Rule("word_length", let(w, lambda x: (word_chars(x) < 3 * F.size(x)) | (word_chars(x) > 10 * F.size(x)))),
+        Rule("shouting", upper * 2 > letters),
+        Rule("repetition", let(w, lambda x: n_repeat_words(x) * 100 > F.size(x) * 30)),
     ]
 
 
@@ -103,23 +108,48 @@ def n_of(lines: Column) -> Column:
     return F.size(lines) - F.size(F.array_distinct(lines))
 
 
-def plan_order(df: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[dict]:
-    """Rules by rejections per unit of work, measured on up to ``sample_rows`` rows; ties by name.
-    Only the order depends on the sample."""
-    seen = df.limit(sample_rows).select(*[x for k, r in enumerate(rules) for x in (
-        F.coalesce(r.rejects, F.lit(False)).cast("double").alias(f"r{k}"), r.work.cast("double").alias(f"w{k}"))])
-    row = seen.agg(*[F.avg(c).alias(c) for c in seen.columns]).first()
-    stats = [{"rule": r.name, "rejects": row[f"r{k}"] or 0.0, "work": row[f"w{k}"] or 0.0} for k, r in enumerate(rules)]
-    return sorted(stats, key=lambda s: (-s["rejects"] / max(s["work"], 1e-9), s["rule"]))
+def sampled(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` rows of the frame, drawn by a fixed seed from all of it."""
+    n = df.count()
+    return df if n <= rows else df.sample(rows / n, seed=7)
+
 
+def _seconds(query: DataFrame) -> float:
+    """The shorter of two runs: the first one may compile."""
+    took = []
+    for _ in range(2):
+        began = time.perf_counter()
+        query.collect()
+        took.append(time.perf_counter() - began)
+    return min(took)
 
-def cascade(df: DataFrame, rules: list[Rule] | None = None, *, text: str = "text", sample_rows: int = 2000,
+
+def plan_order(sample: DataFrame, rules: list[Rule]) -> list[dict]:
+    """Rules by rejections per unit of cost on the rows of ``sample``; ties by name.  Only the order depends on it."""
+    sample = materialise(sample, "quality-sample")
+    seen = sample.select(*[F.coalesce(r.rejects, F.lit(False)).cast("double").alias(f"r{k}") for k, r in enumerate(rules)],
+                         *[r.work.cast("double").alias(f"w{k}") for k, r in enumerate(rules) if r.work is not None])
+    row = seen.agg(*[F.avg(c).alias(c) for c in seen.columns]).first()
+    nothing = None
+    stats = []
+    for k, r in enumerate(rules):
+        if r.work is not None:
+            cost = row[f"w{k}"] or 0.0
+        else:
+            nothing = _seconds(sample.agg(F.count(F.lit(1)))) if nothing is None else nothing
+            cost = _seconds(sample.agg(F.count(F.when(r.rejects, 1)))) - nothing
+        stats.append({"rule": r.name, "rejects": row[f"r{k}"] or 0.0, "work": max(cost, 1e-3 if r.work is None else 1e-9)})
+    return sorted(stats, key=lambda s: (-s["rejects"] / s["work"], s["rule"]))
+
+
+def cascade(df: DataFrame, rules: list[Rule] | None = None, *, text: str = "text", sample: DataFrame | None = None,
             reason: str = "rejected_by") -> DataFrame:
-    """``df`` with ``reason``: the first rule in measured order that rejects the row, null if none does."""
+    """``df`` with ``reason``: the first rule in measured order that rejects the row, null if none does.
+    ``sample``: rows with the columns that rules look at, to measure on; else it is drawn from ``df``."""
     rules = rules or standard_rules(text)
     by_name = {r.name: r for r in rules}
     case = None
-    for s in plan_order(df, rules, sample_rows):
+    for s in plan_order(sampled(df) if sample is None else sample, rules):
         cond = F.coalesce(by_name[s["rule"]].rejects, F.lit(False))
         case = F.when(cond, F.lit(s["rule"])) if case is None else case.when(cond, F.lit(s["rule"]))
     return df.withColumn(reason, case)
@@ -141,10 +171,10 @@ def measured_rules() -> list[Rule]:
     lines = F.filter(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit(" \t\x0b\x0c\r")) != "")
     shout = [r for r in standard_rules() if r.name == "shouting"]
     return [
-        Rule("few_words", n < 20, F.lit(1)),
-        Rule("symbols", F.col("n_symbols") * 5 > n, F.lit(1)),
-        Rule("repeated_lines", (F.col("n_dup_lines") > 0) & (F.col("n_dup_lines") * 10 > F.size(lines) * 3), F.length(text) * 0.3),
-        Rule("word_length", (chars < 3 * n) | (chars > 10 * n), F.lit(1)),
-        Rule("repetition", F.col("n_repeat_words") * 100 > n * 30, F.lit(1)),
+        Rule("few_words", n < 20),
+        Rule("symbols", F.col("n_symbols") * 5 > n),
+        Rule("repeated_lines", (F.col("n_dup_lines") > 0) & (F.col("n_dup_lines") * 10 > F.size(lines) * 3)),
+        Rule("word_length", (chars < 3 * n) | (chars > 10 * n)),
+        Rule("repetition", F.col("n_repeat_words") * 100 > n * 30),
         *shout,
     ]

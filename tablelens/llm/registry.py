@@ -86,9 +86,10 @@ v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM v""")
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text measures, the base verdict and the cascade's verdict."""
-    from tablelens.llm.quality import cascade, features, measured_rules
+    from tablelens.llm.quality import cascade, features, measured_rules, sampled
 
-    df = cascade(features(_table(spark, sf_dir, "documents").select("doc_id", "text")), measured_rules())
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = cascade(features(docs), measured_rules(), sample=features(sampled(docs)))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
                      (~failed & F.col("rejected_by").isNull()).alias("kept"))
@@ -212,7 +213,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablelens.llm.lm_score import score
 
     out = score(_table(spark, sf_dir, "documents"), _remainder(10) != 0)
-    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", F.coalesce(_remainder(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def byte_vocabulary_path() -> str:

@@ -264,7 +264,18 @@ def test_quality_order_is_by_rejections_per_work(spark):
     assert {x.rejected_by: x["count"] for x in got} == {"cheap": 20, "dear": 30, None: 50}
 
 
-def test_lm_score(small, odd, none):
+def test_quality_costs_are_measured_on_a_sample_of_fixed_size(spark):
+    df = spark.range(0, 60_000, 1, 40).withColumn("text", F.repeat(F.lit("word and Word "), 40))
+    for parts in (1, 40):
+        assert 1700 < quality.sampled(df.coalesce(parts)).count() < 2300
+    few = quality.sampled(df)
+    slow = F.length(F.regexp_replace(F.repeat("text", 60), r"(\p{Lu})(\p{Ll}+)", "$2$1")) > 0
+    stats = quality.plan_order(few, [quality.Rule("slow", slow), quality.Rule("quick", F.col("id") >= 0)])
+    assert [s["rule"] for s in stats] == ["quick", "slow"] and stats[0]["rejects"] == stats[1]["rejects"] == 1.0
+    assert stats[1]["work"] > stats[0]["work"]
+
+
+def test_lm_score(small, odd, clash, none):
     import math
 
     rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
@@ -282,6 +293,16 @@ def test_lm_score(small, odd, none):
     assert all(r.score < 0 for r in got.values())
     assert lm_score.score(odd, F.col("doc_id") > 3).count() == odd.count()
     assert lm_score.score(none, F.lit(True)).count() == 0
+    key = lambda df: sorted(((r.doc_id, r.n_tokens, r.trained, round(r.score, 6)) for r in df.collect()), key=repr)
+    assert key(lm_score.score(clash, F.col("doc_id") > 3)) == key(lm_score.score(odd, F.col("doc_id") > 3))
+
+
+def test_lm_rows_without_an_id_are_not_held_out(spark, odd, tmp_path):
+    from tablelens.llm.registry import QUERIES
+
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op1_lm_score"](spark, str(tmp_path)).select("doc_id", "held_out").distinct().collect()
+    assert {r.doc_id: r.held_out for r in got} == {i: i is not None and remainder(i, 10) == 0 for i, *_ in odd_rows()}
 
 
 def test_lm_probabilities_sum_to_one(spark):

@@ -29,7 +29,8 @@ ODD = [None, "", "x", "http://", "://ORG/a", "https://Example.ORG/es/1?q=/x#y",
 
 
 def test_rules_on_odd_urls(spark):
-    df = spark.createDataFrame(list(enumerate(ODD)), "page_id long, url string").withColumn("verdict", F.lit("z")).withColumn("host", F.lit("z"))
+    df = spark.createDataFrame(list(enumerate(ODD)), "page_id long, url string").withColumn("verdict", F.lit("z")).withColumn("HOST", F.lit("z"))
+    assert judge(df, _url_rules()).columns == ["page_id", "url", "host", "path", "rule", "verdict", "block_score"]
     got = {r.page_id: r for r in judge(df, _url_rules()).collect()}
     for i, url in enumerate(ODD):
         host, path, rule, verdict = ruled(url, _url_rules())

@@ -21,7 +21,8 @@ word per class; so the probabilities of known tokens and unknown ones sum to 1.
 4. Blocks are scored in numpy, a few thousand tokens at a time.
 
 Null and empty texts consist of their end token.  Null ``train`` marks count as
-false.  Repeated rows are tokens as often as they appear.
+false (so rows without an id are scored, but neither learnt from nor held out in ``op1``).  Repeated
+rows are tokens as often as they appear.  Other columns are not read.
 """
 
 from __future__ import annotations

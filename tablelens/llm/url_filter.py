@@ -97,9 +97,9 @@ def judge(urls: DataFrame, rules: list[UrlRule], *, url: str = "url", train_rows
           depth: int = 4, threshold: float = 0.5) -> DataFrame:
     """``urls`` with ``host``, ``path``, ``rule``, ``verdict`` and ``block_score`` (null where a rule decides).
 
-    Columns of these names are replaced.
+    Columns of these names, in any case, are replaced.
     """
-    kept = [F.col(f"`{c}`") for c in urls.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
+    kept = [F.col(f"`{c}`") for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict", "block_score")]
     df = features(urls, url)
     rule, said = fitting_rule(F.col("_u_host"), F.col("_u_path"), rules)
     df = df.withColumns({"_u_rule": rule, "_u_said": said})

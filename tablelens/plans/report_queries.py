@@ -28,6 +28,11 @@ def _banded(t: Tables) -> DataFrame:
                            F.when(price < 100000, "low").when(price < 250000, "mid").otherwise("high").alias("band"))
 
 
+def _near(x: str, digits: int) -> str:
+    """``x`` rounded in a way that both engines share, also just beside a tie."""
+    return f"floor({x} * {10 ** digits} + 0.50001) / {10 ** digits}"
+
+
 def _report_sql() -> str:
     """All relations, p-values by the closed forms that even degrees of freedom have (3 or 5 groups, 4 or 8 cells)."""
     corr = [f"SELECT '{a}' AS col1, '{b}' AS col2, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM f" for a, b in combinations(_NUM, 2)]
@@ -50,9 +55,9 @@ report AS (
 SELECT 1 AS kind, 'numerical-numerical' AS type, col1, col2, round(abs(r), 2) AS strength, round(r, 4) AS statistic, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS BIGINT) AS n,
        'Strong ' || CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END || ' correlation between ' || col1 || ' and ' || col2 AS description,
        '{relations.SUGGESTIONS['numerical-numerical']}' AS suggestion FROM c WHERE abs(r) > 0.7
-UNION ALL SELECT 2, 'categorical-numerical', col1, col2, round(fs, 3), round(fs, 3), round(p, 8), CAST(n AS BIGINT),
+UNION ALL SELECT 2, 'categorical-numerical', col1, col2, {_near('fs', 3)}, {_near('fs', 3)}, {_near('p', 6)}, CAST(n AS BIGINT),
        'Significant difference in ' || col2 || ' across groups of ' || col1, '{relations.SUGGESTIONS['categorical-numerical']}' FROM ap WHERE p < 0.05
-UNION ALL SELECT 3, 'categorical-categorical', col1, col2, NULL, round(x, 3), round(p, 8), CAST(n AS BIGINT),
+UNION ALL SELECT 3, 'categorical-categorical', col1, col2, NULL, {_near('x', 3)}, {_near('p', 6)}, CAST(n AS BIGINT),
        'Significant association between ' || col1 || ' and ' || col2, '{relations.SUGGESTIONS['categorical-categorical']}' FROM kp WHERE p < 0.05)"""
 
 
@@ -60,18 +65,18 @@ UNION ALL SELECT 3, 'categorical-categorical', col1, col2, NULL, round(x, 3), ro
 def _relationship_report(t: Tables):
     """R7 without a limit: every strong correlation and every significant ANOVA and chi-square, with p-values."""
     out = relations.relationships(_banded(t), None)
-    return out.withColumns({"strength": F.round("strength", 3), "statistic": F.round("statistic", 4), "p_value": F.round("p_value", 8)}).withColumn(
-        "statistic", F.when(F.col("kind") == 1, F.col("statistic")).otherwise(F.round("statistic", 3)))
+    near = {c: F.when(F.col("kind") == 1, F.col(c)).otherwise(F.expr(_near(c, 3))) for c in ("strength", "statistic")}
+    return out.withColumns({**near, "p_value": F.expr(_near("p_value", 6))})
 
 
 @register("p_values", _report_sql() + """
-SELECT 'anova' AS test, col1, col2, round(p, 8) AS p_value FROM ap UNION ALL SELECT 'chi-square', col1, col2, round(p, 8) FROM kp""")
+SELECT 'anova' AS test, col1, col2, """ + _near("p", 6) + """ AS p_value FROM ap UNION ALL SELECT 'chi-square', col1, col2, """ + _near("p", 6) + """ FROM kp""")
 def _p_values(t: Tables):
     """F and chi-square upper tails of every pair of columns."""
     f = _banded(t)
     a = relations.with_f_pvalue(relations.anova(f, _CAT, _NUM)).select(F.lit("anova").alias("test"), F.col("cat_col").alias("col1"), F.col("num_col").alias("col2"), "p_value")
     c = relations.with_chi2_pvalue(relations.chi_square(f, _CAT)).select(F.lit("chi-square").alias("test"), "col1", "col2", "p_value")
-    return a.unionByName(c).withColumn("p_value", F.round("p_value", 8))
+    return a.unionByName(c).withColumn("p_value", F.expr(_near("p_value", 6)))
 
 
 @register("insight_counts", _report_sql() + """
@@ -113,13 +118,13 @@ def _pack_sql() -> str:
     parts.append(row("heatmap", "col1", "col2", "NULL", "NULL", "corr", "NULL") + " FROM ("
                  + _corr_sql("(SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in nums) + " FROM orders)", nums, 2) + ")")
     # ties of means over few rows must fall the same way whatever the last bits of the sums are
-    return f"WITH {bounds}\nSELECT * REPLACE (floor(value * 10000 + 0.50001) / 10000 AS value) FROM ({_union(parts)})"
+    return f"WITH {bounds}\nSELECT * REPLACE ({_near("value", 4)} AS value) FROM ({_union(parts)})"
 
 
 @register("chart_pack", _pack_sql())
 def _chart_pack(t: Tables):
     """The data of every chart of orders."""
-    return chart_pack(t.orders).withColumn("value", F.floor(F.col("value") * 10000 + 0.50001) / 10000)
+    return chart_pack(t.orders).withColumn("value", F.expr(_near("value", 4)))
 
 
 #: Both vocabularies of chart kinds, with arguments over customer.

@@ -55,7 +55,8 @@ def _gram(df: DataFrame, cols: list[str]) -> DataFrame:
 
     def blocks(X):
         M = (~np.isnan(X)).astype("float64")
-        X = np.nan_to_num(X - shift, nan=0.0, posinf=np.inf, neginf=-np.inf)
+        with np.errstate(invalid="ignore"):  # infinite values leave NaN sums, whose correlation is null
+            X = np.where(M > 0, X - shift, 0.0)
         X2 = X * X
         for s in range(0, k, GRAM_BLOCK):
             left = slice(s, s + GRAM_BLOCK)
@@ -93,6 +94,7 @@ def _correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     # what is left of equal sums by rounding is no spread
     spread = (F.col("n") > 1) & (F.col("va") > F.col("saa") * 1e-14) & (F.col("vb") > F.col("sbb") * 1e-14)
     r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))))
+    spread = spread & ~F.isnan(F.col("va") + F.col("vb") + F.col("cov"))  # NaN counts as greater than any number
     return g.select("a", "b", F.when(spread, F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(r)).alias("corr"), "n")
 
 

@@ -104,3 +104,10 @@ def test_chi_square_shuffles_cells_of_pairs_not_combinations(spark):
     for a, b in combinations(range(6), 2):
         want = _chi2(rows, a, b)
         assert got[f"c{a}", f"c{b}"] == pytest.approx(want, rel=1e-9)
+
+
+def test_correlation_with_infinite_values_is_null(spark):
+    df = spark.createDataFrame([(1.0, float("inf"), 1.0), (2.0, 1.0, 3.0), (3.0, 2.0, 4.0)], "a double, b double, c double")
+    got = {(r["col1"], r["col2"]): r["corr"] for r in relations.corr_matrix(df).collect()}
+    assert got["a", "c"] == got["c", "a"] == 0.982 and got["a", "a"] == 1.0
+    assert all(got[x] is None for x in got if "b" in x)

@@ -418,3 +418,27 @@ def test_label_model_finds_accuracies_and_correlated_voters():
     q, v = toxicity.label_model(np.column_stack([good, good, weak, other]), np.where(rng.random(4000) < 0.8, y, ~y))
     assert v[0]["toxic_if_toxic"] > v[2]["toxic_if_toxic"] and v[0]["voice"] < 0.6 < v[3]["voice"]
     assert ((q > 0.5) == y).mean() > 0.88
+
+
+def test_near_duplicates_finds_planted_pairs_just_above_the_threshold(spark):
+    """Recall on pairs of similarity 0.80 to 0.85, the hardest ones: a fresh text each, some words replaced."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, pairs = [], []
+    while len(pairs) < 600:
+        base = [word() for _ in range(rng.randrange(120, 400))]
+        copy = list(base)
+        for i in rng.sample(range(len(base)), max(1, len(base) // 47 + rng.randrange(-1, 2))):
+            copy[i] = word()
+        a, b = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (base, copy))
+        share = len(a & b) / len(a | b)
+        if 0.80 <= share < 0.85:
+            pairs.append((len(rows), share))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    found = sum(got[i] == got[i + 1] for i, _ in pairs)
+    assert sum(share < 0.82 for _, share in pairs) > 100
+    assert found == len(pairs), f"{found} of {len(pairs)}"
+    assert len(set(got.values())) == len(pairs)

@@ -347,14 +347,15 @@ def outliers_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataF
     return df.filter(F.abs(v - F.lit(r["m"])) / F.lit(r["s"]) > threshold)
 
 
-def recommendations(df: DataFrame) -> DataFrame:
+def recommendations(df: DataFrame, missing: int | None = None) -> DataFrame:
     """The six recommendation rules: ``(rule_no, type, priority,
-    description, suggestion)``.  Only the missing-column count needs data."""
+    description, suggestion)``.  Only the count of columns with missing values needs
+    data, unless it is given."""
     spark = df.sparkSession
     nums = numeric_columns(df)
     cats = stat_categorical_columns(df)
     dates = datetime_named_columns(df)
-    n_missing = missing_report(df).count()
+    n_missing = missing_report(df).count() if missing is None else missing
     hit = {1: n_missing > 0, 2: bool(nums), 3: len(df.columns) > 5, 4: bool(cats and nums),
            5: bool(dates), 6: len(df.columns) > 10}
     fill = {"n": n_missing, "cat": cats[0] if cats else "", "num": nums[0] if nums else "",
@@ -366,13 +367,17 @@ def recommendations(df: DataFrame) -> DataFrame:
 
 def insight_digest(df: DataFrame) -> DataFrame:
     """``(metric, value)``: rows, columns, columns per dtype, columns with
-    missing values, significant relationships, recommendations."""
+    missing values, significant relationships, recommendations.
+
+    One scan counts rows and missing values, for the recommendations too; the others are the relationships' own,
+    which don't grow with the number of columns."""
     from tablelens.operators.relations import relationships
     spark = df.sparkSession
-    rows = df.agg(F.count(F.lit(1))).first()[0]
-    out = [("rows", rows), ("columns", len(df.columns))]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.max(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
+    missing = sum(bool(row[f"m{i}"]) for i in range(len(df.columns)))
+    out = [("rows", row["rows"]), ("columns", len(df.columns))]
     out += [(f"dtype:{r['dtype']}", r["columns"]) for r in dtype_tally(df).collect()]
-    out.append(("missing_columns", missing_report(df).count()))
+    out.append(("missing_columns", missing))
     out.append(("relationships", relationships(df, None).count()))
-    out.append(("recommendations", recommendations(df).count()))
+    out.append(("recommendations", recommendations(df, missing).count()))
     return spark.createDataFrame(out, "metric string, value long")

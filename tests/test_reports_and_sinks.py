@@ -95,3 +95,18 @@ def test_chat_append_is_idempotent(spark, tmp_path):
     got = [(r["conv_id"], r["id"], r["content"]) for r in chat.load_history(chat.read_log(spark, path)).collect()]
     assert got == [(1, 1, "a"), (1, 2, "b"), (1, 3, "d"), (2, 1, "c")]
     assert chat.read_log(spark, path).columns == first.columns
+
+
+def test_insight_digest_jobs_do_not_grow_with_columns(spark, tmp_path):
+    from tablelens.operators import profile
+
+    jobs = []
+    for k in (2, 6):
+        df = _wide(spark, tmp_path, k).withColumn("gap", F.when(F.col("x0") > 3, F.col("x0")))
+        sc = spark.sparkContext
+        sc.setJobGroup(f"digest{k}", "")
+        got = {r["metric"]: r["value"] for r in profile.insight_digest(df).collect()}
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"digest{k}")))
+        assert got["rows"] == 400 and got["columns"] == 2 * k + 2 and got["missing_columns"] == 1
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 3  # adaptive stages are jobs too

@@ -45,6 +45,8 @@ FAR = 28
 TILE = 2048
 #: Cells in which differences from a centre are counted.
 DIFF_CELLS = 128
+#: Rows of an Arrow batch that holds texts: it lies in the JVM and in the worker.
+BATCH_ROWS = 1000
 #: Text of the pairs that one step compares.
 PAIR_BYTES = 1 << 20
 
@@ -221,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ship_package(docs.sparkSession)
     num, den = similarity
     src = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).withColumn("_th", F.xxhash64("_text"))
-    scan = materialise(_scan(src, shingle), "minhash")
+    scan = materialise(_scan(src, shingle), "minhash", BATCH_ROWS)
     classes = materialise(scan.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("n"))
                           .withColumn("c", F.monotonically_increasing_id()), "minhash-classes")
 
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         src.alias("s").join(want.alias("w"), (F.col("s._th") == F.col("w._th")) & F.col("s._id").eqNullSafe(F.col("w._id")))
         .select(F.col("w.c").alias("c"), F.col("s._text").alias("text")).dropDuplicates(["c"]))
     texts = materialise(texts, "minhash-texts")
-    compared = materialise(_compared(tried, texts, shingle, num, den), "minhash-links")
+    compared = materialise(_compared(tried, texts, shingle, num, den), "minhash-links", BATCH_ROWS)
     links = compared.filter("ok").select("a", "b")
 
     # what still lies across components

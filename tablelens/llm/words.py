@@ -251,11 +251,22 @@ def i64(h: np.ndarray) -> pa.Array:
 
 # ------------------------------------------------------------- Spark helpers
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: later reads don't depend on the executors that made it."""
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: later reads don't depend on the executors that made it.
+    ``batch_rows``: rows of an Arrow batch while this is written, for rows that hold much text."""
     spark = df.sparkSession
     path = f"{scratch_path(spark, name)}/t"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(_ROWS, str(batch_rows))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1029,9 +1029,10 @@ def _scan_csv_na(t: Tables):
 @register("scan_xlsx", """
 SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part""")
 def _scan_xlsx(t: Tables):
-    """Part written as .xlsx workbooks (one per partition) and scanned
+    """Part written as .xlsx workbooks (of bounded size, by every core) and scanned
     back through the binaryFile source, typed like a CSV scan."""
-    folder = write_xlsx(t.part.repartition(4), scratch_path(t.spark, "xlsx-part"))
+    tasks = max(4, t.spark.sparkContext.defaultParallelism)
+    folder = write_xlsx(t.part.repartition(tasks), scratch_path(t.spark, "xlsx-part"))
     return files.read_excel(t.spark, folder)
 
 

@@ -7,7 +7,8 @@
   latin1 (Spark itself would silently substitute U+FFFD).
 * Excel (.xlsx): read with the ``binaryFile`` source; each workbook is
   parsed inside a task (one task per file) with the standard library's zip
-  and XML readers; cells come back as text and are typed like CSV.
+  and XML readers; cells come back as text and are typed like CSV.  Python gets
+  a workbook in chunks, and keeps what is large of it in a temporary file.
 * ``load`` dispatches on the file suffix.
 """
 
@@ -15,12 +16,14 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
 import zipfile
+from array import array
 from itertools import islice
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,14 +196,29 @@ def _elements(z: zipfile.ZipFile, name: str, tag: str):
                     parents[-1].clear()  # the tree never holds more than the open path
 
 
-def iter_xlsx(content: bytes, sheet=0):
-    """Rows of one sheet as lists of text cells (numbers keep their stored text), one at a time: only the shared
-    strings are held."""
-    z = zipfile.ZipFile(io.BytesIO(content))
+class _Texts:
+    """Strings by number.  Their bytes are in memory up to ``CHUNK``, else in a temporary file."""
+
+    def __init__(self, texts):
+        self.file = tempfile.SpooledTemporaryFile(CHUNK)
+        self.ends = array("Q", [0])
+        for t in texts:
+            self.ends.append(self.ends[-1] + self.file.write(t.encode()))
+
+    def __getitem__(self, i: int) -> str:
+        start, end = self.ends[i], self.ends[i + 1]
+        self.file.seek(start)
+        return self.file.read(end - start).decode()
+
+
+def iter_xlsx(content, sheet=0):
+    """Rows of one sheet as lists of text cells (numbers keep their stored text), one at a time.  ``content``: a
+    workbook's bytes, or a file of them."""
+    z = zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content)
     ns = f"{{{_NS['m']}}}"
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
-        shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in _elements(z, "xl/sharedStrings.xml", f"{ns}si")]
+        shared = _Texts("".join(t.text or "" for t in si.iter(f"{ns}t")) for si in _elements(z, "xl/sharedStrings.xml", f"{ns}si"))
     for row in _elements(z, _sheet_path(z, sheet), f"{ns}row"):
         cells: dict[int, str | None] = {}
         for c in row.findall("m:c", _NS):
@@ -219,13 +237,35 @@ def iter_xlsx(content: bytes, sheet=0):
             yield [cells.get(i) for i in range(max(cells) + 1)]
 
 
-def parse_xlsx(content: bytes, sheet=0, max_rows: int | None = None) -> list[list[str | None]]:
+def parse_xlsx(content, sheet=0, max_rows: int | None = None) -> list[list[str | None]]:
     """The sheet's rows, or the first ``max_rows``."""
     return list(islice(iter_xlsx(content, sheet), max_rows))
 
 
 #: Rows of a sheet that become one batch.
 EXCEL_BATCH = 10_000
+#: Bytes of a workbook in a row on its way to Python; of these and of shared strings, what Python keeps in memory.
+CHUNK = 4 << 20
+
+
+def _chunks(files: DataFrame) -> DataFrame:
+    """Each file's ``content`` as rows of at most ``CHUNK`` bytes, one after another in one partition."""
+    last = F.greatest(F.ceil(F.length("content") / CHUNK).cast("int") - 1, F.lit(0))
+    return (files.select("content", last.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+            .select(F.substring("content", F.col("i") * CHUNK + 1, F.lit(CHUNK)).alias("chunk"), (F.col("i") == F.col("n")).alias("last")))
+
+
+def _workbooks(batches):
+    """The files that ``_chunks`` cut, one at a time."""
+    book = None
+    for batch in batches:
+        for chunk, last in zip(*batch.columns):
+            book = book or tempfile.SpooledTemporaryFile(CHUNK)
+            book.write(chunk.as_buffer())
+            if last.as_py():
+                with book:
+                    yield book
+                book = None
 
 
 def read_excel(spark: SparkSession, path: str, sheet=0, typed: bool = True) -> DataFrame:
@@ -241,11 +281,10 @@ def read_excel(spark: SparkSession, path: str, sheet=0, typed: bool = True) -> D
         raise FileNotFoundError(path) from exc
 
     def headers(it):
-        for pdf in it:
-            for content in pdf["content"]:
-                rows = parse_xlsx(content, sheet, max_rows=1)
-                yield pd.DataFrame({"h": ["\u0001".join("" if x is None else x for x in rows[0]) if rows else ""]})
-    hs = [r["h"] for r in files.select("content").mapInPandas(headers, "h string").distinct().collect()]
+        for book in _workbooks(it):
+            rows = parse_xlsx(book, sheet, max_rows=1)
+            yield pa.RecordBatch.from_pydict({"h": ["\u0001".join("" if x is None else x for x in rows[0]) if rows else ""]})
+    hs = [r["h"] for r in _chunks(files).mapInArrow(headers, "h string").distinct().collect()]
     hs = [h for h in hs if h]
     if not hs:
         raise SourceError(f"no readable sheet in {path}")
@@ -257,15 +296,14 @@ def read_excel(spark: SparkSession, path: str, sheet=0, typed: bool = True) -> D
     schema = ", ".join(f"`{c}` string" for c in cols)
 
     def body(it):
-        for pdf in it:
-            for content in pdf["content"]:
-                rows = iter_xlsx(content, sheet)
-                head = ["" if x is None else x for x in next(rows, [])]
-                at = [head.index(c) if c in head else None for c in cols]
-                while batch := list(islice(rows, EXCEL_BATCH)):
-                    data = [[r[i] if i is not None and i < len(r) else None for i in at] for r in batch]
-                    yield pd.DataFrame(data, columns=cols, dtype=object)
-    df = files.select("content").mapInPandas(body, schema)
+        for book in _workbooks(it):
+            rows = iter_xlsx(book, sheet)
+            head = ["" if x is None else x for x in next(rows, [])]
+            at = [head.index(c) if c in head else None for c in cols]
+            while batch := list(islice(rows, EXCEL_BATCH)):
+                data = [pa.array([r[i] if i is not None and i < len(r) else None for r in batch], pa.string()) for i in at]
+                yield pa.RecordBatch.from_arrays(data, cols)
+    df = _chunks(files).mapInArrow(body, schema)
     df = _na_to_null(df)
     return infer_types(df) if typed else df
 

@@ -256,3 +256,64 @@ def test_workbooks_are_written_by_spark_and_read_in_bounded_steps(spark, monkeyp
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4e6, peak
+
+
+def test_a_partition_of_any_size_becomes_workbooks_of_bounded_size(spark, monkeypatch):
+    import tracemalloc
+
+    from tablelens.sources import xlsx_writer
+
+    d = f"{tempfile.mkdtemp()}/books.xlsx"
+    n = 2 * xlsx_writer.BOOK_ROWS + 5
+    one = spark.range(n).select("id", F.concat(F.lit("n "), F.col("id").cast("string")).alias("name")).coalesce(1)
+    write_xlsx(one, d)
+    assert sorted(os.listdir(d)) == [f"part-0000{i}.xlsx" for i in range(3)]
+    got = files.load(spark, d)
+    assert got.count() == n and got.exceptAll(one).isEmpty()
+    write_xlsx(one.limit(7), d)  # fewer than before: the others go
+    assert os.listdir(d) == ["part-00000.xlsx"] and files.load(spark, d).count() == 7
+    # the sheet is compressed as rows come
+    tracemalloc.start()
+    book = xlsx_writer.Workbook(["a", "b"])
+    for i in range(30_000):
+        book.add([i, "x" * 500])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6, peak
+    assert sum(1 for _ in files.iter_xlsx(book.close())) == 30_001
+
+
+def test_workbooks_reach_python_in_chunks(spark, monkeypatch):
+    import io
+    import tracemalloc
+    import zipfile
+
+    d = f"{tempfile.mkdtemp()}/books.xlsx"
+    df = spark.range(300).select("id", F.md5(F.col("id").cast("string")).alias("name")).repartition(3)
+    write_xlsx(df, d)
+    monkeypatch.setattr(files, "CHUNK", 700)
+    cut = files._chunks(spark.read.format("binaryFile").load(d))
+    assert cut.agg(F.max(F.length("chunk"))).first()[0] == 700 and cut.filter("last").count() == 3 < cut.count()
+    assert files.load(spark, d).exceptAll(df).isEmpty() and files.load(spark, d).count() == 300
+    # shared strings are read from a file
+    n = 30_000
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    buf = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(write_one(df))) as old, zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            if "sheet1" not in name:
+                new.writestr(name, old.read(name))
+        new.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><t>{'é' * 200}{i}</t></si>" for i in range(n)) + "</sst>")
+        new.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(
+            f'<row r="{i + 1}"><c r="A{i + 1}" t="s"><v>{n - 1 - i}</v></c></row>' for i in range(n)) + "</sheetData></worksheet>")
+    tracemalloc.start()
+    assert all(row == [f"{'é' * 200}{n - 1 - i}"] for i, row in enumerate(files.iter_xlsx(buf.getvalue())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6, peak
+
+
+def write_one(df) -> bytes:
+    from tablelens.sources.xlsx_writer import workbook_bytes
+
+    return workbook_bytes(df.limit(1).toPandas())

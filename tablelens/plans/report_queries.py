@@ -202,13 +202,13 @@ SELECT 'csv' AS suffix, p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, p_r
 UNION ALL SELECT 'xlsx', p_partkey, p_name, CAST(p_size AS BIGINT), p_retailprice FROM part
 UNION ALL SELECT 'json', NULL, 'unsupported file type ''json''; expected one of (''csv'', ''xlsx'')', NULL, NULL""")
 def _load_by_suffix(t: Tables):
-    """Part written as CSV and as a workbook, each loaded by its suffix; another suffix is an error."""
+    """Part written as CSV and as workbooks, each loaded by its suffix; another suffix is an error."""
     from tablelens.sources.xlsx_writer import write_xlsx
 
     cols = ["p_partkey", "p_name", "p_size", "p_retailprice"]
     part = t.part.select(cols)
     csv = files.write_csv(part, f"{scratch_path(t.spark, 'load-csv')}/part.csv")
-    books = write_xlsx(part.repartition(2), f"{scratch_path(t.spark, 'load-xlsx')}/part.xlsx")
+    books = write_xlsx(part.repartition(max(2, t.spark.sparkContext.defaultParallelism)), f"{scratch_path(t.spark, 'load-xlsx')}/part.xlsx")
     out = files.load(t.spark, csv).select(F.lit("csv").alias("suffix"), *cols).unionByName(files.load(t.spark, books).select(F.lit("xlsx").alias("suffix"), *cols))
     try:
         files.load(t.spark, csv.replace(".csv", ".json"))

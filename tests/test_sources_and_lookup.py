@@ -317,3 +317,18 @@ def write_one(df) -> bytes:
     from tablelens.sources.xlsx_writer import workbook_bytes
 
     return workbook_bytes(df.limit(1).toPandas())
+
+
+@pytest.mark.parametrize("key, folder", [("load_by_suffix", "load-xlsx-*/part.xlsx"), ("scan_xlsx", "xlsx-part-*")])
+def test_queries_write_workbooks_with_every_core(spark, key, folder):
+    import glob
+
+    from tablelens.plans.registry import QUERIES
+    from tablelens.session import checkpoint_root
+
+    books = lambda: set(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/{folder}/*.xlsx"))
+    before = books()
+    out = QUERIES[key](spark, "/root/testdata/sf0.001")
+    assert len(books() - before) == max(4 if key == "scan_xlsx" else 2, spark.sparkContext.defaultParallelism)
+    n = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert out.count() == (2 * n + 1 if key == "load_by_suffix" else n)

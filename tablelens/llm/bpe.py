@@ -7,7 +7,9 @@ batch is proposed as greedy longest matches.  A sequence of tokens is what the
 merges would give exactly if every token is its own encoding and no two
 neighbours would have merged across their border at some rank; that border test
 runs over all distinct neighbour pairs of the batch at once in numpy.  Only words
-with a failing pair are merged exactly, with a heap.
+with a failing pair are merged exactly.  Proposing and merging too go through all
+words of a batch at once, a token or a merge of each word at a time; words of over
+``LONG`` bytes are taken one by one, and merged with a heap.
 
 Words are remembered per Python worker up to a bound; texts are never cut.  The
 strings of the file's special tokens in a text become those tokens, as in the
@@ -22,7 +24,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import struct
 import unicodedata
 
 import numpy as np
@@ -32,13 +33,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablelens.llm.words import give_back
+from tablelens.llm.words import give_back, ranges
 from tablelens.session import ship_package
 
 #: Distinct words, and blank-separated pieces, whose ids a Python worker remembers.
 WORDS_KEPT = 150_000
 #: Text that one step encodes.
 STEP_CHARS = 2 << 20
+#: Bytes of a word that is proposed and merged by itself.
+LONG = 100
+#: Rank of a pair that never merges.
+NONE = 1 << 30
 #: Blank: what Unicode calls white space.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N}]+")
 BLANKS = regex.compile(r"[\t-\r \x85\p{Z}]+")
@@ -53,6 +58,40 @@ def _byte_chars() -> dict[str, str]:
     return {chr(b): chr(b) for b in shown} | {chr(256 + i): chr(b) for i, b in enumerate(rest)}
 
 
+class Table:
+    """Integers from 0 on by distinct codes from 0 on, looked up many at a time: open addressing, a quarter full at most."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (4 * len(codes)).bit_length())
+        self.codes, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1)
+        at, left = self._slots(codes), np.arange(len(codes))
+        while len(left):
+            slots, first = np.unique(at[left], return_index=True)
+            free = self.codes[slots] < 0
+            slots, placed = slots[free], left[first[free]]
+            self.codes[slots], self.values[slots] = codes[placed], values[placed]
+            left = np.setdiff1d(left, placed)
+            at[left] = at[left] + 1 & len(self.codes) - 1
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, codes: np.ndarray) -> np.ndarray:
+        """Values; -1 for other codes."""
+        at = self._slots(codes)
+        found = self.codes[at]
+        hit = found == codes
+        out = np.where(hit, self.values[at], -1)
+        left = np.flatnonzero(~hit & (found >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & len(self.codes) - 1
+            found = self.codes[at[left]]
+            hit = found == codes[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 class Bpe:
     """A vocabulary file's model.  Keys are byte strings as Latin-1 text, with END after a word's last byte."""
 
@@ -79,20 +118,18 @@ class Bpe:
         self.formed = np.full(size, -1)  # rank of the merge that makes a token; -1: a single symbol
         self.rank: dict[int, int] = {}  # of a pair of neighbours, as left << 20 | right
         self.made: list[int] = []  # by rank
-        codes, twice = [], set()
+        twice = set()
         for r, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             self.rank[x << 20 | y] = r
             self.made.append(z)
-            codes.append(x << 20 | y)
             if self.formed[z] >= 0:
                 twice.add(z)
             else:
                 self.left[z], self.right[z], self.formed[z] = x, y, r
-        codes = np.array(codes, np.int64)
-        self.order = np.argsort(codes)
-        self.codes = codes[self.order]
+        self.made_by = np.array(self.made, np.int64)
+        self.ranks = Table(np.array(list(self.rank), np.int64), np.array(list(self.rank.values()), np.int64))
         made = np.flatnonzero(self.formed >= 0)
         made = made[np.argsort(self.formed[made])]
         sound = np.ones(size, bool)  # tokens that are their own encoding
@@ -113,6 +150,22 @@ class Bpe:
             for start in {k[:1], k[:2], k[:3]}:
                 lengths.setdefault(start, set()).add(len(k))
         self.lengths = {start: sorted(x, reverse=True) for start, x in lengths.items()}  # of keys by their first characters
+        # symbols of a word: its bytes, 256 more for the last one
+        self.symbol = np.array([self.single.get(chr(b) + e, -1) for e in ("", END) for b in range(256)])
+        children: dict[int, int] = {}  # of the tree of keys: by node << 9 | symbol
+        tokens = [-1]  # by node
+        for k, i in self.keys.items():
+            end = k.endswith(END)
+            path = list(k.removesuffix(END).encode("latin-1"))
+            path[-1] += 256 * end
+            node = 0
+            for c in path:
+                node = children.setdefault(node << 9 | c, len(tokens))
+                if node == len(tokens):
+                    tokens.append(-1)
+            tokens[node] = i
+        self.children = Table(np.array(list(children), np.int64), np.array(list(children.values()), np.int64))
+        self.token = np.array(tokens)
         self.kept: dict[str, bytes] = {}  # ids of words
         self.pieces: dict[str, bytes] = {}  # ids of blank-separated pieces
 
@@ -127,9 +180,8 @@ class Bpe:
         while len(live):
             x, y = a[live], b[live]
             code = x.astype(np.int64) << 20 | y
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            r = self.order[at]
-            hit = (self.codes[at] == code) & (r < gone_a[live]) & ((r < gone_b[live]) | ((r == gone_b[live]) & (gone_b[live] != np.asarray(np.broadcast_to(limit, a.shape))[live])))
+            r = self.ranks.get(code)
+            hit = (r >= 0) & (r < gone_a[live]) & ((r < gone_b[live]) | ((r == gone_b[live]) & (gone_b[live] != np.asarray(np.broadcast_to(limit, a.shape))[live])))
             out[live[hit]] = True
             fx, fy = self.formed[x], self.formed[y]
             go = ~hit & ((fx >= 0) | (fy >= 0))
@@ -159,28 +211,78 @@ class Bpe:
             i = j
         return out
 
+    def propose_all(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """The same of many words, given by their places in ``symbols``: tokens, how many each word has, and which words
+        have a place without a match."""
+        counts, bad = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
+        rounds = []
+        live, at = np.arange(len(starts)), starts
+        while len(live):  # the next token of each word
+            token, stop, limit = np.full(len(live), -1), at.copy(), ends[live]
+            run, p, node = np.arange(len(live)), at, np.zeros(len(live), np.int64)
+            while len(run):  # one symbol further down the tree of keys
+                node = self.children.get(node << 9 | symbols[p])
+                ok = node >= 0
+                run, p, node = run[ok], p[ok] + 1, node[ok]
+                t = self.token[node]
+                ok = t >= 0
+                token[run[ok]], stop[run[ok]] = t[ok], p[ok]
+                ok = p < limit[run]
+                run, p, node = run[ok], p[ok], node[ok]
+            ok = token >= 0
+            bad[live[~ok]] = True
+            rounds.append((live[ok], token[ok]))
+            counts[live[ok]] += 1
+            ok &= stop < limit
+            live, at = live[ok], stop[ok]
+        first = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), np.int64)
+        for i, (w, t) in enumerate(rounds):
+            flat[first[w] + i] = t
+        return flat, counts, bad
+
+    def merge_all(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Exact merging of many words: always the lowest rank, leftmost first.  Tokens, and how many each word has."""
+        part = self.symbol[symbols[ranges(starts, ends - starts)]]
+        word = np.repeat(np.arange(len(starts)), ends - starts)
+        part, word = part[part >= 0], word[part >= 0]  # a symbol that the vocabulary lacks is left out, as there is no unknown token
+
+        def ranks(i):  # of the pairs that begin at i
+            out = np.full(len(i), NONE)
+            ok = i + 1 < len(part)
+            ok[ok] = word[i[ok]] == word[i[ok] + 1]
+            r = self.ranks.get(part[i[ok]] << 20 | part[i[ok] + 1])
+            out[ok] = np.where(r < 0, NONE, r)
+            return out
+
+        rank = ranks(np.arange(len(part)))
+        done = [(word[:0], part[:0])]
+        while len(part):  # a merge of each word
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(part)), first)
+            at, r = least & 0xFFFFFFFF, least >> 32
+            go = r < NONE
+            if not go.all():
+                stay = np.repeat(go, np.diff(np.append(first, len(part))))
+                done.append((word[~stay], part[~stay]))
+                at, r = (np.cumsum(stay) - 1)[at[go]], r[go]
+                part, word, rank = part[stay], word[stay], rank[stay]
+            part[at] = self.made_by[r]
+            stay = np.ones(len(part), bool)
+            stay[at + 1] = False
+            part, word, rank = part[stay], word[stay], rank[stay]
+            at = at - np.arange(len(at))  # each word before lost a part
+            rank[at] = ranks(at)
+            before = at[at > 0] - 1
+            rank[before] = ranks(before)
+        word, part = map(np.concatenate, zip(*done))
+        return part[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(starts))
+
     def merge(self, k: str) -> list[int]:
-        """Exact merging: always the lowest rank, leftmost first."""
+        """The same of one word, with a heap."""
         n = len(k) - 2
         parts = [self.single.get(c) for c in k[:n - 1]] + [self.single.get(k[n - 1:])]
-        parts = [p for p in parts if p is not None]  # a symbol that the vocabulary lacks is left out, as there is no unknown token
-        if len(parts) > 100:
-            return self._merge_long(parts)
-        rank, made, none = self.rank, self.made, 1 << 40
-        ranks = [rank.get(x << 20 | y, none) for x, y in zip(parts, parts[1:])]
-        while ranks and (r := min(ranks)) < none:
-            i = ranks.index(r)
-            z = made[r]
-            parts[i:i + 2] = [z]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank.get(parts[i - 1] << 20 | z, none)
-            if i < len(ranks):
-                ranks[i] = rank.get(z << 20 | parts[i + 1], none)
-        return parts
-
-    def _merge_long(self, parts: list[int]) -> list[int]:
-        """The same with a heap, for words of many characters."""
+        parts = [p for p in parts if p is not None]
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get(parts[i] << 20 | parts[i + 1])) is not None]
@@ -201,21 +303,37 @@ class Bpe:
 
     def learn(self, words: list[str]) -> tuple[int, int]:
         """Encode words into ``kept``; returns how many there were and how many had to be merged exactly."""
-        keys = [w.encode("utf-8", "surrogatepass").decode("latin-1") + END for w in words]
+        raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
+        words = [w for w in words if len(raw[w]) <= LONG]
+        long = [w for w in raw if len(raw[w]) > LONG]
+        ends = np.cumsum(np.fromiter(map(len, map(raw.__getitem__, words)), np.int64, len(words)))
+        starts = np.append(0, ends)[:-1]
+        symbols = np.frombuffer(b"".join(map(raw.__getitem__, words)), np.uint8).astype(np.int64)
+        symbols[ends - 1] += 256
+        flat, sizes, bad = self.propose_all(symbols, starts, ends)
+        keys = [raw[w].decode("latin-1") + END for w in long]
         guesses = [self.propose(k) for k in keys]
-        sizes = np.array([len(g) if g else 0 for g in guesses])
-        flat = np.fromiter((t for g in guesses if g for t in g), np.int64, int(sizes.sum()))
-        bad = np.array([g is None for g in guesses], bool)
+        flat = np.append(flat, np.fromiter((t for g in guesses if g for t in g), np.int64))
+        sizes = np.append(sizes, np.array([len(g) if g else 0 for g in guesses], np.int64))
+        bad = np.append(bad, np.array([g is None for g in guesses], bool))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         if len(flat) > 1:
-            owner = np.repeat(np.arange(len(words)), sizes)
             inner = np.flatnonzero(owner[1:] == owner[:-1])
             pair, which = np.unique(flat[inner] << 20 | flat[inner + 1], return_inverse=True)
             clash = self.clash(pair >> 20, pair & 0xFFFFF, np.int64(1) << 40)
-            bad |= np.bincount(owner[inner], clash[which], len(words)) > 0
-        for w, k, g, b in zip(words, keys, guesses, bad.tolist()):
-            g = self.merge(k) if b else g
-            self.kept[w] = struct.pack(f"<{len(g)}I", *g)
-        return len(words), int(bad.sum())
+            bad |= np.bincount(owner[inner], clash[which], len(bad)) > 0
+        self._keep([w for w, b in zip(words + long, bad.tolist()) if not b], flat[~bad[owner]], sizes[~bad])
+        again = np.flatnonzero(bad[:len(words)])
+        self._keep([words[i] for i in again.tolist()], *self.merge_all(symbols, starts[again], ends[again]))
+        for w, k, b in zip(long, keys, bad[len(words):].tolist()):
+            if b:
+                self.kept[w] = np.array(self.merge(k), "<u4").tobytes()
+        return len(bad), int(bad.sum())
+
+    def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        ids = flat.astype("<u4").tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        self.kept.update((w, ids[i:j]) for w, i, j in zip(words, [0, *ends], ends))
 
     def pieces_of(self, text: str) -> list[str]:
         """Normalised text by blanks.  A word never spans two pieces."""

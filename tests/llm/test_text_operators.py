@@ -235,6 +235,39 @@ def test_bpe_words_against_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_bpe_takes_words_of_a_batch_together(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    with open(vocabulary_path(), "rb") as f:
+        model = bpe.Bpe(f.read())
+    alone = []
+    for name in ("propose", "merge"):
+        monkeypatch.setattr(bpe.Bpe, name, lambda self, k, name=name, f=getattr(bpe.Bpe, name): alone.append((name, k)) or f(self, k))
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abeinorsté漢한 '9#\x00") for _ in range(rnd.randint(0, 80))) for _ in range(2000)]
+    texts += ["".join(rnd.choice("abeinorst") for _ in range(n)) for n in range(1, bpe.LONG + 1)]
+    for batch in (texts, texts[:0], [""], texts):
+        for t, ids in zip(batch, model.encode(batch)):
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert not alone
+    longer = ["".join(rnd.choice("abeinorst") for _ in range(n)) for n in range(bpe.LONG + 1, bpe.LONG + 40)] + ["漢" * 90, "the" * 2000]
+    for t, ids in zip(longer, model.encode(longer + texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert {k for _, k in alone} == {t.encode().decode("latin-1") + bpe.END for t in longer}
+
+
+def test_bpe_table():
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 5, 4000):
+        codes = np.unique(rnd.integers(0, 1 << 36, n))
+        table = bpe.Table(codes, np.arange(len(codes)))
+        assert table.get(codes).tolist() == list(range(len(codes)))
+        assert (table.get(np.setdiff1d(rnd.integers(0, 1 << 36, 9000), codes)) == -1).all()
+
+
 def brute_measures(t):
     t = t or ""
     w = words(t)

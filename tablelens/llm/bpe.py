@@ -59,11 +59,11 @@ def _byte_chars() -> dict[str, str]:
 
 
 class Table:
-    """Integers from 0 on by distinct codes from 0 on, looked up many at a time: open addressing, a quarter full at most."""
+    """Integers from 0 on by distinct codes from 0 on, looked up many at a time: open addressing, half full at most."""
 
     def __init__(self, codes: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (4 * len(codes)).bit_length())
-        self.codes, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1)
+        self.bits = max(4, (2 * len(codes)).bit_length())
+        self.codes, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1, np.int32)
         at, left = self._slots(codes), np.arange(len(codes))
         while len(left):
             slots, first = np.unique(at[left], return_index=True)
@@ -81,7 +81,7 @@ class Table:
         at = self._slots(codes)
         found = self.codes[at]
         hit = found == codes
-        out = np.where(hit, self.values[at], -1)
+        out = np.where(hit, self.values[at], -1).astype(np.int64)
         left = np.flatnonzero(~hit & (found >= 0))
         while len(left):
             at[left] = at[left] + 1 & len(self.codes) - 1
